@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("market",)
+FAMILIES = ("market", "joins", "options", "metrics")
 
 
 def load():

@@ -10,9 +10,11 @@ from tidemark.workloads.registry import Tables
 
 
 def r(column, digits: int = 6):
-    """Round for comparison across engines."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.round(column.cast("double"), digits)
+    """Round half away from zero in binary floating point, as the SQL engine does,
+    so both sides round the same double the same way."""
+    column = (F.col(column) if isinstance(column, str) else column).cast("double")
+    scale = F.lit(float(10 ** digits))
+    return F.round(column * scale) / scale + F.lit(0.0)
 
 
 def rounded(frame: DataFrame, names: list[str], digits: int = 6) -> list:
@@ -87,7 +89,7 @@ def options_px(t: Tables) -> DataFrame:
     spot = F.col("l_extendedprice") / F.col("l_quantity")
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", spot.alias("spot"),
-        F.round(spot * (F.lit(0.85) + F.lit(0.05) * F.col("l_linenumber")), 2).alias("strike"),
+        (F.floor(spot * (F.lit(0.85) + F.lit(0.05) * F.col("l_linenumber")) * 20.0) / 20.0).alias("strike"),
         (F.col("l_orderkey") % 180 + 1).cast("double").alias("dte"),
         (F.lit(0.1) + F.lit(5.0) * F.col("l_discount")).alias("sigma"),
         F.col("l_tax").alias("rate"), (spot * (F.lit(0.02) + F.col("l_tax"))).alias("price"),
@@ -98,7 +100,7 @@ def options_px(t: Tables) -> DataFrame:
 OPTIONS_PX = """
 options_px as (
   select l_orderkey, l_linenumber, l_extendedprice / l_quantity as spot,
-         round(l_extendedprice / l_quantity * (0.85::double + 0.05::double * l_linenumber), 2) as strike,
+         floor(l_extendedprice / l_quantity * (0.85::double + 0.05::double * l_linenumber) * 20.0::double) / 20.0::double as strike,
          cast(l_orderkey % 180 + 1 as double) as dte, 0.1::double + 5.0::double * l_discount as sigma,
          l_tax as rate, l_extendedprice / l_quantity * (0.02::double + l_tax) as price,
          case when l_linenumber % 2 = 1 then 'call' else 'put' end as option_type, l_quantity as volume
@@ -179,3 +181,25 @@ news as (
          text, lang, source, n_chars
   from documents)
 """
+
+
+def research_scores(t: Tables) -> DataFrame:
+    """sessions with a deterministic forecast, cost and decision."""
+    d = sessions(t).filter(F.col("future_return").isNotNull() & F.col("past_return").isNotNull())
+    d = d.select("ticker", "day", "px", "f_discount", "f_tax", "f_quantity", "f_count",
+                 (F.col("future_return") / 20).alias("actual_return"),
+                 (0.012 + (F.col("f_discount") - 0.05) - F.col("past_return") / 40).alias("expected_return"),
+                 (0.004 + F.col("f_tax") / 20).alias("cost"), "past_return")
+    d = d.withColumn("probability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - F.col("past_return") / 3)))
+    return d.withColumn("trade", F.col("expected_return") > F.col("cost") + 0.005)
+
+
+SCORES = SESSIONS + """,
+scores as (
+  select *, expected_return > cost + 0.005::double as trade from (
+    select ticker, day, px, f_discount, f_tax, f_quantity, f_count, past_return, future_return / 20 as actual_return,
+           0.012::double + (f_discount - 0.05::double) - past_return / 40 as expected_return,
+           0.004::double + f_tax / 20 as cost,
+           greatest(0::double, least(1::double, 0.5::double - past_return / 3)) as probability
+    from sessions where future_return is not null and past_return is not null))
+"""

@@ -166,7 +166,7 @@ def event_engine(t):
 
 _TRADE_MEASURES = """count(size) as trade_count, sum(size) as trade_volume,
   round(sum(price * size), 2) as trade_dollar_volume, max(size) as max_trade_size,
-  round(sum(price * price * size), 1) as trade_price_sq_x_size"""
+  round(sqrt(sum(price * price * size) / sum(size)), 6) as trade_rms_price"""
 
 
 @workload("trade_minute", sql=f"""
@@ -179,7 +179,7 @@ def trade_minute(t):
     d = trade_ops.trade_minutes(trades(t), keys=["ticker"])
     return d.select("ticker", stamp(F.col("minute")).alias("minute"), "trade_count", "trade_volume", "max_trade_size",
                     r("trade_dollar_volume", 2).alias("trade_dollar_volume"),
-                    r("trade_price_sq_x_size", 1).alias("trade_price_sq_x_size"))
+                    r(F.sqrt(F.col("trade_price_sq_x_size") / F.col("trade_volume"))).alias("trade_rms_price"))
 
 
 @workload("trade_vwap", sql=f"""
