@@ -60,19 +60,23 @@ def value_ranks(frame: DataFrame, *, keys: list[str], value: str, splits: int =
         F.count(F.lit(1)).alias("peers"), *extra)
     marks = [i / splits for i in range(1, splits)]
     cut_points = F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(1000))
+    # Both readers of ``counts`` ask for all its measures, so they share one shuffle.
+    whole = [F.sum("peers").alias("total"), *[F.max(n).alias(f"_max_{n}") for n in (sums or {})]]
     if keys:
-        edges = counts.groupBy(*keyed).agg(cut_points.alias("_edges"))
+        edges = counts.groupBy(*keyed).agg(cut_points.alias("_edges"), *whole)
         located = _join(counts, edges, keys)
     else:
-        located = counts.withColumn("_edges", counts.agg(cut_points.alias("e")).scalar())
+        edges = counts.agg(cut_points.alias("_edges"), *whole)
+        located = counts.withColumn("_e", edges.select(F.struct("_edges", "total").alias("e")).scalar()).select(
+            *counts.columns, "_e._edges", "_e.total")
     located = located.withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).select(
+        *counts.columns, "total", "_bucket")
     totals = located.groupBy(*keyed, "_bucket").agg(F.sum("peers").alias("_n"))
     w = Window.partitionBy(*keyed).orderBy("_bucket")
     starts = totals.select(
         *keyed, "_bucket",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*keyed)).alias("total"))
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keyed, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (_join(located, starts, [*keys, "_bucket"])
             .withColumn("below", F.col("_start") + F.coalesce(F.sum("peers").over(within), F.lit(0)))

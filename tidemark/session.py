@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -42,10 +43,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(frame):
-    """Cut lineage with a reliable checkpoint (survives executor loss)."""
+def cut(frame: DataFrame) -> DataFrame:
+    """Write a table that several branches of a job read, and read it back.
+
+    It lands in the shared folder, so losing an executor costs nothing already
+    computed, and as Parquet it keeps column pruning and statistics for every
+    later reader.
+    """
     spark = frame.sparkSession
-    folder = checkpoint_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
 from tidemark.functions.clock import day_text, stamp  # noqa: F401  (re-exported)
 from tidemark.workloads.registry import Tables
 
@@ -143,6 +144,9 @@ def sessions(t: Tables) -> DataFrame:
         F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         F.avg("l_discount").alias("f_discount"), F.avg("l_tax").alias("f_tax"),
         F.avg("l_quantity").alias("f_quantity"), F.count(F.lit(1)).cast("double").alias("f_count"))
+    # Small (one row per ticker and session) and read by several branches of most
+    # research jobs, so the big scan below it runs once.
+    daily = cut(daily)
     w = Window.partitionBy("ticker").orderBy("day")
     return daily.withColumn("future_return", F.lead("px", 1).over(w) / F.col("px") - 1) \
                 .withColumn("past_return", F.col("px") / F.lag("px", 1).over(w) - 1)

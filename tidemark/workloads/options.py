@@ -55,7 +55,7 @@ with {OPTIONS_PX},
 i as (select *, case when option_type = 'call' then greatest(spot - strike, 0) else greatest(strike - spot, 0) end as intrinsic
       from options_px)
 select l_orderkey, l_linenumber, round(avg(intrinsic), 6) as intrinsic, round(avg(greatest(price - intrinsic, 0)), 6) as extrinsic,
-       round(avg(ln(nullif(spot, 0) / nullif(strike, 0))), 6) as log_moneyness, count(*) as rows
+       round(avg(ln(nullif(spot, 0) / nullif(strike, 0))), 6) + 0 as log_moneyness, count(*) as rows
 from i group by l_orderkey, l_linenumber
 """)
 def option_economics(t):
