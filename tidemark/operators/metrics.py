@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import average_rank, exact_quantiles, running_max, running_sum, value_ranks
+from tidemark.operators.ordered import average_rank, exact_quantiles, null_safe_join, value_ranks
 from tidemark.schema import clip, ratio
 
 # Annualisation, the loss floor of a curve, drift bins and guards.
@@ -33,15 +33,22 @@ def wilson(hits: Column, n: Column, z: float = WILSON_Z) -> tuple[Column, Column
 def equity_curve(rows: DataFrame, *, keys: list[str], order: list[str], bucket: str, net: str) -> DataFrame:
     """Compounded curve, its running peak and the drawdown per row.
 
-    The product is a sum of logarithms, and both running values cross bucket
-    borders through a small table, so one long curve is not one task.
+    The product is a sum of logarithms.  Each bucket of time is run on its own and
+    a small table of bucket totals and tops carries both running values across
+    bucket borders, so one long curve is not one task.
     """
-    d = rows.withColumn("_log", F.log1p(clip(F.col(net), low=CURVE_FLOOR)))
-    d = running_sum(d, keys=keys, bucket=bucket, order=order, value="_log", out="_cum")
-    d = d.withColumn("curve", F.exp("_cum"))
-    d = running_max(d, keys=keys, bucket=bucket, order=order, value="curve", out="peak")
+    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("_c", F.sum(F.log1p(clip(F.col(net), low=CURVE_FLOOR))).over(within))
+    d = d.withColumn("_m", F.max("_c").over(within))
+    ends = d.groupBy(*keys, bucket).agg(F.max_by("_c", F.struct(*order)).alias("_total"), F.max("_c").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    ends = ends.withColumn("_before", F.max(F.col("_start") + F.col("_top")).over(earlier))
+    d = null_safe_join(d, ends.drop("_total", "_top"), [*keys, bucket])
+    d = d.withColumns({"curve": F.exp(F.col("_start") + F.col("_c")),
+                       "peak": F.exp(F.greatest("_before", F.col("_start") + F.col("_m")))})
     return d.withColumn("drawdown", (F.col("peak") - F.col("curve")) / F.greatest(F.col("peak"), F.lit(PEAK_FLOOR))) \
-            .drop("_log", "_cum")
+            .drop("_c", "_m", "_start", "_before")
 
 
 def finite(column: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _join(frame: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+def null_safe_join(frame: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Left join on keys where null keys match each other."""
     renamed = other.select(*[F.col(c).alias(f"_k_{c}") for c in on],
                            *[c for c in other.columns if c not in on])
@@ -29,22 +29,11 @@ def running_sum(frame: DataFrame, *, keys: list[str], bucket: str, order: list[s
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, bucket, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_join(frame, starts, [*keys, bucket])
+    return (null_safe_join(frame, starts, [*keys, bucket])
             .withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
             .drop("_start"))
 
 
-def running_max(frame: DataFrame, *, keys: list[str], bucket: str, order: list[str],
-                value: str, out: str) -> DataFrame:
-    totals = frame.groupBy(*keys, bucket).agg(F.max(value).alias("_max"))
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, bucket, F.max("_max").over(earlier).alias("_start"))
-    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_join(frame, starts, [*keys, bucket])
-            .withColumn(out, F.greatest("_start", F.max(value).over(within)))
-            .drop("_start"))
-
-
 def value_ranks(frame: DataFrame, *, keys: list[str], value: str, splits: int = 64,
                 sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct ``(keys, value)``: ``peers`` rows hold it, ``below`` rows
@@ -64,7 +53,7 @@ def value_ranks(frame: DataFrame, *, keys: list[str], value: str, splits: int =
     whole = [F.sum("peers").alias("total"), *[F.max(n).alias(f"_max_{n}") for n in (sums or {})]]
     if keys:
         edges = counts.groupBy(*keyed).agg(cut_points.alias("_edges"), *whole)
-        located = _join(counts, edges, keys)
+        located = null_safe_join(counts, edges, keys)
     else:
         edges = counts.agg(cut_points.alias("_edges"), *whole)
         located = counts.withColumn("_e", edges.select(F.struct("_edges", "total").alias("e")).scalar()).select(
@@ -78,7 +67,7 @@ def value_ranks(frame: DataFrame, *, keys: list[str], value: str, splits: int =
         *keyed, "_bucket",
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keyed, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (_join(located, starts, [*keys, "_bucket"])
+    return (null_safe_join(located, starts, [*keys, "_bucket"])
             .withColumn("below", F.col("_start") + F.coalesce(F.sum("peers").over(within), F.lit(0)))
             .drop("_start", "_bucket"))
 

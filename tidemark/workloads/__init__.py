@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("market", "joins", "options", "metrics", "relations")
+FAMILIES = ("market", "joins", "options", "metrics", "relations", "risk")
 
 
 def load():
