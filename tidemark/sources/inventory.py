@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 _DAY = r"(\d{4}-\d{2}-\d{2})"
 _MONTH = r"\d{4}/\d{2}/"
 _PART = r"part-\d+\.csv\.gz"
@@ -79,37 +81,36 @@ def _text_day(text: Column) -> Column:
 
 
 def classify(objects: DataFrame, key: str = "key", datasets=DATASETS) -> DataFrame:
-    """Dataset, ticker, horizon, dates and manifest flag of every key.  The first
-    matching pattern wins; a projection, so it runs where the listing is."""
-    k = F.col(key)
-    name = F.coalesce(*[F.when(k.rlike(pattern_of(d)), d[0]) for d in datasets])
-    d = objects.withColumn("dataset", name)
-    part = lambda pick: F.coalesce(*[F.when(F.col("dataset") == x[0], pick(x)) for x in datasets])
-    group = lambda x, i: F.nullif(F.regexp_extract(k, pattern_of(x), i), F.lit(""))
-    none = F.lit(None).cast("string")
-
-    def ticker(x):
-        i = LAYOUTS[x[2]].ticker
-        return group(x, i) if i else none
-
-    def horizon(x):
-        i = LAYOUTS[x[2]].horizon
-        return group(x, i) if i else none
-
-    def days(x):
-        at = LAYOUTS[x[2]].days
-        found = [_text_day(group(x, i)) for i in at] or [_text_day(F.regexp_extract(k, _DAY, 1))]
-        return F.array_compact(F.array(*found))
-    return d.withColumns({"ticker": part(ticker), "horizon": part(horizon), "days": part(days),
-                          "is_manifest": k.endswith("/manifest.json")})
+    """Dataset, ticker, horizon, dates and manifest flag of every key.
+
+    A key's folder names its dataset (one map lookup per folder depth) and the
+    dataset's layout decides which single pattern is applied to the rest, so the
+    cost per key does not grow with the number of datasets.
+    """
+    known = F.create_map(*[x for name, folder, layout in datasets for x in (
+        F.lit(folder), F.struct(F.lit(name).alias("name"), F.lit(layout).alias("layout"), F.lit(folder.count("/") + 1).alias("depth")))])
+    depths = sorted({folder.count("/") + 1 for _, folder, _ in datasets}, reverse=True)
+    d = objects.withColumn("_seg", F.split(F.regexp_extract(F.col(key), rf"^{ROOT}/(.*)$", 1), "/"))
+    d = d.withColumn("_spec", F.coalesce(*[F.try_element_at(known, F.array_join(F.slice("_seg", 1, n), "/")) for n in depths]))
+    d = d.withColumn("_tail", F.concat(F.lit("/"), F.array_join(F.slice("_seg", F.col("_spec.depth") + 1, F.size("_seg")), "/")))
+
+    def parts(name: str, layout: Layout) -> Column:
+        group = lambda i: F.nullif(F.regexp_extract("_tail", "^" + layout.pattern, i), F.lit("")) if i else F.lit(None).cast("string")
+        days = [_text_day(group(i)) for i in layout.days] or [_text_day(F.regexp_extract("_tail", _DAY, 1))]
+        return F.when((F.col("_spec.layout") == name) & F.col("_tail").rlike("^" + layout.pattern), F.struct(
+            F.col("_spec.name").alias("dataset"), group(layout.ticker).alias("ticker"), group(layout.horizon).alias("horizon"),
+            F.array_compact(F.array(*days)).alias("days")))
+    d = d.withColumn("_m", F.coalesce(*[parts(n, x) for n, x in LAYOUTS.items()]))
+    return d.select(*objects.columns, "_m.dataset", "_m.ticker", "_m.horizon", "_m.days", F.col(key).endswith("/manifest.json").alias("is_manifest"))
 
 
 def summarise(classified: DataFrame, size: str = "size", modified: str = "last_modified") -> DataFrame:
     """Per dataset: objects, bytes, dates, tickers, horizons, manifests, modification span.
 
     Distinct dates and tickers come from a grouped, already distinct side table, so
-    no set grows inside one aggregate."""
-    known = classified.filter(F.col("dataset").isNotNull())
+    no set grows inside one aggregate.  Three branches read the classification, so
+    it is written once."""
+    known = cut(classified.select("dataset", "ticker", "days", "is_manifest", size, modified)).filter(F.col("dataset").isNotNull())
     base = known.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("objects"), F.sum(size).alias("bytes"), F.min(modified).alias("first_modified"),
         F.max(modified).alias("last_modified"), F.count_if("is_manifest").alias("manifests"))
