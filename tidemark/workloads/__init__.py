@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("market", "joins", "options", "metrics", "relations", "risk", "text", "vectors", "catalog")
+FAMILIES = ("market", "joins", "options", "metrics", "relations", "risk", "text", "vectors", "catalog", "earnings")
 
 
 def load():
