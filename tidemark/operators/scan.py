@@ -13,6 +13,7 @@ from tidemark.operators.metrics import benjamini_hochberg
 from tidemark.operators.ordered import average_rank, exact_quantiles, null_safe_join, value_ranks
 from tidemark.operators.splits import calendar
 from tidemark.schema import safe_inputs
+from tidemark.session import cut
 
 # Limits of the scan.
 MAX_FEATURES, MIN_PAIRS, MIN_SUPPORT, MAX_SELECTED = 1200, 20, 80, 200
@@ -24,8 +25,8 @@ MI_BINS = 10
 def split_rows(rows: DataFrame, *, day: str, purge: int = 1, out: str = "split") -> DataFrame:
     """discovery / confirmation on whole sessions, purged on both sides of the cut."""
     cal = calendar(rows, day)
-    cut = F.greatest(F.lit(1), F.floor(F.col("n") * DISCOVERY_SHARE))
-    part = F.when(F.col("i") < cut - purge, "discovery").when(F.col("i") >= cut + purge, "confirmation")
+    edge = F.greatest(F.lit(1), F.floor(F.col("n") * DISCOVERY_SHARE))
+    part = F.when(F.col("i") < edge - purge, "discovery").when(F.col("i") >= edge + purge, "confirmation")
     return rows.join(cal.select(day, part.alias(out)), day).filter(F.col(out).isNotNull())
 
 
@@ -114,8 +115,9 @@ def relationship_scan(rows: DataFrame, *, features: list[str], target: str, tick
     A feature counts as confirmed when both the global and the within-ticker view
     keep their sign and pass the false-discovery limit in confirmation.
     """
-    pairs = long_pairs(split_rows(rows, day=day, purge=purge), features=features, target=target, keys=["split", ticker])
-    stats = with_p_values(rank_correlation(with_views(pairs, split="split", ticker=ticker), keys=["feature", "split", "view"]))
+    # Both tables feed several branches; the second has one row per hypothesis.
+    pairs = cut(long_pairs(split_rows(rows, day=day, purge=purge), features=features, target=target, keys=["split", ticker]))
+    stats = cut(with_p_values(rank_correlation(with_views(pairs, split="split", ticker=ticker), keys=["feature", "split", "view"])))
     found = benjamini_hochberg(stats.filter(F.col("split") == "discovery"), keys=["view"], p="p", null_policy="one")
     wide = _side_by_side(found, "discovery")
     best_q = F.least("discovery_q", "discovery_within_ticker_q")
