@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.schema import conform
+from tidemark.session import cut
 
 # The stamp in a file name, and the order in which stored horizons are preferred.
 STAMP = r"(\d{8}T\d{6,12}Z)"
@@ -41,8 +42,9 @@ def read_history(spark: SparkSession, folder: str, schema: StructType, *, max_ba
     shaped = StructType([*schema.fields]).add("_corrupt_record", "string")
     d = spark.read.schema(shaped).option("columnNameOfCorruptRecord", "_corrupt_record").option("mode", "PERMISSIVE") \
         .json(folder, recursiveFileLookup=True)
-    # A data column has to be read along, or Spark would not parse the records.
-    seen = d.agg(F.count(F.lit(1)).alias("n"), F.count("_corrupt_record").alias("bad"), F.count(schema.names[0]))
+    # Parsed once and kept: the count and every later reader use the same parse.
+    d = cut(d)
+    seen = d.agg(F.count(F.lit(1)).alias("n"), F.count("_corrupt_record").alias("bad"))
     row = seen.first()
     if row["n"] and row["bad"] / row["n"] > max_bad_share:
         raise ValueError(f"{row['bad']} of {row['n']} snapshots under {folder} are unreadable")
