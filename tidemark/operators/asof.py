@@ -91,12 +91,15 @@ def asof(
             F.lit(None).cast(line.schema["_l"].dataType).alias("_l"), "_r",
         ))
 
-    # Backward and nearest put a right row before a left row of the same instant,
-    # forward puts it after, so an exact match is on the side that is looked at.
-    side = F.col("_side").desc() if direction == "forward" else F.col("_side").asc()
-    order = Window.partitionBy(*keys, "_bucket").orderBy("_t", side, F.col("_tie"))
-    before = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Either way a right row is read before a left row of the same instant, so exact
+    # matches count.  Looking forward is looking back along the reversed time line:
+    # a frame that only grows costs one pass, one that shrinks would restart per row.
+    part = Window.partitionBy(*keys, "_bucket")
+    upto = (Window.unboundedPreceding, 0)
+    before = F.last("_r", ignorenulls=True).over(
+        part.orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_tie").asc()).rowsBetween(*upto))
+    after = F.last("_r", ignorenulls=True).over(
+        part.orderBy(F.col("_t").desc(), F.col("_side").asc(), F.col("_tie").desc()).rowsBetween(*upto))
     if direction == "backward":
         line = line.withColumn("_m", before)
     elif direction == "forward":
@@ -139,10 +142,8 @@ def _carry(lefts, rights, keys, look, reach, bucket_seconds):
             F.lit(None).cast(edge.schema["_edge"].dataType).alias("_edge"))
         buckets = edge.unionByName(asked).groupBy(*keys, "_bucket").agg(
             F.max_by("_edge", F.col("_edge").isNotNull()).alias("_edge"))
-        w = Window.partitionBy(*keys).orderBy("_bucket")
-        if look == "backward":
-            seen = F.last("_edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            seen = F.first("_edge", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        along = F.col("_bucket").asc() if look == "backward" else F.col("_bucket").desc()
+        seen = F.last("_edge", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1))
         moved = buckets.select(*keys, "_bucket", seen.alias("_edge")).filter(F.col("_edge").isNotNull())
     return moved.select(*keys, "_bucket", "_edge._t", "_edge._tie", "_edge._r")

@@ -198,7 +198,7 @@ def benjamini_hochberg(hypotheses: DataFrame, *, keys: list[str], p: str, out: s
     w = Window.partitionBy(*keys, F.col("_p").isNull())
     d = d.withColumn("_rank", F.rank().over(w.orderBy("_p")) + F.count(F.lit(1)).over(Window.partitionBy(*keys, "_p")) - 1)
     d = d.withColumn("_raw", F.col("_p") * F.count("_p").over(w) / F.col("_rank"))
-    following = w.orderBy("_p").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    following = w.orderBy(F.col("_p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(following)))) \
             .drop("_p", "_rank", "_raw")
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.pricing import (
-    BENCHMARK_SIGMA_BOUNDS, BENCHMARK_SIGMA_DEFAULT, DAYS_PER_YEAR, Quote, call_intrinsic,
-    call_value, put_intrinsic, put_value,
+    BENCHMARK_SIGMA_BOUNDS, BENCHMARK_SIGMA_DEFAULT, DAYS_PER_YEAR, SIGMA_BOUNDS, call_intrinsic, normal_cdf, put_intrinsic,
 )
 from tidemark.schema import clip, ratio, truth
 
@@ -90,14 +89,25 @@ def benchmark_sigma(frame: DataFrame, *, keys: list[str], long: str, short: str,
 
 def valuation(frame: DataFrame, *, spot: str, strike: str, dte: str, rate: str, sigma: str,
               call_actual: str | None = None, put_actual: str | None = None) -> DataFrame:
-    """Theoretical call and put value, time value and gap to the observed time value."""
-    q = Quote(F.col(spot), F.col(strike), clip(F.col(dte), low=0.0) / DAYS_PER_YEAR, F.col(rate), F.col(sigma))
-    call, put = call_value(q), put_value(q)
-    out = frame.withColumns({"bs_call_price": call, "bs_put_price": put})
-    out = out.withColumns({
-        "bs_call_extrinsic": clip(F.col("bs_call_price") - call_intrinsic(F.col(spot), F.col(strike)), low=0.0),
-        "bs_put_extrinsic": clip(F.col("bs_put_price") - put_intrinsic(F.col(spot), F.col(strike)), low=0.0),
-    })
+    """Theoretical call and put value, time value and gap to the observed time value.
+
+    The distribution terms are staged as columns: each is computed once per row and
+    shared by call and put, and the generated code stays small enough to compile.
+    """
+    s_, k_, r_, t_ = F.col(spot), F.col(strike), F.col(rate), F.col("_years")
+    d = frame.withColumns({"_years": clip(F.col(dte), low=0.0) / DAYS_PER_YEAR, "_v": clip(F.col(sigma), *SIGMA_BOUNDS)})
+    usable = (s_ > 0) & (k_ > 0) & r_.isNotNull() & F.col("_v").isNotNull() & t_.isNotNull()
+    d = d.withColumn("_d1", F.when(usable & (t_ > 0), (F.ln(s_ / k_) + (r_ + 0.5 * F.col("_v") * F.col("_v")) * t_) / (F.col("_v") * F.sqrt(t_))))
+    d = d.withColumn("_d2", F.col("_d1") - F.col("_v") * F.sqrt(t_))
+    d = d.withColumns({"_n1": normal_cdf(F.col("_d1")), "_n2": normal_cdf(F.col("_d2")), "_k": k_ * F.exp(-r_ * t_),
+                       "_ci": call_intrinsic(s_, k_), "_pi": put_intrinsic(s_, k_)})
+    due = usable & (t_ <= 0)
+    d = d.withColumns({
+        "bs_call_price": F.when(due, F.col("_ci")).otherwise(s_ * F.col("_n1") - F.col("_k") * F.col("_n2")),
+        "bs_put_price": F.when(due, F.col("_pi")).otherwise(F.col("_k") * (1 - F.col("_n2")) - s_ * (1 - F.col("_n1")))})
+    out = d.withColumns({"bs_call_extrinsic": clip(F.col("bs_call_price") - F.col("_ci"), low=0.0),
+                         "bs_put_extrinsic": clip(F.col("bs_put_price") - F.col("_pi"), low=0.0)}).drop(
+        "_years", "_v", "_d1", "_d2", "_n1", "_n2", "_k", "_ci", "_pi")
     if call_actual:
         out = out.withColumn("call_expectation_gap", F.col("bs_call_extrinsic") - F.col(call_actual))
     if put_actual:
