@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, quality, simhash
+from tidemark.llm import language, nearvec, quality, simhash
 from tidemark.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_quality, op9_language)}
-SQL: dict[str, str] = {}
+def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvec.query(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_quality, op9_language, op10_near_embeddings)}
+SQL: dict[str, str] = {"op10_near_embeddings": nearvec.SQL}
