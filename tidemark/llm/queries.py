@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, nearvec, quality, simhash, topk
+from tidemark.llm import language, nearvec, packing, pii, quality, simhash, topk
 from tidemark.llm.common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.query(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_quality, op5_topk, op9_language, op10_near_embeddings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op9_language, op10_near_embeddings)}
 SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL}
