@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, nearvec, packing, pii, quality, simhash, topk
+from tidemark.llm import language, nearvec, packing, pii, quality, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.query(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op9_language, op10_near_embeddings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op9_language, op10_near_embeddings)}
 SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL}

@@ -75,12 +75,13 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long, for every row."""
+    """(doc_id, mark, print): a hash of the text and the fingerprint as a signed long, for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("doc_id"), pa.array(fingerprints(texts_of(batch)).view(np.int64))], ["doc_id", "print"])
-    return arrow_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, print long")
+        return pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(fingerprints(texts_of(batch)).view(np.int64))], ["doc_id", "mark", "print"])
+    text = F.col("text").cast("string")
+    return arrow_rows(docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")), work, f"doc_id {kind}, mark long, print long")
 
 
 def _units(prints: DataFrame) -> DataFrame:
@@ -145,14 +146,29 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def clustered(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, component_id) for every row."""
+    """(doc_id, mark, print, root, component_id) for every row; equal roots are one component."""
     every = cut(fingerprinted(docs))
     first = every.groupBy("print").agg(F.min("doc_id").alias("first"))
     roots = components(links(first.select("print")))
     rooted = cut(first.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(named, "root").select("print", "component_id")
-    return every.join(member, "print").select("doc_id", "print", "component_id")
+    member = rooted.join(named, "root").select("print", "root", "component_id")
+    return every.join(member, "print").select("doc_id", "mark", "print", "root", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of every component: of the rows with its smallest doc_id the one first by a hash of text and row.
+
+    A component without any doc_id keeps one of its rows, chosen alike.  Rows that share
+    doc_id and text are folded before texts are shuffled, and the choice joins them where they are.
+    """
+    key = F.xxhash64(F.lit("id"), "doc_id").alias("key")
+    best = clustered(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best"))
+    chosen = best.select("best.doc_id", F.col("best.mark").alias("mark")).select(key, "mark").distinct()
+    row = F.struct(*docs.columns)
+    rows = docs.select(key, F.xxhash64(F.col("text").cast("string")).alias("mark"), row.alias("row"))
+    once = rows.groupBy("key", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.join(chosen, ["key", "mark"], "left_semi").select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
