@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, nearvec, packing, pii, quality, simhash, topk, toxicity
+from tidemark.llm import language, nearvec, packing, pii, pitmanyor, quality, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.query(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.query(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op9_language, op10_near_embeddings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op8_pitman_yor, op9_language, op10_near_embeddings)}
 SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL}
