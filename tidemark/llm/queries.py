@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, nearvec, packing, pii, pitmanyor, quality, simhash, topk, toxicity
+from tidemark.llm import language, nearvec, packing, pii, pitmanyor, quality, sampling, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.query(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.query(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op7_packing, op8_pitman_yor, op9_language, op10_near_embeddings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op6_sampling, op7_packing, op8_pitman_yor, op9_language, op10_near_embeddings)}
 SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL}
