@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, labelled_sample, remainder, slices, texts_of
 
 #: Bound of the sample that the field is fitted on, and the longest text in it.
-FIT_ROWS, FIT_LONGEST = 6000, 20_000
+FIT_ROWS, FIT_LONGEST = 5000, 20_000
 HELD_OUT, THRESHOLD = 3, 0.7
 EVIDENCE, SUPPORT, COMMON = 4.0, 5, 0.02
 #: Documents of each class whose tokens the field is fitted on.
@@ -57,22 +57,24 @@ def features(run: str) -> tuple[str, ...]:
     return ("=" + word,) if word else ()
 
 
-def telling(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that tell toxic documents: common in them, or needed to explain some, and rare elsewhere."""
-    seen = (Counter(), Counter())
-    for found, label in zip(docs, toxic):
-        seen[int(label)].update(found)
+def telling(docs: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """Flags of the features that tell toxic documents: common in them, or needed to explain some, and rare elsewhere.
+
+    ``docs`` holds each document's distinct features as numbers below ``size``.
+    """
+    none = [np.zeros(0, np.int64)]
+    seen = [np.bincount(np.concatenate(none + [d for d, y in zip(docs, toxic) if y == label]), minlength=size) for label in (0, 1)]
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    odd = {f for f, k in seen[1].items() if k >= SUPPORT and np.log((k + 0.5) / (n1 + 1) / ((seen[0][f] + 0.5) / (n0 + 1))) >= EVIDENCE}
-    chosen = {f for f in odd if seen[1][f] >= COMMON * n1}
-    left = [found & odd for found, label in zip(docs, toxic) if label and not found & chosen]
+    odd = (seen[1] >= SUPPORT) & (np.log((seen[1] + 0.5) / (n1 + 1) / ((seen[0] + 0.5) / (n0 + 1))) >= EVIDENCE)
+    chosen = odd & (seen[1] >= COMMON * n1)
+    left = [d[odd[d]] for d, y in zip(docs, toxic) if y and not chosen[d].any()]
     while left:
-        counts = Counter(f for found in left for f in found)
-        best, k = max(counts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if k < SUPPORT:
+        counts = np.bincount(np.concatenate(none + left), minlength=1)
+        best = int(counts.argmax())
+        if counts[best] < SUPPORT:
             break
-        chosen.add(best)
-        left = [found for found in left if best not in found]
+        chosen[best] = True
+        left = [d for d in left if best not in d]
     return chosen
 
 
@@ -205,19 +207,31 @@ def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80) -> Field:
     if not len(y) or y.min() == y.max():
         return Field(head=head)
     once = dict(zip(texts, y))  # copies would lend their words weight
-    found = [set().union(*map(features, set(t.split()))) for t in once]
-    toxic = np.array(list(once.values()))
-    signs = telling(found, toxic)
+    number: dict[str, int] = {}
+    of: dict[str, tuple[int, ...]] = {}
+
+    def numbers(run: str) -> tuple[int, ...]:
+        if run not in of:
+            of[run] = tuple(number.setdefault(f, len(number)) for f in features(run))
+        return of[run]
+    found = [np.unique(np.fromiter((k for r in set(t.split()) for k in numbers(r)), np.int64)) for t in once]
+    labels = np.array(list(once.values()))
+    signs = telling(found, labels, len(number))
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=len(number))
+    place = np.where(seen >= SUPPORT, np.cumsum(seen >= SUPPORT), 0)  # 0 is for features seen less
     few = [t for label in (0, 1) for t in [t for t, v in once.items() if v == label][:FIELD_ROWS]]
-    seen = Counter(f for t, held in zip(once, found) for f in held)
     runs = [t.split() for t in few]
-    number = {f: i + 1 for i, f in enumerate(sorted(f for f, k in seen.items() if k >= SUPPORT))}  # 0 is for features seen less
-    of = {r: features(r) for r in set().union(*runs)}
-    fresh = np.concatenate([np.r_[True, np.zeros(len(d) - 1, bool)] for d in runs if d])
-    row = {r: [number.get(f, 0) for f in (*fs, "", "", "")[:3]] for r, fs in of.items()}
-    index = np.array([row[r] for d in runs for r in d], np.int64)
-    toxic = np.array([bool(once[t]) and any(f in signs for f in of[r]) for t, d in zip(few, runs) for r in d], float)
-    weights, bias, step = np.zeros(len(number) + 1), -6.0, np.zeros((2, 2))
+    fresh = np.concatenate([np.r_[True, np.zeros(len(d) - 1, bool)] for d in runs if d] or [np.zeros(0, bool)])
+    index = np.zeros((len(fresh), 3), np.int64)
+    toxic = np.zeros(len(fresh))
+    at = 0
+    for t, d in zip(few, runs):
+        for r in d:
+            held = list(of[r])
+            index[at, :len(held)] = place[held]
+            toxic[at] = bool(once[t]) and signs[held].any()
+            at += 1
+    weights, bias, step = np.zeros(int(place.max(initial=0)) + 1), -6.0, np.zeros((2, 2))
     memory, step_memory = np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
     told = np.zeros((2, 2))
     inner = ~fresh[1:]
@@ -235,7 +249,7 @@ def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80) -> Field:
         weights += 0.5 * grad / np.sqrt(memory)
         step += 0.05 * step_grad / np.sqrt(step_memory)
         bias += 0.5 * np.tanh(off.sum() / max(toxic.sum(), 1))
-    model = Field({f: float(weights[i]) for f, i in number.items() if weights[i]}, float(bias), step, head)
+    model = Field({f: float(weights[place[i]]) for f, i in number.items() if weights[place[i]]}, float(bias), step, head)
     _, counts, p = model.marginals(texts)
     x = model.sums(counts, p)
     for _ in range(30):  # Newton steps for the document's logistic function
