@@ -176,14 +176,14 @@ def query(vectors: DataFrame) -> DataFrame:
 #: The same links and components from all pairs of a label.
 SQL = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  select vec_id, label, case when label is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    then list_transform(embedding, lambda x: x::double) end as e from embeddings
 ), u as (
-  select vec_id, label, e, sqrt(list_dot_product(e, e)) as size from v
-  where label is not null and vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
-    and len(list_filter(e, lambda x: x <> 0)) > 0
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as size from v where e is not null
 ), pairs as (
-  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
-  where list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id
+  where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.size * b.size) end >= 0.98
 ), reach(a, b) as (select vec_id, vec_id from v union select r.a, p.b from reach r join pairs p on r.b = p.a
 ), named as (select a as vec_id, min(b) as component_id from reach group by a
 ), counted as (select a as vec_id, count(*) as n from pairs group by a)

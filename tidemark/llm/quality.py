@@ -167,24 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **growth) -> F
     return grow(x, np.array([float(r.y > 0) for r in got]), **growth)
 
 
-def scored(docs: DataFrame, model: Forest, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of every row (doc_id by default) with quality_score."""
-    keep = keep or ["doc_id"]
+def marked(docs: DataFrame, model: Forest, keep: list[str]) -> DataFrame:
+    """(row, quality_score) of every row: ``row`` holds the ``keep`` columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("row"), pa.array(shared.value.score(statistics(texts_of(batch))))], ["row", "quality_score"])
-    return arrow_rows(source, work, f"row {kind}, quality_score double").select("row.*", "quality_score")
+    return arrow_rows(source, work, f"row {kind}, quality_score double")
 
 
 def kept(docs: DataFrame, model: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier accepts, with their own columns only."""
-    return scored(docs, model, docs.columns).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return marked(docs, model, docs.columns).where(F.col("quality_score") >= threshold).select("row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = scored(docs, fit(docs, labels))
-    return found.select("doc_id", (remainder("doc_id", HELD_OUT) == 0).alias("held_out"), F.col("quality_score").alias("score"),
+    found = marked(docs, fit(docs, labels), ["doc_id"])
+    return found.select("row.doc_id", (remainder("row.doc_id", HELD_OUT) == 0).alias("held_out"), F.col("quality_score").alias("score"),
                         (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))

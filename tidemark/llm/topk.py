@@ -171,10 +171,10 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+  select q.vec_id as query_id, c.vec_id, case when len(q.e) = len(c.e) then list_dot_product(q.e, c.e)::bigint end as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 ), ranked as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored where score is not null
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
