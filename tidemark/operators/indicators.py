@@ -68,6 +68,10 @@ def rsi(bars: DataFrame, *, keys: list[str], order: str = "ts", out: str = "rsi1
     return d.withColumn(out, 100 - 100 / (1 + strength)).drop("_move", "_up", "_down")
 
 
+# Natural logarithms of decay within which weights are summed together.
+STRETCH = 300
+
+
 def ewm_mean(frame: DataFrame, column: str, span: int, *, keys: list[str], order: str, out: str) -> DataFrame:
     """Recursive exponential mean as two window sums instead of a row loop.
 
@@ -89,9 +93,17 @@ def ewm_mean(frame: DataFrame, column: str, span: int, *, keys: list[str], order
                      .when(known, F.col(column) * alpha / (decay + alpha)))
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_log_product", F.sum("_log_keep").over(so_far))
-    d = d.withColumn("_scaled", F.sum(F.col("_fresh") * F.exp(-F.col("_log_product"))).over(so_far))
-    return d.withColumn(out, F.exp("_log_product") * F.col("_scaled")).drop(
-        "_rn", "_gap", "_log_keep", "_fresh", "_log_product", "_scaled")
+    # Rows of one stretch decay by less than exp(STRETCH), so nothing overflows; of what came
+    # before only the stretch just before still counts, anything older is below exp(-STRETCH).
+    d = d.withColumn("_stretch", F.floor(-F.col("_log_product") / STRETCH))
+    local = F.col("_log_product") + F.col("_stretch") * STRETCH
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order)
+    d = d.withColumn("_own", F.exp(local) * F.sum(F.col("_fresh") * F.exp(-local)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag(F.struct("_stretch", "_own", "_log_product")).over(w)
+    d = d.withColumn("_before", before).withColumn("_before", F.first("_before").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = F.when(F.col("_before._stretch") == F.col("_stretch") - 1, F.col("_before._own") * F.exp(F.col("_log_product") - F.col("_before._log_product")))
+    return d.withColumn(out, F.col("_own") + F.coalesce(carried, F.lit(0.0))).drop(
+        "_rn", "_gap", "_log_keep", "_fresh", "_log_product", "_stretch", "_own", "_before")
 
 
 def macd(bars: DataFrame, *, keys: list[str], order: str = "ts", out: str = "macd_ratio") -> DataFrame:

@@ -17,7 +17,6 @@ PUBLISHED_KEYS = ("article:published_time", "datePublished")
 AUTHOR_KEYS = ("author", "article:author")
 MIN_BODY, MIN_PARAGRAPH = 200, 50
 TITLE_LENGTH = (18, 350)
-MAX_LINKS = 60
 FACT_WINDOW = 3
 
 
@@ -108,10 +107,9 @@ def read_article(html: str) -> dict:
     return out
 
 
-def extract_articles(pages: DataFrame, *, key: str, url: str, html: str, max_chars: int | None = None) -> DataFrame:
+def extract_articles(pages: DataFrame, *, key: str, url: str, html: str) -> DataFrame:
     """Article fields per page.  HTML nesting is beyond regular expressions, so the
-    parse runs in Python on Arrow batches; everything after it is columns.
-    ``max_chars`` optionally shortens the stored text; by default it is whole."""
+    parse runs in Python on Arrow batches; everything after it is columns.  Text is kept whole."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fields = pd.DataFrame([read_article(x) for x in batch[html]], index=batch.index)
@@ -119,8 +117,6 @@ def extract_articles(pages: DataFrame, *, key: str, url: str, html: str, max_cha
     schema = (f"{key} {dict(pages.dtypes)[key]}, {url} string, article_title string, article_description string, "
               "article_published string, author string, article_text string")
     d = pages.select(key, url, html).mapInPandas(run, schema)
-    if max_chars:
-        d = d.withColumn("article_text", F.substring("article_text", 1, max_chars))
     text = F.col("article_text")
     return d.withColumns({
         "article_word_count": F.when(text.isNull(), 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))),
@@ -138,9 +134,10 @@ def collapse(text: Column) -> Column:
 
 
 def harvest_links(pages: DataFrame, *, key: str, url: str, html: str, skip_domains: tuple[str, ...] = (),
-                  title_length: tuple[int, int] = TITLE_LENGTH, limit: int = MAX_LINKS) -> DataFrame:
-    """Story links of each page: titled, resolved, first per address, first ``limit``.
-    A page's own anchors are handled inside its row, so nothing is shuffled."""
+                  title_length: tuple[int, int] = TITLE_LENGTH, limit: int | None = None) -> DataFrame:
+    """Story links of each page: titled, resolved, first per address; all, or the first ``limit``.
+    A page's own anchors are handled inside its row, so nothing is shuffled.  The first of
+    an address is found by sorting (address, position) once."""
     anchor = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
     base = F.regexp_extract(F.col(url), r"^([a-zA-Z]+://[^/?#]*)", 1)
     d = pages.select(key, base.alias("_base"), F.arrays_zip(
@@ -151,8 +148,10 @@ def harvest_links(pages: DataFrame, *, key: str, url: str, html: str, skip_domai
     good = F.filter(made, lambda a: a["href"].startswith("http") & F.length(a["title"]).between(*title_length)
                     & ~domain(a["href"]).isin(*skip_domains or ("",)))
     d = d.withColumn("_g", good)
-    first = F.filter("_g", lambda a, i: F.array_position(F.transform("_g", lambda b: b["href"]), a["href"]) == i + 1)
-    return d.select(key, F.posexplode(F.slice(first, 1, limit)).alias("position", "_l")).select(
+    d = d.withColumn("_s", F.array_sort(F.transform("_g", lambda a, i: F.struct(a["href"].alias("href"), i.alias("at"), a["title"].alias("title")))))
+    fresh = F.filter("_s", lambda a, i: (i == 0) | (F.get("_s", i - 1)["href"] != a["href"]))
+    first = F.array_sort(F.transform(fresh, lambda a: F.struct(a["at"].alias("at"), a["title"].alias("title"), a["href"].alias("href"))))
+    return d.select(key, F.posexplode(first if limit is None else F.slice(first, 1, limit)).alias("position", "_l")).select(
         key, "position", "_l.title", "_l.href")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.metrics import wilson
 from tidemark.operators.ordered import exact_quantiles
@@ -32,7 +33,7 @@ CONDITIONS = (
 MOVE, SENTIMENT, NEWS_COUNT, INTENSITY = 0.01, 0.20, 2, 0.35
 VOLUME_HIGH, VOLUME_LOW, MOMENTUM, EARNINGS_DAYS = 2.0, 0.5, 0.005, 5
 STATES = ("call_up_put_down", "call_down_put_up", "both_up", "both_down")
-MIN_DISCOVERY, MIN_VALIDATION, MAX_ORDER, TOP_PATTERNS = 100, 40, 3, 50
+MIN_DISCOVERY, MIN_VALIDATION, MAX_ORDER = 100, 40, 3
 DEFAULT_STATE_PRIOR, DEFAULT_UP_PRIOR = 0.25, 0.5
 
 
@@ -165,47 +166,47 @@ def mine_patterns(frame: DataFrame, *, part: str, mask: str = "mask", stock: str
     })
 
 
-def strongest(patterns: DataFrame, n: int = TOP_PATTERNS) -> DataFrame:
-    """The strongest patterns; equal scores (to nine digits) go by pattern code."""
-    return patterns.orderBy(F.round("score", 9).desc(), "pattern").limit(n)
+def strongest(patterns: DataFrame, n: int | None = None) -> DataFrame:
+    """All patterns, or the ``n`` strongest; equal scores (to nine digits) go by pattern code."""
+    return patterns if n is None else patterns.orderBy(F.round("score", 9).desc(), "pattern").limit(n)
 
 
 _PRIORS = {**{s: f"prob_{s}" for s in STATES}, "stock_up": "prob_stock_up"}
 
 
-def _pattern_array(patterns: DataFrame) -> Column:
-    """At most ``TOP_PATTERNS`` patterns as one array value: rows are matched in a
-    projection, without a join."""
-    fields = F.struct((-F.round("score", 9)).alias("key"), "pattern", "support", "lift", "score", *_PRIORS.values())
-    return patterns.agg(F.array_sort(F.collect_list(fields)).alias("p")).scalar()
+def _matches(frame: DataFrame, patterns: DataFrame, mask: str) -> DataFrame:
+    """Patterns that each distinct mask holds.  A mask forms its own subsets, which meet
+    the patterns by equality, so neither side is collected whatever its size."""
+    masks = frame.select(mask).distinct()
+    subsets = masks.select(mask, F.explode(_subsets(_bit_values(F.col(mask)), MAX_ORDER)).alias("pattern"))
+    return subsets.join(patterns.select("pattern", "support", "lift", "score", *_PRIORS.values()), "pattern")
 
 
 def add_pattern_priors(frame: DataFrame, patterns: DataFrame, defaults: dict[str, float] | None = None,
                        mask: str = "mask") -> DataFrame:
     """Support-weighted mean probabilities of the matched patterns, else defaults."""
     defaults = defaults or {}
-    d = frame.withColumn("_p", _pattern_array(patterns))
-    d = d.withColumn("_hit", F.filter("_p", lambda p: F.col(mask).bitwiseAND(p["pattern"]) == p["pattern"]))
-    weight = lambda p: F.sqrt(F.greatest(p["support"].cast("double"), F.lit(1.0)))
-    total = lambda f: F.aggregate("_hit", F.lit(0.0), lambda acc, p: acc + f(p))
-    d = d.withColumn("_w", total(weight))
+    weight = F.sqrt(F.greatest(F.col("support").cast("double"), F.lit(1.0)))
+    sums = {f"_{name}": F.sum(F.coalesce(F.col(column), F.lit(0.0)) * weight) for name, column in _PRIORS.items()}
+    hits = _matches(frame, patterns, mask).groupBy(mask).agg(
+        F.count(F.lit(1)).alias("_hits"), F.sum(weight).alias("_w"), F.sum(F.abs("lift") * weight).alias("_lift"), *[c.alias(n) for n, c in sums.items()])
+    d = frame.join(hits, mask, "left")
     out = {}
-    for name, column in _PRIORS.items():
+    for name in _PRIORS:
         fallback = defaults.get(name, DEFAULT_UP_PRIOR if name == "stock_up" else DEFAULT_STATE_PRIOR)
-        out[f"relationship_prior_{name}"] = F.coalesce(
-            ratio(total(lambda p, c=column: F.coalesce(p[c], F.lit(0.0)) * weight(p)), F.col("_w")), F.lit(fallback))
-    out["relationship_match_count"] = F.coalesce(F.size("_hit"), F.lit(0))
-    out["relationship_strength"] = F.coalesce(
-        ratio(total(lambda p: F.abs(p["lift"]) * weight(p)), F.col("_w")), F.lit(0.0))
-    return d.withColumns(out).drop("_p", "_hit", "_w")
-
-
-def explain(frame: DataFrame, patterns: DataFrame, *, limit: int = 8, mask: str = "mask") -> DataFrame:
-    """The ``limit`` strongest matched patterns of every row, as rows."""
-    d = frame.withColumn("_p", _pattern_array(patterns))
-    hits = F.filter("_p", lambda p: F.col(mask).bitwiseAND(p["pattern"]) == p["pattern"])
-    return d.select(*frame.columns, F.posexplode(F.slice(hits, 1, limit)).alias("_at", "_m")).select(
-        *frame.columns, (F.col("_at") + 1).alias("position"), "_m.pattern", "_m.support", "_m.score", "_m.prob_stock_up")
+        out[f"relationship_prior_{name}"] = F.coalesce(ratio(F.col(f"_{name}"), F.col("_w")), F.lit(fallback))
+    out["relationship_match_count"] = F.coalesce("_hits", F.lit(0))
+    out["relationship_strength"] = F.coalesce(ratio(F.col("_lift"), F.col("_w")), F.lit(0.0))
+    return d.withColumns(out).drop("_hits", "_w", "_lift", *sums)
+
+
+def explain(frame: DataFrame, patterns: DataFrame, *, limit: int | None = None, mask: str = "mask") -> DataFrame:
+    """The matched patterns of every row, strongest first, as rows; all, or the ``limit`` strongest."""
+    order = Window.partitionBy(mask).orderBy(F.round("score", 9).desc(), "pattern")
+    hits = _matches(frame, patterns, mask).select(mask, F.row_number().over(order).alias("position"), "pattern", "support", "score", "prob_stock_up")
+    if limit is not None:
+        hits = hits.filter(F.col("position") <= limit)
+    return frame.join(hits, mask).select(*frame.columns, "position", "pattern", "support", "score", "prob_stock_up")
 
 
 def describe(pattern: Column) -> Column:

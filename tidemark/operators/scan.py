@@ -16,7 +16,7 @@ from tidemark.schema import safe_inputs
 from tidemark.session import cut
 
 # Limits of the scan.
-MAX_FEATURES, MIN_PAIRS, MIN_SUPPORT, MAX_SELECTED = 1200, 20, 80, 200
+MIN_PAIRS, MIN_SUPPORT = 20, 80
 DISCOVERY_SHARE, DISCOVERY_Q, CONFIRM_Q, CONFIRM_FLOOR = 0.70, 0.10, 0.05, 30
 INTERVAL_Z, RHO_BOUND = 1.96, 0.999999
 MI_BINS = 10
@@ -31,8 +31,8 @@ def split_rows(rows: DataFrame, *, day: str, purge: int = 1, out: str = "split")
 
 
 def long_pairs(rows: DataFrame, *, features: list[str], target: str, keys: list[str]) -> DataFrame:
-    """Feature/target pairs in long form, complete pairs only."""
-    use = safe_inputs(features)[:MAX_FEATURES]
+    """Feature/target pairs in long form, complete pairs only, for every feature that is no leak by name."""
+    use = safe_inputs(features)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in use])
     return rows.select(*keys, F.col(target).cast("double").alias("y"), F.inline(pairs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -109,11 +109,12 @@ def with_p_values(stats: DataFrame, *, rho: str = "rho", n: str = "n", tested: s
 
 
 def relationship_scan(rows: DataFrame, *, features: list[str], target: str, ticker: str, day: str, min_support: int = MIN_SUPPORT,
-                      purge: int = 1, max_selected: int = MAX_SELECTED) -> DataFrame:
+                      purge: int = 1, max_selected: int | None = None) -> DataFrame:
     """Hypotheses found in discovery and checked once in confirmation.
 
     A feature counts as confirmed when both the global and the within-ticker view
-    keep their sign and pass the false-discovery limit in confirmation.
+    keep their sign and pass the false-discovery limit in confirmation.  All that
+    discovery selects go on, or the ``max_selected`` strongest if the caller asks.
     """
     # Both tables feed several branches; the second has one row per hypothesis.
     pairs = cut(long_pairs(split_rows(rows, day=day, purge=purge), features=features, target=target, keys=["split", ticker]))
@@ -122,7 +123,9 @@ def relationship_scan(rows: DataFrame, *, features: list[str], target: str, tick
     wide = _side_by_side(found, "discovery")
     best_q = F.least("discovery_q", "discovery_within_ticker_q")
     best_rho = F.greatest(F.abs("discovery_rho"), F.abs("discovery_within_ticker_rho"))
-    chosen = wide.filter((F.col("discovery_n") >= min_support) & (best_q <= DISCOVERY_Q)).orderBy(best_q, best_rho.desc(), "feature").limit(max_selected)
+    chosen = wide.filter((F.col("discovery_n") >= min_support) & (best_q <= DISCOVERY_Q))
+    if max_selected is not None:
+        chosen = chosen.orderBy(best_q, best_rho.desc(), "feature").limit(max_selected)
     again = stats.filter(F.col("split") == "confirmation").join(chosen.select("feature"), "feature", "left_semi")
     late = _side_by_side(benjamini_hochberg(again, keys=["view"], p="p", null_policy="one"), "confirmation")
     d = chosen.join(late, "feature")

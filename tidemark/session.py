@@ -53,4 +53,12 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``cut`` that no later step of the job reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

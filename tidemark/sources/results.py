@@ -30,9 +30,9 @@ def latest_run(spark: SparkSession, path: str) -> DataFrame:
     return runs.filter(F.col("run_id") == newest)
 
 
-def scorecard(runs: DataFrame, *, run: str, created: str, last: int = 50) -> DataFrame:
-    """Experiments with a holdout of the last runs, best expected value first."""
-    recent = runs.orderBy(F.col(created).desc()).limit(last)
+def scorecard(runs: DataFrame, *, run: str, created: str, last: int | None = None) -> DataFrame:
+    """Experiments with a holdout of all runs, or of the ``last`` ones, best expected value first."""
+    recent = runs if last is None else runs.orderBy(F.col(created).desc(), run).limit(last)
     flat = recent.select(run, F.inline("experiments")).filter(F.col("holdout").isNotNull())
     fields = [c for c in flat.columns if c != "holdout"]
     return flat.select(*fields, "holdout.*").orderBy(F.col("ev").desc_nulls_last())

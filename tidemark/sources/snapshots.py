@@ -98,10 +98,11 @@ def load_layouts(by_ticker: DataFrame, shared: DataFrame, schema: StructType, *,
 
 
 def preferred_copy(copies: DataFrame, *, keys: list[str], horizon: str, order: tuple[int, ...] = HORIZON_ORDER) -> DataFrame:
-    """The stored horizon to read per (ticker, day)."""
-    rank = F.array_position(F.array(*[F.lit(h) for h in order]), F.col(horizon).cast("int"))
-    d = copies.withColumn("_rank", rank).filter(F.col("_rank") > 0)
-    return d.groupBy(*keys).agg(F.min_by(horizon, "_rank").alias(horizon))
+    """The stored horizon to read per (ticker, day): the first in ``order``; horizons not in
+    it come last, by their text, so a unit with only such a copy is kept."""
+    place = F.array_position(F.array(*[F.lit(h) for h in order]), F.col(horizon).cast("int"))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), F.col(horizon).cast("string"))
+    return copies.groupBy(*keys).agg(F.min_by(horizon, rank).alias(horizon))
 
 
 def newest_common_day(left: DataFrame, right: DataFrame, *, ticker: str, day: str) -> DataFrame:

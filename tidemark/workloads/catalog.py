@@ -233,8 +233,8 @@ def src_manifest_merge(t):
 
 @workload("src_preferred_copy", sql="""
 with c as (select 'T' || (l_suppkey % 25) as ticker, cast(l_shipdate as date) as day, ([240, 60, 15, 30, 120, 45, 90])[l_linenumber] as horizon from lineitem)
-select ticker, strftime(day, '%Y-%m-%d') as day, cast(arg_min(horizon, list_position([30, 15, 60, 120, 240], horizon)) as integer) as horizon from c
-where horizon in (30, 15, 60, 120, 240) group by ticker, day
+select ticker, strftime(day, '%Y-%m-%d') as day, cast(arg_min(horizon, case horizon when 30 then 1 when 15 then 2 when 60 then 3 when 120 then 4 when 240 then 5 when 45 then 6 else 7 end) as integer) as horizon
+from c group by ticker, day
 """)
 def src_preferred_copy(t):
     """Which stored horizon to read per ticker and day."""

@@ -114,7 +114,7 @@ bp as (select avg((fs > 0)::integer) as b from masked where part = 'validation')
 mined as (select v.pattern, d.n as dn, v.n as support, v.p, v.m, v.p - b as lift, v.s1, v.s2, v.s3, v.s4,
    abs(v.p - b) * sqrt(v.n) + greatest(0, greatest(v.s1, v.s2, v.s3, v.s4) - 0.25) * sqrt(v.n) * 0.5 as score
    from agg v join agg d on d.pattern = v.pattern and d.part = 'discovery' and d.n >= 100, bp where v.part = 'validation' and v.n >= 40),
-top as (select * from mined order by round(score, 9) desc, pattern limit 50)
+top as (select * from mined)
 """
 
 
@@ -160,8 +160,8 @@ j as (select m.ticker, m.day, t.pattern, t.support, t.score, t.p,
 select ticker, strftime(day, '%Y-%m-%d') as day, position, pattern, support, round(score, 6) as score, round(p, 6) as prob_stock_up from j where position <= 8
 """)
 def pattern_explain(t):
-    """The eight strongest matched patterns of every row."""
+    """The eight strongest matched patterns of every row: a report, so the caller asks for a number."""
     masked = _masked(t)
-    d = rel.explain(masked.select("ticker", "day", "mask"), rel.strongest(_mined(masked)))
+    d = rel.explain(masked.select("ticker", "day", "mask"), rel.strongest(_mined(masked)), limit=8)
     return d.select("ticker", day_text(F.col("day")).alias("day"), F.col("position").cast("long").alias("position"),
                     "pattern", "support", r("score").alias("score"), r("prob_stock_up").alias("prob_stock_up"))

@@ -168,7 +168,7 @@ ag as (select supplier, count(*) as rows, avg(e) as em, avg(a) as am, avg(a - e)
   avg(sp) as ms, quantile_cont(sp, 0.95) as p95, median(oi) as moi, count(sp) as ns from rec group by supplier)
 select ag.supplier, rows, round(em, 6) as expected_pnl_mean, round(am, 6) as actual_pnl_mean, round(er, 6) as pnl_forecast_error_mean,
   round(mae, 6) as pnl_forecast_mae, round(sharpe, 6) as actual_sharpe, round(da, 6) as direction_accuracy, round(brier, 6) as brier,
-  round(gap, 6) as calibration_gap, round(cr, 6) as execution_cost_ratio, round(ms, 6) as mean_relative_spread, round(p95, 6) as p95_relative_spread,
+  round(gap, 6) as calibration_gap, round(cr, 6) as execution_cost_ratio, round(ms, 9) as mean_relative_spread, round(p95, 6) as p95_relative_spread,
   round(moi, 6) as median_open_interest, round(dd, 6) as maximum_drawdown,
   array_to_string(list_sort(list_filter([case when rows >= 30 and am < 0 then 'negatieve_live_ev' end, case when dd > 0.12 then 'drawdown_limiet' end,
     case when rows >= 50 and gap > 0.12 then 'slechte_kalibratie' end, case when rows >= 20 and cr > 1.5 then 'execution_kosten_afwijking' end,
@@ -178,9 +178,10 @@ from ag join dd on dd.supplier = ag.supplier
 def monitor(t):
     """Expected against realised results per book with triggers."""
     d = risk.monitor(cut(_records(t)), keys=["supplier"], order=["part"], bucket="block")
-    return d.select("supplier", "rows", F.array_join("triggers", "|").alias("triggers"), *rounded(d, [
+    # spreads have two decimals, so their means can be exact ties at six digits
+    return d.select("supplier", "rows", F.array_join("triggers", "|").alias("triggers"), r("mean_relative_spread", 9).alias("mean_relative_spread"), *rounded(d, [
         "expected_pnl_mean", "actual_pnl_mean", "pnl_forecast_error_mean", "pnl_forecast_mae", "actual_sharpe", "direction_accuracy",
-        "brier", "calibration_gap", "execution_cost_ratio", "mean_relative_spread", "p95_relative_spread", "median_open_interest",
+        "brier", "calibration_gap", "execution_cost_ratio", "p95_relative_spread", "median_open_interest",
         "maximum_drawdown"]))
 
 
@@ -303,15 +304,15 @@ def leak_purge_audit(t):
 with {SCORES},
 e as (select strftime(date_trunc('month', day), '%Y-%m') as run, ticker, count(*) filter (trade) as trades, avg(actual_return - cost) filter (trade) as ev
       from scores group by 1, 2),
-runs as (select run from e group by run order by run desc limit 50)
+runs as (select run from e group by run)
 select run, ticker, trades, round(ev, 6) as expected_value_per_trade from e join runs using (run) where trades > 0
 """)
 def scorecard(t):
-    """The last 50 runs flattened to the experiments that opened a holdout, best first."""
+    """All runs flattened to the experiments that opened a holdout, best first."""
     d = research_scores(t).groupBy(F.date_format("day", "yyyy-MM").alias("run"), "ticker").agg(
         F.count_if("trade").alias("trades"), F.avg(F.when(F.col("trade"), F.col("actual_return") - F.col("cost"))).alias("ev"))
     runs = d.groupBy("run").agg(F.collect_list(F.struct(
         "ticker", F.when(F.col("trades") > 0, F.struct("trades", "ev")).alias("holdout"))).alias("experiments"))
     from tidemark.sources.results import scorecard as flatten
-    out = flatten(runs, run="run", created="run", last=50)
+    out = flatten(runs, run="run", created="run")
     return out.select("run", "ticker", "trades", r("ev").alias("expected_value_per_trade"))

@@ -94,10 +94,10 @@ b as (select page_id, i, case when raw like '/%' then base || raw else raw end a
 c as (select *, row_number() over (partition by page_id, href order by i) as d from b
       where href like 'http%' and length(title) between 6 and 350 and not regexp_replace(lower(regexp_extract(href, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') in ('m.ththth.example.net')),
 e as (select page_id, title, href, row_number() over (partition by page_id order by i) - 1 as position from c where d = 1)
-select page_id, position, title, href from e where position < 60
+select page_id, position, title, href from e
 """)
 def page_links(t):
-    """Titled links of every page, resolved, without repeats, first sixty."""
+    """Titled links of every page, resolved, without repeats."""
     d = page_ops.harvest_links(t.pages, key="page_id", url="url", html="html", skip_domains=("m.ththth.example.net",), title_length=(6, 350))
     return d.select("page_id", F.col("position").cast("long").alias("position"), "title", "href")
 
