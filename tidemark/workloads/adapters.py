@@ -110,28 +110,25 @@ options_px as (
 
 
 # -------------------------------------------------------------- call/put pairs
-PAIR_SIDES = ("purchase", "error")
-
-
 def pair_rows(t: Tables) -> DataFrame:
-    """events as option rows of a contract-day: purchase = call, error = put."""
-    return (t.events.filter(F.col("event_type").isin(*PAIR_SIDES))
+    """events as option rows of a contract-day: even ids are calls, odd ones puts."""
+    return (t.events
             .select(F.col("user_id").alias("contract"), F.to_date("ts").alias("day"), "ts", "event_id",
-                    F.when(F.col("event_type") == "purchase", "call").otherwise("put").alias("option_type"),
+                    F.when(F.col("event_id") % 2 == 0, "call").otherwise("put").alias("option_type"),
                     "value", k_of().alias("volume")))
 
 
 PAIRS = """
 sided as (
-  select user_id as contract, date_trunc('day', ts) as day, event_type, value, ts, event_id,
+  select user_id as contract, date_trunc('day', ts) as day, event_id % 2 as side, value, ts, event_id,
          cast(json_extract_string(props, '$.k') as double) as volume,
-         row_number() over (partition by user_id, date_trunc('day', ts), event_type order by ts desc, event_id desc) as rn
-  from events where event_type in ('purchase', 'error')),
+         row_number() over (partition by user_id, date_trunc('day', ts), event_id % 2 order by ts desc, event_id desc) as rn
+  from events),
 pairs as (
   select c.contract, c.day, c.value as call_value, p.value as put_value,
          c.volume as call_volume, p.volume as put_volume, greatest(c.ts, p.ts) as ts
-  from (select * from sided where rn = 1 and event_type = 'purchase') c
-  join (select * from sided where rn = 1 and event_type = 'error') p using (contract, day))
+  from (select * from sided where rn = 1 and side = 0) c
+  join (select * from sided where rn = 1 and side = 1) p using (contract, day))
 """
 
 

@@ -17,12 +17,12 @@ def filings(t):
     """orders as year-to-date quarterly filings of a nation (the company)."""
     d = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     q = d.groupBy(F.col("c_nationkey").alias("company"), F.year("o_orderdate").alias("fy"), F.quarter("o_orderdate").alias("q")).agg(
-        F.sum(F.when(F.col("o_orderdate") <= "2001-12-31", F.round(F.col("o_totalprice") * 100).cast("long"))).alias("cents"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
     return q.filter(F.col("cents").isNotNull())
 
 
 FILINGS = """
-q as (select c_nationkey as company, cast(year(o_orderdate) as integer) as fy, cast(quarter(o_orderdate) as integer) as q, cast(sum(cast(round(o_totalprice * 100) as bigint)) filter (o_orderdate <= timestamp '2001-12-31') as bigint) as cents, count(*) as n
+q as (select c_nationkey as company, cast(year(o_orderdate) as integer) as fy, cast(quarter(o_orderdate) as integer) as q, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents, count(*) as n
       from orders join customer on o_custkey = c_custkey group by all having cents is not null),
 ytd as (select *, cast(sum(cents) over (partition by company, fy order by q) as bigint) as cum from q),
 base as (select *, case q when 4 then 'FY' else 'Q' || q end as fp, company || '-' || fy || '-' || q as accn, make_date(fy, 1, 1) as y0,
@@ -222,8 +222,8 @@ def estimate_pit_select(t):
 
 
 def user_filings(t):
-    """signup events as filings of a user."""
-    d = t.events.filter(F.col("event_type") == "signup")
+    """events as filings of a user."""
+    d = t.events
     day = F.to_date("ts")
     return d.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("fid"), F.date_sub(day, 40).alias("period_end"), F.date_add(day, 2).alias("filing_date"),
                     (F.col("ts") + F.expr("interval 3 days")).alias("sec_available"), F.when(F.col("event_id") % 2 == 0, F.col("value") / 80).alias("eps_actual_sec"),
@@ -232,7 +232,7 @@ def user_filings(t):
 
 MATCH = ESTIMATES + """,
 fi as (select user_id as ticker, event_id as fid, ts::date - 40 as pe, ts::date + 2 as fd, ts + interval 3 day as sa, case when event_id % 2 = 0 then value / 80 end as es, case when event_id % 3 <> 0 then value * 12 end as rs,
-   value * 2 as ni, value * 20 as assets from events where event_type = 'signup'),
+   value * 2 as ni, value * 20 as assets from events),
 cand as (select fid, eid, 0 as kind, -date_diff('day', date '2000-01-01', ed) as score, ed from fi join est on est.ticker = fi.ticker and est.fe = fi.pe
    union all select fid, eid, 1, abs(date_diff('day', fd, ed)) * 10 + abs(date_diff('day', pe, ed)), ed from fi join est on est.ticker = fi.ticker
       and date_diff('day', pe, ed) between -7 and 190 and abs(date_diff('day', fd, ed)) <= 45),

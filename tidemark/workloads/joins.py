@@ -16,8 +16,8 @@ TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 @workload("asof_backward", sql=f"""
 with {TICKS},
-l as (select event_id, contract % 5 as g, ts from ticks where side = 'purchase'),
-q as (select event_id, contract % 5 as g, ts, value from ticks where side = 'view'),
+l as (select event_id, contract % 5 as g, ts from ticks where event_id % 2 = 0),
+q as (select event_id, contract % 5 as g, ts, value from ticks where event_id % 2 = 1),
 m as (select l.event_id, l.ts, q.event_id as matched_id, q.value, epoch_us(l.ts) - epoch_us(q.ts) as gap
       from l asof left join q on l.g = q.g and l.ts >= q.ts)
 select event_id, strftime(ts, {TS}) as ts, case when gap <= 7200000000 then matched_id end as matched_id,
@@ -28,8 +28,8 @@ from m
 def asof_backward(t):
     """Each call print with the latest quote of its group within two hours."""
     d = ticks(t).withColumn("g", F.col("contract") % 5)
-    left = d.filter(F.col("side") == "purchase").select("event_id", "g", "ts")
-    right = d.filter(F.col("side") == "view").select(
+    left = d.filter(F.col("event_id") % 2 == 0).select("event_id", "g", "ts")
+    right = d.filter(F.col("event_id") % 2 == 1).select(
         "g", "ts", F.col("event_id").alias("matched_id"), F.col("value").alias("matched_value"))
     out = asof(left, right, keys=["g"], left_time="ts", right_time="ts", tolerance_seconds=7200,
                tie=["matched_id"], take=["matched_id", "matched_value"], gap="gap_seconds")
@@ -59,8 +59,8 @@ def asof_forward_target(t):
 
 @workload("asof_nearest", sql=f"""
 with {TICKS},
-l as (select event_id, contract, ts from ticks where side = 'purchase'),
-q as (select event_id, contract, ts, value from ticks where side = 'error'),
+l as (select event_id, contract, ts from ticks where event_id % 2 = 0),
+q as (select event_id, contract, ts, value from ticks where event_id % 2 = 1),
 b as (select l.event_id, l.ts, l.contract, q.event_id as bid, q.value as bval, epoch_us(l.ts) - epoch_us(q.ts) as bgap
       from l asof left join q on l.contract = q.contract and l.ts >= q.ts),
 f as (select b.*, q.event_id as fid, q.value as fval, epoch_us(q.ts) - epoch_us(b.ts) as fgap
@@ -76,8 +76,8 @@ from c
 def asof_nearest(t):
     """Nearest put print to each call print of a contract within twelve hours."""
     d = ticks(t)
-    left = d.filter(F.col("side") == "purchase").select("event_id", "contract", "ts")
-    right = d.filter(F.col("side") == "error").select(
+    left = d.filter(F.col("event_id") % 2 == 0).select("event_id", "contract", "ts")
+    right = d.filter(F.col("event_id") % 2 == 1).select(
         "contract", "ts", F.col("event_id").alias("matched_id"), F.col("value").alias("matched_value"))
     out = asof(left, right, keys=["contract"], left_time="ts", right_time="ts", direction="nearest",
                tolerance_seconds=43200, tie=["matched_id"], take=["matched_id", "matched_value"], gap="gap_seconds")

@@ -199,7 +199,7 @@ def trade_vwap(t):
 @workload("trade_left_join", sql=f"""
 with {BARS}, {TICKS},
 m as (select side as ticker, date_trunc('minute', ts) as minute, count(*) as trade_count, sum(value) as trade_volume
-      from ticks where contract % 2 = 0 group by all),
+      from ticks group by all),
 oi as (select side as ticker, arg_max(value, event_id) as oi from ticks group by side)
 select ticker, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, close, m.trade_count,
        round(m.trade_volume, 4) as trade_volume, oi as oi_open_interest
@@ -208,7 +208,7 @@ from bars left join m on m.ticker = bars.ticker and m.minute = bars.ts
 """.replace("select ticker, strftime(ts", "select bars.ticker, strftime(bars.ts"))
 def trade_left_join(t):
     """Bars with their minute's trades (kept when there are none) and open interest."""
-    side = ticks(t).filter(F.col("contract") % 2 == 0).withColumnRenamed("side", "ticker")
+    side = ticks(t).withColumnRenamed("side", "ticker")
     minutes = side.groupBy("ticker", F.date_trunc("minute", "ts").alias("minute")).agg(
         F.count(F.lit(1)).alias("trade_count"), F.sum("value").alias("trade_volume"))
     d = trade_ops.attach_trades(bars(t), minutes, keys=["ticker"])

@@ -164,14 +164,14 @@ def chain_enrich(t):
 
 _RATES = """
 obs as (select date_trunc('day', o_orderdate) as date, avg(o_totalprice) / 100000 as raw
-        from orders where o_orderpriority = '1-URGENT' group by 1),
+        from orders group by 1),
 rates as (select date, case when day(date) % 4 = 0 then null else raw end as rate from obs),
 filled as (select date, last_value(rate ignore nulls) over (order by date rows unbounded preceding) / 100 as rate from rates)
 """
 
 
 def _rates(t):
-    d = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").groupBy(F.to_date("o_orderdate").alias("date")).agg(
+    d = t.orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(
         (F.avg("o_totalprice") / 100000).alias("raw"))
     return d.select("date", F.when(F.dayofmonth("date") % 4 != 0, F.col("raw")).alias("rate"))
 

@@ -241,14 +241,14 @@ def ablation_fanout(t):
 @workload("vector_attach", sql=f"""
 with {BARS}, {_sql_summary(['close', 'volume'])},
 vec as (select ticker, day, sum({' + '.join(f'"{s}"::float::double' for s in v.STATISTICS)}) as total, sum({' + '.join(f'("{s}"::float::double) ** 2' for s in v.STATISTICS)}) as sq from st group by ticker, day),
-rows as (select ticker, day, count(*) as rows, arg_max(close, ts) as close from bars where volume > 40 group by ticker, day)
+rows as (select ticker, day, count(*) as rows, arg_max(close, ts) as close from bars group by ticker, day)
 select ticker, strftime(day, '%Y-%m-%d') as day, rows, close, round(total, 3) as vector_total, round(sqrt(sq), 3) as vector_norm, 'tide-384-v1' as vector_version
 from rows join vec using (ticker, day)
 """)
 def vector_attach(t):
     """Research rows with their day's vector and its version."""
     b = bars(t)
-    rows = b.filter(F.col("volume") > 40).groupBy(*DAY).agg(F.count(F.lit(1)).alias("rows"), F.max_by("close", "ts").alias("close"))
+    rows = b.groupBy(*DAY).agg(F.count(F.lit(1)).alias("rows"), F.max_by("close", "ts").alias("close"))
     block = v.summary_block(v.summarise(b, keys=DAY, order=["ts"], columns=["close", "volume"]), keys=DAY, columns=["close", "volume"], out="raw")
     vectors = block.select(*DAY, F.col("raw").cast("array<float>").alias("vector"), F.lit(v.VECTOR_VERSION).alias("vector_version"))
     d = v.attach_vectors(rows, vectors, keys=DAY, provenance=["vector_version"])
