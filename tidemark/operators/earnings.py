@@ -277,18 +277,21 @@ def change_points(records: DataFrame, *, keys: list[str]) -> DataFrame:
 
     State changes only at a clock value or at the UTC midnight a report date begins
     or ends.  One row per ticker holds its reports (a few hundred at most, four a
-    year) and every change point is worked out inside it.
+    year) and every change point is worked out inside it.  A report listed several
+    times counts as its earliest listing known so far: ``_m`` is when an earlier one of
+    the same report appears, so no listing is compared with the others again.
     """
-    g = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("earnings_date").alias("d"), F.col("event_schedule_available").alias("s"), F.struct(*_RECORD).alias("r")))).alias("_a"))
+    known = F.when(F.col("earnings_date").isNotNull(), F.col("event_schedule_available"))
+    earlier = Window.partitionBy(*keys, "event_id").orderBy("earnings_date", "event_schedule_available", F.struct(*_RECORD)).rowsBetween(Window.unboundedPreceding, -1)
+    g = records.withColumn("_m", F.min(known).over(earlier)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("earnings_date").alias("d"), F.col("event_schedule_available").alias("s"), F.struct(*_RECORD).alias("r"), F.col("_m").alias("m")))).alias("_a"))
     clocks = F.flatten(F.transform("_a", lambda x: F.array(*[x["r"][c] for c in _CLOCKS], x["d"].cast("timestamp"), F.date_add(x["d"], 1).cast("timestamp"))))
     g = g.withColumn("_points", F.array_distinct(F.array_compact(clocks)))
     arr = F.col("_a")
 
     def state(t):
         today = t.cast("date")
-        listed = F.filter(arr, lambda x: x["d"].isNotNull() & (x["s"] <= t))
-        once = F.filter(listed, lambda x, i: F.array_position(F.transform(listed, lambda y: y["r"]["event_id"]), x["r"]["event_id"]) == i + 1)
+        once = F.filter(arr, lambda x: x["d"].isNotNull() & (x["s"] <= t) & (x["m"].isNull() | (x["m"] > t)))
         newest = lambda keep, *order: F.array_max(F.transform(F.filter(arr, keep), lambda x: F.struct(
             *[x["r"][o].alias(f"o{n}") for n, o in enumerate((*order, "tie"))], x["r"].alias("r"))))["r"]
         past = lambda c: (lambda x: (x["r"][c] <= t) & (x["d"] <= today))
