@@ -35,7 +35,7 @@ SIZE, SHARD, VOCABULARY = 2048, 8192, "word_bpe_49k.json"
 #: Steps that the local search of a shard takes without emptying a bin before it ends.
 PATIENCE = 30
 #: Runs and words that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _END = b"\0\0\0\0"
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _LETTERS = re.compile(f"[{_LATIN}]+")
