@@ -143,13 +143,14 @@ def evaluate(rows: DataFrame, candidate: Candidate, *, target: str, cost: str, d
 def suite(rows: DataFrame, candidates: list[Candidate], *, targets: list[str], ticker: str, day: str, **settings) -> DataFrame:
     """Baseline and candidates per target; the choice uses walk-forward results only,
     then baseline and the chosen one alone see the holdout.  Paired t-tests against
-    the baseline are adjusted for the number of candidates."""
-    out = None
+    the baseline are one family over all targets and candidates of the suite.  ``stable``
+    marks a candidate with a positive value on the holdout, enough trades and periods."""
+    blocks, tests = [], []
     for target in targets:
         base = Candidate("historical_mean", (), "historical_mean")
         base_metrics, base_made = evaluate(rows, base, target=target, day=day, **settings)
         scored = [base_metrics]
-        tests, summary = [], []
+        summary = []
         for c in candidates:
             m, made = evaluate(rows, c, target=target, day=day, **settings)
             scored.append(m)
@@ -163,13 +164,14 @@ def suite(rows: DataFrame, candidates: list[Candidate], *, targets: list[str], t
         for c in (base, chosen):
             m, _ = evaluate(rows, c, target=target, day=day, open_holdout=True, **settings)
             scored.append(m.filter(F.col("part") == "holdout"))
-        spark = rows.sparkSession
-        tested = spark.createDataFrame(tests, "candidate string, target string, pairs long, t_statistic double, p double")
-        tested = metrics.benjamini_hochberg(tested, keys=["target"], p="p")
-        block = reduce(DataFrame.unionByName, scored).join(tested, ["candidate", "target"], "left").withColumn(
-            "selected_before_holdout", F.col("candidate") == chosen.name)
-        out = block if out is None else out.unionByName(block)
-    return out
+        blocks.append(reduce(DataFrame.unionByName, scored).withColumn("selected_before_holdout", F.col("candidate") == chosen.name))
+    tested = rows.sparkSession.createDataFrame(tests, "candidate string, target string, pairs long, t_statistic double, p double")
+    tested = metrics.benjamini_hochberg(tested, keys=[], p="p")
+    out = reduce(DataFrame.unionByName, blocks).join(tested, ["candidate", "target"], "left")
+    earlier = out.filter(F.col("part") == "walk_forward").select("candidate", "target", F.col("profitable_periods").alias("_periods"))
+    stable = (F.col("part") == "holdout") & (F.col("model") != "historical_mean") & (F.col("expected_value_per_trade") > 0) & (
+        F.col("number_of_trades") >= MIN_TRADES) & (F.col("_periods") >= MIN_PROFITABLE_PERIODS)
+    return out.join(earlier, ["candidate", "target"], "left").withColumn("stable", F.coalesce(stable, F.lit(False))).drop("_periods")
 
 
 def balance_weight(label: Column, positives: float, rows: float) -> Column:

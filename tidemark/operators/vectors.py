@@ -39,21 +39,28 @@ def layout(dimensions: int) -> dict[str, int]:
 def summarise(frame: DataFrame, *, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Nine statistics per key and numeric column, long form, missing values skipped.
 
-    A key is a ticker-day: its minutes bound the exact quantiles and the ordering.
+    A key is a ticker-day: its minutes bound the exact quantiles and the ordering.  Rows
+    stay wide: one sort per key numbers every column's values, one aggregate takes all
+    statistics, and only the result is stacked.
     """
     use = safe_inputs(columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in use])
-    d = frame.select(*keys, *order, F.inline(pairs)).filter(F.col("value").isNotNull())
-    w = Window.partitionBy(*keys, "column")
-    d = d.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    d = d.withColumn("_t", F.when(F.col("_n") > 1, 2.0 * (F.col("_i") - 1) / (F.col("_n") - 1) - 1))
-    g = d.groupBy(*keys, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_q"),
-        F.max_by("value", "_i").alias("last"), F.coalesce(F.regr_slope("value", "_t"), F.lit(0.0)).alias("slope"))
-    return g.select(*keys, "column", "n", "mean", "std", "min", "max", F.col("_q")[0].alias("median"),
-                    F.col("_q")[1].alias("p10"), F.col("_q")[2].alias("p90"), "last", "slope")
+    whole = Window.partitionBy(*keys)
+    so_far = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = frame.select(*keys, *order, *[F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(use)])
+    d = d.withColumns({f"_i{k}": F.count(f"_v{k}").over(so_far) for k in range(len(use))} | {f"_n{k}": F.count(f"_v{k}").over(whole) for k in range(len(use))})
+    made = []
+    for k in range(len(use)):
+        v, i, n = F.col(f"_v{k}"), F.col(f"_i{k}"), F.col(f"_n{k}")
+        t = F.when(v.isNotNull() & (n > 1), 2.0 * (i - 1) / (n - 1) - 1)
+        made += [F.count(v).alias(f"_n{k}"), F.avg(v).alias(f"_mean{k}"), F.stddev_pop(v).alias(f"_std{k}"), F.min(v).alias(f"_min{k}"), F.max(v).alias(f"_max{k}"),
+                 F.percentile(v, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias(f"_q{k}"), F.max_by(v, F.when(v.isNotNull(), i)).alias(f"_last{k}"),
+                 F.coalesce(F.regr_slope(v, t), F.lit(0.0)).alias(f"_slope{k}")]
+    g = d.groupBy(*keys).agg(*made)
+    row = lambda k, c: F.struct(
+        F.lit(c).alias("column"), F.col(f"_n{k}").alias("n"), F.col(f"_mean{k}").alias("mean"), F.col(f"_std{k}").alias("std"), F.col(f"_min{k}").alias("min"),
+        F.col(f"_max{k}").alias("max"), F.col(f"_q{k}")[0].alias("median"), F.col(f"_q{k}")[1].alias("p10"), F.col(f"_q{k}")[2].alias("p90"),
+        F.col(f"_last{k}").alias("last"), F.col(f"_slope{k}").alias("slope"))
+    return g.select(*keys, F.inline(F.array(*[row(k, c) for k, c in enumerate(use)]))).filter(F.col("n") > 0)
 
 
 def summary_block(summary: DataFrame, *, keys: list[str], columns: list[str], out: str) -> DataFrame:

@@ -64,13 +64,16 @@ def new_content(rows: DataFrame, existing: DataFrame, *, columns: list[str], key
 
 
 def append_content(rows: DataFrame, path: str, *, columns: list[str]) -> None:
-    """Append what is new under its content key; running it twice adds nothing."""
+    """Append what is new under its content key; running it twice adds nothing.
+
+    Only a missing path counts as an empty store: a store that cannot be read stops the
+    job instead of being written again.
+    """
     spark = rows.sparkSession
     d = rows.withColumn("content_key", content_key(columns))
-    try:
-        have = spark.read.parquet(path).select("content_key")
-    except Exception:  # nothing stored yet
-        have = d.select("content_key").limit(0)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    have = spark.read.parquet(path).select("content_key") if stored else d.select("content_key").limit(0)
     new_content(rows, have, columns=columns).write.mode("append").parquet(path)
 
 

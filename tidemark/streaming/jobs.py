@@ -9,12 +9,10 @@ watermark only bounds state, it never decides what was known when.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import risk
 from tidemark.session import checkpoint_folder
@@ -74,23 +72,13 @@ def deduplicate(rows: DataFrame, *, ts: str, content: list[str], delay: str) ->
 def latest_known(rows: DataFrame, *, key: str, value: str, available: str, order: str) -> DataFrame:
     """Running latest value per key by the time it became available (update mode).
 
-    State is one small tuple per key.  Rows of a key arrive in Arrow batches, each
-    reduced at once, so a busy key is streamed through and never held.
+    A streaming aggregate: batches combine before the shuffle and state is one small
+    tuple per key, so a busy key is never held.
     """
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (-1, -1, 0.0, 0)
-        for batch in batches:
-            top = batch.sort_values(["_at", order]).iloc[-1]
-            seen = best[3] + len(batch)
-            mine = (int(top["_at"]), int(top[order]), float(top[value]), seen)
-            best = mine if mine[:2] > tuple(best[:2]) else (*best[:3], seen)
-        state.update(best)
-        yield pd.DataFrame({key: [k[0]], "last_at": [best[0]], "last_id": [best[1]], "last_value": [best[2]], "seen": [best[3]]})
-    kind = dict(rows.dtypes)[key]
-    d = rows.select(key, value, order, F.unix_micros(available).alias("_at"))
-    return d.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, last_at bigint, last_id bigint, last_value double, seen bigint",
-        "at bigint, id bigint, value double, seen bigint", "update", GroupStateTimeout.NoTimeout)
+    at = F.unix_micros(available)
+    last = F.max(F.struct(at.alias("at"), F.col(order).alias("id"), F.col(value).alias("value"))).alias("s")
+    return rows.groupBy(key).agg(last, F.count(F.lit(1)).alias("seen")).select(
+        key, F.col("s.at").alias("last_at"), F.col("s.id").alias("last_id"), F.col("s.value").cast("double").alias("last_value"), "seen")
 
 
 def monitor_batches(records: DataFrame, *, keys: list[str], order: list[str], bucket: str) -> str:

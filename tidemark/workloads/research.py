@@ -90,5 +90,5 @@ def alpha_suite(t):
     sets = [research.Candidate("price_only", ("past_return",)), research.Candidate("all_features", tuple(FEATURES))]
     settings = {k: v for k, v in _SETTINGS.items() if k != "day"}
     out = research.suite(cut(_rows(t)), sets, targets=["ret"], ticker="ticker", day="day", config=splits.WalkForward(n_splits=3), **settings)
-    return out.select("candidate", "model", "target", "part", "number_of_trades", "selected_before_holdout", "pairs", *rounded(out, [
+    return out.select("candidate", "model", "target", "part", "number_of_trades", "selected_before_holdout", "stable", "pairs", *rounded(out, [
         "expected_value_per_trade", "sharpe", "maximum_drawdown", "mae", "t_statistic", "p", "q"]))
