@@ -12,6 +12,7 @@ from tidemark.session import cut
 _DAY = r"(\d{4}-\d{2}-\d{2})"
 _MONTH = r"\d{4}/\d{2}/"
 _PART = r"part-\d+\.csv\.gz"
+_CSV = r"\.csv\.gz$"
 
 
 @dataclass(frozen=True)
@@ -25,31 +26,36 @@ class Layout:
 
 # Key layouts.
 LAYOUTS = {
-    "ticker/month/day": Layout(rf"/([^/]+)/{_MONTH}{_DAY}", 1, (2,)),
-    "ticker/day": Layout(rf"/([^/]+)/{_DAY}", 1, (2,)),
+    "ticker/month/day": Layout(rf"/([^/]+)/{_MONTH}{_DAY}.*$", 1, (2,)),
+    "ticker/month/day.csv": Layout(rf"/([^/]+)/{_MONTH}{_DAY}{_CSV}", 1, (2,)),
+    "ticker/day.csv": Layout(rf"/([^/]+)/{_DAY}{_CSV}", 1, (2,)),
+    "ticker/day.json": Layout(rf"/([^/]+)/{_DAY}\.json$", 1, (2,)),
+    "maybe ticker, month/day": Layout(rf"/(?:([^/]+)/)?(?:{_MONTH})?{_DAY}", 1, (2,)),
     "day/parts": Layout(rf"/{_MONTH}{_DAY}/(?:{_PART}|by-ticker/[^/]+/{_PART}|manifest\.json)$", None, (1,)),
-    "ticker/range": Layout(rf"/([^/]+)/{_DAY}_{_DAY}", 1, (2, 3)),
-    "ticker/year/range": Layout(rf"/([^/]+)/\d{{4}}/{_DAY}_{_DAY}", 1, (2, 3)),
+    "ticker/range.csv": Layout(rf"/([^/]+)/{_DAY}_{_DAY}{_CSV}", 1, (2, 3)),
+    "ticker/range/parts": Layout(rf"/([^/]+)/{_DAY}_{_DAY}/.+{_CSV}", 1, (2, 3)),
+    "ticker/year/range": Layout(rf"/([^/]+)/\d{{4}}/{_DAY}_{_DAY}\.json$", 1, (2, 3)),
+    "month/run.json": Layout(rf"/{_MONTH}.+\.json$", None, ()),
     "ticker/y/m/d": Layout(r"/([^/]+)/(\d{4}/\d{2}/\d{2})/.+\.json\.gz$", 1, (2,)),
-    "horizon/ticker/month/day": Layout(rf"/h(\d+)/([^/]+)/{_MONTH}{_DAY}", 2, (3,), 1),
+    "horizon/ticker/month/day": Layout(rf"/h(\d+)/([^/]+)/{_MONTH}{_DAY}{_CSV}", 2, (3,), 1),
     "anything": Layout(r"/.+$", None, ()),
 }
 
 # Datasets in matching order, their folder and layout.
 DATASETS = (
-    ("stocks", "v2/stocks/minute", "ticker/month/day"), ("options", "v2/options/minute", "day/parts"),
-    ("news", "v2/news", "ticker/month/day"), ("option_trades", "v3/option-trades", "day/parts"),
-    ("option_trade_features", "v3/option-trade-minute", "day/parts"), ("open_interest", "v3/open-interest", "ticker/day"),
-    ("earnings", "v3/earnings", "ticker/range"), ("earnings_sec_raw", "v5/earnings/raw/sec", "ticker/y/m/d"),
-    ("earnings_fmp_raw", "v5/earnings/raw/fmp", "ticker/y/m/d"), ("earnings_processed", "v5/earnings/processed", "ticker/range"),
-    ("earnings_status", "v5/earnings/status/runs", "anything"), ("sentiment", "v3/sentiment", "ticker/month/day"),
-    ("gpu_sentiment", "v3/gpu-sentiment", "ticker/month/day"), ("features", "v3/features", "ticker/month/day"),
-    ("quotes", "v3/quotes", "ticker/month/day"), ("google_finance_news", "v3/google-finance/news", "ticker/day"),
-    ("google_finance_snapshots", "v3/google-finance/snapshots", "ticker/day"), ("news_rich", "v3/news-rich", "ticker/month/day"),
+    ("stocks", "v2/stocks/minute", "ticker/month/day.csv"), ("options", "v2/options/minute", "day/parts"),
+    ("news", "v2/news", "ticker/month/day.csv"), ("option_trades", "v3/option-trades", "day/parts"),
+    ("option_trade_features", "v3/option-trade-minute", "day/parts"), ("open_interest", "v3/open-interest", "ticker/day.csv"),
+    ("earnings", "v3/earnings", "ticker/range.csv"), ("earnings_sec_raw", "v5/earnings/raw/sec", "ticker/y/m/d"),
+    ("earnings_fmp_raw", "v5/earnings/raw/fmp", "ticker/y/m/d"), ("earnings_processed", "v5/earnings/processed", "ticker/range/parts"),
+    ("earnings_status", "v5/earnings/status/runs", "month/run.json"), ("sentiment", "v3/sentiment", "ticker/month/day.csv"),
+    ("gpu_sentiment", "v3/gpu-sentiment", "ticker/month/day.csv"), ("features", "v3/features", "ticker/month/day.csv"),
+    ("quotes", "v3/quotes", "maybe ticker, month/day"), ("google_finance_news", "v3/google-finance/news", "ticker/day.csv"),
+    ("google_finance_snapshots", "v3/google-finance/snapshots", "ticker/day.json"), ("news_rich", "v3/news-rich", "ticker/month/day.csv"),
     ("macro", "v3/macro", "anything"), ("pairs", "v3/option-pairs", "horizon/ticker/month/day"),
     ("relationships", "v3/relationships", "anything"), ("pair_models", "v3/pair-models", "anything"),
-    ("professional_news", "v4/professional-news", "ticker/month/day"), ("events", "v4/events", "ticker/month/day"),
-    ("clean_features", "v4/features", "ticker/month/day"), ("clean_pairs", "v4/option-pairs", "horizon/ticker/month/day"),
+    ("professional_news", "v4/professional-news", "ticker/month/day.csv"), ("events", "v4/events", "ticker/month/day.csv"),
+    ("clean_features", "v4/features", "ticker/month/day.csv"), ("clean_pairs", "v4/option-pairs", "horizon/ticker/month/day"),
     ("clean_relationships", "v4/relationships", "anything"), ("clean_pair_models", "v4/pair-models", "anything"),
     ("legacy_models", "v3/models", "anything"), ("option_reference", "v5/option-reference", "ticker/month/day"),
     ("corporate_actions", "v5/corporate-actions", "ticker/month/day"), ("dividends", "v5/dividends", "ticker/month/day"),
@@ -65,11 +71,6 @@ DATASETS = (
 ROOT = "market-data"
 
 
-def pattern_of(dataset: tuple[str, str, str]) -> str:
-    _, folder, layout = dataset
-    return rf"^{ROOT}/{folder}{LAYOUTS[layout].pattern}"
-
-
 def scan_objects(spark: SparkSession, path: str) -> DataFrame:
     """Keys, sizes and times under a folder; file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -86,11 +86,13 @@ def merge_manifest(entries: DataFrame, *, keys: list[str], rows: str, updated: s
 def prefer_layout(rows: DataFrame, *, keys: list[str], layout: str, first: str) -> DataFrame:
     """Per key only the authoritative layout if it exists; repeated rows removed.
 
-    Which layout a key has is a tiny grouped table; the bar rows meet it by equality.
+    Only the other layouts' rows meet the distinct keys of the authoritative one; its
+    own rows pass through.
     """
-    flags = rows.groupBy(*keys).agg(F.bool_or(F.col(layout) == first).alias("_has"))
-    kept = rows.join(flags, keys).filter(~F.col("_has") | (F.col(layout) == first)).drop("_has")
-    return kept.distinct()
+    is_first = F.col(layout).eqNullSafe(F.lit(first))
+    held = rows.filter(is_first)
+    others = rows.filter(~is_first).join(held.select(*keys).distinct(), keys, "left_anti")
+    return held.unionByName(others).distinct()
 
 
 def load_layouts(by_ticker: DataFrame, shared: DataFrame, schema: StructType, *, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.workloads.registry import workload
 
 
 def objects(t):
-    """lineitem as stored objects: one key per line, laid out by line number."""
+    """lineitem as stored objects: one key per line, laid out by line number; some are unfinished or foreign files."""
     day = F.to_date("l_shipdate")
     ticker = F.concat(F.lit("T"), (F.col("l_suppkey") % 25).cast("string"))
     d, month = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyy/MM")
@@ -24,22 +24,35 @@ def objects(t):
                                   F.date_format(F.date_add(day, 5), "yyyy-MM-dd"), F.lit(".json")))
            .when(n == 5, F.concat(F.lit("market-data/v4/option-pairs/h30/"), ticker, F.lit("/"), month, F.lit("/"), d, F.lit(".csv.gz")))
            .when(n == 6, F.concat(F.lit("market-data/v3/macro/risk_free_"), d, F.lit(".csv.gz")))
+           .when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("market-data/v2/stocks/minute/"), ticker, F.lit("/"), month, F.lit("/"), d, F.lit(".csv.gz.tmp")))
+           .when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("market-data/v3/quotes/"), d, F.lit(".parquet")))
            .otherwise(F.concat(F.lit("other/"), ticker, F.lit("/"), d)))
     return t.lineitem.select(key.alias("key"), (F.col("l_quantity") * 100).cast("long").alias("size"), F.col("l_shipdate").alias("last_modified"))
 
 
 _D = "strftime(l_shipdate, '%Y-%m-%d')"
 _M = "strftime(l_shipdate, '%Y/%m')"
+# Key patterns of the datasets that these objects belong to, written out on their own.
+_PATTERNS = {
+    "stocks": r"^market-data/v2/stocks/minute/([^/]+)/\d{4}/\d{2}/(\d{4}-\d{2}-\d{2})\.csv\.gz$",
+    "options": r"^market-data/v2/options/minute/\d{4}/\d{2}/(\d{4}-\d{2}-\d{2})/(?:part-\d+\.csv\.gz|by-ticker/[^/]+/part-\d+\.csv\.gz|manifest\.json)$",
+    "quotes": r"^market-data/v3/quotes/(?:([^/]+)/)?(?:\d{4}/\d{2}/)?(\d{4}-\d{2}-\d{2})",
+    "macro": r"^market-data/v3/macro/(.+)$",
+    "clean_features": r"^market-data/v4/features/([^/]+)/\d{4}/\d{2}/(\d{4}-\d{2}-\d{2})\.csv\.gz$",
+    "clean_pairs": r"^market-data/v4/option-pairs/h(\d+)/([^/]+)/\d{4}/\d{2}/(\d{4}-\d{2}-\d{2})\.csv\.gz$",
+    "news_coverage": r"^market-data/v5/gpu-news-agent/receipts/([^/]+)/\d{4}/(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})\.json$",
+}
 OBJECTS = f"""
 objects as (select case l_linenumber when 1 then 'market-data/v2/stocks/minute/' || tk || '/' || {_M} || '/' || {_D} || '.csv.gz'
   when 2 then 'market-data/v2/options/minute/' || {_M} || '/' || {_D} || '/by-ticker/' || tk || '/part-00001.csv.gz'
   when 3 then 'market-data/v4/features/' || tk || '/' || {_M} || '/' || {_D} || '.csv.gz'
   when 4 then 'market-data/v5/gpu-news-agent/receipts/' || tk || '/' || strftime(l_shipdate, '%Y') || '/' || {_D} || '_' || strftime(l_shipdate + interval 5 day, '%Y-%m-%d') || '.json'
   when 5 then 'market-data/v4/option-pairs/h30/' || tk || '/' || {_M} || '/' || {_D} || '.csv.gz'
-  when 6 then 'market-data/v3/macro/risk_free_' || {_D} || '.csv.gz' else 'other/' || tk || '/' || {_D} end as key,
+  when 6 then 'market-data/v3/macro/risk_free_' || {_D} || '.csv.gz' else case l_orderkey % 3 when 0 then 'market-data/v2/stocks/minute/' || tk || '/' || {_M} || '/' || {_D} || '.csv.gz.tmp'
+    when 1 then 'market-data/v3/quotes/' || {_D} || '.parquet' else 'other/' || tk || '/' || {_D} end end as key,
   cast(l_quantity * 100 as bigint) as size, l_shipdate as last_modified
   from (select *, 'T' || (l_suppkey % 25) as tk from lineitem)),
-named as (select *, case {' '.join(f"when regexp_matches(key, '{inv.pattern_of(d)}') then '{d[0]}'" for d in inv.DATASETS)} end as dataset from objects),
+named as (select *, case {' '.join(f"when regexp_matches(key, '{p}') then '{n}'" for n, p in _PATTERNS.items())} end as dataset from objects),
 cls as (select *, case when dataset = 'macro' then [regexp_extract(key, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1)]
      else regexp_extract_all(key, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) end as days,
    nullif(regexp_extract(key, '/(T\\d+)/', 1), '') as ticker from named where dataset is not null),
