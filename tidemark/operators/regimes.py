@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.schema import missing, truth
+from tidemark.schema import truth
 
 # Sector of each ticker, trend limits, tercile marks and their fall-backs.
 SECTORS = {
@@ -26,18 +24,12 @@ SKETCH_K = 4096
 def prior_terciles(rows: DataFrame, *, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Exact expanding 33/67% marks of the rows before each row, per key.
 
-    A growing-frame ``percentile`` sorts its state anew for every row, so the
-    running quantile (logarithmic per row in pandas) is the one step taken in
-    Python.  A group is one ticker's sessions, which the calendar bounds; without
+    A key is one ticker, whose sessions the calendar bounds to a few thousand; without
     such a key use ``prior_terciles_by_session``.
     """
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        past = group[value].expanding(min_periods=MIN_HISTORY)
-        return group.assign(_low=past.quantile(LOW_MARK).shift(1), _high=past.quantile(HIGH_MARK).shift(1))
-    schema = StructType([*rows.schema.fields, StructField("_low", DoubleType()), StructField("_high", DoubleType())])
-    out = rows.groupBy(*keys).applyInPandas(run, schema)
-    return out.withColumns({c: missing(F.col(c)) for c in ("_low", "_high")})
+    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("_marks", F.when(F.count(value).over(past) >= MIN_HISTORY, F.percentile(value, F.array(F.lit(LOW_MARK), F.lit(HIGH_MARK))).over(past)))
+    return d.withColumns({"_low": F.col("_marks")[0], "_high": F.col("_marks")[1]}).drop("_marks")
 
 
 def prior_terciles_by_session(rows: DataFrame, *, day: str, value: str, k: int = SKETCH_K) -> DataFrame:
