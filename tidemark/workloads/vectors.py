@@ -279,18 +279,24 @@ def quality_block(t):
 
 @workload("daily_vector")
 def daily_vector(t):
-    """384-dimension vector per ticker-day from pooled news, events, bars and quality."""
+    """384-dimension vector per ticker-day from pooled news, events, bars and quality.
+
+    A chunk counts on the first day whose market close it was available for.
+    """
     tickers = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
-    pooled = chunks(t).withColumn("ticker", F.element_at(tickers, (F.col("label") % 5 + 1).cast("int")))
-    pooled = n.pool_embeddings(pooled, keys=["ticker"]).select("ticker", F.col("embedding").alias("news_raw"), "chunks", "max_attention", "mean_quality",
-                                                               "mean_relevance", "mean_importance", "mean_novelty")
+    usable = n.availability(chunks(t), effective="effective", published="published", first_seen="first_seen").filter(F.col("available").isNotNull())
+    that_day = F.to_date("available")
+    usable = usable.withColumns({"ticker": F.element_at(tickers, (F.col("label") % 5 + 1).cast("int")),
+                                 "day": F.when(F.col("available") <= market_close(that_day), that_day).otherwise(F.date_add(that_day, 1))})
+    pooled = n.pool_embeddings(usable, keys=DAY).select(*DAY, F.col("embedding").alias("news_raw"), "chunks", "max_attention", "mean_quality",
+                                                        "mean_relevance", "mean_importance", "mean_novelty")
     h = _histogram(t)
     events = h.select(*DAY, F.array(*n.event_feature_names()).alias("events_raw"), F.col("events"))
-    counts = bars(t).groupBy(*DAY).agg(F.count(F.lit(1)).alias("fr"))
-    d = _stored_blocks(t).join(events, DAY, "left").join(counts, DAY).join(pooled, "ticker", "left")
+    counts = bars(t).groupBy(*DAY).agg(F.count(F.lit(1)).alias("fr"), F.avg((F.col("volume") < 20).cast("double")).alias("miss"))
+    d = _stored_blocks(t).join(events, DAY, "left").join(counts, DAY).join(pooled, DAY, "left")
     d = d.withColumn("quality_raw", v.quality_block(
-        news_present=F.col("chunks").isNotNull(), feature_rows=F.col("fr"), pair_rows=F.col("fr"), has_expectation=F.lit(True), chunks=F.col("chunks"),
-        means={x: F.col(f"mean_{x}") for x in ("quality", "relevance", "importance", "novelty")}, feature_missing=F.lit(0.0), pair_missing=F.lit(0.0),
+        news_present=F.col("chunks").isNotNull(), feature_rows=F.col("fr"), pair_rows=F.lit(0), has_expectation=F.lit(False), chunks=F.col("chunks"),
+        means={x: F.col(f"mean_{x}") for x in ("quality", "relevance", "importance", "novelty")}, feature_missing=F.col("miss"), pair_missing=F.lit(None).cast("double"),
         max_attention=F.col("max_attention")))
     d = v.assemble(d, 384)
     return d.select("ticker", day_text(F.col("day")).alias("day"), "dimensions", "vector_version", "schema_hash",
