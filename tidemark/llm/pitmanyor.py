@@ -42,12 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, cut, remainder, texts_of
+from tidemark.session import discard
 
-HELD_OUT, CHUNK = 7, 8_000_000
+HELD_OUT, CHUNK = 7, 24_000_000
 CONTEXT_SHARE, EXACT, BURN, SAMPLES, SEED = 200, 64, 2, 3, 8
 STRENGTH = 1.0  # theta of every restaurant
 OTHER, START = 0, 1
+#: Words that a task of the sampler takes at once; tokens that are scored at once.
+WORD_ROWS, SCORED = 16_384, 500_000
 _END = b""
+#: A word's customers less its tables' discounts in one restaurant.
+_OWN = np.dtype([("context", "<i2"), ("own", "<f4")])
 
 
 class _Index(dict):
@@ -68,6 +73,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return flat.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
 
 
+def own_counts(data: bytes) -> np.ndarray:
+    """(context, own) entries of a word's row."""
+    return np.frombuffer(data, _OWN)
+
+
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """One row a chunk: doc_ids, held flags, token counts, token numbers, word hashes and training counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -81,10 +91,10 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             all_ids = pa.concat_arrays(ids)
             flat = np.concatenate(tokens)
             learnt = np.repeat(~np.array(held), lengths)
-            counts = np.bincount(flat[learnt], minlength=len(index)).astype(np.int64)
+            counts = np.bincount(flat[learnt], minlength=len(index))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), x) for x in (all_ids, pa.array(held), pa.array(lengths, pa.int32()))]
-            return pa.record_batch([pa.array([number]), *lists, *(pa.array([b], pa.binary()) for b in (_packed(flat), hashes.tobytes(), counts.tobytes()))], names)
+            return pa.record_batch([pa.array([number]), *lists, *(pa.array([b], pa.binary()) for b in (_packed(flat), hashes.tobytes(), _packed(counts)))], names)
 
         for batch in batches:
             start = 0
@@ -123,7 +133,7 @@ def _hashes(data: bytes) -> np.ndarray:
 
 
 def _word_counts(row: dict) -> pa.RecordBatch:
-    words, counts = _hashes(row["words"]), np.frombuffer(row["counts"], np.int64)
+    words, counts = _hashes(row["words"]), _unpacked(row["counts"])
     return pa.record_batch([pa.array(words[counts > 0]), pa.array(counts[counts > 0])], ["word", "n"])
 
 
@@ -227,9 +237,13 @@ def _sweeps(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFram
             parents.append(c), roots.append(root_t)
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), x)
         rows = lambda x: pa.array(np.stack(x, 1).tolist(), pa.list_(pa.int64()))
+        own = np.zeros(len(n), _OWN)
+        own["context"], own["own"] = context, n - totals.discount * summed / sweeps
+        ends = pa.py_buffer((np.r_[0, np.cumsum(size)] * _OWN.itemsize).astype(np.int32).tobytes())
+        own = pa.Array.from_buffers(pa.binary(), len(word), [None, ends, pa.py_buffer(own.tobytes())])
         return pa.record_batch([batch.column("word"), batch.column("contexts"), batch.column("n"), lists(pa.array(t)), pa.array(root_t),
-                                lists(pa.array(summed / sweeps)), rows(parents), rows(roots)], ["word", "contexts", "n", "t", "root_t", "mean_t", "parents", "roots"])
-    schema = "word long, contexts array<int>, n array<long>, t array<long>, root_t long, mean_t array<double>, parents array<long>, roots array<long>"
+                                lists(pa.array(summed / sweeps)), own, rows(parents), rows(roots)], ["word", "contexts", "n", "t", "root_t", "mean_t", "own", "parents", "roots"])
+    schema = "word long, contexts array<int>, n array<long>, t array<long>, root_t long, mean_t array<double>, own binary, parents array<long>, roots array<long>"
     return arrow_rows(frame.select("word", "contexts", "n", "t", "root_t"), work, schema)
 
 
@@ -246,7 +260,7 @@ def _discount(ones: int, twos: int) -> float:
 
 @dataclass
 class Model:
-    """Per-word rows (word, n, p, contexts, own) and the numbers that all words share."""
+    """Per-word rows (word, n, p, own) and the numbers that all words share."""
 
     words: DataFrame
     named: np.ndarray
@@ -264,6 +278,7 @@ def fit(chunked: DataFrame) -> Model:
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     often = counted.where(F.col("n") * CONTEXT_SHARE >= tokens).select("word").collect()
     named = np.sort(np.array([r["word"] for r in often], np.int64))
+    discard(counted)
     pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts(named), "word long, context int, n long")
     pairs = pairs.groupBy("word", "context").agg(F.sum("n").alias("n"))
     held = pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("x"))  # a row a word: CONTEXT_SHARE + 2 entries at most
@@ -277,7 +292,8 @@ def fit(chunked: DataFrame) -> Model:
     totals = Totals(vocabulary, _by_context(state, "t", places), float(vocabulary), float(vocabulary), discount, 0.5)
     means = None
     for job, sweeps in enumerate((1, BURN, SAMPLES)):
-        state = cut(_sweeps(state, totals, job, sweeps))
+        state, before = cut(_sweeps(state, totals, job, sweeps)), state
+        discard(before)
         sums = state.agg(*(F.sum(F.col(c)[k]) for c in ("parents", "roots") for k in range(sweeps)),
                          F.count(F.when(F.col("parents")[sweeps - 1] == 1, 1)), F.count(F.when(F.col("parents")[sweeps - 1] == 2, 1))).first()
         sums = [float(x or 0) for x in sums]
@@ -287,8 +303,7 @@ def fit(chunked: DataFrame) -> Model:
     d0, base = totals.parent_discount, 1.0 / (vocabulary + 1)
     spare = [(STRENGTH + d0 * t) / (STRENGTH + c) * base for c, t in zip(*means)]
     p = sum(((F.col("parents")[k] - d0 * F.col("roots")[k]) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
-    own = F.zip_with("n", "mean_t", lambda n, t: (n - discount * t).cast("float"))
-    words = state.select("word", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), p.alias("p"), "contexts", own.alias("own"))
+    words = state.select("word", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), p.alias("p"), "own")
     return Model(words, named, int(tokens), int(vocabulary), customers, _by_context(state, "mean_t", places), discount, float(np.mean(spare)))
 
 
@@ -298,7 +313,7 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
         words = _hashes(row["words"])
         return pa.record_batch([pa.array(np.full(len(words), row["chunk"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)], ["chunk", "place", "word"])
     wanted = _each(chunked.select("chunk", "words"), asked, "chunk long, place int, word long")
-    told = wanted.join(model.words, "word").select("chunk", "place", "n", "p", "contexts", "own")
+    told = wanted.join(model.words, "word").select("chunk", "place", "n", "p", "own")
     named, tokens, vocabulary, unknown = model.named, model.tokens, model.vocabulary, model.unknown
     room = STRENGTH + model.customers
     spare = (STRENGTH + model.discount * model.tables) / room
@@ -307,30 +322,35 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
     def work(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        told = told.combine_chunks()
         place = told.column("place").to_numpy()
+        known, likely = told.column("n").to_numpy(), told.column("p").to_numpy()
+        held = told.column("own").to_pylist()
+        entries = own_counts(b"".join(held))
+        size = np.fromiter(map(len, held), np.int64, len(held)) // _OWN.itemsize
+        key = (entries["context"].astype(np.int64) << 32) | np.repeat(place, size).astype(np.int64)
+        order = np.argsort(key)
+        key, own = np.r_[key[order], np.iinfo(np.int64).max], np.r_[entries["own"][order], 0]
         for k in range(texts.num_rows):
             words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py()), np.array(texts["lengths"][k].as_py(), np.int64)
-            first = np.cumsum(lengths) - lengths
             n, p = np.zeros(len(words)), np.full(len(words), unknown)
-            context = contexts_of(words, flat, lengths, named)
-            chance = spare[context]
-            if len(place):
-                n[place], p[place] = told.column("n").to_numpy(), told.column("p").to_numpy()
-                lists = told.column("contexts").combine_chunks()
-                key = (lists.flatten().to_numpy().astype(np.int64) << 32) | np.repeat(place, lists.value_lengths().to_numpy()).astype(np.int64)
-                own = told.column("own").combine_chunks().flatten().to_numpy()
-                order = np.argsort(key)
-                key, own = key[order], own[order]
-                wanted = (context << 32) | flat
-                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-                chance = chance * p[flat] + np.where(key[at] == wanted, own[at], 0) / room[context]
-            else:
-                chance = chance * p[flat]
+            n[place], p[place] = known, likely
             base = np.log10((n + 1) / (tokens + vocabulary + 1))
-            held = texts["held"][k].as_py()
-            out.append(pa.table([texts["doc_ids"][k].values, pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((n > 0)[flat].astype(np.int64), first)),
-                                 pa.array(np.full(len(lengths), tokens)), pa.array(np.add.reduceat(base[flat], first)), pa.array(np.add.reduceat(np.log10(chance), first))], names))
+            ends = np.cumsum(lengths)
+            sums = np.zeros((3, len(lengths)))
+            a = 0
+            while a < len(lengths):  # whole documents, about SCORED tokens at once
+                start = ends[a] - lengths[a]
+                b = max(a + 1, int(np.searchsorted(ends, start + SCORED, "right")))
+                part, first = flat[start:ends[b - 1]], (ends - lengths)[a:b] - start
+                context = contexts_of(words, part, lengths[a:b], named)
+                wanted = (context << 32) | part
+                at = np.searchsorted(key, wanted)
+                chance = spare[context] * p[part] + np.where(key[at] == wanted, own[at], 0) / room[context]
+                for row, x in zip(sums, ((n > 0)[part], base[part], np.log10(chance))):
+                    row[a:b] = np.add.reduceat(x.astype(float), first)
+                a = b
+            out.append(pa.table([texts["doc_ids"][k].values, pa.array(texts["held"][k].as_py()), pa.array(lengths), pa.array(sums[0].astype(np.int64)),
+                                 pa.array(np.full(len(lengths), tokens)), pa.array(sums[1]), pa.array(sums[2])], names))
         schema = pa.schema([("doc_id", texts.schema.field("doc_ids").type.value_type), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:])])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -339,4 +359,5 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     chunked = cut(chunks(docs))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # from here on rows are words, or a few chunks
     return scored(chunked, fit(chunked))
