@@ -12,7 +12,7 @@ What is left is split by the sample's steps: "the same before step i, another ed
 A region's best value is a Gumbel at the logarithm of its mass, cut off at its parent's;
 the region with the largest is opened next.  So the samples come in the order of
 perturbed log-probability, exactly as if every segmentation had been perturbed.  Regions
-lighter than exp(-``DEEP``) are not drawn; together they would win once in 10^14 texts.
+lighter than exp(-``DEEP``) are not drawn; together they would win once in 10^12 texts.
 The inclusion score is log P(a segmentation's value exceeds the best one not emitted).
 
 All draws are counters hashed with the row's key, so a row's samples do not depend on
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, slices, texts_of
 from tidemark.llm.language import Slots
 
-K, ALPHA, OFFSET, DEEP = 2, 1.0, 100.0, 40.0
+K, ALPHA, OFFSET, DEEP = 2, 1.0, 100.0, 34.0
 VOCABULARY, SPACE = "piece_bpe_32k.model", "▁"
-_BLOCK = 4_000_000
+_BLOCK, BATCH = 4_000_000, 1024  # characters and rows that share a lattice
 _UNIT = re.compile(" +[^ ]*")
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -165,10 +165,8 @@ class Lattice:
             h = heads[np.searchsorted(heads, a):np.searchsorted(heads, b)]
             if len(h):
                 beta[src[h]] = np.logaddexp.reduceat(weight[a:b] + beta[dst[a:b]], h - a)
-        log = np.minimum(weight + beta[dst] - beta[src], 0.0)
-        order = np.argsort(src * np.int64(32) + (dst - src))
-        self.src, self.dst, self.piece, self.log = src[order], dst[order], piece[order], log[order]
-        heads = np.flatnonzero(np.r_[True, self.src[1:] != self.src[:-1]]) if len(src) else np.zeros(0, int)
+        # edges of a position stand together already, as they have the same distance from the end
+        self.src, self.dst, self.piece, self.log = src, dst, piece, np.minimum(weight + beta[dst] - beta[src], 0.0)
         count = np.diff(np.r_[heads, len(src)])
         group = np.repeat(np.arange(len(heads)), count)
         self.group = np.zeros(len(beta), np.int64)
@@ -216,9 +214,9 @@ class Lattice:
         return out, begin
 
 
-def _regions(lattice: Lattice, path: np.ndarray, from_step: int, base: float, excluded: tuple[int, ...], bound: float, key: np.uint64):
+def _regions(lattice: Lattice, path: np.ndarray, logs: np.ndarray, from_step: int, base: float, excluded: tuple[int, ...], bound: float, key: np.uint64):
     """Best values of the regions along a path from ``from_step`` on, whose step before has log-probability ``base``."""
-    log = lattice.log[path[from_step:]]
+    log = logs[from_step:]
     before = base + np.cumsum(log) - log
     n = int(np.searchsorted(-before, DEEP, "right"))
     if not n:
@@ -247,9 +245,13 @@ def top_k(lattice: Lattice, paths, unit_of, key: np.uint64, k: int):
     found, heap, turn = [], [], 0
 
     def emit(path: np.ndarray, value: float, from_step: int, base: float, excluded: tuple[int, ...]):
-        found.append((path, float(lattice.log[path].sum()), value))
-        values, before = _regions(lattice, path, from_step, base, excluded, value, stream(key, (1 << 41) + len(found)))
-        for i in np.argsort(-values, kind="stable")[:k + 1 - len(found) + 1]:  # more can never be opened
+        logs = lattice.log[path]
+        found.append((path, float(logs.sum()), value))
+        values, before = _regions(lattice, path, logs, from_step, base, excluded, value, stream(key, (1 << 41) + len(found)))
+        most = k + 1 - len(found)  # more can never be opened, or be the best one left
+        if not len(values):
+            return
+        for i in [int(values.argmax())] if most == 1 else np.argsort(-values, kind="stable")[:most]:
             if np.isfinite(values[i]):
                 taken = (*excluded, int(path[from_step + i])) if i == 0 else (int(path[from_step + i]),)
                 heapq.heappush(heap, (-values[i], len(found), int(i), path, from_step + int(i), float(before[i]), taken))
@@ -346,6 +348,7 @@ def sampled(docs: DataFrame, k: int = K, path: str | None = None) -> DataFrame:
                         out[n].append(v)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
         return pa.record_batch([batch.column("doc_id").take(pa.array(row)), *(pa.array(out[n], t) for n, t in zip(names[1:], kinds))], names)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     source = docs.select("doc_id", F.xxhash64(F.lit("row"), "doc_id").alias("key"), F.col("text").cast("string").alias("text"))
     return arrow_rows(source, work, f"doc_id {kind}, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, whole boolean")
 
