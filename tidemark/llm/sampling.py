@@ -40,7 +40,7 @@ from tidemark.llm.language import Slots
 
 K, ALPHA, OFFSET, DEEP = 2, 1.0, 100.0, 34.0
 VOCABULARY, SPACE = "piece_bpe_32k.model", "▁"
-_BLOCK, BATCH = 4_000_000, 1024  # characters and rows that share a lattice
+_BLOCK, BATCH = 6_000_000, 1600  # characters and rows that share a lattice
 _UNIT = re.compile(" +[^ ]*")
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -155,7 +155,7 @@ class Lattice:
         width = np.where(codes[odd] < 0x80, 1, np.where(codes[odd] < 0x800, 2, np.where(codes[odd] < 0x10000, 3, 4)))
         weight = np.r_[words.weight[piece[:len(piece) - len(odd)]], words.spelled * width]
         left = stop[src] - src  # characters from the edge's start to the end of its unit
-        order = np.argsort(left * np.int64(len(codes) + 1) + src)
+        order = np.argsort((left * np.int64(len(codes) + 1) + src) * (words.longest + 1) + (dst - src))  # no ties, so a batch does not decide the order
         src, dst, piece, weight, left = src[order], dst[order], piece[order], weight[order], left[order]
         src, dst = place[src], dst + unit[src]
         beta = np.zeros(len(codes) + len(units))
