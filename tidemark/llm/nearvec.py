@@ -56,8 +56,22 @@ def rows_of(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
+def packed(vectors: list[np.ndarray]) -> list[bytes]:
+    """Vectors as single-precision bytes where that loses nothing, else in double precision."""
+    short = [v.astype(np.float32) for v in vectors]
+    return [(s if (s == v).all() else v).tobytes() for s, v in zip(short, vectors)]
+
+
+def unpacked(data: list[bytes], size: int) -> np.ndarray:
+    """Rows of doubles from ``packed`` vectors of one length."""
+    kinds = set(map(len, data))
+    if len(kinds) == 1:
+        return np.frombuffer(b"".join(data), np.float32 if kinds == {4 * size} else np.float64).reshape(len(data), size).astype(np.float64)
+    return np.stack([np.frombuffer(p, np.float32 if len(p) == 4 * size else np.float64).astype(np.float64) for p in data])
+
+
 def _coded(reps: DataFrame) -> DataFrame:
-    """(node, label, times, size, codes array, packed doubles) of each distinct vector."""
+    """(node, label, times, size, codes array, packed vector) of each distinct vector."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         vectors = rows_of(batch.column("vec"))
         size = np.array([len(v) for v in vectors])
@@ -66,7 +80,7 @@ def _coded(reps: DataFrame) -> DataFrame:
             at = np.flatnonzero(size == n)
             found[at] = codes(np.stack([vectors[i] for i in at]))
         return pa.record_batch([batch.column("node"), batch.column("label"), batch.column("times"), pa.array(size, pa.int32()), pa.array(found.tolist(), pa.list_(pa.int16())),
-                                pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
+                                pa.array(packed(vectors), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
                                ["node", "label", "times", "size", "codes", "vec", "signs"])
     kind = reps.schema["label"].dataType.simpleString()
     return arrow_rows(reps, work, f"node long, label {kind}, times long, size int, codes array<short>, vec binary, signs binary")
@@ -93,12 +107,13 @@ def linked(reps: DataFrame, least: float = LEAST) -> DataFrame:
         one = part.column("low").to_numpy() == part.column("high").to_numpy()
         tile = part.column("tile").to_numpy()
         signs = np.frombuffer(b"".join(part.column("signs").to_pylist()), np.int16).reshape(-1, TABLES)
-        packed = part.column("vec").to_pylist()
+        held = part.column("vec").to_pylist()
+        sizes = part.column("size").to_numpy()
         label = part.column("label").to_numpy(zero_copy_only=False)
         kinds, firsts, seconds = [], [], []
 
         def vectors(a: int, b: int) -> np.ndarray:
-            v = np.frombuffer(b"".join(packed[a:b]), np.float64).reshape(b - a, -1)
+            v = unpacked(held[a:b], int(sizes[a]))
             return v / np.linalg.norm(v, axis=1, keepdims=True)
 
         def once(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -114,13 +129,11 @@ def linked(reps: DataFrame, least: float = LEAST) -> DataFrame:
         i, j = small_pairs(starts)
         fit = one[i] | (tile[i] != tile[j])
         i, j = i[fit], j[fit]
-        sizes = np.array([len(p) for p in packed])
         if len(i):
             dots = np.zeros(len(i))
             for n in np.unique(sizes[i]):
                 at = np.flatnonzero((sizes[i] == n) & (sizes[j] == n))
-                x = np.frombuffer(b"".join(packed[k] for k in i[at]), np.float64).reshape(len(at), -1)
-                y = np.frombuffer(b"".join(packed[k] for k in j[at]), np.float64).reshape(len(at), -1)
+                x, y = (unpacked([held[k] for k in side[at]], int(n)) for side in (i, j))
                 dots[at] = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             near = (dots >= least) & once(i, j)
             i, j = i[near], j[near]
