@@ -149,6 +149,18 @@ def test_segments_decode_and_do_not_depend_on_the_batch(llm):
     assert all(r["whole"] for r in got) and {r["doc_id"] for r in got} == {i for i, _ in ODD}
 
 
+def test_sampled_rows_hold_their_ids(llm):
+    rows = [(i, words(i, 30)) for i in range(20)] + [(30, "  a  b "), (31, "日本\n🎉 é\x00"), (32, None), (33, "")]
+    got = sampling.sampled(frame(llm, rows, True), k=3)
+    for r in got.collect():
+        assert len(r["ids"]) == r["n_pieces"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    texts = {i: t or "" for i, t in rows}
+    back = sampling.decoded(got).collect()
+    assert len(back) == got.count() and {r["doc_id"] for r in back} == set(texts) and all(r["text"] == texts[r["doc_id"]] for r in back)
+    assert "ids" in sampling.query(frame(llm, rows)).columns
+    assert sampling.decoded(llm.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")).orderBy("doc_id").collect() == [(1, None, None), (2, [], "")]
+
+
 def plain_counts(rows):
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     out = {i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for i, _ in rows}

@@ -330,27 +330,42 @@ def _log_inclusion(x: float) -> float:
 
 
 def sampled(docs: DataFrame, k: int = K, path: str | None = None) -> DataFrame:
-    """(doc_id, sample, ids, log_prob, log_inclusion, whole) for every row; ``whole`` says that decoding gives the text back."""
+    """(doc_id, sample, ids, n_pieces, ids_crc32, log_prob, perturbed, log_inclusion, whole) for every row; ``whole`` says that decoding gives the text back."""
     path = path or vocabulary_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "whole"]
+    names = ["doc_id", "ids", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "whole"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, texts = vocabulary(path), texts_of(batch)
         keys = batch.column("key").to_numpy().view(np.uint64)
-        out = {n: [] for n in names[1:]}
-        row = []
+        out = {n: [] for n in names[2:]}
+        row, drawn = [], []
         for a, b in slices(map(len, texts), _BLOCK):
             for i, found in enumerate(samples(texts[a:b], keys[a:b], words, k)):
                 for s, (ids, log, value, score) in enumerate(found):
-                    row.append(a + i)
-                    for n, v in zip(names[1:], (s + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, value, score, words.decode(ids) == texts[a + i])):
+                    row.append(a + i), drawn.append(ids.astype(np.int32))
+                    for n, v in zip(names[2:], (s + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, value, score, words.decode(ids) == texts[a + i])):
                         out[n].append(v)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-        return pa.record_batch([batch.column("doc_id").take(pa.array(row)), *(pa.array(out[n], t) for n, t in zip(names[1:], kinds))], names)
+        ends = np.r_[0, np.cumsum(out["n_pieces"])].astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(drawn)))
+        return pa.record_batch([batch.column("doc_id").take(pa.array(row)), ids, *(pa.array(out[n], t) for n, t in zip(names[2:], kinds))], names)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     source = docs.select("doc_id", F.xxhash64(F.lit("row"), "doc_id").alias("key"), F.col("text").cast("string").alias("text"))
-    return arrow_rows(source, work, f"doc_id {kind}, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, whole boolean")
+    return arrow_rows(source, work, f"doc_id {kind}, ids array<int>, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, whole boolean")
+
+
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with the ``text`` that their ``ids`` spell; null ids give a null text."""
+    path = path or vocabulary_path()
+    source = rows.select(F.struct(*(c for c in rows.columns if c != "text")).alias("row"), F.col("ids").cast("array<int>").alias("ids"))
+    kind = source.schema["row"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = vocabulary(path)
+        texts = [None if ids is None else words.decode(np.array(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
+        return pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+    return arrow_rows(source, work, f"row {kind}, text string").select("row.*", "text")
 
 
 def query(docs: DataFrame) -> DataFrame:
