@@ -91,6 +91,29 @@ def test_packing_holds_every_token(llm):
         assert not by_doc[i]
 
 
+def test_packed_sequences_hold_their_ids(llm):
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    rows = [(i, words(i, i % 50)) for i in range(120)] + [(200, words(9, 400)), (201, None), (202, "")]
+    got = packing.packed(frame(llm, rows, True), size=64, shard=50).collect()
+    check_packing(got, 64)
+    by_doc = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])):
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        by_doc[r["doc_id"]] += r["ids"]
+    assert by_doc == {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    assert "ids" not in packing.query(frame(llm, rows)).columns
+
+
+def test_pipeline_returns_the_text_as_ids(llm, tmp_path):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    docs = frame(llm, [(i, words(i, 40) + " a@b.cc") for i in range(20)])
+    got = P.pack(llm, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: whole.decode(r["ids"][:-1]) for r in got} == {r["doc_id"]: whole.decode(whole.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_local_search_empties_bins():
     r = np.random.default_rng(0)
     lengths = r.integers(150, 350, 400)

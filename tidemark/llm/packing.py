@@ -113,19 +113,22 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+    """(doc_id, piece, start, length, ids_crc32, ids) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, nth, length, crc = [], [], [], []
+        row, nth, length, crc, held = [], [], [], [], []
         for i, ids in enumerate(Encoder.of(path).encode(texts_of(batch))):
             ids += _END
+            held.append(ids)
             for k, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at:at + 4 * size]
                 row.append(i), nth.append(k), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+        ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
+        tokens = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(held), "<i4")))
         return pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(nth, pa.int32()), pa.array([k * size for k in nth], pa.int64()),
-                                pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    return arrow_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+                                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), tokens], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+    return arrow_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -250,19 +253,22 @@ def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
 
 
 def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, shard: int = SHARD) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of every piece; ``ids`` are its tokens.
+
+    Only lengths are packed; their places are joined back to the written pieces.
+    """
     ready = cut(pieces(docs, path or vocabulary_path(), size).withColumn("nth", F.monotonically_increasing_id()))
     shards = max(1, -(-ready.count() // shard))
-    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("nth"), F.lit(shards)))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    dealt = ready.select("nth", "length", F.pmod(F.xxhash64("nth"), F.lit(shards)).alias("shard"))
 
     def work(part: pa.Table) -> pa.Table:
         where, offset = pack(part.column("length").to_numpy(), size)
         ids = part.column("shard").to_numpy() * (1 << 32) + where
-        return pa.table([*(part.column(c) for c in names), pa.array(ids), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-    kind = ready.schema["doc_id"].dataType.simpleString()
-    return dealt.drop("nth").groupBy("shard").applyInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        return pa.table([part.column("nth"), pa.array(ids), pa.array(offset)], names=["nth", "sequence_id", "offset"])
+    places = dealt.groupBy("shard").applyInArrow(work, "nth long, sequence_id long, offset long")
+    return ready.join(places, "nth").drop("nth")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return packed(docs)
+    """The packing with each piece's checksum for its ids."""
+    return packed(docs).drop("ids")
