@@ -166,3 +166,14 @@ def test_null_labels_are_not_learnt(llm, corpus):
     odd = labels.union(llm.createDataFrame([(None, 0, 1), (5, None, None), (10**9, 0, 1)], LABELS))
     a = quality.query(docs, labels).orderBy("doc_id").select(F.round("score", 9)).collect()
     assert a == quality.query(docs, odd).orderBy("doc_id").select(F.round("score", 9)).collect()
+
+
+def test_languages_with_only_long_or_null_texts(llm):
+    long = "zug quark jodel " * 2000
+    rows = [(i, words(i, 40), "en") for i in range(30)] + [(100 + i, long, "de") for i in range(10)] + [(200 + i, None, "fr") for i in range(10)] + [(300, "quark zug jodel zug", None)]
+    model = language.fit(frame(llm, rows))
+    assert model.names == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.query(frame(llm, rows, True)).collect()}
+    assert len(got) == len(rows) and got[300] == "de" and got[0] == "en" and got[200] == "und"
+    few = language.fit(frame(llm, [(1, words(i, 5), "en") for i in range(40)]), rows=1)  # one key, of which a share is drawn
+    assert few.names == ["en"] and few.best(["there"])[0] == ["en"]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, ranked_share, remainder
 
-#: Bytes of context; documents a language that the trees are built from, and their longest text.
+#: Bytes of context; documents a language that the trees are built from, and their mean length at most.
 ORDER, FIT_ROWS, FIT_LONGEST = 3, 800, 20_000
 HELD_OUT, UNKNOWN = 5, "und"
 _BLOCK = 1 << 20
@@ -213,15 +213,23 @@ def build(texts: dict[str, list[str]], order: int = ORDER) -> Coder:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, longest: int = FIT_LONGEST, order: int = ORDER) -> Coder:
-    """Trees from at most ``rows`` documents of each language that may be learnt from."""
+    """Trees from at most ``rows`` documents of each language that may be learnt from.
+
+    A language's texts have ``rows`` times ``longest`` characters at most: where there are
+    fewer than ``rows`` documents, each may be longer in proportion; only what is beyond
+    that is left out of a text.  A language without a text that is not null has no tree.
+    """
     known = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
-        F.col("lang").isNotNull() & (remainder("doc_id", HELD_OUT) != 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", HELD_OUT) != 0))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return build({}, order)
-    share = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(min(1.0, rows / n) * (1 << 30)))))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    sample = known.where(drawn < share[F.col("lang")]).where(F.length("text") <= longest).dropDuplicates(["doc_id", "lang", "text"])
+    least = {r["lang"]: r["least"] for r in found}  # so that at least one document is drawn
+    share = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, max(int(min(1.0, rows / n) * (1 << 30)), least[name] + 1))))
+    most = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, rows * longest // min(n, rows))))
+    sample = known.where(drawn < share[F.col("lang")]).withColumn("text", F.col("text").substr(F.lit(1), most[F.col("lang")])).dropDuplicates(["doc_id", "lang", "text"])
     texts: dict[str, list[str]] = {name: [] for name in counts}
     for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect():
         if len(texts[r["lang"]]) < rows:
