@@ -216,6 +216,31 @@ def test_language_model_base_and_gain(llm, monkeypatch):
         assert own + spare * (sum(w["p"] for w in words_) + model.unknown) == pytest.approx(1, rel=1e-5)
 
 
+def test_every_word_before_has_a_restaurant(llm):
+    r = random.Random(3)
+    rare = [("k" + words(500 + i, 3).replace(" ", ""), "v" + words(700 + i, 3).replace(" ", "")) for i in range(300)]
+    rows = [(i, " ".join(x for _ in range(8) for x in (*r.choice(rare), words(r.randint(0, 400), 1)))) for i in range(500)]
+    chunked = pitmanyor.cut(pitmanyor.chunks(frame(llm, rows), size=4000))
+    model = pitmanyor.fit(chunked)
+    tokens, out, counts = plain_counts(rows)
+    assert len(model.named) == len(counts) - 1 and len(model.named) > 202
+    number = {w: i + 2 for i, w in enumerate(model.named.tolist())}
+    signed = lambda w: int(np.array([pitmanyor.xxhash.xxh64_intdigest(w)], np.uint64).view(np.int64)[0])
+    known = {w["word"]: w for w in model.words.collect()}
+    own = {w: dict(pitmanyor.own_counts(bytes(row["own"])).tolist()) for w, row in known.items()}
+    pairs = collections.Counter(p for i, ws in tokens if not out[i] for p in zip([b"", *ws], ws))
+    assert sum(map(len, own.values())) == len(pairs) > 202
+    got = {g["doc_id"]: g["score"] for g in pitmanyor.scored(chunked, model).collect()}
+    for i, ws in tokens:
+        want = 0.0
+        for u, w in zip([b"", *ws], ws):
+            context = number.get(signed(u), 0) if u else 1
+            room = pitmanyor.STRENGTH + model.customers[context]
+            p = known[signed(w)]["p"] if counts[w] else model.unknown
+            want += math.log10((own.get(signed(w), {}).get(context, 0) + (pitmanyor.STRENGTH + model.discount * model.tables[context]) * p) / room)
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
 def test_tables_follow_the_exact_law():
     draw, d, p, rest = np.random.default_rng(0), 0.6, 0.02, 30
     stirling = pitmanyor.log_stirling(pitmanyor.EXACT, d)

@@ -1,9 +1,8 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Tokens are lower-cased (A-Z) words and one end a document.  Every context is a
-restaurant: the start of a document, each word that makes up at least one in
-``CONTEXT_SHARE`` training tokens (so there are never more than that many), and one for
-all other words before.  They share one parent, the restaurant of single words, whose
+restaurant: the start of a document and every word that precedes another one in training.
+They share one parent, the restaurant of single words, whose
 base is uniform over the V training words and the unknown word.
 
 Customers of a dish (word) in a restaurant sit at tables, and each table is one customer
@@ -11,15 +10,19 @@ of the dish in the parent.  Seatings are sampled by Gibbs: a dish's tables in on
 restaurant are drawn anew given the parent's prediction without them, for up to
 ``EXACT`` customers from the exact conditional law of the number of tables (generalised
 Stirling numbers), beyond that by seating the customers in arriving blocks of a
-twentieth.  All restaurants of a word are one row, so sweeps need no shuffle; the totals
-over words that a sweep needs come from the sweep job before.  Discounts are estimated
+twentieth.  A dish with one customer has one table, so only pairs that occur twice or more
+are rows of the sampler.  A job joins them with the totals of their word and of their
+context, which stand in one table by word and are those of the job before; within a job
+the rows of a word in one batch follow each other's draws.  Discounts are estimated
 from the counts of counts.  After a seating job and a burn-in job, ``SAMPLES`` sweeps are
 averaged, and P(w | u) = (n - d t) / (theta + C) + (theta + d T) / (theta + C) P(w) with the
-averages is again a distribution.
+averages is again a distribution.  C is how often u occurs, as each word but the end has a
+word after it; the end stands for the start of a document.
 
 Texts are read and split once, into chunks of about ``CHUNK`` characters with their own
 word lists.  Counts are summed over chunks, and what the model says of a chunk's words
-is joined back to it, so no task needs the vocabulary.  Words are known by their 64-bit
+and pairs is joined back to it, so no task needs the vocabulary; a pair that occurs once in
+all needs no answer in its chunk.  Words are known by their 64-bit
 XXH64; two words of one hash would count as one.
 
 Null and empty texts are the end alone.  Without training text every word is unknown
@@ -33,26 +36,28 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, cut, remainder, texts_of
 from tidemark.session import discard
 
 HELD_OUT, CHUNK = 7, 24_000_000
-CONTEXT_SHARE, EXACT, BURN, SAMPLES, SEED = 200, 64, 2, 3, 8
+EXACT, BURN, SAMPLES, SEED = 64, 2, 3, 8
 STRENGTH = 1.0  # theta of every restaurant
-OTHER, START = 0, 1
-#: Words that a task of the sampler takes at once; tokens that are scored at once.
-WORD_ROWS, SCORED = 16_384, 500_000
+#: Rows that a task of the sampler takes at once, and that a chunk gives at once; tokens that are scored at once.
+WORD_ROWS, GIVEN, SCORED = 16_384, 100_000, 500_000
 _END = b""
+#: The end's hash, which is the start of a document as a context.
+START = int(np.array([xxhash.xxh64_intdigest(_END)], np.uint64).view(np.int64)[0])
 #: A word's customers less its tables' discounts in one restaurant.
-_OWN = np.dtype([("context", "<i2"), ("own", "<f4")])
+_OWN = np.dtype([("context", "<i4"), ("own", "<f4")])
 
 
 class _Index(dict):
@@ -124,7 +129,8 @@ def _each(frame: DataFrame, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield work({c: batch.column(c)[k].as_py() for c in batch.schema.names})
+                out = work({c: batch.column(c)[k].as_py() for c in batch.schema.names})
+                yield from (out.slice(a, GIVEN) for a in range(0, out.num_rows, GIVEN))
     return frame.mapInArrow(run, schema)
 
 
@@ -137,24 +143,24 @@ def _word_counts(row: dict) -> pa.RecordBatch:
     return pa.record_batch([pa.array(words[counts > 0]), pa.array(counts[counts > 0])], ["word", "n"])
 
 
-def contexts_of(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, named: np.ndarray) -> np.ndarray:
-    """Context number of each token; ``named`` are the sorted hashes of the words with a restaurant of their own."""
-    own = np.full(len(words), OTHER)
-    if len(named):
-        at = np.minimum(np.searchsorted(named, words), len(named) - 1)
-        own = np.where(named[at] == words, at + 2, OTHER)
-    context = np.r_[START, own[tokens[:-1]]]
-    context[(np.cumsum(lengths) - lengths)] = START
-    return context
+def pair_codes(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Place of the word before and of the word, as one number, for each token of whole documents."""
+    before = np.r_[0, tokens[:-1]]
+    before[np.cumsum(lengths) - lengths] = np.flatnonzero(words == START)[0]
+    return (before << 32) | tokens
 
 
-def _pair_counts(named: np.ndarray):
-    def work(row: dict) -> pa.RecordBatch:
-        words, tokens, lengths = _hashes(row["words"]), _unpacked(row["tokens"]), np.array(row["lengths"])
-        learnt = np.repeat(~np.array(row["held"]), lengths)
-        key, n = np.unique((contexts_of(words, tokens, lengths, named)[learnt] << 32) | tokens[learnt], return_counts=True)
-        return pa.record_batch([pa.array(words[key & 0xFFFFFFFF]), pa.array((key >> 32).astype(np.int32)), pa.array(n)], ["word", "context", "n"])
-    return work
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a chunk's pairs, sorted, their training counts, and each token's pair."""
+    tokens, lengths = _unpacked(row["tokens"]), np.array(row["lengths"], np.int64)
+    key, at = np.unique(pair_codes(_hashes(row["words"]), tokens, lengths), return_inverse=True)
+    return key, np.bincount(at[np.repeat(~np.array(row["held"]), lengths)], minlength=len(key)), at
+
+
+def _pair_counts(row: dict) -> pa.RecordBatch:
+    words, (key, n, _) = _hashes(row["words"]), _pairs_of(row)
+    return pa.record_batch([pa.array(np.full(len(key), row["chunk"])), pa.array(np.arange(len(key), dtype=np.int32)), pa.array(words[key >> 32]),
+                            pa.array(words[key & 0xFFFFFFFF]), pa.array(n)], ["chunk", "pair", "context", "word", "n"])
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -203,7 +209,6 @@ class Totals:
     """What sweeps need beyond a word's own row."""
 
     vocabulary: int
-    tables: np.ndarray  # by context
     parent_customers: float
     parent_tables: float
     discount: float
@@ -211,47 +216,58 @@ class Totals:
 
 
 def _sweeps(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFrame:
-    """Rows (word, contexts, n, t, root_t) after ``sweeps`` sweeps, with what each sweep left: sums of t, and the parent's counts."""
-    below, above = log_stirling(EXACT, totals.discount), log_stirling(EXACT, totals.parent_discount)
-    base = 1.0 / (totals.vocabulary + 1)
+    """Rows (word, context, n, draws) of pairs after ``sweeps`` sweeps; ``c``, ``root_t`` and ``seated`` are the totals of the word and the context."""
+    below, base = log_stirling(EXACT, totals.discount), 1.0 / (totals.vocabulary + 1)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word = batch.column("word").to_numpy()
-        draw = np.random.default_rng([SEED, job, len(word), *(int(word[k]) & 0xFFFFFFFF for k in (0, -1))])
-        size = batch.column("contexts").value_lengths().to_numpy()
-        first = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(word)), size)
-        context, n, t = (batch.column(x).flatten().to_numpy().astype(np.int64) for x in ("contexts", "n", "t"))
-        root_t = batch.column("root_t").to_numpy().astype(np.int64)
-        summed, parents, roots = np.zeros(len(n)), [], []
+        word, context, n, t, c, root_t, seated = (batch.column(x).to_numpy().astype(np.int64) for x in ("word", "context", "n", "t", "c", "root_t", "seated"))
+        draw = np.random.default_rng([SEED, job, len(word), *(int(x[k]) & 0xFFFFFFFF for x in (word, context) for k in (0, -1))])
+        _, first, owner = np.unique(word, return_index=True, return_inverse=True)
+        apart = c[first] - np.bincount(owner, t).astype(np.int64)  # tables of these words outside the batch
+        others, draws = seated - t, []
         for _ in range(sweeps):
-            c = np.add.reduceat(t, first)
-            rest = c[owner] - t
-            held = np.minimum(root_t[owner], rest)
+            rest = (apart + np.bincount(owner, t).astype(np.int64))[owner] - t
             room = STRENGTH + np.maximum(totals.parent_customers - t, 0)
-            p = ((rest - totals.parent_discount * held) + (STRENGTH + totals.parent_discount * totals.parent_tables) * base) / room
-            t = tables(n, p, totals.discount, totals.tables[context] - t, below, draw)
-            c = np.add.reduceat(t, first)
-            root_t = tables(c, np.full(len(c), base), totals.parent_discount, totals.parent_tables - root_t, above, draw)
-            summed += t
-            parents.append(c), roots.append(root_t)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), x)
-        rows = lambda x: pa.array(np.stack(x, 1).tolist(), pa.list_(pa.int64()))
-        own = np.zeros(len(n), _OWN)
-        own["context"], own["own"] = context, n - totals.discount * summed / sweeps
-        ends = pa.py_buffer((np.r_[0, np.cumsum(size)] * _OWN.itemsize).astype(np.int32).tobytes())
-        own = pa.Array.from_buffers(pa.binary(), len(word), [None, ends, pa.py_buffer(own.tobytes())])
-        return pa.record_batch([batch.column("word"), batch.column("contexts"), batch.column("n"), lists(pa.array(t)), pa.array(root_t),
-                                lists(pa.array(summed / sweeps)), own, rows(parents), rows(roots)], ["word", "contexts", "n", "t", "root_t", "mean_t", "own", "parents", "roots"])
-    schema = "word long, contexts array<int>, n array<long>, t array<long>, root_t long, mean_t array<double>, own binary, parents array<long>, roots array<long>"
-    return arrow_rows(frame.select("word", "contexts", "n", "t", "root_t"), work, schema)
-
-
-def _by_context(frame: DataFrame, value: str, contexts: int) -> np.ndarray:
-    out = np.zeros(contexts)
-    for r in frame.select(F.explode(F.arrays_zip("contexts", F.col(value).alias("v"))).alias("x")).groupBy("x.contexts").agg(F.sum("x.v").alias("s")).collect():
-        out[r["contexts"]] = r["s"]
-    return out
+            p = ((rest - totals.parent_discount * np.minimum(root_t, rest)) + (STRENGTH + totals.parent_discount * totals.parent_tables) * base) / room
+            t = tables(n, p, totals.discount, others, below, draw)
+            draws.append(t)
+        draws = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(draws, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
+        return pa.record_batch([batch.column("word"), batch.column("context"), batch.column("n"), draws], ["word", "context", "n", "draws"])
+    return arrow_rows(frame, work, "word long, context long, n long, draws array<long>")
+
+
+def _seated(words: DataFrame, state: DataFrame, sweeps: int) -> DataFrame:
+    """(word, n, root_t, busy, parents, seated, mean): a word's tables in all restaurants after each sweep, and those in its own restaurant, last and on average.
+
+    Pairs that are not in ``state`` have one customer and one table.
+    """
+    none, last = F.lit(0).cast("long"), F.col("draws")[sweeps - 1]
+    total = F.aggregate("draws", none, lambda a, x: a + x)
+    more = [(F.col("draws")[k] - F.col("n")).alias(f"c{k}") for k in range(sweeps)]
+    both = state.select("word", *more, none.alias("seated"), none.alias("total")).unionByName(
+        state.select(F.col("context").alias("word"), *(none.alias(f"c{k}") for k in range(sweeps)), (last - F.col("n")).alias("seated"), (total - sweeps * F.col("n")).alias("total")))
+    sums = both.groupBy("word").agg(*(F.sum(c).alias(c) for c in [f"c{k}" for k in range(sweeps)] + ["seated", "total"]))
+    add = lambda c: F.col("n") + F.coalesce(F.col(c), none)
+    return words.select("word", "n", "root_t").join(sums, "word", "left").select(
+        "word", "n", "root_t", F.col("total").isNotNull().alias("busy"), F.array(*(add(f"c{k}") for k in range(sweeps))).alias("parents"),
+        add("seated").alias("seated"), (F.col("n") + F.coalesce(F.col("total"), none) / sweeps).alias("mean"))
+
+
+def _rooted(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFrame:
+    """The same with ``roots``: each sweep's tables in the parent."""
+    above, base = log_stirling(EXACT, totals.parent_discount), 1.0 / (totals.vocabulary + 1)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        word, root_t = batch.column("word").to_numpy(), batch.column("root_t").to_numpy().astype(np.int64)
+        draw = np.random.default_rng([SEED, job, len(word), *(int(word[k]) & 0xFFFFFFFF for k in (0, -1))])
+        parents, roots = batch.column("parents").flatten().to_numpy().reshape(-1, sweeps), []
+        for k in range(sweeps):
+            root_t = tables(parents[:, k], np.full(len(word), base), totals.parent_discount, totals.parent_tables - root_t, above, draw)
+            roots.append(root_t)
+        roots = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(roots, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
+        out = {c: batch.column(c) for c in ("word", "n", "busy", "parents", "seated", "mean")} | {"root_t": pa.array(root_t), "roots": roots}
+        return pa.record_batch(list(out.values()), list(out))
+    return arrow_rows(frame, work, "word long, n long, busy boolean, parents array<long>, seated long, mean double, root_t long, roots array<long>")
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -260,80 +276,121 @@ def _discount(ones: int, twos: int) -> float:
 
 @dataclass
 class Model:
-    """Per-word rows (word, n, p, own) and the numbers that all words share."""
+    """Rows of words (word, n, p, mean), rows of pairs, and the numbers that all words share."""
 
-    words: DataFrame
-    named: np.ndarray
+    dishes: DataFrame
+    state: DataFrame  # pairs with two training tokens or more: word, context, n, draws
+    shared: DataFrame  # chunks' pairs that need an answer
+    pairs: DataFrame  # all pairs of all chunks, not yet counted
     tokens: int
     vocabulary: int
-    customers: np.ndarray
-    tables: np.ndarray
     discount: float
     unknown: float
 
+    def owned(self) -> DataFrame:
+        """(word, context, own) of the pairs in ``state``: customers less discounts."""
+        mean = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x) / SAMPLES
+        return self.state.select("word", "context", (F.col("n") - self.discount * mean).alias("own"))
+
+    # Below, a small model as a whole on the driver, to look at: context 0 is a word not seen before, 1 the start, others as in ``named``.
+    @cached_property
+    def _known(self) -> dict:
+        return {r["word"]: r for r in self.dishes.collect()}
+
+    @cached_property
+    def named(self) -> np.ndarray:
+        return np.array(sorted(w for w in self._known if w != START), np.int64)
+
+    @cached_property
+    def customers(self) -> np.ndarray:
+        return np.array([0, *(self._known[w]["n"] if w in self._known else 0 for w in (START, *self.named))])
+
+    @cached_property
+    def tables(self) -> np.ndarray:
+        return np.array([0, *(self._known[w]["mean"] if w in self._known else 0 for w in (START, *self.named))])
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """(word, n, p, own) with the entries of ``own_counts``."""
+        every = self.pairs.groupBy("word", "context").agg(F.sum("n").alias("n")).where("n > 0")
+        number = {START: 1} | {int(w): i + 2 for i, w in enumerate(self.named)}
+        own = {w: [] for w in self._known}
+        for r in every.join(self.owned(), ["word", "context"], "left").collect():
+            own[r["word"]].append((number[r["context"]], r["n"] - self.discount if r["own"] is None else r["own"]))
+        return self.dishes.sparkSession.createDataFrame([(w, r["n"], r["p"], bytearray(np.array(own[w], _OWN).tobytes())) for w, r in self._known.items()],
+                                                        "word long, n long, p double, own binary")
+
 
 def fit(chunked: DataFrame) -> Model:
     """Count, seat, sample and average over the training documents of all chunks."""
     counted = cut(_each(chunked.select("words", "counts"), _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    often = counted.where(F.col("n") * CONTEXT_SHARE >= tokens).select("word").collect()
-    named = np.sort(np.array([r["word"] for r in often], np.int64))
-    discard(counted)
-    pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts(named), "word long, context int, n long")
-    pairs = pairs.groupBy("word", "context").agg(F.sum("n").alias("n"))
-    held = pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("x"))  # a row a word: CONTEXT_SHARE + 2 entries at most
-    ones = F.transform("x.n", lambda n: F.lit(1).cast("long"))
-    state = cut(held.select("word", F.col("x.context").alias("contexts"), F.col("x.n").alias("n"), ones.alias("t"), F.lit(1).cast("long").alias("root_t")))
-    alike = state.select(F.explode("n").alias("n")).where("n <= 2").groupBy("n").count().collect()
-    alike = {r["n"]: r["count"] for r in alike}
-    places = len(named) + 2
-    customers = _by_context(state, "n", places)
-    discount = _discount(alike.get(1, 0), alike.get(2, 0))
-    totals = Totals(vocabulary, _by_context(state, "t", places), float(vocabulary), float(vocabulary), discount, 0.5)
+    pairs = _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), _pair_counts, "chunk long, pair int, context long, word long, n long")
+    same = Window.partitionBy("word", "context")
+    shared = pairs.select("*", F.sum("n").over(same).alias("total"), F.min("chunk").over(same).alias("first")).where("total > 1 or (total = 1 and n = 0)")
+    shared = cut(shared.selectExpr("chunk", "pair", "context", "word", "total", "first = chunk as first"))
+    state = shared.where("first and total > 1").selectExpr("word", "context", "total as n", "array(1L) as draws")
+    held, twos = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") == 2, 1))).first()
+    discount = _discount(tokens - held, twos)  # what is in no row of the state are single customers
+    words = cut(_seated(counted.withColumn("root_t", F.lit(1).cast("long")), state, 1))
+    customers = words.agg(F.coalesce(F.sum(F.col("parents")[0]), F.lit(0))).first()[0]
+    totals, last = Totals(vocabulary, float(customers), float(vocabulary), discount, 0.5), 1
     means = None
     for job, sweeps in enumerate((1, BURN, SAMPLES)):
-        state, before = cut(_sweeps(state, totals, job, sweeps)), state
-        discard(before)
-        sums = state.agg(*(F.sum(F.col(c)[k]) for c in ("parents", "roots") for k in range(sweeps)),
+        busy = words.where("busy")
+        rows = state.select("word", "context", "n", F.col("draws")[last - 1].alias("t")).join(busy.select(F.col("word").alias("context"), "seated"), "context")
+        rows = rows.join(busy.select("word", F.col("parents")[last - 1].alias("c"), "root_t"), "word")
+        before = state
+        state = cut(_sweeps(rows, totals, job, sweeps))
+        if job:
+            discard(before)
+        words, old, last = cut(_rooted(_seated(words, state, sweeps), totals, job, sweeps)), words, sweeps
+        discard(old)
+        sums = words.agg(*(F.sum(F.col(c)[k]) for c in ("parents", "roots") for k in range(sweeps)),
                          F.count(F.when(F.col("parents")[sweeps - 1] == 1, 1)), F.count(F.when(F.col("parents")[sweeps - 1] == 2, 1))).first()
         sums = [float(x or 0) for x in sums]
         means = (sums[:sweeps], sums[sweeps:2 * sweeps])
         parent_discount = totals.parent_discount if job else _discount(int(sums[-2]), int(sums[-1]))
-        totals = Totals(vocabulary, _by_context(state, "t", places), means[0][-1], means[1][-1], discount, parent_discount)
+        totals = Totals(vocabulary, means[0][-1], means[1][-1], discount, parent_discount)
+    discard(counted)
     d0, base = totals.parent_discount, 1.0 / (vocabulary + 1)
     spare = [(STRENGTH + d0 * t) / (STRENGTH + c) * base for c, t in zip(*means)]
     p = sum(((F.col("parents")[k] - d0 * F.col("roots")[k]) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
-    words = state.select("word", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), p.alias("p"), "own")
-    return Model(words, named, int(tokens), int(vocabulary), customers, _by_context(state, "mean_t", places), discount, float(np.mean(spare)))
+    return Model(words.select("word", "n", p.alias("p"), "mean"), state, shared, pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
 
 
 def scored(chunked: DataFrame, model: Model) -> DataFrame:
-    """Scores of all documents of the chunks."""
+    """Scores of all documents of the chunks, which are those that the model was fitted on."""
     def asked(row: dict) -> pa.RecordBatch:
         words = _hashes(row["words"])
         return pa.record_batch([pa.array(np.full(len(words), row["chunk"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)], ["chunk", "place", "word"])
     wanted = _each(chunked.select("chunk", "words"), asked, "chunk long, place int, word long")
-    told = wanted.join(model.words, "word").select("chunk", "place", "n", "p", "own")
-    named, tokens, vocabulary, unknown = model.named, model.tokens, model.vocabulary, model.unknown
-    room = STRENGTH + model.customers
-    spare = (STRENGTH + model.discount * model.tables) / room
+    none = F.lit(0).cast("long")
+    told = wanted.join(model.dishes, "word").select("chunk", "place", "n", "p", "mean")
+    place = (-1 - F.col("pair")).alias("place")
+    many = model.shared.where("total > 1").join(model.owned(), ["word", "context"]).select("chunk", place, none.alias("n"), F.col("own").alias("p"), F.lit(0.0).alias("mean"))
+    once = model.shared.where("total = 1").select("chunk", place, none.alias("n"), F.lit(1 - model.discount).alias("p"), F.lit(0.0).alias("mean"))
+    told = told.unionByName(many).unionByName(once)
+    tokens, vocabulary, unknown, discount = model.tokens, model.vocabulary, model.unknown, model.discount
     kind = chunked.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def work(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        place = told.column("place").to_numpy()
-        known, likely = told.column("n").to_numpy(), told.column("p").to_numpy()
-        held = told.column("own").to_pylist()
-        entries = own_counts(b"".join(held))
-        size = np.fromiter(map(len, held), np.int64, len(held)) // _OWN.itemsize
-        key = (entries["context"].astype(np.int64) << 32) | np.repeat(place, size).astype(np.int64)
-        order = np.argsort(key)
-        key, own = np.r_[key[order], np.iinfo(np.int64).max], np.r_[entries["own"][order], 0]
+        place, values = told.column("place").to_numpy(), told.column("p").to_numpy()
+        pair, word = place < 0, place >= 0
+        known, seated = told.column("n").to_numpy()[word], told.column("mean").to_numpy()[word]
         for k in range(texts.num_rows):
             words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py()), np.array(texts["lengths"][k].as_py(), np.int64)
             n, p = np.zeros(len(words)), np.full(len(words), unknown)
-            n[place], p[place] = known, likely
+            n[place[word]], p[place[word]] = known, values[word]
+            room, spare = STRENGTH + n, np.full(len(words), STRENGTH)
+            spare[place[word]] += discount * seated
+            key, count, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "tokens", "lengths", "held")})
+            own = np.where(count == 1, 1 - discount, 0.0)  # one customer; others have answers
+            own[-1 - place[pair]] = values[pair]
+            before, after = key >> 32, key & 0xFFFFFFFF
+            chance = np.log10((spare[before] * p[after] + own) / room[before])
             base = np.log10((n + 1) / (tokens + vocabulary + 1))
             ends = np.cumsum(lengths)
             sums = np.zeros((3, len(lengths)))
@@ -342,11 +399,7 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
                 start = ends[a] - lengths[a]
                 b = max(a + 1, int(np.searchsorted(ends, start + SCORED, "right")))
                 part, first = flat[start:ends[b - 1]], (ends - lengths)[a:b] - start
-                context = contexts_of(words, part, lengths[a:b], named)
-                wanted = (context << 32) | part
-                at = np.searchsorted(key, wanted)
-                chance = spare[context] * p[part] + np.where(key[at] == wanted, own[at], 0) / room[context]
-                for row, x in zip(sums, ((n > 0)[part], base[part], np.log10(chance))):
+                for row, x in zip(sums, ((n > 0)[part], base[part], chance[at[start:ends[b - 1]]])):
                     row[a:b] = np.add.reduceat(x.astype(float), first)
                 a = b
             out.append(pa.table([texts["doc_ids"][k].values, pa.array(texts["held"][k].as_py()), pa.array(lengths), pa.array(sums[0].astype(np.int64)),
