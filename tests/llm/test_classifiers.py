@@ -177,3 +177,11 @@ def test_languages_with_only_long_or_null_texts(llm):
     assert len(got) == len(rows) and got[300] == "de" and got[0] == "en" and got[200] == "und"
     few = language.fit(frame(llm, [(1, words(i, 5), "en") for i in range(40)]), rows=1)  # one key, of which a share is drawn
     assert few.names == ["en"] and few.best(["there"])[0] == ["en"]
+
+
+def test_short_clean_documents_are_kept(llm):
+    rows = [(i, words(i // 4, 40), f"l{i % 4}") for i in range(120)] + [(200 + i, "the", None) for i in range(3)] + [(300, "12", None)]
+    docs = frame(llm, rows)
+    model = language.fit(docs)
+    assert 0 < model.best(["the"])[1][0] < 0.5
+    assert {r["doc_id"] for r in language.kept(docs, model).collect()} == {r[0] for r in rows} - {300}

@@ -249,8 +249,8 @@ def marked(docs: DataFrame, model: Coder, keep: list[str]) -> DataFrame:
     return arrow_rows(source, work, f"row {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def kept(docs: DataFrame, model: Coder, least: float = 0.5) -> DataFrame:
-    """The rows with a recognised language, which replaces ``lang``."""
+def kept(docs: DataFrame, model: Coder, least: float = 0.0) -> DataFrame:
+    """The rows with a recognised language, which replaces ``lang``; a caller may ask for a score of ``least`` too."""
     found = marked(docs, model, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns))
 
