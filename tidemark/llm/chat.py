@@ -81,15 +81,17 @@ def turn_texts(formatted: Column) -> Column:
     """The rendered turns of a text, (open, body, close) each; null where the text does not follow the grammar."""
     marks = F.regexp_extract_all(formatted, F.lit(_MARK), F.lit(0))
     between = F.split(formatted, _MARK, -1)
-    turns = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(marks) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
-        F.get(between, i * 2).alias("before"), F.get(marks, i * 2).alias("open"), F.get(between, i * 2 + 1).alias("body"), F.get(marks, i * 2 + 1).alias("close")))
+    # Zipped, since what a lambda refers to outside itself is computed again for every element.
+    every = lambda array, nth: F.filter(array, lambda _, i: i % 2 == nth)
+    turns = F.arrays_zip(every(between, 0).alias("before"), every(marks, 0).alias("open"), every(between, 1).alias("body"), every(marks, 1).alias("close"))
+    turns = F.slice(turns, F.lit(1), F.floor(F.size(marks) / 2).cast("int"))
 
     def sound(t: Column) -> Column:
         pair = F.lit(False)
         for a, b in [*MARKS.values(), OTHER]:
             pair = pair | ((t["open"] == a) & (t["close"] == b))
         return F.coalesce(pair & (t["before"] == "") & (F.length(t["body"]) >= 2) & t["body"].startswith(" ") & t["body"].endswith(" "), F.lit(False))
-    whole = (F.size(marks) % 2 == 0) & (F.get(between, F.size(marks)) == "") & F.forall(turns, sound)
+    whole = (F.size(marks) > 0) & (F.size(marks) % 2 == 0) & (F.get(between, F.size(marks)) == "") & F.forall(turns, sound)
     return F.when(whole, F.transform(turns, lambda t: F.struct(t["open"].alias("open"), t["body"].alias("body"), t["close"].alias("close"))))
 
 
