@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, language, nearvec, packing, pii, pitmanyor, quality, sampling, simhash, topk, toxicity
+from tidemark.llm import alignment, chat, filteraudit, language, nearvec, packing, pii, pitmanyor, quality, sampling, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -50,9 +50,17 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.query(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op6_sampling, op7_packing, op8_pitman_yor, op9_language, op10_near_embeddings, op12_chat)}
-SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL, "op12_chat": chat.SQL}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_quality, op5_topk, op6_sampling, op7_packing, op8_pitman_yor, op9_language, op10_near_embeddings, op11_filter_audit, op12_chat, op13_alignment)}
+SQL: dict[str, str] = {"op5_topk": topk.SQL, "op10_near_embeddings": nearvec.SQL, "op11_filter_audit": filteraudit.SQL, "op12_chat": chat.SQL}
