@@ -275,8 +275,8 @@ orders as (
 steps as (select filter_order, k::int as step, filter_order[k] as l, left(filter_order, k - 1) as before from orders, range(1, 6) r(k)),
 seen as (
     select part, filter_order, step, l, n, good, toxic, f[ascii(l) - 64] as bad,
-           len(list_filter(range(1, step), i -> f[ascii(before[i]) - 64])) > 0 as gone,
-           len(list_filter(f, x -> x)) as failed
+           len(list_filter(range(1, step), lambda i: f[ascii(before[i]) - 64])) > 0 as gone,
+           len(list_filter(f, lambda x: x)) as failed
     from cells, steps),
 sums as (
     select part, filter_order, step, l, coalesce(sum(n) filter (where not gone and not bad), 0)::bigint as kept,
