@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
-BITS = ["[INST]", "[/INST]", "<s>", "</s>", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[\\INST]", "<\\\\/s>", "[", "<", "\\", "]", ">", "/", "INST]", "s>", " ", "\n", "\\n", "\\b", "a", "é", "🎉", "$1", "\x00"]
+BITS = ["[INST]", "[/INST]", "<INST]", "[/s>", "<s>", "</s>", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[\\INST]", "<\\\\/s>", "[", "<", "\\", "]", ">", "/", "INST]", "s>", " ", "\n", "\\n", "\\b", "a", "é", "🎉", "$1", "\x00"]
 ROLES = ["user", "assistant", "system", "tool", "", None, "a\nb", "x\\n\\b", "[/ROLE]", "user\n", " user"]
 
 
@@ -73,7 +73,7 @@ def test_recovered_turns(spark):
 
 @pytest.mark.parametrize("text", ["", "x", "[INST] a", "[INST] a [/INST] ", "[INST] a </s>", "[INST]a[/INST]", " [INST] a [/INST]", "<s> a </s>b<s> c </s>", "<s> a [INST] </s>"])
 def test_other_texts_are_refused(spark, text):
-    assert spark.range(1).select(chat.parse(F.lit(text)).alias("turns")).first()["turns"] is None
+    assert spark.range(1).select(chat.parse(chat.turn_texts(F.lit(text))).alias("turns")).first()["turns"] is None
 
 
 def test_empty_table_and_plan(spark):

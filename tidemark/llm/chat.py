@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS]", "[/SYS]")}
 OTHER = ("[ROLE]", "[/ROLE]")
-_MARK = r"\[/?(?:INST|SYS|ROLE)\]|</?s>"
-#: Control strings are marks with any number of backslashes after the first sign.
+_MARK = r"[\[<]/?(?:INST\]|SYS\]|ROLE\]|s>)"
+#: Control strings are marks with any number of backslashes after the first sign.  Either first sign goes with every mark; none is rendered that way.
 _CONTROL = r"([\[<])(\\*/?(?:INST\]|SYS\]|ROLE\]|s>))"
 _HELD = r"([\[<])\\(\\*/?(?:INST\]|SYS\]|ROLE\]|s>))"
 TURN = "struct<role:string,text:string>"
@@ -77,52 +77,62 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.concat_ws("", F.transform(turns, one))
 
 
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` refers to it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def turn_texts(formatted: Column) -> Column:
     """The rendered turns of a text, (open, body, close) each; null where the text does not follow the grammar."""
-    marks = F.regexp_extract_all(formatted, F.lit(_MARK), F.lit(0))
-    between = F.split(formatted, _MARK, -1)
-    # Zipped, since what a lambda refers to outside itself is computed again for every element.
-    every = lambda array, nth: F.filter(array, lambda _, i: i % 2 == nth)
-    turns = F.arrays_zip(every(between, 0).alias("before"), every(marks, 0).alias("open"), every(between, 1).alias("body"), every(marks, 1).alias("close"))
-    turns = F.slice(turns, F.lit(1), F.floor(F.size(marks) / 2).cast("int"))
-
     def sound(t: Column) -> Column:
         pair = F.lit(False)
         for a, b in [*MARKS.values(), OTHER]:
             pair = pair | ((t["open"] == a) & (t["close"] == b))
         return F.coalesce(pair & (t["before"] == "") & (F.length(t["body"]) >= 2) & t["body"].startswith(" ") & t["body"].endswith(" "), F.lit(False))
-    whole = (F.size(marks) > 0) & (F.size(marks) % 2 == 0) & (F.get(between, F.size(marks)) == "") & F.forall(turns, sound)
-    return F.when(whole, F.transform(turns, lambda t: F.struct(t["open"].alias("open"), t["body"].alias("body"), t["close"].alias("close"))))
 
+    def paired(x: Column) -> Column:
+        # Zipped, since what a lambda refers to outside itself is computed again for every element.
+        every = lambda array, nth: F.filter(array, lambda _, i: i % 2 == nth)
+        turns = F.arrays_zip(every(x["between"], 0).alias("before"), every(x["marks"], 0).alias("open"), every(x["between"], 1).alias("body"), every(x["marks"], 1).alias("close"))
+        whole = (F.size(x["marks"]) > 0) & (F.size(x["marks"]) % 2 == 0) & (F.get(x["between"], F.size(x["marks"])) == "")
+        return F.when(whole, F.slice(turns, F.lit(1), F.floor(F.size(x["marks"]) / 2).cast("int")))
+
+    def checked(turns: Column) -> Column:
+        return F.when(F.forall(turns, sound), F.transform(turns, lambda t: F.struct(t["open"].alias("open"), t["body"].alias("body"), t["close"].alias("close"))))
+    tokens = F.struct(F.regexp_extract_all(formatted, F.lit(_MARK), F.lit(0)).alias("marks"), F.split(formatted, _MARK, -1).alias("between"))
+    return _with(_with(tokens, paired), checked)
+
+
+def parse(turns: Column) -> Column:
+    """(role, text) of the turns that ``turn_texts`` found; null where the text does not follow the grammar."""
+    def named(body: Column) -> Column:
+        line = F.substring_index(body, "\n", 1)
+        return F.struct(_role(line).alias("role"), F.substring(body, F.length(line) + 2, F.length(body)).alias("text"))
 
-def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a text; null where it does not follow the grammar."""
     def one(t: Column) -> Column:
         body = unescape(F.substring(t["body"], F.lit(2), F.length(t["body"]) - 2))
-        role = _role(F.substring_index(body, "\n", 1))
-        text = F.substring(body, F.length(F.substring_index(body, "\n", 1)) + 2, F.length(body))
+        out = _with(body, named)
         for name, marks in MARKS.items():
-            role = F.when(t["open"] == marks[0], F.lit(name)).otherwise(role)
-            text = F.when(t["open"] == marks[0], body).otherwise(text)
-        return F.struct(role.alias("role"), text.alias("text"))
-    return F.transform(turn_texts(formatted), one)
+            out = F.when(t["open"] == marks[0], F.struct(F.lit(name).alias("role"), body.alias("text"))).otherwise(out)
+        return out
+    return F.transform(turns, one)
 
 
-def loss_runs(formatted: Column) -> Column:
-    """(skip, learn, rest) in code points for every turn of a text."""
+def loss_runs(turns: Column) -> Column:
+    """(skip, learn, rest) in code points for every turn that ``turn_texts`` found."""
     def one(t: Column) -> Column:
-        length = F.length(t["open"]) + F.length(t["body"]) + F.length(t["close"])
-        learn = F.when(t["open"] == MARKS["assistant"][0], F.length(t["body"]) - 2).otherwise(0)
-        skip = F.when(t["open"] == MARKS["assistant"][0], F.length(t["open"]) + 1).otherwise(length)
-        return F.struct(skip.cast("int").alias("skip"), learn.cast("int").alias("learn"), (length - skip - learn).cast("int").alias("rest"))
-    return F.transform(turn_texts(formatted), one)
+        ahead, body, after = F.length(t["open"]), F.length(t["body"]), F.length(t["close"])
+        run = lambda skip, learn, rest: F.struct(skip.cast("int").alias("skip"), learn.cast("int").alias("learn"), rest.cast("int").alias("rest"))
+        return F.when(t["open"] == MARKS["assistant"][0], run(ahead + 1, body - 2, after + 1)).otherwise(run(ahead + body + after, F.lit(0), F.lit(0)))
+    return F.transform(turns, one)
 
 
-def learnt(formatted: Column, runs: Column) -> Column:
-    """What the mask leaves of each turn of a text, without escapes."""
-    whole = F.transform(turn_texts(formatted), lambda t: F.concat(t["open"], t["body"], t["close"]))
-    return F.transform(F.arrays_zip(whole.alias("whole"), runs.alias("run")),
-                       lambda z: unescape(F.substring(z["whole"], z["run"]["skip"] + 1, z["run"]["learn"])))
+def learnt(turns: Column, runs: Column) -> Column:
+    """What the mask leaves of each turn, without escapes."""
+    def one(z: Column) -> Column:
+        whole = F.concat(z["turn"]["open"], z["turn"]["body"], z["turn"]["close"])
+        return F.when(z["run"]["learn"] > 0, unescape(F.substring(whole, z["run"]["skip"] + 1, z["run"]["learn"]))).otherwise("")
+    return F.transform(F.arrays_zip(turns.alias("turn"), runs.alias("run")), one)
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
@@ -131,16 +141,20 @@ def formatted(conversations: DataFrame) -> DataFrame:
     turns = (conversations.select("conv_id", F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("row"))
              .groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
              .select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).cast(f"array<{TURN}>").alias("turns")))
-    plain = turns.withColumn("formatted", render(F.col("turns"), False))
-    same = lambda: F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False))
-    tried = plain.withColumn("escaped", ~same()).withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("formatted")))
-    sound = F.when(~F.col("escaped") | same(), F.col("formatted")).otherwise(F.raise_error(F.lit("a rendered conversation does not parse to its turns")))
-    return tried.withColumn("formatted", sound).select("conv_id", "formatted", "escaped", loss_runs(F.col("formatted")).alias("loss_runs"))
+    def tried(frame: DataFrame, escaped: bool) -> DataFrame:
+        """A rendering, what the parser finds in it, and whether that is the source."""
+        new = {"formatted": render(F.col("turns"), escaped), "found": turn_texts(F.col("formatted")), "same": F.coalesce(parse(F.col("found")) == F.col("turns"), F.lit(False))}
+        for name, value in new.items():
+            frame = frame.withColumn(name, F.when(F.col("done"), F.col(name)).otherwise(value) if escaped else value)
+        return frame
+    plain = tried(turns, False).withColumn("done", F.col("same"))
+    sound = F.when(F.col("same"), F.col("formatted")).otherwise(F.raise_error(F.lit("a rendered conversation does not parse to its turns")))
+    return tried(plain, True).select("conv_id", sound.alias("formatted"), (~F.col("done")).alias("escaped"), loss_runs(F.col("found")).alias("loss_runs"))
 
 
 def recovered(frame: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) read back from ``formatted``; turns count from 0."""
-    return frame.select("conv_id", F.posexplode(parse(F.col("formatted"))).alias("turn", "row")).select("conv_id", "turn", "row.role", "row.text")
+    return frame.select("conv_id", F.posexplode(parse(turn_texts(F.col("formatted")))).alias("turn", "row")).select("conv_id", "turn", "row.role", "row.text")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -154,7 +168,8 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def query(conversations: DataFrame) -> DataFrame:
     """Digests of what ``formatted`` and its mask give back; the table's own rows of conversation -1 would join the added one."""
     rows = formatted(with_probe(conversations))
-    back = rows.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.concat_ws("", learnt(F.col("formatted"), F.col("loss_runs"))).alias("loss"))
+    read = rows.withColumn("found", turn_texts(F.col("formatted")))
+    back = read.select("conv_id", "formatted", parse(F.col("found")).alias("turns"), F.concat_ws("", learnt(F.col("found"), F.col("loss_runs"))).alias("loss"))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
                        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
