@@ -2,8 +2,8 @@
 
 Tokenizer A is a byte-level vocabulary that reads a space and the text, B a piece vocabulary
 that adds the space itself; both spell the same bytes.  A place where tokens of both end is
-common.  Common places are found by walking the shorter list of ends and, for each, doubling
-a step through the longer one until it is passed, then bisecting; their indices cut both
+common.  Common places are found from the shorter list of ends: for each of them a step is
+doubled through the longer one until it is passed, then bisected; their indices cut both
 lists into groups, and differences of indices are the groups' ranges of tokens.  Every token
 of A in a group is linked with every token of B in it.
 
@@ -30,9 +30,8 @@ import hashlib
 import os
 import re
 from array import array
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,32 +45,71 @@ from tidemark.llm.packing import _SHOWN
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk of documents, and units that a worker remembers.
 CHUNK, REMEMBERED = 16_000_000, 300_000
+#: Units encoded as one text.
+TOGETHER = 4096
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = {chr(c): b for b, c in _SHOWN.items()}
 _SPACE = "▁"
 
 
-def common_ends(short: list[int], long: list[int]) -> list[tuple[int, int]]:
-    """Pairs of indices of equal values in two rising lists, the first of them driving."""
-    found, at, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        low, high, step = at, at, 1
-        while high < n and long[high] < x:
-            low, high, step = high + 1, high + step, 2 * step
-        at = bisect_left(long, x, low, min(high, n))
-        if at == n:
-            break
-        if long[at] == x:
-            found.append((i, at))
-            at += 1
-    return found
-
-
-def cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of either list lie before each end of a group."""
-    if len(a) <= len(b):
-        return [(i + 1, j + 1) for i, j in common_ends(a, b)]
-    return [(i + 1, j + 1) for j, i in common_ends(b, a)]
+def gallop(wanted: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each wanted value the first place in its range of rising ``ends`` that is not below it.
+
+    A step doubles from the start of the range until it has passed the value, then the last
+    stride is bisected; all values move together.  The last end of a range is never below a value.
+    """
+    low, high, step = start.copy(), start.copy(), 1
+    behind = np.flatnonzero(ends[high] < wanted)
+    while len(behind):
+        low[behind] = high[behind] + 1
+        high[behind] = np.minimum(high[behind] + step, stop[behind] - 1)
+        behind, step = behind[ends[high[behind]] < wanted[behind]], 2 * step
+    apart = np.flatnonzero(low < high)
+    while len(apart):
+        middle = (low[apart] + high[apart]) // 2
+        below = ends[middle] < wanted[apart]
+        low[apart[below]] = middle[below] + 1
+        high[apart[~below]] = middle[~below]
+        apart = apart[low[apart] < high[apart]]
+    return low
+
+
+class Aligned:
+    """Both tokenizations of some texts, one after the other, cut into groups.
+
+    ``a_last`` and ``b_last`` mark the last token of each group.
+    """
+
+    def __init__(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
+        self.a, self.n_a, self.b, self.n_b = a, n_a, b, n_b
+        self.a_last, self.b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        for drives, n, at, ends, last, n2, at2, ends2, last2 in (
+                (n_a <= n_b, n_a, at_a, a_ends, self.a_last, n_b, at_b, b_ends, self.b_last), (n_a > n_b, n_b, at_b, b_ends, self.b_last, n_a, at_a, a_ends, self.a_last)):
+            texts = np.flatnonzero(drives & (n > 0))
+            rows, owner = _ranges(at[texts], n[texts]), np.repeat(texts, n[texts])
+            found = gallop(ends[rows], ends2, at2[owner], at2[owner] + n2[owner])
+            same = ends2[found] == ends[rows]
+            last[rows[same]] = True
+            last2[found[same]] = True
+        self.a_group, self.b_group = np.cumsum(self.a_last) - self.a_last, np.cumsum(self.b_last) - self.b_last
+        self.a_held, self.b_held = np.bincount(self.a_group), np.bincount(self.b_group)
+        self.n_groups = np.add.reduceat(np.r_[self.a_last, 0], at_a) * (n_a > 0) if len(n_a) else n_a
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links in order of A's tokens, ``a << 32 | b`` each, and how many every text has."""
+        times = self.b_held[self.a_group]
+        right = _ranges((np.cumsum(self.b_held) - self.b_held)[self.a_group], times)
+        owner = np.repeat(np.repeat(np.arange(len(self.n_a)), self.n_a), times)
+        return np.repeat(self.a, times) << 32 | self.b[right], np.bincount(owner, minlength=len(self.n_a))
+
+    def codes(self) -> np.ndarray:
+        """Tokens as they are written, A's of a group before B's: twice the id, one more at the end of a side, negative for B."""
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        ahead_b, through_a = np.cumsum(self.b_held) - self.b_held, np.cumsum(self.a_held)
+        out[np.arange(len(self.a)) + ahead_b[self.a_group]] = 2 * self.a + self.a_last
+        out[np.arange(len(self.b)) + through_a[self.b_group]] = -1 - (2 * self.b + self.b_last)
+        return out
 
 
 class Vocabularies:
@@ -91,6 +129,9 @@ class Vocabularies:
         self.b = SentencePieceProcessor(model_file=place(b))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = [np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]), np.array(list(map(len, self.b_bytes)))]
+        self.written = {2 * i + last: f"{i}{'|' if last else ','}" for i in self.a_bytes for last in (0, 1)}
+        self.written |= {-1 - (2 * i + last): f"{i}{';' if last else ','}" for i in range(len(pieces)) for last in (0, 1)}
         self.split = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
 
     @classmethod
@@ -99,30 +140,36 @@ class Vocabularies:
             cls.held[a, b] = cls(a, b)
         return cls.held[a, b]
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and of B for each text; none where their bytes are not a space and the text."""
-        found = zip(self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), texts)
-        for a, b, text in found:
+        out = []
+        for a, b, text in zip(self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), texts):
             want, ids = (" " + text).encode(), a.ids
             same = text and b"".join(map(self.a_bytes.__getitem__, ids)) == want == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (ids, b) if same else ([], [])
-
-    def ends(self, ids: list[int], spelled) -> list[int]:
-        return np.cumsum([len(spelled[i]) for i in ids]).tolist()
-
-    def aligned(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-        """Ids of A and of B, and the cuts of their groups."""
-        for a, b in self.tokens(texts):
-            yield a, b, cuts(self.ends(a, self.a_bytes), self.ends(b, self.b_bytes))
-
+            out.append((ids, b) if same else ([], []))
+        return out
 
-def groups_text(a: list[int], b: list[int], found: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3`` for the groups of one text."""
-    out, i, j = [], 0, 0
-    for x, y in found:
-        out.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-        i, j = x, y
-    return ";".join(out)
+    def aligned(self, found: list[tuple[list[int], list[int]]]) -> Aligned:
+        """Tokens of texts cut into groups."""
+        (a, n_a), (b, n_b) = ((np.fromiter(chain.from_iterable(x[k] for x in found), np.int64), np.array([len(x[k]) for x in found], np.int64)) for k in (0, 1))
+        return Aligned(a, n_a, b, n_b, np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
+
+    def units(self, texts: list[str]) -> Aligned | None:
+        """The same for many units at once, encoded as one text; None where that text is not spelled byte for byte.
+
+        Units begin and end with something else than white space.
+        """
+        whole = " " + " ".join(texts)
+        ids = [self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:])]
+        want = whole.encode()
+        if not b"".join(map(self.a_bytes.__getitem__, ids[0])) == want == b"".join(map(self.b_bytes.__getitem__, ids[1])):
+            return None
+        (a, b), ends = (np.array(x, np.int64) for x in ids), np.cumsum([len(t.encode()) + 1 for t in texts])
+        a_ends, b_ends = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        last = [np.searchsorted(x, ends) for x in (a_ends, b_ends)]
+        if not (np.array_equal(a_ends[last[0]], ends) and np.array_equal(b_ends[last[1]], ends)):
+            return None
+        return Aligned(a, np.diff(last[0], prepend=-1), b, np.diff(last[1], prepend=-1), a_ends, b_ends)
 
 
 def groups(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
@@ -130,9 +177,12 @@ def groups(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(Vocabularies.of(a, b).aligned(texts_of(batch)))
-        lists = [[x[0] for x in found], [x[1] for x in found], [[c[0] for c in x[2]] for x in found], [[c[1] for c in x[2]] for x in found]]
-        return pa.record_batch([batch.column("doc_id"), *[pa.array(v, pa.list_(pa.int32())) for v in lists]], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+        vocabularies = Vocabularies.of(a, b)
+        found = vocabularies.aligned(vocabularies.tokens(texts_of(batch)))
+        before = lambda last, n: (np.flatnonzero(last) + 1) - np.repeat(np.cumsum(n) - n, found.n_groups)
+        lists = [(found.a, found.n_a), (found.b, found.n_b), (before(found.a_last, found.n_a), found.n_groups), (before(found.b_last, found.n_b), found.n_groups)]
+        arrays = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(v, pa.int32())) for v, n in lists]
+        return pa.record_batch([batch.column("doc_id"), *arrays], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
     return arrow_rows(_read(docs), work, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>")
 
 
@@ -149,38 +199,53 @@ class Units:
         self.sizes = array("q")  # n_a, n_b, n_groups, n_links of every unit
         self.text: list[str] = []
         self.weight = 0
-        self.ends, self.links, self.times = array("q", [0]), array("q"), array("i")
-
-    def _add(self, a: list[int], b: list[int], found: list[tuple[int, int]]) -> int:
-        linked: Counter[int] = Counter()
-        i = j = total = 0
-        for x, y in found:
-            for left in a[i:x]:
-                for right in b[j:y]:
-                    linked[left << 32 | right] += 1
-            total += (x - i) * (y - j)
-            i, j = x, y
-        self.sizes.extend((len(a), len(b), len(found), total))
-        self.text.append(groups_text(a, b, found))
-        self.weight += len(self.text[-1])
-        self.links.extend(linked)
-        self.times.extend(linked.values())
-        self.ends.append(len(self.links))
-        return len(self.text) - 1
+        self.ends, self.links = array("q", [0]), array("q")
+
+    def _add(self, found: Aligned) -> range:
+        """Numbers of the texts of an alignment."""
+        links, n_links = found.links()
+        first = len(self.text)
+        self.sizes.frombytes(np.stack([found.n_a, found.n_b, found.n_groups, n_links], 1).astype(np.int64).tobytes())
+        self.ends.frombytes((len(self.links) + np.cumsum(n_links)).astype(np.int64).tobytes())
+        self.links.frombytes(links.tobytes())
+        written = list(map(self.vocabularies.written.__getitem__, found.codes().tolist()))
+        at = 0
+        for end in np.cumsum(found.n_a + found.n_b).tolist():
+            self.text.append("".join(written[at:end]))
+            self.weight += len(self.text[-1])
+            at = end
+        return range(first, len(self.text))
+
+    def _learn(self, units: list[str]) -> None:
+        """Number units; those that are not spelled byte for byte get -1."""
+        if len(units) == 1:
+            tokens = self.vocabularies.tokens(units)
+            self.number[units[0]] = self._add(self.vocabularies.aligned(tokens))[0] if tokens[0][0] else -1
+        elif units:
+            found = self.vocabularies.units(units)
+            if found is None:
+                self._learn(units[:len(units) // 2])
+                self._learn(units[len(units) // 2:])
+            else:
+                self.number.update(zip(units, self._add(found)))
 
     def of(self, texts: list[str]) -> list[list[int]]:
         """Numbers of the units of each text; none for a text without tokens."""
         split = _UNITS.split if self.vocabularies.split else lambda text: [text]
         parts = [split(text) if text else [] for text in texts]
-        new = [u for u in dict.fromkeys(u for row in parts for u in row) if u not in self.number]
-        for unit, (a, b, found) in zip(new, self.vocabularies.aligned(new)):
-            self.number[unit] = self._add(a, b, found) if a else -1
+        new = [u for u in dict.fromkeys(chain.from_iterable(parts)) if u not in self.number]
+        bare = [u for u in new if self.vocabularies.split and not (u[0].isspace() or u[-1].isspace() or _SPACE in u)]
+        for at in range(0, len(bare), TOGETHER):
+            self._learn(bare[at:at + TOGETHER])
+        for unit in new:
+            if unit not in self.number:
+                self._learn([unit])
         out = []
         for text, row in zip(texts, parts):
             numbers = list(map(self.number.__getitem__, row))
             if -1 in numbers:
-                a, b, found = next(self.vocabularies.aligned([text]))
-                numbers = [self._add(a, b, found)] if a else []
+                tokens = self.vocabularies.tokens([text])
+                numbers = list(self._add(self.vocabularies.aligned(tokens))) if tokens[0][0] else []
             out.append(numbers)
         return out
 
@@ -204,7 +269,7 @@ class Chunk:
         for numbers in self.units.of(texts):
             self.lengths.append(len(numbers))
             self.numbers.extend(numbers)
-            self.digests.append(hashlib.sha256(";".join(map(spelled, numbers)).encode()).hexdigest() if numbers else "")
+            self.digests.append(hashlib.sha256("".join(map(spelled, numbers))[:-1].encode()).hexdigest() if numbers else "")
 
     def row(self, key: int) -> pa.RecordBatch:
         """The chunk as one row of lists."""
@@ -225,20 +290,19 @@ class Chunk:
         holders = np.bincount(keys % max(1, len(links)), minlength=len(links))
         whole = pa.chunked_array(self.ids).combine_chunks()
         lists = [whole, *[pa.array(s) for s in sums], pa.array(self.digests, pa.string()), pa.array(np.bincount(owner, minlength=n).astype(np.int32)), pa.array(numbers.astype(np.int32)),
-                 pa.array(times.astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(np.asarray(self.units.times, np.int32)[at]),
-                 pa.array(links), pa.array(holders.astype(np.int64))]
+                 pa.array(times.astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(links), pa.array(holders.astype(np.int64))]
         return pa.record_batch([pa.array([key], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]], ["chunk", *LISTS])
 
 
 #: By document: key, sums, digest, number of distinct units; by unit of a document: its place and how often; by unit: number of links;
-#: by link of a unit: its place and how often; by link: its key, and how many documents hold it.
-LISTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "n_units", "units", "times", "n_unit_links", "places", "link_times", "links", "holders")
+#: by link of a unit: its place; by link: its key, and how many documents hold it.
+LISTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "n_units", "units", "times", "n_unit_links", "places", "links", "holders")
 
 
 def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """The documents as chunks, one row each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = [kind, *["long"] * 4, "string", *["int"] * 6, "long", "long"]
+    kinds = [kind, *["long"] * 4, "string", *["int"] * 5, "long", "long"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, count = TaskContext.get().partitionId() << 32, 0
@@ -262,7 +326,7 @@ def _scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The documents of chunks with the figures of their links."""
     for k in range(batch.num_rows):
         part = {c: batch.column(c)[k].values for c in LISTS}
-        plain = {c: part[c].to_numpy() for c in LISTS[6:12]}
+        plain = {c: part[c].to_numpy() for c in LISTS[6:11]}
         count, best = np.zeros(len(part["links"]), np.int64), np.zeros(len(part["links"]), np.int64)
         if (found := batch.column("found")[k].values) is not None:
             place, code = found.field("place").to_numpy(), found.field("code").to_numpy()
@@ -270,8 +334,7 @@ def _scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(plain["n_unit_links"])), plain["n_unit_links"])
         sums = []
         for figure in (best, count):
-            by_link = figure[plain["places"]] * plain["link_times"]
-            ahead = np.r_[0, np.cumsum(by_link)]
+            ahead = np.r_[0, np.cumsum(figure[plain["places"]])]
             ends = np.cumsum(plain["n_unit_links"])
             by_unit = ahead[ends] - ahead[ends - plain["n_unit_links"]]
             ahead = np.r_[0, np.cumsum(by_unit[plain["units"]] * plain["times"])]
