@@ -11,6 +11,8 @@ as extra right rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,57 @@ def _carry(lefts, rights, keys, look, reach, bucket_seconds):
             Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1))
         moved = buckets.select(*keys, "_bucket", seen.alias("_edge")).filter(F.col("_edge").isNotNull())
     return moved.select(*keys, "_bucket", "_edge._t", "_edge._tie", "_edge._r")
+
+
+@dataclass(frozen=True)
+class Source:
+    """A right side of ``asof_many``: ``take`` columns of the row last known by ``time``."""
+    frame: DataFrame
+    time: str
+    take: tuple[str, ...]
+    tie: tuple[str, ...] = ()
+    tolerance_seconds: float | None = None
+
+
+def asof_many(left: DataFrame, sources: list[Source], *, keys: list[str], left_time: str, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Attach to every left row the last row of each source up to its time.
+
+    All sources are laid into one time line with one running last row each, so any
+    number of them costs one shuffle of each side and one sort.  Matching is as in
+    ``asof`` looking backward: exact times count, equal times go by ``tie``, a source's
+    columns are null beyond its tolerance, left rows stay as they are.  ``take`` names
+    must differ between sources.
+    """
+    width = bucket_seconds * 1_000_000
+    bucket = F.floor(F.col("_t") / width).cast("long").alias("_bucket")
+    held, ties, rights = [], [], []
+    for n, s in enumerate(sources):
+        d = s.frame.withColumn("_t", micros(s.time))
+        for needed in ["_t", *keys]:
+            d = d.filter(F.col(needed).isNotNull())
+        rank = F.struct(*[F.col(c) for c in s.tie]) if s.tie else F.struct(F.lit(0).alias("none"))
+        rights.append(d.select(*keys, bucket, "_t", rank.alias(f"_o{n}"), F.struct(F.col("_t").alias("_rt"), *[F.col(c) for c in s.take]).alias(f"_r{n}")))
+        held.append((f"_r{n}", rights[n].schema[f"_r{n}"].dataType))
+        ties.append((f"_o{n}", rights[n].schema[f"_o{n}"].dataType))
+    lefts = left.select(*keys, F.struct(*[F.col(c) for c in left.columns]).alias("_l"), micros(left_time).alias("_t")).select(*keys, bucket, "_t", "_l")
+    empty = {n: F.lit(None).cast(kind) for n, kind in [*held, *ties]} | {"_l": F.lit(None).cast(lefts.schema["_l"].dataType)}
+
+    def filled(frame: DataFrame, side: int) -> DataFrame:
+        return frame.select(*keys, "_bucket", "_t", F.lit(side).alias("_side"), *[(F.col(n) if n in frame.columns else value).alias(n) for n, value in empty.items()])
+    known = filled(rights[0], 0)
+    for other in rights[1:]:
+        known = known.unionByName(filled(other, 0))
+    # What a bucket needs from before it: the last row of every source, in one row.
+    edges = known.groupBy(*keys, "_bucket").agg(*[F.max_by(F.col(r), F.when(F.col(r).isNotNull(), F.struct("_t", o))).alias(r) for (r, _), (o, _) in zip(held, ties)])
+    asked = lefts.filter(F.col("_t").isNotNull()).select(*keys, "_bucket").distinct().select("*", *[empty[r].alias(r) for r, _ in held])
+    buckets = edges.unionByName(asked).groupBy(*keys, "_bucket").agg(*[F.max_by(F.col(r), F.when(F.col(r).isNotNull(), F.lit(1))).alias(r) for r, _ in held])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(*keys, "_bucket", (F.col("_bucket") * width).alias("_t"), *[F.last(r, ignorenulls=True).over(before).alias(r) for r, _ in held])
+    line = known.unionByName(filled(carried, -1)).unionByName(filled(lefts, 1))
+    order = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_t").asc_nulls_first(), "_side", *[o for o, _ in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumns({r: F.last(r, ignorenulls=True).over(order) for r, _ in held}).filter(F.col("_side") == 1)
+    out = [F.col(f"_l.{c}").alias(c) for c in left.columns]
+    for (r, _), s in zip(held, sources):
+        near = F.lit(True) if s.tolerance_seconds is None else F.col("_t") - F.col(f"{r}._rt") <= int(s.tolerance_seconds * 1_000_000)
+        out += [F.when(near, F.col(f"{r}.{c}")).alias(c) for c in s.take]
+    return line.select(*out)

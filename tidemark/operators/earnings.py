@@ -304,12 +304,25 @@ def change_points(records: DataFrame, *, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.inline(F.transform("_points", state)))
 
 
+PIT_STATE = ("next", "last_date", "facts", "actual", "surprise")
+
+
+def feature_points(records: DataFrame, *, keys: list[str], tie: str | None = None) -> DataFrame:
+    """(keys, t, state): the change points as a source for an as-of join; ``PIT_STATE`` names the state."""
+    tied = F.coalesce(F.col(tie).cast("long"), F.lit(-1).cast("long")) if tie else F.lit(0).cast("long")
+    return change_points(records.withColumn("tie", tied), keys=keys)
+
+
 def attach_features(rows: DataFrame, records: DataFrame, *, keys: list[str], ts: str, tie: str | None = None,
                     bucket_seconds: int = 7 * 86_400) -> DataFrame:
     """The nineteen features at every row, each behind its own availability clock."""
-    tied = F.coalesce(F.col(tie).cast("long"), F.lit(-1).cast("long")) if tie else F.lit(0).cast("long")
-    points = change_points(records.withColumn("tie", tied), keys=keys)
-    d = asof(rows, points, keys=keys, left_time=ts, right_time="t", take=["next", "last_date", "facts", "actual", "surprise"], bucket_seconds=bucket_seconds)
+    points = feature_points(records, keys=keys, tie=tie)
+    d = asof(rows, points, keys=keys, left_time=ts, right_time="t", take=list(PIT_STATE), bucket_seconds=bucket_seconds)
+    return feature_columns(d, ts=ts)
+
+
+def feature_columns(d: DataFrame, *, ts: str) -> DataFrame:
+    """The nineteen features of rows that carry the state known at ``ts``; the state goes."""
     today = F.to_date(ts)
     nxt, sur, act, facts = F.col("next"), F.col("surprise"), F.col("actual"), F.col("facts")
     safe_next = F.coalesce((nxt["estimate_available"] <= F.col(ts)) & nxt["estimate_safe"], F.lit(False))
@@ -329,4 +342,4 @@ def attach_features(rows: DataFrame, records: DataFrame, *, keys: list[str], ts:
         "earnings_point_in_time_safe": F.when(hit, 1.0).otherwise(safe_next.cast("double")),
         "earnings_data_age_days": F.when(hit, (F.unix_micros(ts) - F.unix_micros(sur["surprise_available"])) / 86_400e6),
     }
-    return d.select(*rows.columns, *[c.alias(n) for n, c in out.items()])
+    return d.select(*[c for c in d.columns if c not in PIT_STATE], *[c.alias(n) for n, c in out.items()])

@@ -69,16 +69,23 @@ def attach_latest(rows: DataFrame, articles: DataFrame, *, keys: list[str], ts:
                 take=take, tie=tie, bucket_seconds=bucket_seconds, gap=gap)
 
 
-def news_features(rows: DataFrame, articles: DataFrame, *, keys: list[str], ts: str, published: str,
-                  tie: list[str]) -> DataFrame:
-    """Latest sentiment plus the 15 and 60 minute windows, one as-of join for all."""
+NEWS_FEATURES = ("sentiment_latest", "sentiment_15m", "news_count_15m", "news_count_60m",
+                 *[f"{n}_60m" for n in [*WINDOW_MEANS, *WINDOW_SUMS]], *[f"{c}_news_60m" for c in NEWS_CATEGORIES])
+
+
+def news_states(articles: DataFrame, *, keys: list[str], published: str) -> DataFrame:
+    """Articles with ``NEWS_FEATURES``, what is known at each: its sentiment and the 15 and 60 minute windows."""
     d = news_columns(articles)
     short = {n: c for n, c in WINDOW_MEANS.items() if n in ("sentiment", "emotion", "surprise")}
     d = rolling_news(d, keys=keys, published=published, minutes=NEWS_WINDOWS["15m"], means=short,
                      count="sentiment_score")
     d = rolling_news(d, keys=keys, published=published, minutes=NEWS_WINDOWS["60m"], means=WINDOW_MEANS,
                      sums=WINDOW_SUMS, count="sentiment_score", categories=NEWS_CATEGORIES)
-    d = d.withColumn("sentiment_latest", F.col("sentiment_score"))
-    take = ["sentiment_latest", "sentiment_15m", "news_count_15m", "news_count_60m",
-            *[f"{n}_60m" for n in [*WINDOW_MEANS, *WINDOW_SUMS]], *[f"{c}_news_60m" for c in NEWS_CATEGORIES]]
-    return attach_latest(rows, d, keys=keys, ts=ts, published=published, take=take, tie=tie)
+    return d.withColumn("sentiment_latest", F.col("sentiment_score"))
+
+
+def news_features(rows: DataFrame, articles: DataFrame, *, keys: list[str], ts: str, published: str,
+                  tie: list[str]) -> DataFrame:
+    """Latest sentiment plus the 15 and 60 minute windows, one as-of join for all."""
+    d = news_states(articles, keys=keys, published=published)
+    return attach_latest(rows, d, keys=keys, ts=ts, published=published, take=list(NEWS_FEATURES), tie=tie)

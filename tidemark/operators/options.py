@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.pricing import (
     BENCHMARK_SIGMA_BOUNDS, BENCHMARK_SIGMA_DEFAULT, DAYS_PER_YEAR, SIGMA_BOUNDS, call_intrinsic, normal_cdf, put_intrinsic,
 )
+from tidemark.operators.ordered import null_safe_join
 from tidemark.schema import clip, ratio, truth
 
 # The option symbol format and price scale.
@@ -81,10 +82,15 @@ def pair(frame: DataFrame, *, keys: list[str], option_type: str, order: list[str
 
 def benchmark_sigma(frame: DataFrame, *, keys: list[str], long: str, short: str,
                     out: str = "benchmark_sigma") -> DataFrame:
-    """The 60-row volatility if a ticker-day has any, else the 30-row one."""
-    has_long = F.count(long).over(Window.partitionBy(*keys)) > 0
-    chosen = F.when(has_long, F.col(long)).otherwise(F.col(short))
-    return frame.withColumn(out, F.coalesce(clip(chosen, *BENCHMARK_SIGMA_BOUNDS), F.lit(BENCHMARK_SIGMA_DEFAULT)))
+    """The 60-row volatility if a ticker-day has any, else the 30-row one.
+
+    One count a ticker-day, combined before the shuffle and joined back, so the rows
+    of a busy ticker-day stay where they are.
+    """
+    counts = frame.groupBy(*keys).agg((F.count(long) > 0).alias("_has_long"))
+    d = null_safe_join(frame, counts, keys)
+    chosen = F.when(F.col("_has_long"), F.col(long)).otherwise(F.col(short))
+    return d.withColumn(out, F.coalesce(clip(chosen, *BENCHMARK_SIGMA_BOUNDS), F.lit(BENCHMARK_SIGMA_DEFAULT))).drop("_has_long")
 
 
 def valuation(frame: DataFrame, *, spot: str, strike: str, dte: str, rate: str, sigma: str,

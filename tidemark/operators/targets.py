@@ -154,11 +154,30 @@ def near_the_money(rows: DataFrame, *, keys: list[str], strike: str, spot: str,
 
 def nearest_minute(anchor: DataFrame, target: DataFrame, *, keys: list[str], ts: str, take: list[str],
                    tie: list[str], tolerance_minutes: int = NEAREST_TOLERANCE_MINUTES) -> DataFrame:
-    """Match by New York minute of day, whatever the date; nearest within tolerance."""
+    """Match by New York minute of day, whatever the date; nearest within tolerance.
+
+    ``keys`` should name the session to match with, so that a key holds one day of
+    minutes; hours are the buckets.
+    """
     minute = lambda f: f.withColumn(
         "market_minute", F.timestamp_seconds(local_minute_of_day(F.col(ts)) * 60))
     return asof(minute(anchor), minute(target), keys=keys, left_time="market_minute", right_time="market_minute",
-                direction="nearest", tolerance_seconds=tolerance_minutes * 60, tie=tie, take=take)
+                direction="nearest", tolerance_seconds=tolerance_minutes * 60, tie=tie, take=take, bucket_seconds=3600)
+
+
+def session_minute_targets(rows: DataFrame, *, keys: list[str], calendar_keys: list[str], ts: str, day: str, take: dict[str, str], tie: list[str],
+                           horizons: tuple[Horizon, ...] = HORIZONS, tolerance_minutes: int = NEAREST_TOLERANCE_MINUTES) -> DataFrame:
+    """Rows at every session horizon with the same key's row nearest in the market's
+    minute of day on the n-th later observed session of ``calendar_keys``.
+
+    Rows without such a session, or with too wide a calendar gap to it, have no row at
+    that horizon; without a row within ``tolerance_minutes`` there the target is null.
+    """
+    calendar = later_sessions(rows.select(*calendar_keys, day).distinct(), keys=calendar_keys, day=day, horizons=horizons)
+    anchor = rows.join(calendar, [*calendar_keys, day])
+    future = rows.select(*keys, F.col(day).alias("target_day"), ts, *tie, F.col(ts).alias("target_ts"), *[F.col(c).alias(n) for c, n in take.items() if n not in tie])
+    return nearest_minute(anchor, future, keys=[*keys, "target_day"], ts=ts, take=["target_ts", *take.values()], tie=tie,
+                          tolerance_minutes=tolerance_minutes).drop("market_minute")
 
 
 def daily_median(rows: DataFrame, *, keys: list[str], values: list[str], latest: str) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import earnings, indicators, newswindows, options, rates, signals, targets
 from tidemark.operators import trades as trade_ops
-from tidemark.operators.asof import asof
+from tidemark.operators.asof import Source, asof_many
 from tidemark.operators.ranking import top_per_group
 from tidemark.schema import OPTION_BARS, QUOTE_COLUMNS, STOCK_BARS, conform
+from tidemark.session import cut
 
 # How old stock features may be on an option row, and the target horizon.
 STOCK_TOLERANCE_SECONDS = 120
@@ -22,39 +23,59 @@ STOCK_FEATURES = ("stock_return_1m", "stock_return_5m", "stock_return_30m", "sto
                   "sma_10_ratio", "sma_30_ratio", "macd_ratio", "rsi14", "stock_volume_z30", "intraday_range")
 
 
-def feature_store(option_bars: DataFrame, stock_bars: DataFrame, *, trade_minutes: DataFrame | None = None, open_interest: DataFrame | None = None,
-                  reports: DataFrame | None = None, articles: DataFrame | None = None, horizon_minutes: int = TARGET_MINUTES) -> DataFrame:
-    """One row per contract and minute with everything known at that minute, and the
-    later value of the same contract as target."""
+def moments(option_rows: DataFrame, stock_bars: DataFrame, *, reports: DataFrame | None = None, report_tie: str | None = None,
+            articles: DataFrame | None = None, article_tie: tuple[str, ...] = ()) -> DataFrame:
+    """(underlying, ts, everything known of the underlying then) for the instants of option rows.
+
+    There are a few hundred contracts to an instant, so stock features, reports and
+    news are looked up here once, in one time line, and contracts join by equality.
+    """
     stock = indicators.stock_features(conform(stock_bars, STOCK_BARS, keep_extra=False))
     stock = stock.select(F.col("ticker").alias("underlying"), F.col("ts").alias("stock_ts"), F.col("close").alias("close_stock"), *STOCK_FEATURES)
-    d = conform(option_bars, OPTION_BARS, keep_extra=False).drop("underlying", "layout").filter(
-        F.col("ts").isNotNull() & F.col("ticker").isNotNull() & F.col("close").isNotNull())
-    d = options.parse_symbol(d, "ticker").select(
+    sources = [Source(stock, "stock_ts", ("close_stock", *STOCK_FEATURES), tolerance_seconds=STOCK_TOLERANCE_SECONDS)]
+    if reports is not None:
+        sources.append(Source(earnings.feature_points(reports, keys=["underlying"], tie=report_tie), "t", earnings.PIT_STATE))
+    if articles is not None:
+        states = newswindows.news_states(articles, keys=["underlying"], published="published_utc")
+        sources.append(Source(states, "published_utc", newswindows.NEWS_FEATURES, tie=("published_utc", *article_tie)))
+    d = asof_many(option_rows.select("underlying", "ts").distinct(), sources, keys=["underlying"], left_time="ts")
+    return earnings.feature_columns(d, ts="ts") if reports is not None else d
+
+
+def feature_store(option_bars: DataFrame, stock_bars: DataFrame, *, trade_minutes: DataFrame | None = None, open_interest: DataFrame | None = None,
+                  reports: DataFrame | None = None, report_tie: str | None = None, articles: DataFrame | None = None, article_tie: tuple[str, ...] = (),
+                  quotes: tuple[str, ...] = (), horizon_minutes: int = TARGET_MINUTES) -> DataFrame:
+    """One row per contract and minute with everything known at that minute, and the
+    later value of the same contract as target.
+
+    Returns and targets of a contract are worked out on its narrow rows; what the
+    underlying adds is joined last, by equality on (underlying, ts), so no wide
+    contract row is ever sorted.  ``quotes`` names quote columns that the bars carry.
+    """
+    d = conform(option_bars, OPTION_BARS, keep_extra=bool(quotes)).filter(F.col("ts").isNotNull() & F.col("ticker").isNotNull() & F.col("close").isNotNull())
+    d = options.parse_symbol(d.drop("underlying"), "ticker").select(
         "ticker", "underlying", "expiry", "option_type", "strike", "ts", "day", F.col("close").alias("close_option"),
-        F.col("volume").alias("option_volume"), F.col("transactions").alias("option_transactions"))
-    d = asof(d, stock, keys=["underlying"], left_time="ts", right_time="stock_ts", tolerance_seconds=STOCK_TOLERANCE_SECONDS,
-             take=["close_stock", *STOCK_FEATURES])
+        F.col("volume").alias("option_volume"), F.col("transactions").alias("option_transactions"), *quotes)
+    known = cut(moments(d, stock_bars, reports=reports, report_tie=report_tie, articles=articles, article_tie=article_tie))
+    # Instants of an underlying are few against its contracts' rows: each task builds its share as a table.
+    d = d.join(known.select("underlying", "ts", "close_stock").hint("shuffle_hash"), ["underlying", "ts"], "left")
     d = options.economics(d, spot="close_stock", strike="strike", price="close_option", option_type="option_type",
                           dte=options.days_to_expiry(F.col("expiry"), F.col("ts")))
     d = indicators.lag_returns(d, keys=["ticker", "day"], price="close_option", lags=indicators.OPTION_RETURN_LAGS, prefix="option_return_")
-    if trade_minutes is not None:
-        d = trade_ops.attach_trades(d, trade_minutes, keys=["ticker"])
-    if open_interest is not None:
-        d = d.join(open_interest, ["ticker", "day"], "left")
-    if reports is not None:
-        d = earnings.attach_features(d, reports, keys=["underlying"], ts="ts")
-    if articles is not None:
-        d = newswindows.news_features(d, articles, keys=["underlying"], ts="ts", published="published_utc", tie=["published_utc"])
-    d = conform(indicators.event_flags(d), QUOTE_COLUMNS)
     future = d.select("ticker", "ts", F.col("close_option").alias("future_option_close"), F.col("extrinsic").alias("future_extrinsic"))
     d = targets.forward_target(d, future, keys=["ticker"], ts="ts", minutes=horizon_minutes, tolerance_minutes=TARGET_TOLERANCE_MINUTES,
-                               take=["future_option_close", "future_extrinsic"], tie=[])
-    return d.withColumns({
+                               take=["future_option_close", "future_extrinsic"], tie=["future_option_close"])
+    d = d.withColumns({
         "horizon_minutes": F.lit(horizon_minutes),
         "target_option_return": targets.return_between(F.col("close_option"), F.col("future_option_close")),
         "target_extrinsic_return": targets.return_between(F.col("extrinsic"), F.col("future_extrinsic"), bounded=True),
     }).drop("future_option_close", "future_extrinsic", "target_ts")
+    if trade_minutes is not None:
+        d = trade_ops.attach_trades(d, trade_minutes, keys=["ticker"]).drop("minute")
+    if open_interest is not None:
+        d = d.join(open_interest, ["ticker", "day"], "left")
+    d = d.join(known.drop("close_stock").hint("shuffle_hash"), ["underlying", "ts"], "left")
+    return conform(indicators.event_flags(d), QUOTE_COLUMNS)
 
 
 def event_store(features: DataFrame) -> DataFrame:
