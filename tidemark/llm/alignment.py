@@ -44,14 +44,20 @@ from tidemark.llm.packing import _SHOWN
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk of documents, and units that a worker remembers.
-CHUNK, REMEMBERED = 16_000_000, 300_000
+CHUNK, REMEMBERED = 5_000_000, 500_000
 #: Units encoded as one text.
 TOGETHER = 4096
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s|^\s|\s\Z")
 _BYTE = {chr(c): b for b, c in _SHOWN.items()}
 _SPACE = "▁"
 
 
+def _parts(text: str) -> list[str]:
+    """A text cut at its single spaces between two characters that are not white space."""
+    return _UNITS.split(text) if _WIDE.search(text) else text.split(" ")
+
+
 def gallop(wanted: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """For each wanted value the first place in its range of rising ``ends`` that is not below it.
 
@@ -193,6 +199,16 @@ def _read(docs: DataFrame) -> DataFrame:
 class Units:
     """Aligned units by number: tokens, groups and links of each."""
 
+    held: dict[tuple[str, str], Units] = {}
+
+    @classmethod
+    def of_worker(cls, a: str, b: str) -> Units:
+        """Those of the Python worker, over all its tasks; begun anew, between two chunks, when they are many."""
+        units = cls.held.get((a, b))
+        if units is None or len(units.text) > REMEMBERED or units.weight > 20 * CHUNK:
+            units = cls.held[a, b] = cls(Vocabularies.of(a, b))
+        return units
+
     def __init__(self, vocabularies: Vocabularies):
         self.vocabularies = vocabularies
         self.number: dict[str, int] = {}
@@ -231,7 +247,7 @@ class Units:
 
     def of(self, texts: list[str]) -> list[list[int]]:
         """Numbers of the units of each text; none for a text without tokens."""
-        split = _UNITS.split if self.vocabularies.split else lambda text: [text]
+        split = _parts if self.vocabularies.split else lambda text: [text]
         parts = [split(text) if text else [] for text in texts]
         new = [u for u in dict.fromkeys(chain.from_iterable(parts)) if u not in self.number]
         bare = [u for u in new if self.vocabularies.split and not (u[0].isspace() or u[-1].isspace() or _SPACE in u)]
@@ -306,7 +322,7 @@ def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, count = TaskContext.get().partitionId() << 32, 0
-        units = Units(Vocabularies.of(a, b))
+        units = Units.of_worker(a, b)
         chunk = Chunk(units)
         for batch in batches:
             if not batch.num_rows:
@@ -314,8 +330,7 @@ def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
             chunk.add(batch.column("doc_id"), texts_of(batch))
             if chunk.size >= CHUNK:
                 yield chunk.row(place + count)
-                if len(units.text) > REMEMBERED or units.weight > 4 * CHUNK:
-                    units = Units(units.vocabularies)
+                units = Units.of_worker(a, b)
                 chunk, count = Chunk(units), count + 1
         if chunk.lengths:
             yield chunk.row(place + count)
