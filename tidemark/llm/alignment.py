@@ -44,7 +44,7 @@ from tidemark.llm.packing import _SHOWN
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk of documents, and units that a worker remembers.
-CHUNK, REMEMBERED = 5_000_000, 500_000
+CHUNK, REMEMBERED = 4_000_000, 200_000
 #: Units encoded as one text.
 TOGETHER = 4096
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
@@ -203,7 +203,7 @@ class Units:
 
     @classmethod
     def of_worker(cls, a: str, b: str) -> Units:
-        """Those of the Python worker, over all its tasks; begun anew, between two chunks, when they are many."""
+        """Those of the task; begun anew, between two chunks, when they are many."""
         units = cls.held.get((a, b))
         if units is None or len(units.text) > REMEMBERED or units.weight > 20 * CHUNK:
             units = cls.held[a, b] = cls(Vocabularies.of(a, b))
@@ -332,8 +332,11 @@ def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
                 yield chunk.row(place + count)
                 units = Units.of_worker(a, b)
                 chunk, count = Chunk(units), count + 1
-        if chunk.lengths:
-            yield chunk.row(place + count)
+        last = chunk.row(place + count) if chunk.lengths else None
+        del chunk, units
+        Units.held.clear()  # an idle worker keeps its memory
+        if last is not None:
+            yield last
     return _read(docs).mapInArrow(work, "chunk long, " + ", ".join(f"{c} array<{k}>" for c, k in zip(LISTS, kinds)))
 
 
