@@ -35,18 +35,19 @@ def running_sum(frame: DataFrame, *, keys: list[str], bucket: str, order: list[s
 
 
 def value_ranks(frame: DataFrame, *, keys: list[str], value: str, splits: int = 64,
-                sums: dict[str, Column] | None = None) -> DataFrame:
+                sums: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """One row per distinct ``(keys, value)``: ``peers`` rows hold it, ``below`` rows
     are smaller, ``total`` rows are in the group.  Exact.
 
     Rows are first combined per distinct value (map-side).  The value range is cut
     at sampled quantiles; the cut points only balance the work, any cut is right.
-    ``sums`` adds further aggregates per distinct value.
+    ``sums`` adds further aggregates per distinct value; ``weight`` names a column that
+    says how many rows a row stands for.
     """
     keyed = [F.col(k) for k in keys]
     extra = [expression.alias(name) for name, expression in (sums or {}).items()]
     counts = frame.filter(F.col(value).isNotNull()).groupBy(*keyed, value).agg(
-        F.count(F.lit(1)).alias("peers"), *extra)
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("peers"), *extra)
     marks = [i / splits for i in range(1, splits)]
     cut_points = F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(1000))
     # Both readers of ``counts`` ask for all its measures, so they share one shuffle.
@@ -78,13 +79,13 @@ def average_rank() -> Column:
 
 
 def exact_quantiles(frame: DataFrame, *, keys: list[str], value: str,
-                    probabilities: dict[str, float]) -> DataFrame:
+                    probabilities: dict[str, float], weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles of whole groups, without holding a group.
 
     The order statistics on either side of each position are picked out of the
     ranked distinct values; everything is a sum or a minimum.
     """
-    ranked = value_ranks(frame, keys=keys, value=value)
+    ranked = value_ranks(frame, keys=keys, value=value, weight=weight)
     picks = []
     for name, q in probabilities.items():
         place = (F.col("total") - 1) * F.lit(float(q))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import equity_curve
-from tidemark.operators.ordered import exact_quantiles
+from tidemark.operators.ordered import exact_quantiles, null_safe_join
 from tidemark.schema import clip, ratio, truth
 
 
@@ -220,6 +220,11 @@ def monitor(records: DataFrame, *, keys: list[str], order: list[str], bucket: st
         d = d.join(part, keys, "left")
     if drift is None:
         d = d.withColumn("prediction_psi", F.lit(None).cast("double"))
+    return _judged(d)
+
+
+def _judged(d: DataFrame) -> DataFrame:
+    """Sharpe ratio, triggers and kill switch of monitoring measures."""
     d = d.withColumn("actual_sharpe", F.when((F.col("_trades") > 2) & (F.col("_sd") > 0),
                                              F.col("actual_pnl_mean") / F.col("_sd") * F.sqrt(F.lit(252.0))))
     rules = [
@@ -235,6 +240,69 @@ def monitor(records: DataFrame, *, keys: list[str], order: list[str], bucket: st
     return d.withColumn("kill_switch", F.size("triggers") > 0).drop("_trades", "_sd", "_judged", "_priced", "_spreads")
 
 
+# ---------------------------------------------------------------- monitoring in parts
+_SUMS = ("rows", "trades", "expected", "actual", "actual_squared", "absolute", "direction", "judged", "probability", "outcome", "brier", "priced", "paid", "quoted", "spreads", "spread")
+
+
+def monitor_sums(records: DataFrame, *, keys: list[str], order: list[str], bucket: str) -> DataFrame:
+    """What ``monitor`` needs of some records besides quantiles, so that parts add up.
+
+    Sums and counts per key, and ``curve``: the logarithms of the part's last, highest and
+    lowest compounded value and its own largest drawdown, None without any return.
+    """
+    exp, act = F.col("expected_net_return"), F.col("actual_net_return")
+    both = exp.isNotNull() & act.isNotNull()
+    p, y = clip(F.col("probability_positive"), 0.0, 1.0), F.col("positive_outcome").cast("double")
+    judged = p.isNotNull() & y.isNotNull()
+    quoted, paid, spread = F.col("expected_cost_return"), F.col("actual_cost_return"), F.col("relative_spread")
+    priced = quoted.isNotNull() & paid.isNotNull()
+    total = lambda where, what: F.coalesce(F.sum(F.when(where, what)), F.lit(0.0))
+    sums = records.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(both).alias("trades"), total(both, exp).alias("expected"), total(both, act).alias("actual"),
+        total(both, act * act).alias("actual_squared"), total(both, F.abs(act - exp)).alias("absolute"), total(both, ((exp > 0) == (act > 0)).cast("double")).alias("direction"),
+        F.count_if(judged).alias("judged"), total(judged, p).alias("probability"), total(judged, y).alias("outcome"), total(judged, (p - y) * (p - y)).alias("brier"),
+        F.count_if(priced).alias("priced"), total(priced, paid).alias("paid"), total(priced, quoted).alias("quoted"), F.count(spread).alias("spreads"), total(spread.isNotNull(), spread).alias("spread"))
+    curve = equity_curve(records.filter(both).select(*keys, *order, bucket, "actual_net_return"), keys=keys, order=order, bucket=bucket, net="actual_net_return")
+    ends = curve.groupBy(*keys).agg(F.struct(F.ln(F.max_by("curve", F.struct(*order))).alias("last"), F.ln(F.max("curve")).alias("top"), F.ln(F.min("curve")).alias("low"),
+                                             F.max("drawdown").alias("drawdown")).alias("curve"))
+    return null_safe_join(sums, ends, keys)
+
+
+def monitor_values(records: DataFrame, *, keys: list[str]) -> DataFrame:
+    """(keys, measure, value, n): the values whose quantiles ``monitor`` reports, counted."""
+    measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("relative_spread", "open_interest")])
+    return records.select(*keys, F.inline(measures)).filter(F.col("value").isNotNull()).groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def add_monitor_sums(earlier: DataFrame, later: DataFrame, *, keys: list[str]) -> DataFrame:
+    """Sums of the records of two parts, the second of which follows the first in time."""
+    rows = earlier.withColumn("_late", F.lit(False)).unionByName(later.withColumn("_late", F.lit(True)))
+    d = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS], F.max(F.when(~F.col("_late"), F.col("curve"))).alias("_a"), F.max(F.when(F.col("_late"), F.col("curve"))).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    # The later part starts at a's last value; its lowest point may lie below a's peak by more than either part's own drawdown.
+    across = F.lit(1.0) - F.exp(a["last"] + b["low"] - a["top"])
+    joined = F.struct((a["last"] + b["last"]).alias("last"), F.greatest(a["top"], a["last"] + b["top"]).alias("top"), F.least(a["low"], a["last"] + b["low"]).alias("low"),
+                      F.greatest(a["drawdown"], b["drawdown"], across).alias("drawdown"))
+    return d.withColumn("curve", F.when(a.isNull(), b).when(b.isNull(), a).otherwise(joined)).drop("_a", "_b")
+
+
+def monitor_from_sums(sums: DataFrame, values: DataFrame, *, keys: list[str]) -> DataFrame:
+    """``monitor`` of all records that went into the sums and counted values."""
+    mean = lambda top, n: F.when(F.col(n) > 0, F.col(top) / F.col(n))
+    variance = (F.col("actual_squared") - F.col("actual") * F.col("actual") / F.col("trades")) / (F.col("trades") - 1)
+    d = sums.select(
+        *keys, "rows", F.col("trades").alias("_trades"), mean("expected", "trades").alias("expected_pnl_mean"), mean("actual", "trades").alias("actual_pnl_mean"),
+        (mean("actual", "trades") - mean("expected", "trades")).alias("pnl_forecast_error_mean"), mean("absolute", "trades").alias("pnl_forecast_mae"),
+        F.when(F.col("trades") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("_sd"), mean("direction", "trades").alias("direction_accuracy"), F.col("judged").alias("_judged"),
+        mean("brier", "judged").alias("brier"), F.abs(mean("probability", "judged") - mean("outcome", "judged")).alias("calibration_gap"), F.col("priced").alias("_priced"),
+        F.when(F.col("priced") > 0, F.col("paid") / F.greatest(F.abs("quoted"), F.lit(1e-12))).alias("execution_cost_ratio"), mean("spread", "spreads").alias("mean_relative_spread"),
+        F.col("spreads").alias("_spreads"), F.col("curve.drawdown").alias("maximum_drawdown"), F.lit(None).cast("double").alias("prediction_psi"))
+    marks = exact_quantiles(values, keys=[*keys, "measure"], value="value", probabilities={"p50": 0.5, "p95": 0.95}, weight="n").groupBy(*keys).agg(
+        F.max(F.when(F.col("measure") == "relative_spread", F.col("p95"))).alias("p95_relative_spread"),
+        F.max(F.when(F.col("measure") == "open_interest", F.col("p50"))).alias("median_open_interest"))
+    return _judged(null_safe_join(d, marks, keys))
+
+
 # Signal thresholds.
 EVIDENCE_MIN, EVIDENCE_STRICT, EVEN_ODDS, EDGE_FLOOR = 50, 100, 0.50, 1e-9
 STATE_ORDER = ("call_up_put_down", "call_down_put_up", "both_up", "both_down")

@@ -82,9 +82,25 @@ def latest_known(rows: DataFrame, *, key: str, value: str, available: str, order
 
 
 def monitor_batches(records: DataFrame, *, keys: list[str], order: list[str], bucket: str) -> str:
-    """A monitoring snapshot of every micro-batch, kept by batch."""
+    """A monitoring snapshot after every micro-batch over all records so far, kept by batch.
+
+    State is what adds up, sums by key and counts by value; batch n writes the state of
+    batch n - 1 and its own records under its id, so a repeat after a failure gives the
+    same state and triggers do not depend on how records are cut into batches.  Batches
+    must follow each other in time, as drawdowns do.
+    """
     def write(batch: DataFrame, n: int, folder: str) -> None:
-        risk.monitor(batch, keys=keys, order=order, bucket=bucket).write.mode("overwrite").parquet(folder)
+        spark, batch = batch.sparkSession, batch.persist()
+        state = lambda kind, k: f"{folder.rsplit('/table/', 1)[0]}/state-{kind}/batch={k}"
+        sums, values = risk.monitor_sums(batch, keys=keys, order=order, bucket=bucket), risk.monitor_values(batch, keys=keys)
+        if n:
+            sums = risk.add_monitor_sums(spark.read.parquet(state("sums", n - 1)), sums, keys=keys)
+            values = spark.read.parquet(state("values", n - 1)).unionByName(values).groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
+        for kind, frame in (("sums", sums), ("values", values)):
+            frame.write.mode("overwrite").parquet(state(kind, n))
+        known = [spark.read.parquet(state(kind, n)) for kind in ("sums", "values")]
+        risk.monitor_from_sums(*known, keys=keys).write.mode("overwrite").parquet(folder)
+        batch.unpersist()
     return run_batches(records, write)
 
 

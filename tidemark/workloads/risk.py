@@ -248,6 +248,23 @@ def regimes_(t):
     return d.select("symbol", day_text(F.col("day")).alias("day"), "sector", "market_regime", "volatility_regime", "event_type")
 
 
+@workload("regimes_all_tickers", sql=f"""
+with {SESSIONS},
+x as (select *, case when ticker = 3 and day(day) % 4 = 0 then null else abs(past_return) end as vol from sessions),
+y as (select *, case when count(vol) over w >= 30 then quantile_cont(vol, 0.33) over w end as lo, case when count(vol) over w >= 30 then quantile_cont(vol, 0.67) over w end as hi
+  from x window w as (order by day, ticker rows between unbounded preceding and 1 preceding))
+select ticker, strftime(day, '%Y-%m-%d') as day, round(lo, 9) as low_mark, round(hi, 9) as high_mark,
+  case when vol <= coalesce(lo, 0.3) then 'low' when vol >= coalesce(hi, 0.7) then 'high' else 'medium' end as volatility_regime from y
+""")
+def regimes_all_tickers(t):
+    """Volatility terciles against the past of all tickers together."""
+    vol = F.when(~((F.col("ticker") == 3) & (F.dayofmonth("day") % 4 == 0)), F.abs("past_return"))
+    d = regimes.prior_terciles_over_all(sessions(t).withColumns({"vol": vol, "zero": F.lit(0.0)}), bucket="day", order=["day", "ticker"], value="vol", least_block=64)
+    d = d.withColumns({"low_mark": F.col("_low"), "high_mark": F.col("_high")})
+    d = regimes.assign(d, ticker="ticker", trend="past_return", volatility="vol", earnings_today="zero", news_count="zero")
+    return d.select("ticker", day_text(F.col("day")).alias("day"), r("low_mark", 9).alias("low_mark"), r("high_mark", 9).alias("high_mark"), "volatility_regime")
+
+
 _LEAK_COLUMNS = ("px", "f_discount", "f_tax", "f_quantity", "f_count", "future_return", "past_return")
 _LEAK_LONG = " union all ".join(f"select '{c}' as \"column\", cast({c} as double) as v from sessions" for c in _LEAK_COLUMNS) \
     + " union all select 'constant', 1.0::double from sessions"

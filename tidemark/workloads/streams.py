@@ -67,19 +67,33 @@ def stream_latest_state(t):
     return newest.select("user_id", "s.*")
 
 
-@workload("stream_monitor")
+@workload("stream_monitor", sql="""
+with rec as (
+  select l_suppkey as book, l_orderkey as o, l_linenumber as l, l_discount - 0.04::double as e, l_tax - 0.045::double + (l_partkey % 7 - 3) / 100.0::double as a, least(greatest(l_discount * 8, 0), 1) as p,
+    (l_partkey % 3 = 0)::integer as y, l_tax / 2 + 0.01::double as qc, l_discount / 4 as pc, l_discount + 0.02::double as sp, l_quantity as oi from lineitem),
+cv as (select book, o, l, sum(ln(1 + greatest(a, -0.999))) over w as c from rec window w as (partition by book order by o, l rows unbounded preceding)),
+pk as (select *, max(c) over (partition by book order by o, l rows unbounded preceding) as k from cv),
+dd as (select book, max(1 - exp(c - k)) as dd from pk group by book),
+ag as (select book, count(*) as rows, avg(a) as am, avg((p - y) ** 2) as brier, abs(avg(p) - avg(y)) as gap, sum(pc) / greatest(abs(sum(qc)), 1e-12) as cr, quantile_cont(sp, 0.95) as p95,
+  median(oi) as moi, avg(a) / stddev_samp(a) * sqrt(252) as sharpe from rec group by book)
+select book, rows, round(am, 6) as actual_pnl_mean, round(brier, 6) as brier, round(dd, 6) as maximum_drawdown, round(p95, 6) as p95_relative_spread, round(sharpe, 6) as actual_sharpe,
+  array_to_string(list_sort(list_filter([case when rows >= 30 and am < 0 then 'negatieve_live_ev' end, case when dd > 0.12 then 'drawdown_limiet' end, case when rows >= 50 and gap > 0.12 then 'slechte_kalibratie' end,
+    case when rows >= 20 and cr > 1.5 then 'execution_kosten_afwijking' end, case when rows >= 20 and p95 > 0.15 then 'uitzonderlijke_spreads' end, case when moi < 30 then 'liquiditeit_verslechterd' end],
+    lambda x: x is not null)), '|') as triggers
+from ag join dd using (book)
+""")
 def stream_monitor(t):
-    """Monitoring snapshot and triggers per micro-batch and book."""
+    """Monitoring of every book over a stream of records, as it stands after the last file."""
     d = jobs.file_stream(t.spark, t.folder, "lineitem.parquet", files_per_batch=1)
     d = d.select(F.col("l_suppkey").alias("book"), F.col("l_orderkey").alias("at"), F.col("l_linenumber").alias("line"), F.floor(F.col("l_orderkey") / 4096).alias("block"),
                  (F.col("l_discount") - 0.04).alias("expected_net_return"), (F.col("l_tax") - 0.045 + (F.col("l_partkey") % 7 - 3) / 100.0).alias("actual_net_return"),
                  (F.col("l_discount") * 8).alias("probability_positive"), (F.col("l_partkey") % 3 == 0).cast("double").alias("positive_outcome"),
                  (F.col("l_tax") / 2 + 0.01).alias("expected_cost_return"), (F.col("l_discount") / 4).alias("actual_cost_return"),
                  (F.col("l_discount") + 0.02).alias("relative_spread"), F.col("l_quantity").alias("open_interest"))
-    folder = jobs.monitor_batches(d, keys=["book"], order=["at", "line"], bucket="block")
-    out = t.spark.read.parquet(folder)
-    return out.select(F.col("batch").cast("long").alias("batch"), "book", "rows", F.array_join("triggers", "|").alias("triggers"), "kill_switch",
-                      *rounded(out, ["actual_pnl_mean", "brier", "maximum_drawdown", "p95_relative_spread"]))
+    out = t.spark.read.parquet(jobs.monitor_batches(d, keys=["book"], order=["at", "line"], bucket="block"))
+    newest = out.groupBy("book").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("book", "batch")]), "batch").alias("s")).select("book", "s.*")
+    return newest.select("book", "rows", F.array_join("triggers", "|").alias("triggers"),
+                         *rounded(newest, ["actual_pnl_mean", "brier", "maximum_drawdown", "p95_relative_spread", "actual_sharpe"]))
 
 
 @workload("stream_settle", sql="""
