@@ -142,12 +142,15 @@ def lookup_evidence(rows: DataFrame, bins: DataFrame, *, probability: str, take:
     fields = ["bin_low", "bin_high", "mean_predicted_probability", *take]
     table = bins.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b")).scalar()
     d = rows.withColumn("_bins", table)
-    p = F.col(probability)
-    inside = F.filter("_bins", lambda b: (p >= b["bin_low"]) & ((p < b["bin_high"]) | ((b["bin_high"] >= 0.999999) & (p <= 1.0))))
-    nearest = F.array_min(F.transform("_bins", lambda b: F.struct(
+    return d.withColumn("_bin", bin_of(F.col(probability), F.col("_bins"))).select(*rows.columns, *[F.col(f"_bin.{c}").alias(f"evidence_{c}") for c in ["bin_low", *take]])
+
+
+def bin_of(p: Column, bins: Column) -> Column:
+    """Of an array of bins the one that holds ``p``, else the one whose mean is nearest; null without bins."""
+    inside = F.filter(bins, lambda b: (p >= b["bin_low"]) & ((p < b["bin_high"]) | ((b["bin_high"] >= 0.999999) & (p <= 1.0))))
+    nearest = F.array_min(F.transform(bins, lambda b: F.struct(
         F.abs(b["mean_predicted_probability"] - p).alias("distance"), b.alias("bin"))))["bin"]
-    chosen = F.when(F.size(inside) > 0, F.try_element_at(inside, F.lit(1))).otherwise(nearest)
-    return d.withColumn("_bin", chosen).select(*rows.columns, *[F.col(f"_bin.{c}").alias(f"evidence_{c}") for c in ["bin_low", *take]])
+    return F.when(F.size(inside) > 0, F.try_element_at(inside, F.lit(1))).otherwise(nearest)
 
 
 def area_under_curve(rows: DataFrame, *, keys: list[str], score: str, positive: Column) -> DataFrame:

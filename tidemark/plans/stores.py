@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import earnings, indicators, newswindows, options, rates, signals, targets
 from tidemark.operators import trades as trade_ops
 from tidemark.operators.asof import Source, asof_many
-from tidemark.operators.ranking import top_per_group
 from tidemark.schema import OPTION_BARS, QUOTE_COLUMNS, STOCK_BARS, conform
 from tidemark.session import cut
 
@@ -113,10 +112,3 @@ def pair_targets(pairs: DataFrame) -> DataFrame:
                        "future_stock_return": targets.return_between(F.col("close_stock"), F.col("target_stock"))})
     d = d.withColumn("future_stock_up", F.coalesce(F.col("future_stock_return") > 0, F.lit(False)).cast("double"))
     return targets.horizon_columns(d).drop("target_call", "target_put", "target_stock")
-
-
-def best_opportunities(scored: DataFrame, *, horizon: str = "target_horizon", n: int = 25) -> DataFrame:
-    """The best rows per horizon of a scored batch (1 to 100)."""
-    if not 1 <= n <= 100:
-        raise ValueError("between 1 and 100 rows per horizon")
-    return top_per_group(scored, keys=[horizon], order=[F.col("paper_opportunity_score").desc(), F.col("most_likely_state_probability").desc()], n=n)
