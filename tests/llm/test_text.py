@@ -241,8 +241,29 @@ def test_every_word_before_has_a_restaurant(llm):
         assert got[i] == pytest.approx(want, rel=1e-5)
 
 
+def test_scores_do_not_depend_on_the_partitions(llm):
+    r = random.Random(9)
+    rows = [(i, " ".join(words(r.randint(0, 40), 1) for _ in range(60))) for i in range(200)]
+    out, held = [], llm.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "31"):
+            llm.conf.set("spark.sql.shuffle.partitions", n)
+            out.append(sorted(map(tuple, pitmanyor.query(frame(llm, rows)).collect())))
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", held)
+    assert [x[:6] for x in out[0]] == [x[:6] for x in out[1]]
+    assert [x[6] for x in out[0]] == pytest.approx([x[6] for x in out[1]], abs=1e-9)
+
+
+def test_poisson_draws():
+    for mean in (0.3, 4.0, 29.0, 80.0):
+        x = pitmanyor.Draws(5, np.arange(60_000)).poisson(7, np.full(60_000, mean))
+        assert abs(x.mean() - mean) < 5 * math.sqrt(mean / 60_000) and abs(x.var() / mean - 1) < 0.03
+
+
 def test_tables_follow_the_exact_law():
-    draw, d, p, rest = np.random.default_rng(0), 0.6, 0.02, 30
+    d, p, rest = 0.6, 0.02, 30
+    draw = pitmanyor.Draws(0, np.arange(40000))
     stirling = pitmanyor.log_stirling(pitmanyor.EXACT, d)
     got = pitmanyor.tables(np.full(40000, 6), np.full(40000, p), d, np.full(40000, rest), stirling, draw)
     law = np.array([stirling[6, t] + t * math.log(p) + sum(math.log(pitmanyor.STRENGTH + d * (rest + j)) for j in range(t)) for t in range(1, 7)])

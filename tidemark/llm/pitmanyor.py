@@ -12,8 +12,9 @@ restaurant are drawn anew given the parent's prediction without them, for up to
 Stirling numbers), beyond that by seating the customers in arriving blocks of a
 twentieth.  A dish with one customer has one table, so only pairs that occur twice or more
 are rows of the sampler.  A job joins them with the totals of their word and of their
-context, which stand in one table by word and are those of the job before; within a job
-the rows of a word in one batch follow each other's draws.  Discounts are estimated
+context, which stand in one table by word and are those of the job before.  Every draw
+is keyed by its word, context, job and sweep and sees nothing of other rows of its job,
+so scores are the same however rows are dealt to tasks.  Discounts are estimated
 from the counts of counts.  After a seating job and a burn-in job, ``SAMPLES`` sweeps are
 averaged, and P(w | u) = (n - d t) / (theta + C) + (theta + d T) / (theta + C) P(w) with the
 averages is again a distribution.  C is how often u occurs, as each word but the end has a
@@ -45,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, cut, remainder, texts_of
+from tidemark.llm.common import cut, remainder, texts_of
 from tidemark.session import discard
 
 HELD_OUT, CHUNK = 7, 24_000_000
@@ -134,6 +135,21 @@ def _each(frame: DataFrame, work, schema: str) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def _in_runs(frame: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on runs of about ``WORD_ROWS`` rows, whatever the session's batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= WORD_ROWS:
+                yield work(pa.concat_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield work(pa.concat_batches(held))
+    return frame.mapInArrow(run, schema)
+
+
 def _hashes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
@@ -175,29 +191,72 @@ def log_stirling(most: int, d: float) -> np.ndarray:
     return s
 
 
-def tables(c: np.ndarray, p: np.ndarray, d: float, others: np.ndarray, stirling: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Draws:
+    """Random numbers of rows, by the rows' keys and the step alone."""
+
+    def __init__(self, step: int, *keys: np.ndarray):
+        self.key = np.full(len(keys[0]), (SEED << 32) + step, np.uint64)
+        for k in keys:
+            self.key = _mixed(self.key + k.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+    def of(self, rows: np.ndarray) -> Draws:
+        out = Draws.__new__(Draws)
+        out.key = self.key[rows]
+        return out
+
+    def uniform(self, nth: int, n: int) -> np.ndarray:
+        """The nth number, above 0 and below 1, of the first n rows."""
+        return ((_mixed(self.key[:n] + np.uint64((nth * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) + 0.5) * 2.0 ** -52
+
+    def poisson(self, nth: int, mean: np.ndarray) -> np.ndarray:
+        """Poisson numbers by inversion, from a mean of 30 on by the normal law."""
+        n = len(mean)
+        u = self.uniform(2 * nth, n)
+        out = np.rint(mean + np.sqrt(mean) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * self.uniform(2 * nth + 1, n)))
+        small = np.flatnonzero(mean < 30)
+        chance, left, k = np.exp(-mean[small]), u[small].copy(), 0
+        out[small] = 0
+        while len(small):
+            left -= chance
+            on = (left > 0) & (k < 200)
+            small, left, k = small[on], left[on], k + 1
+            chance = chance[on] * mean[small] / k
+            out[small] = k
+        return np.maximum(out, 0).astype(np.int64)
+
+
+def tables(c: np.ndarray, p: np.ndarray, d: float, others: np.ndarray, stirling: np.ndarray, draw: Draws) -> np.ndarray:
     """Numbers of tables of dishes with ``c`` customers and parent probability ``p``, beside ``others`` tables in the restaurant."""
     out = np.minimum(c, 1)
     rows = np.flatnonzero(c > 1)
     if not len(rows):
         return out
     rows = rows[np.argsort(-c[rows], kind="stable")]
+    draw = draw.of(rows)
     most = np.minimum(c[rows], EXACT)
     log_p, rest = np.log(p[rows]), np.maximum(others[rows], 0)
     best, pick, law = np.full(len(rows), -np.inf), np.ones(len(rows), np.int64), np.zeros(len(rows))
     for t in range(1, int(most[0]) + 1):
         n = int(np.searchsorted(-most, -t, "right"))
         law[:n] += np.log(STRENGTH + d * (rest[:n] + t - 1)) + log_p[:n]
-        value = law[:n] + stirling[most[:n], t] + draw.gumbel(size=n)
+        value = law[:n] + stirling[most[:n], t] - np.log(-np.log(draw.uniform(t, n)))
         better = value > best[:n]
         best[:n][better], pick[:n][better] = value[better], t
     many = int(np.searchsorted(-c[rows], -EXACT, "left"))
     if many:  # more customers arrive in blocks
-        total, seated, t = c[rows[:many]], np.full(many, EXACT), pick[:many]
+        total, seated, t, turn = c[rows[:many]], np.full(many, EXACT), pick[:many], EXACT
         while (seated < total).any():
+            turn += 1
             block = np.minimum(np.maximum(seated // 20, 1), total - seated)
             fresh = (STRENGTH + d * (rest[:many] + t)) * p[rows[:many]]
-            t = t + np.minimum(draw.poisson(block * fresh / (fresh + seated - d * t)), block)
+            t = t + np.minimum(draw.poisson(turn, block * fresh / (fresh + seated - d * t)), block)
             seated = seated + block
         pick[:many] = t
     out[rows] = pick
@@ -221,19 +280,13 @@ def _sweeps(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFram
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, context, n, t, c, root_t, seated = (batch.column(x).to_numpy().astype(np.int64) for x in ("word", "context", "n", "t", "c", "root_t", "seated"))
-        draw = np.random.default_rng([SEED, job, len(word), *(int(x[k]) & 0xFFFFFFFF for x in (word, context) for k in (0, -1))])
-        _, first, owner = np.unique(word, return_index=True, return_inverse=True)
-        apart = c[first] - np.bincount(owner, t).astype(np.int64)  # tables of these words outside the batch
-        others, draws = seated - t, []
-        for _ in range(sweeps):
-            rest = (apart + np.bincount(owner, t).astype(np.int64))[owner] - t
-            room = STRENGTH + np.maximum(totals.parent_customers - t, 0)
-            p = ((rest - totals.parent_discount * np.minimum(root_t, rest)) + (STRENGTH + totals.parent_discount * totals.parent_tables) * base) / room
-            t = tables(n, p, totals.discount, others, below, draw)
-            draws.append(t)
+        rest, others, draws = c - t, seated - t, []
+        p = ((rest - totals.parent_discount * np.minimum(root_t, rest)) + (STRENGTH + totals.parent_discount * totals.parent_tables) * base) / (STRENGTH + np.maximum(totals.parent_customers - t, 0))
+        for k in range(sweeps):
+            draws.append(tables(n, p, totals.discount, others, below, Draws(job << 8 | k, word, context)))
         draws = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(draws, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
         return pa.record_batch([batch.column("word"), batch.column("context"), batch.column("n"), draws], ["word", "context", "n", "draws"])
-    return arrow_rows(frame, work, "word long, context long, n long, draws array<long>")
+    return _in_runs(frame, work, "word long, context long, n long, draws array<long>")
 
 
 def _seated(words: DataFrame, state: DataFrame, sweeps: int) -> DataFrame:
@@ -259,15 +312,14 @@ def _rooted(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFram
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, root_t = batch.column("word").to_numpy(), batch.column("root_t").to_numpy().astype(np.int64)
-        draw = np.random.default_rng([SEED, job, len(word), *(int(word[k]) & 0xFFFFFFFF for k in (0, -1))])
         parents, roots = batch.column("parents").flatten().to_numpy().reshape(-1, sweeps), []
         for k in range(sweeps):
-            root_t = tables(parents[:, k], np.full(len(word), base), totals.parent_discount, totals.parent_tables - root_t, above, draw)
+            root_t = tables(parents[:, k], np.full(len(word), base), totals.parent_discount, totals.parent_tables - root_t, above, Draws(1 << 16 | job << 8 | k, word))
             roots.append(root_t)
         roots = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(roots, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
         out = {c: batch.column(c) for c in ("word", "n", "busy", "parents", "seated", "mean")} | {"root_t": pa.array(root_t), "roots": roots}
         return pa.record_batch(list(out.values()), list(out))
-    return arrow_rows(frame, work, "word long, n long, busy boolean, parents array<long>, seated long, mean double, root_t long, roots array<long>")
+    return _in_runs(frame, work, "word long, n long, busy boolean, parents array<long>, seated long, mean double, root_t long, roots array<long>")
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -412,5 +464,4 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     chunked = cut(chunks(docs))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # from here on rows are words, or a few chunks
     return scored(chunked, fit(chunked))
