@@ -64,12 +64,11 @@ def ranked_share(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, rows: int, longest: int | None = None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, rows: int) -> DataFrame:
     """At most ``rows`` labelled documents (doc_id, text, y) for fitting a classifier.
 
     ``learn`` says which doc_ids may be learnt from.  A key labelled twice takes the
-    larger label, a repeated document its smallest text.  ``longest`` leaves out longer
-    texts, so that the sample's bytes are bounded too.  Rows are chosen by a hash of
+    larger label, a repeated document its smallest text.  Rows are chosen by a hash of
     the key; the broadcast side holds ``rows`` keys at most.
     """
     known = (labels.select(F.col("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn)
@@ -78,8 +77,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Colu
     share = min(1.0, rows / max(total, 1))
     picked = known.where(ranked_share(F.col("doc_id"), share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(ranked_share(F.col("doc_id"), share))
-    if longest is not None:
-        texts = texts.where(F.length("text") <= longest)
     return (texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("row"))
             .select("doc_id", "row.text", "row.y"))
 

@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, labelled_sample, remainder, slices, texts_of
+from tidemark.llm.common import arrow_rows, cut, labelled_sample, remainder, slices, texts_of
 
-#: Bound of the sample that the field is fitted on, and the longest text in it.
-FIT_ROWS, FIT_LONGEST = 5000, 20_000
+#: Bounds of the sample that the model is fitted on: documents, and characters of all of them.
+FIT_ROWS, FIT_CHARS = 5000, 24_000_000
 HELD_OUT, THRESHOLD = 3, 0.7
 EVIDENCE, SUPPORT, COMMON = 4.0, 5, 0.02
 #: Documents of each class whose tokens the field is fitted on.
@@ -200,7 +200,7 @@ def _offsets(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [m.span() for m in words if m]
 
 
-def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80) -> Field:
+def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80, field_rows: int = FIELD_ROWS) -> Field:
     """The field and the document's logistic weights from labelled texts."""
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     head = np.array([np.log(share / (1 - share)), 0, 0, 0])
@@ -219,7 +219,7 @@ def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80) -> Field:
     signs = telling(found, labels, len(number))
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=len(number))
     place = np.where(seen >= SUPPORT, np.cumsum(seen >= SUPPORT), 0)  # 0 is for features seen less
-    few = [t for label in (0, 1) for t in [t for t, v in once.items() if v == label][:FIELD_ROWS]]
+    few = [t for label in (0, 1) for t in [t for t, v in once.items() if v == label][:field_rows]]
     runs = [t.split() for t in few]
     fresh = np.concatenate([np.r_[True, np.zeros(len(d) - 1, bool)] for d in runs if d] or [np.zeros(0, bool)])
     index = np.zeros((len(fresh), 3), np.int64)
@@ -260,11 +260,22 @@ def fit_field(texts: list[str], y: np.ndarray, rounds: int = 80) -> Field:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int = FIT_LONGEST) -> Field:
-    """The field from at most ``rows`` labelled documents of at most ``longest`` characters."""
-    sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", HELD_OUT) != 1, rows, longest)
-    got = sample.orderBy("doc_id").collect()
-    return fit_field([r["text"] for r in got], np.array([float(r["y"] > 0) for r in got]))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, field_rows: int = FIELD_ROWS) -> Field:
+    """The model from at most ``rows`` labelled documents in order of their keys' hashes, until they have ``chars`` characters.
+
+    No document is left out for its length; one that reaches beyond ``chars`` is cut there.
+    The field's steps and weights come from the first ``field_rows`` of either class.
+    """
+    sample = cut(labelled_sample(docs, labels, "toxic", remainder("doc_id", HELD_OUT) != 1, rows))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    keys, held = [], 0
+    for r in sample.select("doc_id", F.length("text").alias("n")).orderBy(*order).collect():
+        if held >= chars:
+            break
+        keys.append(r["doc_id"])
+        held += r["n"]
+    got = sample.where(F.col("doc_id").isin(keys)).orderBy(*order).select(F.left("text", F.lit(chars)).alias("text"), "y").collect()
+    return fit_field([r["text"] for r in got], np.array([float(r["y"] > 0) for r in got]), field_rows=field_rows)
 
 
 def marked(docs: DataFrame, model: Field) -> DataFrame:
