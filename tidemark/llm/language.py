@@ -37,6 +37,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter; fractions and raised digits are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Slots:
     """Row of a 64-bit key by open addressing, for whole arrays of keys."""
 
@@ -185,7 +190,7 @@ class Coder:
     def best(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, share of probability and bits a byte of each text."""
         raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-        open_ = np.array([bool(self.names) and bool(t) and bool(_LETTER.search(t)) for t in texts])
+        open_ = np.array([bool(self.names) and bool(t) and lettered(t) for t in texts])
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits = self.bits(raw)
