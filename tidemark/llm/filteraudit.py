@@ -10,7 +10,7 @@ Words are runs of anything but space and \\x09-\\x0D.  A to D come from the text
 a task first folds the texts it meets: of equal texts only the smallest doc_id goes on with the
 text, all others fail E for certain, so a text that fills a third of the table crosses the
 shuffle about once a task.  What is left is range-partitioned by adaptive prefixes: by its
-first ``HEAD`` bytes, and where more than a partition's bytes share a prefix, by a prefix of
+first ``HEAD`` bytes, and where more than ``SHARED`` bytes have a prefix in common, by one of
 twice that length, and so on, so that a passage at the top of many texts does not put them into
 one task.  A partition's whole texts are inserted into a compressed trie, whose terminals hold
 the smallest doc_id; walking the terminals gives the flags.
@@ -43,9 +43,9 @@ LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 3
 _CAPITALS = bytes(range(65, 91))
 _SIGNS = re.compile(rb"[#$%&*|]")
 COPY = 1 << FILTERS.index("E")
-#: Bytes of texts that a task folds at a time, and that a partition of tries takes; bytes of the first prefix.
-FOLD, PARTITION, HEAD = 32 << 20, 16 << 20, 16
-#: Prefixes that share a partition's bytes are at most this many a round, whatever the size of the table.
+#: Bytes of texts that a task folds at a time, that a partition of tries takes, and that may share a prefix; bytes of the first prefix.
+FOLD, PARTITION, SHARED, HEAD = 32 << 20, 16 << 20, 1 << 20, 16
+#: Prefixes that are shared by more are at most this many a round, whatever the size of the table.
 BRANCHES = 1024
 
 
@@ -221,7 +221,7 @@ def masks(docs: DataFrame) -> DataFrame:
     open_rows = rows.where(F.col("text").isNotNull())
     total = open_rows.agg(F.sum(F.length("text"))).first()[0] or 0
     branch = F.lit(0).cast("long")
-    for size, hashes in shared_prefixes(open_rows, max(PARTITION, total // BRANCHES)):
+    for size, hashes in shared_prefixes(open_rows, max(SHARED, total // BRANCHES)):
         branch = F.when((F.length("text") > size) & _prefix(size).isin(hashes), _prefix(2 * size)).otherwise(branch)
     dealt = open_rows.withColumn("head", F.substring("text", 1, HEAD)).withColumn("branch", branch).repartitionByRange(max(1, -(-total // PARTITION)), "head", "branch")
     decided = dealt.select("doc_id", "part", "mask", "n", "text").mapInArrow(_flagged, f"doc_id {kind}, part string, mask int, n long")
