@@ -185,3 +185,27 @@ def test_short_clean_documents_are_kept(llm):
     model = language.fit(docs)
     assert 0 < model.best(["the"])[1][0] < 0.5
     assert {r["doc_id"] for r in language.kept(docs, model).collect()} == {r[0] for r in rows} - {300}
+
+
+def test_toxicity_learns_from_long_texts_alone(llm):
+    r, rows, labels = random.Random(4), [], []
+    for i in range(140):
+        text = words(i, 4500) + (" zorgq" * 3 if i % 2 else "")
+        rows.append((i, text))
+        labels.append((i, 1, i % 2))
+    assert min(len(t) for _, t in rows) > 20_000
+    docs = frame(llm, [*rows, *((1000 + i, words(i, 30) + (" zorgq " if i % 2 else "") + words(i + 99, 30)) for i in range(20))])
+    labels = llm.createDataFrame(labels, LABELS)
+    score = {x["doc_id"]: x["score"] for x in toxicity.query(docs, labels).collect()}
+    assert min(score[i] for i in score if i % 2) > max(score[i] for i in score if not i % 2)
+    short = toxicity.fit(docs, labels, chars=30_000)  # the second document is cut, none is left out
+    assert len(short.head) == 4
+
+
+def test_fractions_and_raised_digits_are_no_letters():
+    assert not any(map(language.lettered, ["", "½ ½", "²³ ¼", "12 _ .", "\n"])) and all(map(language.lettered, ["½ a", "日", "ª"]))
+
+
+def test_a_text_of_fractions_has_no_language(llm):
+    docs = frame(llm, [*((i, words(i, 20), "en") for i in range(20)), (99, "½ ½", "en")])
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.query(docs).collect()}[99] == ("und", 0.0)

@@ -66,6 +66,7 @@ def test_equals_every_order_walked(llm, monkeypatch, rows, small):
     if small:
         monkeypatch.setattr(filteraudit, "FOLD", 2000)
         monkeypatch.setattr(filteraudit, "PARTITION", 4000)
+        monkeypatch.setattr(filteraudit, "SHARED", 1500)
     labels = llm.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in filteraudit.query(frame(llm, rows, extra=True), labels).collect())
     assert got == walked(rows, {1, 3, 60, 63, 999}, {2, 3, 63, 999})
