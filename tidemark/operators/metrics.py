@@ -174,6 +174,19 @@ def model_scores(rows: DataFrame, *, keys: list[str], actual: str, expected: str
     return g.join(area_under_curve(d, keys=keys, score=probability, positive=y > 0), keys)
 
 
+def fold_scores(rows: DataFrame, *, keys: list[str], actual: str, predicted: str, binary: bool) -> DataFrame:
+    """Scores of test rows: Brier, area, accuracy and mean recall of a probability of 1, or absolute and squared errors of a number."""
+    y, p = F.col(actual).cast("double"), F.col(predicted)
+    d = rows.filter(y.isNotNull() & p.isNotNull())
+    if not binary:
+        return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"))
+    hit = ((p >= 0.5) == (y > 0)).cast("double")
+    recalls = [F.avg(F.when(y > 0, hit)), F.avg(F.when(y <= 0, hit))]
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(hit).alias("accuracy"),
+                             ((F.coalesce(recalls[0], recalls[1]) + F.coalesce(recalls[1], recalls[0])) / 2).alias("balanced_accuracy"))
+    return g.join(area_under_curve(d, keys=keys, score=predicted, positive=y > 0), keys)
+
+
 def multiclass_scores(rows: DataFrame, *, keys: list[str], truth: str, probabilities: dict[str, str]) -> DataFrame:
     """Brier and log loss of a class table (class name -> probability column)."""
     brier = sum(((F.col(c) - (F.col(truth) == k).cast("double")) ** 2 for k, c in probabilities.items()), F.lit(0.0))

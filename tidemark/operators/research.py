@@ -237,3 +237,29 @@ def benchmark_dimensions(rows: DataFrame, *, blocks: list[str], label: str, part
     tried = cut(reduce(DataFrame.unionByName, [score(size, "all_layers") for size in dimensions]))
     best = tried.filter(F.col("part") == "validation").orderBy("brier", "dimensions").first()["dimensions"]
     return tried.unionByName(score(best, "without_news")).withColumn("chosen", F.col("dimensions") == best)
+
+
+MATRIX_C, MATRIX_ALPHA = 0.3, 10.0
+
+
+def dimension_matrix(rows: DataFrame, *, vector: str, target: str, order: list[str], bucket: str, sizes: tuple[int, ...], binary: bool) -> DataFrame:
+    """Walk-forward scores by rows for the first ``size`` coordinates of a vector, per size and fold.
+
+    Balanced logistic for a target of 0 and 1, ridge otherwise; folds are cut once for all sizes.
+    """
+    known = rows.filter(F.col(target).isNotNull() & F.col(vector).isNotNull())
+    folds = cut(splits.row_walk_forward(known, order=order, bucket=bucket).select("fold", "role", F.col(target).cast("double").alias("y"), F.col(vector).cast("array<double>").alias("v")))
+    counts = {(r["fold"], r["role"]): (r["n"], r["p"], r["s"]) for r in folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.stddev_pop("y").alias("s")).collect()}
+    out = []
+    for size in sizes:
+        d = folds.withColumn("features", array_to_vector(F.slice("v", 1, size)))
+        for k in sorted({k for k, _ in counts}):
+            train, test = (d.filter((F.col("fold") == k) & (F.col("role") == role)) for role in ("train", "test"))
+            n, positives, spread = counts[k, "train"]
+            if binary:
+                model = LogisticRegression(labelCol="y", weightCol="_w", regParam=1.0 / (MATRIX_C * n), maxIter=100).fit(train.withColumn("_w", balance_weight(F.col("y"), positives or 0.0, n)))
+                scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
+            else:
+                scored = LinearRegression(labelCol="y", predictionCol="p", elasticNetParam=0.0, regParam=MATRIX_ALPHA / n * max(spread or 0.0, 1e-12), solver="normal").fit(train).transform(test)
+            out.append(scored.select(F.lit(size).alias("dimensions"), "fold", F.lit(n).cast("long").alias("n_train"), "y", "p"))
+    return metrics.fold_scores(cut(reduce(DataFrame.unionByName, out)), keys=["dimensions", "fold", "n_train"], actual="y", predicted="p", binary=binary)

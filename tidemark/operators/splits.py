@@ -107,3 +107,35 @@ def row_share_splits(rows: DataFrame, *, order: list[str], bucket: str, shares:
             here = F.col("_pos") <= _int(F.col("_n") * F.lit(round(total, 10)))
             part = F.when(here, name) if part is None else part.when(here, name)
     return d.withColumn(out, part).drop("_one", "_pos", "_n")
+
+
+# Row-count folds.
+ROW_FOLDS, ROW_PURGE, ROW_TRAIN_SHARE = 5, 5, 0.40
+LEAST_ROWS, LEAST_FIRST, LEAST_TRAIN, LEAST_WIDTH, LEAST_TEST = 100, 30, 30, 20, 10
+
+
+def row_fold_ranges(n: int, *, folds: int = ROW_FOLDS, purge: int = ROW_PURGE, train_share: float = ROW_TRAIN_SHARE) -> list[tuple[int, int, int]]:
+    """(end of train, start of test, end of test) of each fold of n rows in time order."""
+    if n < LEAST_ROWS:
+        return []
+    first = max(LEAST_FIRST, int(n * train_share))
+    width = max(LEAST_WIDTH, (n - first) // max(1, folds))
+    found = [(max(0, start - purge), start, min(n, start + width)) for start in range(first, n, width)]
+    return [f for f in found if f[0] >= LEAST_TRAIN and f[2] - f[1] >= LEAST_TEST][:folds]
+
+
+def row_walk_forward(rows: DataFrame, *, order: list[str], bucket: str, folds: int = ROW_FOLDS, purge: int = ROW_PURGE, train_share: float = ROW_TRAIN_SHARE) -> DataFrame:
+    """Every row once per fold and role it has, folds counted in *rows* of the whole table.
+
+    Row numbers come from totals by ``bucket``, which must not decrease in ``order``, and
+    places inside it, so no task orders the table; only its row count comes to the driver.
+    """
+    from tidemark.operators.ordered import running_sum
+    ranges = row_fold_ranges(rows.count(), folds=folds, purge=purge, train_share=train_share)
+    d = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), keys=[], bucket=bucket, order=order, value="_one", out="_pos").withColumn("_pos", F.col("_pos") - 1)
+    at = F.col("_pos")
+    roles = [F.struct(F.lit(k).cast("long").alias("fold"), F.lit(role).alias("role"), has.alias("has")) for k, (end, start, stop) in enumerate(ranges, 1)
+             for role, has in (("train", at < end), ("test", (at >= start) & (at < stop)))]
+    if not roles:
+        return rows.limit(0).withColumns({"fold": F.lit(0).cast("long"), "role": F.lit("")})
+    return d.select("*", F.inline(F.filter(F.array(*roles), lambda x: x["has"]))).drop("_one", "_pos", "has")

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.schema import conform
 from tidemark.session import cut
+from tidemark.sources.results import write_store
 
 # The stamp in a file name, and the order in which stored horizons are preferred.
 STAMP = r"(\d{8}T\d{6,12}Z)"
@@ -127,8 +128,42 @@ def split_universe(rows: DataFrame, universe: DataFrame, calendar: DataFrame, *,
     return kept, receipts
 
 
-def land_csv(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
-    """Compressed CSV is read once with a declared schema and landed as Parquet; bad
-    rows keep their text in ``_corrupt_record``."""
+class TooManyRejects(RuntimeError):
+    """More unreadable rows than a landing job may leave aside."""
+
+
+def read_csv(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
+    """Compressed CSV with a declared schema; unreadable rows keep their text in ``_corrupt_record``."""
     return spark.read.schema(StructType([*schema.fields]).add("_corrupt_record", "string")).option("header", "true") \
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(pattern)
+
+
+def land_csv(spark: SparkSession, pattern: str, schema: StructType, path: str, *, day: Column, stop_share: float = 0.05) -> DataFrame:
+    """Read CSV once and land it: good rows by day under ``path/rows``, others as text under ``path/rejects``.
+
+    Returns the counts (landed, rejected).  A share of rejects above ``stop_share`` stops the
+    job before anything is landed; nothing is dropped without a trace.
+    """
+    parsed = cut(read_csv(spark, pattern, schema).withColumn("file", F.input_file_name()))
+    bad = F.col("_corrupt_record").isNotNull()
+    counts = parsed.agg(F.count_if(~bad).alias("landed"), F.count_if(bad).alias("rejected"))
+    row = counts.first()
+    if row["rejected"] > stop_share * (row["landed"] + row["rejected"]):
+        raise TooManyRejects(f"{row['rejected']} of {row['landed'] + row['rejected']} rows are unreadable")
+    write_store(parsed.filter(~bad).drop("_corrupt_record", "file").withColumn("day", day), f"{path}/rows", partitions=["day"])
+    parsed.filter(bad).select("file", F.col("_corrupt_record").alias("text")).write.mode("append").parquet(f"{path}/rejects")
+    return counts
+
+
+def split_by_day(articles: DataFrame, plan: DataFrame, path: str, *, ticker: str, published: str, day: str = "day") -> DataFrame:
+    """Articles of any span into one partition a publication day, and a receipt for every planned (ticker, day).
+
+    A planned day without articles is ``verified_empty``; articles without a clock or on
+    days that were not planned for their ticker are not stored.
+    """
+    dated = articles.withColumn(day, F.to_date(published)).filter(F.col(day).isNotNull())
+    stored = dated.join(plan.select(ticker, day).distinct(), [ticker, day], "left_semi")
+    write_store(stored, path, partitions=[day])
+    counts = articles.sparkSession.read.schema(stored.schema).parquet(path).groupBy(ticker, day).agg(F.count(F.lit(1)).alias("rows"))
+    return plan.select(ticker, day).distinct().join(counts, [ticker, day], "left").select(
+        ticker, day, F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows").isNotNull(), "stored").otherwise("verified_empty").alias("status"))

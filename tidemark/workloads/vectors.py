@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.clock import market_close
 from tidemark.operators import news as n
 from tidemark.operators import vectors as v
+from tidemark.operators.asof import DAY_SECONDS, asof
 from tidemark.session import cut
 from tidemark.workloads.adapters import BARS, bars, day_text, k_of, r, rounded
 from tidemark.workloads.registry import workload
@@ -281,13 +282,14 @@ def quality_block(t):
 def daily_vector(t):
     """384-dimension vector per ticker-day from pooled news, events, bars and quality.
 
-    A chunk counts on the first day whose market close it was available for.
+    A chunk counts in its ticker's next session whose close it was available for, over
+    weekends and gaps too; chunks after the last session wait for the next one.
     """
     tickers = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
     usable = n.availability(chunks(t), effective="effective", published="published", first_seen="first_seen").filter(F.col("available").isNotNull())
-    that_day = F.to_date("available")
-    usable = usable.withColumns({"ticker": F.element_at(tickers, (F.col("label") % 5 + 1).cast("int")),
-                                 "day": F.when(F.col("available") <= market_close(that_day), that_day).otherwise(F.date_add(that_day, 1))})
+    usable = usable.withColumn("ticker", F.element_at(tickers, (F.col("label") % 5 + 1).cast("int"))).drop("day")
+    sessions = bars(t).select(*DAY).distinct().withColumn("close", market_close(F.col("day")))
+    usable = asof(usable, sessions, keys=["ticker"], left_time="available", right_time="close", direction="forward", take=["day"], bucket_seconds=7 * DAY_SECONDS).filter(F.col("day").isNotNull())
     pooled = n.pool_embeddings(usable, keys=DAY).select(*DAY, F.col("embedding").alias("news_raw"), "chunks", "max_attention", "mean_quality",
                                                         "mean_relevance", "mean_importance", "mean_novelty")
     h = _histogram(t)
