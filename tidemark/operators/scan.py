@@ -20,6 +20,17 @@ MIN_PAIRS, MIN_SUPPORT = 20, 80
 DISCOVERY_SHARE, DISCOVERY_Q, CONFIRM_Q, CONFIRM_FLOOR = 0.70, 0.10, 0.05, 30
 INTERVAL_Z, RHO_BOUND = 1.96, 0.999999
 MI_BINS = 10
+COVERAGE_FLOOR, COVERAGE_SHARE = 30, 0.2
+
+
+def usable_features(rows: DataFrame, features: list[str], *, target: str) -> list[str]:
+    """Features that are no leak by name, known in enough rows and not constant; one aggregate over all of them."""
+    use = [f for f in safe_inputs(features) if f != target]
+    if not use:
+        return []
+    of = lambda f: F.col(f).try_cast("double")
+    row = rows.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(of(f)).alias("known"), (F.min(of(f)) < F.max(of(f))).alias("varies")).alias(f"_{i}") for i, f in enumerate(use)]).first()
+    return [f for i, f in enumerate(use) if row[f"_{i}"]["known"] >= max(COVERAGE_FLOOR, int(row["n"] * COVERAGE_SHARE)) and row[f"_{i}"]["varies"]]
 
 
 def split_rows(rows: DataFrame, *, day: str, purge: int = 1, out: str = "split") -> DataFrame:
@@ -33,6 +44,8 @@ def split_rows(rows: DataFrame, *, day: str, purge: int = 1, out: str = "split")
 def long_pairs(rows: DataFrame, *, features: list[str], target: str, keys: list[str]) -> DataFrame:
     """Feature/target pairs in long form, complete pairs only, for every feature that is no leak by name."""
     use = safe_inputs(features)
+    if not use:
+        return rows.limit(0).select(*keys, F.lit(0.0).alias("y"), F.lit("").alias("feature"), F.lit(0.0).alias("x"))
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in use])
     return rows.select(*keys, F.col(target).cast("double").alias("y"), F.inline(pairs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -113,10 +126,11 @@ def relationship_scan(rows: DataFrame, *, features: list[str], target: str, tick
     """Hypotheses found in discovery and checked once in confirmation.
 
     A feature counts as confirmed when both the global and the within-ticker view
-    keep their sign and pass the false-discovery limit in confirmation.  All that
-    discovery selects go on, or the ``max_selected`` strongest if the caller asks.
+    keep their sign and pass the false-discovery limit in confirmation.  Features known in
+    too few rows, or constant, are not tried.  All that discovery selects go on, or the ``max_selected`` strongest if the caller asks.
     """
     # Both tables feed several branches; the second has one row per hypothesis.
+    features = usable_features(rows, features, target=target)
     pairs = cut(long_pairs(split_rows(rows, day=day, purge=purge), features=features, target=target, keys=["split", ticker]))
     stats = cut(with_p_values(rank_correlation(with_views(pairs, split="split", ticker=ticker), keys=["feature", "split", "view"])))
     found = benjamini_hochberg(stats.filter(F.col("split") == "discovery"), keys=["view"], p="p", null_policy="one")

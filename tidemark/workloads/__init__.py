@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("market", "joins", "options", "metrics", "relations", "risk", "text", "vectors", "catalog", "earnings", "streams", "scans", "research", "stores", "models", "landing")
+FAMILIES = ("market", "joins", "options", "metrics", "relations", "risk", "text", "vectors", "catalog", "earnings", "streams", "scans", "research", "stores", "models", "landing", "sinks")
 
 
 def load():
