@@ -44,11 +44,6 @@ PROVIDER_STRENGTH, NEUTRAL_BAND = 0.65, 0.25
 TEXT_COLUMNS = ("headline", "title", "article_title", "description", "article_description", "article_text", "google_context")
 
 
-def combined_text(frame: DataFrame) -> Column:
-    """The text columns an article has, joined by spaces."""
-    return F.concat_ws(" ", *[F.col(c) for c in TEXT_COLUMNS if c in frame.columns])
-
-
 def score_text(frame: DataFrame, text: str | Column, lexicon: Lexicon = Lexicon(), provider: str | None = None) -> DataFrame:
     """Polarity, emotion and surprise of whole texts; all JVM-side."""
     raw = F.col(text) if isinstance(text, str) else text

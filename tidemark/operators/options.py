@@ -17,10 +17,6 @@ STRIKE_SCALE = 1000.0
 RATIO_FLOOR = 1e-8
 
 
-def underlying_of(symbol: Column) -> Column:
-    return F.nullif(F.regexp_extract(symbol, OCC_PATTERN, 1), F.lit(""))
-
-
 def parse_symbol(frame: DataFrame, symbol: str) -> DataFrame:
     """Symbol parts as columns: a projection, so no join and no shuffle per bar row."""
     part = lambda i: F.nullif(F.regexp_extract(F.col(symbol), OCC_PATTERN, i), F.lit(""))

@@ -207,9 +207,3 @@ def explain(frame: DataFrame, patterns: DataFrame, *, limit: int | None = None,
     if limit is not None:
         hits = hits.filter(F.col("position") <= limit)
     return frame.join(hits, mask).select(*frame.columns, "position", "pattern", "support", "score", "prob_stock_up")
-
-
-def describe(pattern: Column) -> Column:
-    """Condition names of a pattern code."""
-    names = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("v"), F.lit(n).alias("n")) for b, n in enumerate(CONDITIONS)])
-    return F.array_join(F.transform(F.filter(names, lambda x: pattern.bitwiseAND(x["v"]) != 0), lambda x: x["n"]), " + ")

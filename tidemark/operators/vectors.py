@@ -190,9 +190,5 @@ def l2_norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def total(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double"))
