@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, cut, labelled_sample, remainder, slices, texts_of
 
 #: Bounds of the sample that the model is fitted on: documents, and characters of all of them.
-FIT_ROWS, FIT_CHARS = 5000, 24_000_000
+FIT_ROWS, FIT_CHARS = 5000, 10_000_000
 HELD_OUT, THRESHOLD = 3, 0.7
 EVIDENCE, SUPPORT, COMMON = 4.0, 5, 0.02
 #: Documents of each class whose tokens the field is fitted on.
