@@ -44,7 +44,7 @@ from tidemark.llm.packing import _SHOWN
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk of documents, and units that a worker remembers.
-CHUNK, REMEMBERED = 4_000_000, 200_000
+CHUNK, REMEMBERED = 3_000_000, 100_000
 #: Units encoded as one text.
 TOGETHER = 4096
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
