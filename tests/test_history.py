@@ -183,3 +183,15 @@ def test_inventory_and_gate(spark):
     assert ready.count() == 22 and not g["training_ready"] and g["blocker_count"] > 0
     states = {x["id"]: x["state"] for x in ready.collect()}
     assert states["option_quotes"] == "uitgesteld" and states["stock_minute"] == "ontbreekt" and states["news_coverage"] == "gedeeltelijk"
+
+
+def test_values_known_only_later_stop_an_evaluation(spark):
+    from tidemark.operators import audits, research
+    d = spark.range(200).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") % 7 / 100.0).alias("ret"), F.lit(0.001).alias("cost"))
+    d = d.withColumns({"label_end": F.date_add("day", 1), "month": F.date_trunc("month", "day"), "known": F.when(F.dayofmonth("day") == 9, F.date_add("day", 2)).otherwise(F.col("day"))})
+    settings = {"target": "ret", "cost": "cost", "day": "day", "label_end": "label_end", "order": ["day"], "bucket": "month"}
+    base = research.Candidate("base", (), "historical_mean")
+    with pytest.raises(audits.LeakageError):
+        research.evaluate(d, base, available=("known",), **settings)
+    metrics, made = research.evaluate(d.withColumn("rough", F.dayofmonth("day") == 3), base, open_holdout=True, walk=False, provisional="rough", **settings)
+    assert [(r["part"], r["costs_provisional"]) for r in metrics.collect()] == [("holdout", True)] and made.select("fold").distinct().count() == 1

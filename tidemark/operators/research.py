@@ -111,19 +111,27 @@ class Candidate:
 
 
 def evaluate(rows: DataFrame, candidate: Candidate, *, target: str, cost: str, day: str, label_end: str, order: list[str], bucket: str,
-             config: splits.WalkForward = splits.WalkForward(), open_holdout: bool = False) -> tuple[DataFrame, DataFrame]:
+             config: splits.WalkForward = splits.WalkForward(), open_holdout: bool = False, walk: bool = True, available: tuple[str, ...] = (),
+             provisional: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics per part, predictions) of one candidate.
 
-    The holdout is set apart first, the folds are audited for overlap before any
-    fit, and the holdout is fitted and scored only when asked for.
+    The holdout is set apart first, the folds are audited before any fit, for overlap
+    and for values that became ``available`` only after the row's day, and the holdout
+    is fitted and scored only when asked for; without ``walk`` it alone is.
+    ``provisional`` names a flag of rows whose cost is no quote; ``costs_provisional``
+    says whether any judged row has one.
     """
     parts = splits.holdout_split(rows, day=day, config=config, out="_part")
     research = parts.filter(F.col("_part") == "research").drop("_part")
-    folds = splits.walk_forward_folds(research, day=day, config=config)
-    if open_holdout:
-        folds = folds.unionByName(parts.filter(F.col("_part") != "purged").select(
-            *rows.columns, F.lit(0).cast("long").alias("fold"), F.when(F.col("_part") == "research", "train").otherwise("test").alias("role")))
+    held = parts.filter(F.col("_part") != "purged").select(
+        *rows.columns, F.lit(0).cast("long").alias("fold"), F.when(F.col("_part") == "research", "train").otherwise("test").alias("role"))
+    folds = splits.walk_forward_folds(research, day=day, config=config) if walk or not open_holdout else held
+    if open_holdout and walk:
+        folds = folds.unionByName(held)
     folds = cut(folds)
+    seen = audits.audit_point_in_time(folds, as_of=day, available=list(available), target=label_end, keys=["fold", "role"])
+    late = sum((F.col(f"future_{c}") for c in available), F.col("missing_as_of") + F.col("non_future_targets"))
+    audits.require(seen, late > 0, candidate.name)
     audits.require(audits.audit_columns(folds, list(candidate.features)) if candidate.features else folds.limit(0).withColumn("forbidden", F.lit(True)),
                    F.col("forbidden"), candidate.name)
     audits.require(audits.audit_purge(folds, as_of=day, label_end=label_end), ~F.col("valid"), candidate.name)
@@ -136,10 +144,17 @@ def evaluate(rows: DataFrame, candidate: Candidate, *, target: str, cost: str, d
     predictive = metrics.predictive_metrics(made, keys=["part"])
     profitable = made.filter(F.col("trade")).groupBy("part", "fold").agg(F.sum("actual_net_return").alias("s")).groupBy("part").agg(
         F.count_if(F.col("s") > 0).alias("profitable_periods"))
-    out = economic.join(predictive, "part").join(profitable, "part", "left").fillna(0, ["profitable_periods"])
+    rough = F.coalesce(F.col(provisional).cast("boolean"), F.lit(True)) if provisional else F.lit(False)
+    flags = made.groupBy("part").agg(F.max(rough).alias("costs_provisional"))
+    out = economic.join(predictive, "part").join(flags, "part").join(profitable, "part", "left").fillna(0, ["profitable_periods"])
     return out.withColumns({"candidate": F.lit(candidate.name), "model": F.lit(candidate.model), "target": F.lit(target), "leakage_valid": F.lit(True)}), made
 
 
+def breakdowns(predictions: DataFrame, dimensions: dict[str, str], *, order: list[str], bucket: str) -> DataFrame:
+    """Economic metrics of predictions per part and value of each dimension (name -> column)."""
+    return metrics.economic_metrics(metrics.breakdown_rows(predictions, dimensions), keys=["part", "dim", "value"], order=order, bucket=bucket)
+
+
 def suite(rows: DataFrame, candidates: list[Candidate], *, targets: list[str], ticker: str, day: str, **settings) -> DataFrame:
     """Baseline and candidates per target; the choice uses walk-forward results only,
     then baseline and the chosen one alone see the holdout.  Paired t-tests against
@@ -162,7 +177,7 @@ def suite(rows: DataFrame, candidates: list[Candidate], *, targets: list[str], t
         good = [x for x in summary if x[1]["number_of_trades"] >= MIN_TRADES and x[1]["profitable_periods"] >= MIN_PROFITABLE_PERIODS]
         chosen = max(good or summary, key=lambda x: (x[1]["expected_value_per_trade"], -x[1]["maximum_drawdown"]))[0]
         for c in (base, chosen):
-            m, _ = evaluate(rows, c, target=target, day=day, open_holdout=True, **settings)
+            m, _ = evaluate(rows, c, target=target, day=day, open_holdout=True, walk=False, **settings)
             scored.append(m.filter(F.col("part") == "holdout"))
         blocks.append(reduce(DataFrame.unionByName, scored).withColumn("selected_before_holdout", F.col("candidate") == chosen.name))
     tested = rows.sparkSession.createDataFrame(tests, "candidate string, target string, pairs long, t_statistic double, p double")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, research, risk, splits
 from tidemark.session import cut
-from tidemark.workloads.adapters import r, rounded, sessions
+from tidemark.workloads.adapters import SESSIONS, r, rounded, sessions
+from tidemark.workloads.metrics import _FOLDS, ECON, sql_economics
 from tidemark.workloads.registry import workload
 
 FEATURES = ["f_discount", "f_tax", "f_quantity", "f_count", "past_return"]
@@ -79,11 +80,33 @@ _SETTINGS = {"cost": "cost", "day": "day", "label_end": "label_end", "order": ["
 @workload("alpha_evaluate")
 def alpha_evaluate(t):
     """One audited candidate: walk-forward and holdout metrics after costs."""
-    out, _ = research.evaluate(cut(_rows(t)), research.Candidate("all_features", tuple(FEATURES)), target="ret", open_holdout=True, **_SETTINGS)
-    return out.select("candidate", "model", "part", "observations", "number_of_trades", "profitable_periods", "leakage_valid", *rounded(out, [
+    rows = cut(_rows(t).withColumns({"known": F.col("day"), "estimated": F.col("f_tax") > 0.06}))
+    out, _ = research.evaluate(rows, research.Candidate("all_features", tuple(FEATURES)), target="ret", open_holdout=True, available=("known",), provisional="estimated", **_SETTINGS)
+    return out.select("candidate", "model", "part", "observations", "number_of_trades", "profitable_periods", "costs_provisional", "leakage_valid", *rounded(out, [
         "expected_value_per_trade", "ev_net", "sharpe", "maximum_drawdown", "net_return", "mae", "rmse", "brier"]))
 
 
+_BASELINE = SESSIONS + f""",
+rw as (select ticker, day, future_return / 20 as ret, f_tax / 50 - 0.011::double as cost from sessions where future_return is not null),
+c0 as (select day, row_number() over (order by day) - 1 as i, count(*) over () as n from (select distinct day from rw)),
+research as (select rw.* from rw join c0 using (day) where i < n - greatest(20, ceil(n * 0.15)) - 5),
+cal as (select day, row_number() over (order by day) - 1 as i, count(*) over () as n from (select distinct day from research)), {_FOLDS},
+j as (select research.*, fold, role from research join roles using (day)),
+tr as (select fold, avg(ret) as mean, coalesce(stddev_samp(ret), 0) as sigma from j where role = 'train' group by fold),
+made as (select ticker, day, ret as actual_return, mean as expected_return, cost, mean > cost + 0.005::double + sigma * 0.25::double as trade from j join tr using (fold) where role = 'test'),
+keyed as (select 'ticker=' || ticker as slice, * from made union all select 'month=' || strftime(day, '%Y-%m'), * from made)
+"""
+
+
+@workload("alpha_breakdowns", sql=f"with {_BASELINE}, {sql_economics('keyed', 'slice')}")
+def alpha_breakdowns(t):
+    """The audited baseline's walk-forward trades by ticker and month: economic metrics per value."""
+    rows = cut(_rows(t).withColumns({"cheap": F.col("f_tax") / 50 - 0.011, "known": F.col("day")}))
+    _, made = research.evaluate(rows, research.Candidate("historical_mean", (), "historical_mean"), target="ret", available=("known",), **{**_SETTINGS, "cost": "cheap"})
+    d = research.breakdowns(made.withColumn("month_text", F.date_format("month", "yyyy-MM")), {"ticker": "ticker", "month": "month_text"}, order=["day", "ticker"], bucket="month")
+    return d.select(F.concat_ws("=", "dim", "value").alias("slice"), "observations", "number_of_trades", *rounded(d, ECON))
+
+
 @workload("alpha_suite")
 def alpha_suite(t):
     """Baseline and candidates, chosen on walk-forward only, tested once on the holdout."""
