@@ -2,6 +2,8 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
@@ -28,3 +30,21 @@ def test_stream_agrees_with_sql(spark, name):
 def test_monitor_stream_covers_every_row(spark):
     out = entry.queries()["stream_monitor"](spark, FOLDER).collect()
     assert sum(r["rows"] for r in out) == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_stream_reads_a_table_of_one_file_or_of_part_files(spark, tmp_path, parts):
+    rows = pa.table({"doc_id": list(range(400)), "n_chars": [7 * n for n in range(400)]})
+    if parts:
+        (tmp_path / "documents.parquet").mkdir()
+    for n in range(max(parts, 1)):
+        pq.write_table(rows.take(list(range(n, 400, max(parts, 1)))), tmp_path / "documents.parquet" / f"part-{n}.parquet" if parts else tmp_path / "documents.parquet")
+    pq.write_table(rows, tmp_path / "other.parquet")  # another table of the folder is not read
+    got = [tuple(r) for r in entry.queries()["stream_news_sliding"](spark, str(tmp_path)).collect()]
+    import duckdb
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    con.register("documents", rows)
+    cur = con.execute(entry.oracle_sql()["stream_news_sliding"])
+    names = [d[0] for d in cur.description]
+    assert got and rows_of(names, got) == rows_of(names, cur.fetchall())
