@@ -79,6 +79,64 @@ def test_earnings_features_wait_for_their_clock(spark):
     assert [x["days_since_earnings"] for x in r] == [None, None, None, 0.0, 0.0, 4.0] and r[3]["earnings_event_today"] == 1.0
 
 
+def _records(spark, rows):
+    """(event_id, earnings_date, schedule, actual, sec clocks in hours, safe) as records of one ticker."""
+    schema = ("ticker string, event_id string, earnings_date date, event_schedule_available timestamp, actual_available timestamp, surprise_available timestamp, sec_available timestamp, "
+              "estimate_safe boolean, eps_actual double, tie long")
+    at = lambda h: None if h is None else dt.datetime(2025, 1, 1) + dt.timedelta(hours=h)
+    d = spark.createDataFrame([("N", e, None if d is None else dt.date(2025, 1, 1) + dt.timedelta(days=d), at(s), at(a), at(a), at(f), safe, float(n), n)
+                               for n, (e, d, s, a, f, safe) in enumerate(rows)], schema)
+    for c in ("earnings_time", "filing_date", "estimate_available"):
+        d = d.withColumn(c, F.lit(None).cast({"earnings_time": "string", "filing_date": "date"}.get(c, "timestamp")))
+    for c in ("eps_estimated", "revenue_estimated", "revenue_actual", "eps_surprise", "eps_surprise_pct", "revenue_surprise", "revenue_surprise_pct", "net_income", "assets", "liabilities", "cash_flow"):
+        d = d.withColumn(c, F.lit(None).cast("double"))
+    return d
+
+
+def test_change_points_agree_with_every_record_compared(spark):
+    import random
+    rng = random.Random(7)
+    some = lambda n, share=.85: rng.randrange(n) if rng.random() < share else None
+    rows = [(f"e{rng.randrange(6)}", some(12), some(200), some(400), some(400), rng.choice([True, False, None])) for _ in range(40)]
+    got = earnings.change_points(_records(spark, rows), keys=["ticker"]).select(
+        "t", "next.tie", "last_date", *[F.col(f"{c}.tie").alias(c) for c in ("facts", "actual", "surprise")]).orderBy("t").collect()
+    day = lambda h: h // 24
+    state = [None] * 5
+    held = {int((r["t"] - dt.datetime(2025, 1, 1)).total_seconds() // 3600): r for r in got}
+    assert len(held) == len(got)
+    for h in range(450):
+        if h in held:
+            r = held[h]
+            state = [r["tie"], None if r["last_date"] is None else (r["last_date"] - dt.date(2025, 1, 1)).days, r["facts"], r["actual"], r["surprise"]]
+        first = {}
+        for n, (e, d, s, a, f, safe) in enumerate(rows):
+            if d is not None and s is not None and s <= h:
+                first[e] = min(first.get(e, (d, s, n)), (d, s, n), key=lambda x: (x[0], x[1], _after(rows[x[2]]), x[2]))
+        due = lambda test, key: max(((key(n, *r), n) for n, r in enumerate(rows) if test(*r)), default=(0, None))[1]
+        past = lambda e, d, s, a, f, safe: a is not None and d is not None and a <= h and d <= day(h)
+        ahead = sorted((d, s, _after(rows[n]), n) for d, s, n in first.values() if d >= day(h))
+        assert state == [
+            ahead[0][-1] if ahead else None, max((d for d, _, _ in first.values() if d <= day(h)), default=None),
+            due(lambda e, d, s, a, f, safe: f is not None and f <= h, lambda n, e, d, s, a, f, safe: (f, n)),
+            due(past, lambda n, e, d, s, a, f, safe: (d, a, n)),
+            due(lambda *r: past(*r) and bool(r[-1]), lambda n, e, d, s, a, f, safe: (d, a, n))], h
+
+
+def _after(row):
+    """What decides between listings of one report, date and schedule clock: the rest of the record in order, nulls first."""
+    e, d, s, a, f, safe = row
+    none = lambda x: (x is not None, x or 0)
+    return e, none(a), none(f), none(safe)
+
+
+def test_change_points_of_a_ticker_with_many_records(spark):
+    import time
+    rows = [(f"e{n % 30}", n % 30, n % 700, 24 * (n % 30) + n % 17, n, n % 3 == 0) for n in range(8000)]
+    began = time.time()
+    assert earnings.change_points(_records(spark, rows), keys=["ticker"]).select("facts.tie").distinct().count() == 8000
+    assert time.time() - began < 60  # every point against every record took minutes
+
+
 def panel(spark, days=180, tickers=1):
     rng = np.random.default_rng(7)
     rows = [(f"T{k}", d.date(), float(s), float(n), float(.14 + .08 * s + e)) for k in range(tickers) for d, s, n, e in zip(

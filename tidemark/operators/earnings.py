@@ -269,39 +269,49 @@ PIT_FEATURES = (
 _RECORD = ("event_id", "earnings_date", "earnings_time", "filing_date", "event_schedule_available", "estimate_available", "actual_available",
            "surprise_available", "sec_available", "estimate_safe", "eps_estimated", "revenue_estimated", "eps_actual", "revenue_actual",
            "eps_surprise", "eps_surprise_pct", "revenue_surprise", "revenue_surprise_pct", "net_income", "assets", "liabilities", "cash_flow", "tie")
-_CLOCKS = ("event_schedule_available", "estimate_available", "actual_available", "surprise_available", "sec_available")
 
 
 def change_points(records: DataFrame, *, keys: list[str]) -> DataFrame:
     """What is known about a ticker's earnings, at every instant it changes.
 
-    State changes only at a clock value or at the UTC midnight a report date begins
-    or ends.  One row per ticker holds its reports (a few hundred at most, four a
-    year) and every change point is worked out inside it.  A report listed several
-    times counts as its earliest listing known so far: ``_m`` is when an earlier one of
-    the same report appears, so no listing is compared with the others again.
+    A record takes effect once, at its clock or at the UTC midnight its report date begins,
+    so facts, actual and surprise are running maxima along the change points: work in
+    proportion to the records, however many a ticker has.  The next and last report date
+    also lose listings.  A report listed several times counts as its earliest listing known
+    so far: ``_m`` is when an earlier one of the same report appears, and a listing that
+    appears no sooner than that never counts.  Only those that do (the reports of a ticker,
+    four a year, and their new dates) are compared with each other, where one comes or goes.
     """
     known = F.when(F.col("earnings_date").isNotNull(), F.col("event_schedule_available"))
     earlier = Window.partitionBy(*keys, "event_id").orderBy("earnings_date", "event_schedule_available", F.struct(*_RECORD)).rowsBetween(Window.unboundedPreceding, -1)
-    g = records.withColumn("_m", F.min(known).over(earlier)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("earnings_date").alias("d"), F.col("event_schedule_available").alias("s"), F.struct(*_RECORD).alias("r"), F.col("_m").alias("m")))).alias("_a"))
-    clocks = F.flatten(F.transform("_a", lambda x: F.array(*[x["r"][c] for c in _CLOCKS], x["d"].cast("timestamp"), F.date_add(x["d"], 1).cast("timestamp"))))
-    g = g.withColumn("_points", F.array_distinct(F.array_compact(clocks)))
-    arr = F.col("_a")
+    # One shuffle: all that follows is by ticker, or by more than the ticker.
+    g = records.repartition(*keys).withColumn("_m", F.min(known).over(earlier)).groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("earnings_date").alias("d"), F.col("event_schedule_available").alias("s"), F.struct(*_RECORD).alias("r"), F.col("_m").alias("m"))).alias("_a"))
+    g = g.withColumn("_live", F.array_sort(F.filter("_a", lambda x: x["d"].isNotNull() & x["s"].isNotNull() & (x["m"].isNull() | (x["m"] > x["s"])))))
+    bounds = F.flatten(F.transform("_live", lambda x: F.array(x["s"].cast("timestamp"), x["m"].cast("timestamp"), x["d"].cast("timestamp"), F.date_add(x["d"], 1).cast("timestamp"))))
 
-    def state(t):
+    def move(t, kind, r, last=None):
+        return F.struct(t.cast("timestamp").alias("t"), F.lit(kind).alias("_kind"), r.alias("_r"), (F.lit(None) if last is None else last).cast("date").alias("_last"))
+
+    def schedule(t):
         today = t.cast("date")
-        once = F.filter(arr, lambda x: x["d"].isNotNull() & (x["s"] <= t) & (x["m"].isNull() | (x["m"] > t)))
-        newest = lambda keep, *order: F.array_max(F.transform(F.filter(arr, keep), lambda x: F.struct(
-            *[x["r"][o].alias(f"o{n}") for n, o in enumerate((*order, "tie"))], x["r"].alias("r"))))["r"]
-        past = lambda c: (lambda x: (x["r"][c] <= t) & (x["d"] <= today))
-        return F.struct(
-            t.alias("t"), F.try_element_at(F.filter(once, lambda x: x["d"] >= today), F.lit(1))["r"].alias("next"),
-            F.try_element_at(F.filter(once, lambda x: x["d"] <= today), F.lit(-1))["d"].alias("last_date"),
-            newest(lambda x: x["r"]["sec_available"] <= t, "sec_available", "filing_date").alias("facts"),
-            newest(past("actual_available"), "earnings_date", "actual_available").alias("actual"),
-            newest(lambda x: past("surprise_available")(x) & F.coalesce(x["r"]["estimate_safe"], F.lit(False)), "earnings_date", "surprise_available").alias("surprise"))
-    return g.select(*keys, F.inline(F.transform("_points", state)))
+        once = F.filter("_live", lambda x: (x["s"] <= t) & (x["m"].isNull() | (x["m"] > t)))
+        return move(t, 3, F.try_element_at(F.filter(once, lambda x: x["d"] >= today), F.lit(1))["r"], F.try_element_at(F.filter(once, lambda x: x["d"] <= today), F.lit(-1))["d"])
+
+    def past(clock):
+        return lambda x: F.when(x["d"].isNotNull() & x["r"][clock].isNotNull(), F.greatest(x["r"][clock], x["d"].cast("timestamp")))
+    actual, surprise = past("actual_available"), past("surprise_available")
+    moves = F.concat(F.transform("_a", lambda x: move(x["r"]["sec_available"], 0, x["r"])), F.transform("_a", lambda x: move(actual(x), 1, x["r"])),
+                     F.transform(F.filter("_a", lambda x: x["r"]["estimate_safe"]), lambda x: move(surprise(x), 2, x["r"])),
+                     F.transform(F.array_distinct(F.array_compact(bounds)), schedule))
+    newest = lambda kind, *order: F.max(F.when(F.col("_kind") == kind, F.struct(
+        *[F.col(f"_r.{o}").alias(f"o{n}") for n, o in enumerate((*order, "tie"))], "_r")))
+    points = g.select(*keys, F.inline(moves)).filter(F.col("t").isNotNull()).groupBy(*keys, "t").agg(
+        F.max(F.when(F.col("_kind") == 3, F.struct("_r", "_last"))).alias("_plan"), newest(0, "sec_available", "filing_date").alias("facts"),
+        newest(1, "earnings_date", "actual_available").alias("actual"), newest(2, "earnings_date", "surprise_available").alias("surprise"))
+    upto = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumns({"_plan": F.last("_plan", ignorenulls=True).over(upto), **{c: F.max(c).over(upto) for c in ("facts", "actual", "surprise")}})
+    return points.select(*keys, "t", F.col("_plan._r").alias("next"), F.col("_plan._last").alias("last_date"), *[F.col(f"{c}._r").alias(c) for c in ("facts", "actual", "surprise")])
 
 
 PIT_STATE = ("next", "last_date", "facts", "actual", "surprise")
