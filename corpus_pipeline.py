@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor kept, with the columns of
 ``documents``, and its decision takes effect: rejected rows are gone, near copies are
-one row, personal data is replaced in the text.  ``run`` writes each stage's rows to the
+one row, personal data is replaced in the text, a sequence holds documents of one
+recognised language.  ``run`` writes each stage's rows to the
 shared folder before the next one starts, so a lost executor never repeats a stage.
 
 Rows with a null text or doc_id pass through the stages like others: the quality score
@@ -45,9 +46,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their place in a sequence."""
+    """Pieces of the documents' token ids with their place in a sequence, which holds one language."""
     started(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, apart="lang")
 
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("near_copies", drop_near_copies), ("redaction", redact), ("packing", pack)]

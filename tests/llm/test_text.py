@@ -114,6 +114,24 @@ def test_pipeline_returns_the_text_as_ids(llm, tmp_path):
     assert {r["doc_id"]: whole.decode(r["ids"][:-1]) for r in got} == {r["doc_id"]: whole.decode(whole.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
 
 
+def test_pipeline_packs_recognised_languages_apart(llm, tmp_path):
+    import corpus_pipeline as P
+    texts = {"en": "the quick brown fox jumps over the lazy dog ", "nl": "het is een mooie dag om naar het strand te gaan "}
+    rows = [(i, texts["en" if i % 2 else "nl"] * (1 + i % 5), "en" if i % 2 else "nl") for i in range(60)]
+    rows += [(100, texts["nl"] * 3, "en"), (101, "12 34 ½", "en")]  # a wrong mark, and no letter
+    docs = P.keep_language(llm, frame(llm, rows, True), str(tmp_path))
+    got = P.pack(llm, docs, str(tmp_path)).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], set()).add(r["lang"])
+    want = {i: lang for i, _, lang in rows[:60]} | {100: "nl"}
+    assert {r["doc_id"]: r["lang"] for r in got} == want and set(map(len, held.values())) == {1}
+    check_packing(got, packing.SIZE)
+    mixed = packing.packed(docs, apart="lang", size=64, shard=10).collect()  # several shards a language
+    check_packing(mixed, 64)
+    assert len({(r["sequence_id"], r["lang"]) for r in mixed}) == len({r["sequence_id"] for r in mixed}) and {r["doc_id"] for r in mixed} == set(want)
+
+
 def test_local_search_empties_bins():
     r = np.random.default_rng(0)
     lengths = r.integers(150, 350, 400)

@@ -112,9 +112,10 @@ class Encoder:
         return [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in texts]
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of every document."""
+def pieces(docs: DataFrame, path: str, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids) of every document and its ``keep`` columns."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, nth, length, crc, held = [], [], [], [], []
@@ -127,8 +128,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
         ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
         tokens = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(held), "<i4")))
         return pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(nth, pa.int32()), pa.array([k * size for k in nth], pa.int64()),
-                                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), tokens], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-    return arrow_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
+                                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), tokens, *(batch.column(c).take(pa.array(row)) for c in keep)],
+                               ["doc_id", "piece", "start", "length", "ids_crc32", "ids", *keep])
+    return arrow_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>{kept}")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -252,14 +254,23 @@ def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     return where, offset
 
 
-def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, shard: int = SHARD) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, shard: int = SHARD, apart: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of every piece; ``ids`` are its tokens.
 
-    Only lengths are packed; their places are joined back to the written pieces.
+    Only lengths are packed; their places are joined back to the written pieces.  With
+    ``apart``, a column of few values that is returned too, a sequence holds documents of one value.
     """
-    ready = cut(pieces(docs, path or vocabulary_path(), size).withColumn("nth", F.monotonically_increasing_id()))
-    shards = max(1, -(-ready.count() // shard))
-    dealt = ready.select("nth", "length", F.pmod(F.xxhash64("nth"), F.lit(shards)).alias("shard"))
+    ready = cut(pieces(docs, path or vocabulary_path(), size, (apart,) if apart else ()).withColumn("nth", F.monotonically_increasing_id()))
+    drawn = F.xxhash64("nth")
+    if apart:
+        found = ready.groupBy(apart).count().collect()
+        shards = [max(1, -(-r["count"] // shard)) for r in found]
+        number = F.lit(None).cast("long")  # each value has shard numbers of its own
+        for r, n, first in zip(found, shards, np.cumsum([0, *shards]).tolist()):
+            number = F.when(F.col(apart).eqNullSafe(F.lit(r[apart])), F.pmod(drawn, F.lit(n)) + first).otherwise(number)
+    else:
+        number = F.pmod(drawn, F.lit(max(1, -(-ready.count() // shard))))
+    dealt = ready.select("nth", "length", number.alias("shard"))
 
     def work(part: pa.Table) -> pa.Table:
         where, offset = pack(part.column("length").to_numpy(), size)
