@@ -1,4 +1,6 @@
 """The stores end to end on a small day, and no look-ahead in them."""
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -35,3 +37,27 @@ def test_later_bars_do_not_change_earlier_rows(spark):
     short, long = (stores.feature_store(*day(spark, n)).select(*columns).toPandas().sort_values(["ticker", "ts"]) for n in (30, 40))
     long = long[long.ts < pd.Timestamp("2025-01-02 15:00")]
     pd.testing.assert_frame_equal(short.reset_index(drop=True), long.reset_index(drop=True))
+
+
+def test_pairs_are_written_once(spark):
+    """Volatility, days and the result read the written pairs, not the features behind them."""
+    at = dt.datetime(2024, 1, 2, 15, 0)
+    rows = [("U", at.date(), at, dt.date(2024, 2, 16), 10.0 * n, side, 1.0 + n, 0.5, 3.0, 0.1, 12.0, 0.3, 0.2) for n in (1, 2) for side in ("call", "put")]
+    d = spark.createDataFrame(rows, "underlying string, day date, ts timestamp, expiry date, strike double, option_type string, close_option double, extrinsic double, option_volume double, "
+                                    "option_return_5m double, close_stock double, realized_vol_30m double, realized_vol_60m double")
+    out = stores.pair_store(d, spark.createDataFrame([(at.date(), 0.02)], "date date, rate double"))
+    assert "option_type" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["strike"] for r in out.collect()) == [10.0, 20.0]
+
+
+def test_reports_of_some_tickers_equal_all_reports_filtered(spark, tmp_path):
+    from tidemark.workloads.earnings import _combined, _matched
+    from tidemark.workloads.registry import Tables
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * n)
+    rows = [(n % 70 if n % 11 else None, at(n % 90), n % 13 if n % 17 else None, ("view", "click", "purchase")[n % 3], float(n % 23), '{"k": 3}') for n in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    some = lambda d: sorted(map(str, d.filter("ticker between 1 and 5").drop("revision_number", "fiscal_end").collect()))
+    assert some(_combined(t, 1, 5)) == some(_combined(t)) != []
+    spark.createDataFrame([(1000 + n, at(n), 50 + n, "view", 1.0, '{"k": 3}') for n in range(40)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert _matched(t, 1, 5)[0].filter("ticker >= 50").count() == 0 < _matched(t)[0].filter("ticker >= 50").count()

@@ -90,7 +90,8 @@ def pair_store(features: DataFrame, rate_series: DataFrame) -> DataFrame:
     keys = ["underlying", "day", "minute", "expiry", "strike"]
     context = [c for c in ("close_stock", *STOCK_FEATURES) if c in features.columns]
     rows = features.withColumn("minute", F.date_trunc("minute", "ts")).filter(F.col("extrinsic").isNotNull())
-    d = options.pair(rows, keys=keys, option_type="option_type", order=["ts"], measures=list(_SIDE), context=context)
+    # Volatility and rates read the pairs anew; written, the features behind them are worked out once.
+    d = cut(options.pair(rows, keys=keys, option_type="option_type", order=["ts"], measures=list(_SIDE), context=context))
     d = d.withColumn("dte", options.days_to_expiry(F.col("expiry"), F.col("minute")))
     d = options.benchmark_sigma(d, keys=["underlying", "day"], long="realized_vol_60m", short="realized_vol_30m")
     days = rates.rate_for_days(d.select("day").distinct(), rate_series, day="day", date="date", rate="rate", out="risk_free_rate")

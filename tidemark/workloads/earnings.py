@@ -204,8 +204,8 @@ est as (select ticker, ed, et, fe, case when safe then pee else aee end as ee, c
 """
 
 
-def _estimates(t):
-    d = e.select_estimates(estimate_history(t), keys=["ticker", "earnings_date"], extra=["earnings_time", "fiscal_end"])
+def _estimates(t, history=None):
+    d = e.select_estimates(estimate_history(t) if history is None else history, keys=["ticker", "earnings_date"], extra=["earnings_time", "fiscal_end"])
     return d.withColumn("eid", F.col("ticker") * 100000 + F.datediff("earnings_date", F.lit("2000-01-01").cast("date")))
 
 
@@ -242,9 +242,16 @@ mt as (select fi.*, best.eid, case when best.fid is null then 'sec_only' when ki
 """
 
 
-def _matched(t):
-    est = cut(_estimates(t))
-    return est, e.match_filings(user_filings(t), est, keys=["ticker"], filing_id="fid", event_id="eid")
+def _matched(t, least=None, most=None):
+    """Estimates and matched filings; given bounds, at least all that decide on the tickers between them."""
+    history, filings = estimate_history(t), user_filings(t)
+    if least is not None:
+        # A filing's match is chosen by its id over all tickers that have the id, and dates far off share an event id with the next ticker.
+        fids = cut(filings.filter(F.col("ticker").between(least - 1, most + 1)).select(F.col("fid").alias("asked")).distinct())
+        filings = cut(filings.join(fids, F.col("fid").eqNullSafe(F.col("asked")), "left_semi"))
+        history = history.join(cut(filings.select("ticker").distinct()), "ticker", "left_semi")
+    est = cut(_estimates(t, history))
+    return est, e.match_filings(filings, est, keys=["ticker"], filing_id="fid", event_id="eid")
 
 
 @workload("best_match_join", sql=f"with {MATCH} select ticker, fid, eid, method as match_method from mt")
@@ -265,8 +272,8 @@ comb as (select *, eps - ee as es1, (eps - ee) / nullif(abs(ee), 0) * 100 as es2
 """
 
 
-def _combined(t):
-    est, matched = _matched(t)
+def _combined(t, least=None, most=None):
+    est, matched = _matched(t, least, most)
     est = est.withColumnsRenamed({"eps_actual": "eps_actual_vendor", "revenue_actual": "revenue_vendor", "actual_available": "vendor_actual_available"})
     d = matched.join(est.drop("ticker"), "eid", "left").withColumns({"fiscal_year": F.lit(None).cast("int"), "fiscal_quarter": F.lit(None).cast("string")})
     return e.combine(d, keys=["ticker"], tie=["fid"])

@@ -100,7 +100,7 @@ def _articles(t):
 def _reports(t):
     """Combined reports of the first five tickers under the names of the underlyings."""
     names = F.array(*[F.lit(n) for n in NAMES])
-    d = _combined(t).filter(F.col("ticker").between(1, 5)).withColumns({"liabilities": F.lit(None).cast("double"), "cash_flow": F.lit(None).cast("double")})
+    d = _combined(t, 1, 5).filter(F.col("ticker").between(1, 5)).withColumns({"liabilities": F.lit(None).cast("double"), "cash_flow": F.lit(None).cast("double")})
     return d.withColumn("underlying", F.element_at(names, F.col("ticker").cast("int"))).drop("ticker")
 
 
