@@ -40,7 +40,7 @@ from tidemark.llm.language import Slots
 
 K, ALPHA, OFFSET, DEEP = 2, 1.0, 100.0, 34.0
 VOCABULARY, SPACE = "piece_bpe_32k.model", "▁"
-_BLOCK, BATCH = 6_000_000, 1600  # characters and rows that share a lattice
+_BLOCK, BATCH = 3_000_000, 1000  # characters and rows that share a lattice
 _UNIT = re.compile(" +[^ ]*")
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
