@@ -190,6 +190,25 @@ def test_segments_decode_and_do_not_depend_on_the_batch(llm):
     assert all(r["whole"] for r in got) and {r["doc_id"] for r in got} == {i for i, _ in ODD}
 
 
+def test_lattice_is_in_32_bits_and_drawn_by_one_rule():
+    v = sampling.vocabulary(sampling.vocabulary_path())
+    units = ["▁the", "▁", "▁日本é🎉\x00", "▁" * 40, "▁counterrevolutionaries", "▁a"]
+    lattice = sampling.Lattice(units, v)
+    assert lattice.dst.dtype == lattice.piece.dtype == np.int32 and len(lattice.head) == sum(map(len, units)) + 1
+    assert np.allclose(np.add.reduceat(np.exp(lattice.log), lattice.head[:-1]), 1)
+    u = [0.001, 0.4, 0.8, 0.97, 0.999999]
+    for g in range(len(lattice.head) - 1):
+        at = g + lattice.finals
+        assert [lattice.edge(at, x) for x in u] == lattice.edges(np.full(len(u), at), np.array(u)).tolist()
+        assert all(lattice.group(e) == g for e in range(lattice.head[g], lattice.head[g + 1]))
+    for i, unit in enumerate(units):  # the longest way and every other one ends with its unit
+        path, _ = lattice.walk(np.array([i]), np.array([i + 7], np.uint64))
+        assert v.decode(v.ids(lattice.piece[path].astype(np.int64))) == unit[1:].replace("▁", " ") and lattice.dst[path[-1]] < lattice.finals
+    keys = np.array([1, 2 ** 64 - 5, 77], np.uint64)
+    assert [sampling.uniform_one(int(k), 1 << 42) for k in keys] == sampling.uniform(keys, 1 << 42).tolist()
+    assert sampling.Lattice([], v).finals == 0
+
+
 def test_sampled_rows_hold_their_ids(llm):
     rows = [(i, words(i, 30)) for i in range(20)] + [(30, "  a  b "), (31, "日本\n🎉 é\x00"), (32, None), (33, "")]
     got = sampling.sampled(frame(llm, rows, True), k=3)

@@ -42,6 +42,7 @@ K, ALPHA, OFFSET, DEEP = 2, 1.0, 100.0, 34.0
 VOCABULARY, SPACE = "piece_bpe_32k.model", "▁"
 _BLOCK, BATCH = 3_000_000, 1000  # characters and rows that share a lattice
 _UNIT = re.compile(" +[^ ]*")
+_WORD = (1 << 64) - 1
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -57,15 +58,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_one(x: int) -> int:
+    """``mixed`` of one number."""
+    x = ((x ^ (x >> 30)) * int(_A)) & _WORD
+    x = ((x ^ (x >> 27)) * int(_B)) & _WORD
+    return x ^ (x >> 31)
+
+
 def uniform(key: np.ndarray, at) -> np.ndarray:
     """Numbers in (0, 1) of a key and a counter."""
     bits = mixed(key + (np.atleast_1d(np.asarray(at, np.uint64)) + np.uint64(1)) * _GOLD)
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def stream(key: np.uint64, tag: int) -> np.uint64:
+def uniform_one(key: int, at: int) -> float:
+    """``uniform`` of one key and one counter."""
+    return ((mixed_one((key + (at + 1) * int(_GOLD)) & _WORD) >> 11) + 0.5) / (1 << 53)
+
+
+def stream(key: int, tag: int) -> int:
     """Another key for each tag."""
-    return mixed(np.array([key]) + mixed(np.array([tag], np.uint64) * _GOLD))[0]
+    return mixed_one((key + mixed_one((tag * int(_GOLD)) & _WORD)) & _WORD)
 
 
 class Vocabulary:
@@ -125,68 +138,79 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """Edges of distinct units with their log-probabilities given the start; unit u begins at position ``start[u]``."""
+    """Edges of distinct units with their log-probabilities given the start; unit u begins at position ``start[u]``.
+
+    Positions are numbered by their distance from the end of their unit, so a backward
+    step is one slice; the first ``finals`` of them are the ends.  Edges stand by their
+    position and then by length, which needs no sorting.
+    """
 
     def __init__(self, units: list[str], words: Vocabulary):
-        size = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        first = np.cumsum(size) - size
-        unit = np.repeat(np.arange(len(units)), size)
-        self.start, self.final = first + np.arange(len(units)), first + np.arange(len(units)) + size
-        place = np.arange(len(codes)) + unit  # every unit has a position behind its last character
-        stop = (first + size)[unit]
-        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        single = np.zeros(len(codes), bool)
-        src, dst, piece = [], [], []
-        for length in range(words.longest):
-            found = words.slots.find((node.astype(np.uint64) << np.uint64(21)) | codes[at + length])
-            alive = found >= 0
-            at, node = at[alive], words.target[found[alive]]
+        size = np.fromiter(map(len, units), np.int32, len(units))
+        order = np.argsort(-size, kind="stable")
+        codes = np.frombuffer("".join([units[u] for u in order.tolist()]).encode("utf-32-le", "replace"), np.uint32)
+        size, self.finals = size[order], len(units)
+        # positions of a distance are numbered along the units that are as long
+        level = np.r_[0, np.cumsum(np.r_[len(units), np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")])].astype(np.int32)
+        self.start = np.zeros(len(units), np.int32)
+        self.start[order] = level[size] + np.arange(len(units), dtype=np.int32)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
+        left = np.repeat(np.cumsum(size), size).astype(np.int32) - np.arange(len(codes), dtype=np.int32)  # characters to the end of the unit
+        place = level[left] + unit - np.int32(self.finals)
+        at, node = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64)
+        found, count = [], np.zeros(len(codes), np.int32)
+        for length in range(1, words.longest + 1):
+            child = words.slots.find((node.view(np.uint64) << np.uint64(21)) | codes[at + np.int32(length - 1)])
+            alive = child >= 0
+            if length == 1:
+                odd = np.flatnonzero(~alive).astype(np.int32)
+            at, node = at[alive], words.target[child[alive]]
             ends = words.ends[node]
             hit = ends >= 0
-            src.append(at[hit]), dst.append(at[hit] + length + 1), piece.append(ends[hit])
-            if not length:
-                single[at[hit]] = True
-            more = at + length + 1 < stop[at]
+            hits, pieces = at[hit], ends[hit].astype(np.int32)
+            if length == 1:
+                odd = np.r_[odd, at[~hit]]
+                found.append((1, odd, -codes[odd].astype(np.int32) - 1))
+                count[place[odd]] += 1
+            found.append((length, hits, pieces))
+            count[place[hits]] += 1
+            more = left[at] > length
             at, node = at[more], node[more]
-        odd = np.flatnonzero(~single)
-        src.append(odd), dst.append(odd + 1), piece.append(-codes[odd].astype(np.int64) - 1)
-        src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-        width = np.where(codes[odd] < 0x80, 1, np.where(codes[odd] < 0x800, 2, np.where(codes[odd] < 0x10000, 3, 4)))
-        weight = np.r_[words.weight[piece[:len(piece) - len(odd)]], words.spelled * width]
-        left = stop[src] - src  # characters from the edge's start to the end of its unit
-        order = np.argsort((left * np.int64(len(codes) + 1) + src) * (words.longest + 1) + (dst - src))  # no ties, so a batch does not decide the order
-        src, dst, piece, weight, left = src[order], dst[order], piece[order], weight[order], left[order]
-        src, dst = place[src], dst + unit[src]
+        self.head = np.r_[0, np.cumsum(count)]
+        free = self.head[:-1].astype(np.int32)
+        self.dst, self.piece, weight = np.zeros(self.head[-1], np.int32), np.zeros(self.head[-1], np.int32), np.zeros(self.head[-1])
+        for length, hits, pieces in found:
+            own = place[hits]
+            slot = free[own]
+            free[own] = slot + 1
+            self.dst[slot] = level[left[hits] - np.int32(length)] + unit[hits]
+            self.piece[slot] = pieces
+            weight[slot] = words.weight[pieces] if not len(pieces) or pieces[0] >= 0 else words.spelled * np.where(pieces >= -0x80, 1, np.where(pieces >= -0x800, 2, np.where(pieces >= -0x10000, 3, 4)))
+        del found, unit, left, place, free
         beta = np.zeros(len(codes) + len(units))
-        heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, int)
-        cuts = np.searchsorted(left, np.arange(1, (left[-1] if len(left) else 0) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            h = heads[np.searchsorted(heads, a):np.searchsorted(heads, b)]
-            if len(h):
-                beta[src[h]] = np.logaddexp.reduceat(weight[a:b] + beta[dst[a:b]], h - a)
-        # edges of a position stand together already, as they have the same distance from the end
-        self.src, self.dst, self.piece, self.log = src, dst, piece, np.minimum(weight + beta[dst] - beta[src], 0.0)
-        count = np.diff(np.r_[heads, len(src)])
-        group = np.repeat(np.arange(len(heads)), count)
-        self.group = np.zeros(len(beta), np.int64)
-        self.group[self.src[heads]] = np.arange(len(heads))
-        self.head = np.r_[heads, len(src)]
+        self.log = weight
+        for a, b in zip(level[1:-1].tolist(), level[2:].tolist()):
+            h = self.head[a - self.finals:b - self.finals]
+            edges = slice(h[0], self.head[b - self.finals])
+            ahead = weight[edges] + beta[self.dst[edges]]
+            beta[a:b] = np.logaddexp.reduceat(ahead, h - h[0])
+            self.log[edges] = np.minimum(ahead - np.repeat(beta[a:b], count[a - self.finals:b - self.finals]), 0.0)
         # of each position the likeliest edge and its probability, and the running sum of the others
-        p = np.exp(self.log)
-        high = np.maximum.reduceat(p, heads) if len(heads) else p
-        at = np.flatnonzero(p == high[group])[::-1]
-        self.likely, self.high = np.zeros(len(heads), np.int64), high
-        self.likely[group[at]] = at
+        heads, p = self.head[:-1], np.exp(self.log)
+        self.high = np.maximum.reduceat(p, heads) if len(heads) else p
+        at = np.flatnonzero(p == np.repeat(self.high, count))
+        of = np.searchsorted(self.head, at, "right") - 1 if len(at) > len(heads) else np.arange(len(heads))
+        self.likely = np.zeros(len(heads), np.int64)
+        self.likely[of[::-1]] = at[::-1]
         p[self.likely] = 0.0
         total = np.cumsum(p)
-        self.upto = group + np.minimum(total - np.repeat((total - p)[heads], count), 1.0)
-        self.last = np.zeros(len(beta), bool)
-        self.last[self.final] = True
+        p = np.minimum(total - np.repeat(total[heads] - p[heads], count), 1.0)
+        p += np.repeat(np.arange(len(heads), dtype=np.int32), count)
+        self.upto = p
 
     def edges(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each position, drawn by u."""
-        group = self.group[position]
+        group = position - self.finals
         e, rest = self.likely[group], u - self.high[group]
         other = np.flatnonzero(rest >= 0)
         if len(other):
@@ -195,26 +219,41 @@ class Lattice:
             e[other[inside]] = found[inside]
         return e
 
+    def group(self, edge: int) -> int:
+        """The position of an edge, counted without the ends."""
+        return int(self.head.searchsorted(edge, "right")) - 1
+
+    def edge(self, position: int, u: float) -> int:
+        """``edges`` of one position."""
+        group = position - self.finals
+        rest = u - self.high[group]
+        if rest >= 0:
+            a, b = self.head[group:group + 2]
+            found = a + int(self.upto[a:b].searchsorted(group + rest, "right"))
+            if found < b:
+                return int(found)
+        return int(self.likely[group])
+
     def walk(self, units: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Freely sampled paths of unit occurrences, end to end, and where each begins."""
         now, position, steps = np.arange(len(units)), self.start[units], []
-        now, position = now[~self.last[position]], position[~self.last[position]]
+        now, position = now[position >= self.finals], position[position >= self.finals]
         count = np.zeros(len(units), np.int64)
         while len(now):
             e = self.edges(position, uniform(keys[now], len(steps)))
             steps.append((now, e))
             count[now] += 1
             position = self.dst[e]
-            open_ = ~self.last[position]
+            open_ = position >= self.finals
             now, position = now[open_], position[open_]
         begin = np.r_[0, np.cumsum(count)]
-        out = np.zeros(begin[-1], np.int64)
+        out = np.zeros(begin[-1], np.int32)
         for s, (now, e) in enumerate(steps):
             out[begin[now] + s] = e
         return out, begin
 
 
-def _regions(lattice: Lattice, path: np.ndarray, logs: np.ndarray, from_step: int, base: float, excluded: tuple[int, ...], bound: float, key: np.uint64):
+def _regions(lattice: Lattice, path: np.ndarray, logs: np.ndarray, from_step: int, base: float, excluded: tuple[int, ...], bound: float, key: int):
     """Best values of the regions along a path from ``from_step`` on, whose step before has log-probability ``base``."""
     log = logs[from_step:]
     before = base + np.cumsum(log) - log
@@ -225,23 +264,23 @@ def _regions(lattice: Lattice, path: np.ndarray, logs: np.ndarray, from_step: in
     left = -np.expm1(log)
     if excluded:
         left[0] = left[0] - sum(np.exp(lattice.log[e]) for e in excluded)
-        own = lattice.group[lattice.src[path[from_step]]]
+        own = lattice.group(path[from_step])
         if lattice.head[own + 1] - lattice.head[own] == len(excluded) + 1:
             left[0] = 0.0
     with np.errstate(divide="ignore"):
         mass = before + np.log(np.maximum(left, 0.0) * (left > 1e-15))
-        value = mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(uniform(np.full(n, key), np.arange(n))))
+        value = mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(uniform(np.array([key], np.uint64), np.arange(n))))
     return np.where(np.isfinite(mass), value, -np.inf), before
 
 
-def top_k(lattice: Lattice, paths, unit_of, key: np.uint64, k: int):
+def top_k(lattice: Lattice, paths, unit_of, key: int, k: int):
     """(path, log probability, value) of up to k samples of a text, and the best value left out.
 
     ``paths(s)`` is the freely sampled path number s with the steps at which its units
     begin, ``unit_of`` each position's unit in the text.
     """
     first, begins = paths(0)
-    root = float(-np.log(-np.log(uniform(np.array([key]), 1 << 40)[0])))
+    root = float(-np.log(-np.log(uniform_one(key, 1 << 40))))
     found, heap, turn = [], [], 0
 
     def emit(path: np.ndarray, value: float, from_step: int, base: float, excluded: tuple[int, ...]):
@@ -259,19 +298,19 @@ def top_k(lattice: Lattice, paths, unit_of, key: np.uint64, k: int):
     while heap and len(found) < k:
         value, _, _, path, step, base, taken = heapq.heappop(heap)
         turn += 1
-        own = lattice.group[lattice.src[path[step]]]
-        edges = np.setdiff1d(np.arange(lattice.head[own], lattice.head[own + 1]), taken)
+        own = lattice.group(path[step])
+        edges = [e for e in range(lattice.head[own], lattice.head[own + 1]) if e not in taken]
         p = np.cumsum(np.exp(lattice.log[edges]))
-        own_stream = np.array([stream(key, (1 << 42) + turn)])
-        e = int(edges[min(np.searchsorted(p, uniform(own_stream, 0)[0] * p[-1], "right"), len(edges) - 1)])
-        part, position = [e], lattice.dst[e]
-        while not lattice.last[position]:
-            e = int(lattice.edges(np.array([position]), uniform(own_stream, len(part)))[0])
+        own_stream = stream(key, (1 << 42) + turn)
+        e = edges[min(int(p.searchsorted(uniform_one(own_stream, 0) * p[-1], "right")), len(edges) - 1)]
+        part, position = [e], int(lattice.dst[e])
+        while position >= lattice.finals:
+            e = lattice.edge(position, uniform_one(own_stream, len(part)))
             part.append(e)
-            position = lattice.dst[e]
+            position = int(lattice.dst[e])
         unit = unit_of(path, step)
         free, free_begins = paths(turn)
-        emit(np.concatenate([path[:step], part, free[free_begins[unit + 1]:]]).astype(np.int64), -value, step, base, taken)
+        emit(np.concatenate([path[:step], part, free[free_begins[unit + 1]:]]).astype(np.int32), -value, step, base, taken)
     return found, (-heap[0][0] if heap else -np.inf)
 
 
@@ -317,8 +356,8 @@ def samples(texts: list[str], keys: np.ndarray, words: Vocabulary, k: int = K):
             return path[begin[a]:begin[b]], begin[a:b + 1] - begin[a]
 
         def unit_of(path: np.ndarray, step: int) -> int:
-            return int(lattice.last[lattice.dst[path[:step]]].sum())
-        found, rest = top_k(lattice, paths, unit_of, keys[i], k)
+            return int(np.count_nonzero(lattice.dst[path[:step]] < lattice.finals))
+        found, rest = top_k(lattice, paths, unit_of, int(keys[i]), k)
         yield [(words.ids(lattice.piece[p]), log, value, _log_inclusion(log - rest)) for p, log, value in found]
 
 
