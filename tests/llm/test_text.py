@@ -292,6 +292,27 @@ def test_scores_do_not_depend_on_the_partitions(llm):
     assert [x[6] for x in out[0]] == pytest.approx([x[6] for x in out[1]], abs=1e-9)
 
 
+def test_pairs_cross_the_shuffle_in_blocks(llm):
+    r = random.Random(12)
+    rows = [(i, " ".join(words(r.randint(0, 60), 1) for _ in range(40))) for i in range(300)] + [(None, None), (4000, "")]
+    chunked = pitmanyor.cut(pitmanyor.chunks(frame(llm, rows), size=4000))
+    tokens, out, _ = plain_counts(rows)
+    want = collections.Counter(p for i, ws in tokens if not out[i] for p in zip([b"", *ws], ws))
+    signed = lambda w: int(np.array([pitmanyor.xxhash.xxh64_intdigest(w)], np.uint64).view(np.int64)[0])
+    for blocks in (1, 7):
+        held = pitmanyor.blocked(chunked, blocks)
+        got = held.groupBy("block").applyInArrow(pitmanyor._totals, "block long, chunk long, totals binary").collect()
+        assert len(got) == held.count() and {g["block"] for g in got} == set(range(blocks))
+        assert sorted(n for g in got for n in pitmanyor._unpacked(g["totals"]).tolist() if n) == sorted(n for n in want.values() if n > 1)
+    state = {(s["context"], s["word"]): s["n"] for s in pitmanyor.fit(chunked).state.collect()}
+    assert state == {(signed(u), signed(w)): n for (u, w), n in want.items() if n > 1}
+    keys = np.unique(pitmanyor._mixed(np.arange(5000, dtype=np.uint64)))
+    data = pitmanyor._sorted_packed(keys)
+    assert (pitmanyor._sorted_unpacked(data, len(keys)) == keys).all() and len(data) < 8 * len(keys)
+    ends = np.r_[np.uint64(0), np.uint64(2 ** 64 - 1)]
+    assert pitmanyor._block_of(ends, 7).tolist() == [0, 6] and (pitmanyor._sorted_unpacked(pitmanyor._sorted_packed(ends), 2) == ends).all()
+
+
 def test_poisson_draws():
     for mean in (0.3, 4.0, 29.0, 80.0):
         x = pitmanyor.Draws(5, np.arange(60_000)).poisson(7, np.full(60_000, mean))

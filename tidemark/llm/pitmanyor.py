@@ -22,9 +22,15 @@ word after it; the end stands for the start of a document.
 
 Texts are read and split once, into chunks of about ``CHUNK`` characters with their own
 word lists.  Counts are summed over chunks, and what the model says of a chunk's words
-and pairs is joined back to it, so no task needs the vocabulary; a pair that occurs once in
-all needs no answer in its chunk.  Words are known by their 64-bit
-XXH64; two words of one hash would count as one.
+and pairs is joined back to it, so no task needs the vocabulary.  Words are known by their
+64-bit XXH64; two words of one hash would count as one.
+
+A pair crosses the shuffle as a 64-bit hash of its two words.  A chunk sorts its pairs' hashes
+and cuts them into blocks, ranges of about ``BLOCK`` tokens of the whole corpus; a row holds
+the differences of a chunk's hashes in a block, about six bytes a pair.  A task adds a
+block up over the chunks and tells each chunk the totals in the order in which they came.
+As hashes are even, so are blocks, however often a word or a pair occurs.  Two pairs of one hash
+would count as one: of four thousand million pairs, as in 30 GB, that is expected of less than one.
 
 Null and empty texts are the end alone.  Without training text every word is unknown
 and both scores are zero.  Repeated rows are counted and answered each; a null doc_id
@@ -43,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, remainder, texts_of
@@ -54,6 +60,8 @@ EXACT, BURN, SAMPLES, SEED = 64, 2, 3, 8
 STRENGTH = 1.0  # theta of every restaurant
 #: Rows that a task of the sampler takes at once, and that a chunk gives at once; tokens that are scored at once.
 WORD_ROWS, GIVEN, SCORED = 16_384, 100_000, 500_000
+#: Training tokens to a block of pairs.
+BLOCK = 1_000_000
 _END = b""
 #: The end's hash, which is the start of a document as a context.
 START = int(np.array([xxhash.xxh64_intdigest(_END)], np.uint64).view(np.int64)[0])
@@ -125,13 +133,13 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return source.mapInArrow(run, f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, words binary, counts binary")
 
 
-def _each(frame: DataFrame, work, schema: str) -> DataFrame:
-    """Arrow rows from each chunk row."""
+def _each(frame: DataFrame, work, schema: str, given: int = GIVEN) -> DataFrame:
+    """Arrow rows from each chunk row, ``given`` at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 out = work({c: batch.column(c)[k].as_py() for c in batch.schema.names})
-                yield from (out.slice(a, GIVEN) for a in range(0, out.num_rows, GIVEN))
+                yield from (out.slice(a, given) for a in range(0, out.num_rows, given))
     return frame.mapInArrow(run, schema)
 
 
@@ -166,17 +174,87 @@ def pair_codes(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np
     return (before << 32) | tokens
 
 
-def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of a chunk's pairs, sorted, their training counts, and each token's pair."""
-    tokens, lengths = _unpacked(row["tokens"]), np.array(row["lengths"], np.int64)
-    key, at = np.unique(pair_codes(_hashes(row["words"]), tokens, lengths), return_inverse=True)
-    return key, np.bincount(at[np.repeat(~np.array(row["held"]), lengths)], minlength=len(key)), at
+def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of each pair of word hashes."""
+    return _mixed(_mixed(context.view(np.uint64)) + word.view(np.uint64))
+
+
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a chunk's pairs, sorted, their codes, their training counts, and each token's pair."""
+    words, tokens, lengths = _hashes(row["words"]), _unpacked(row["tokens"]), np.array(row["lengths"], np.int64)
+    codes = pair_codes(words, tokens, lengths)
+    hashes = _mixed(_mixed(words.view(np.uint64))[codes >> 32] + words.view(np.uint64)[tokens])
+    key, at = np.unique(hashes, return_inverse=True)
+    code = np.zeros(len(key), np.int64)
+    code[at] = codes
+    return key, code, np.bincount(at[np.repeat(~np.array(row["held"]), lengths)], minlength=len(key)), at
 
 
 def _pair_counts(row: dict) -> pa.RecordBatch:
-    words, (key, n, _) = _hashes(row["words"]), _pairs_of(row)
-    return pa.record_batch([pa.array(np.full(len(key), row["chunk"])), pa.array(np.arange(len(key), dtype=np.int32)), pa.array(words[key >> 32]),
-                            pa.array(words[key & 0xFFFFFFFF]), pa.array(n)], ["chunk", "pair", "context", "word", "n"])
+    words, (_, code, n, _) = _hashes(row["words"]), _pairs_of(row)
+    return pa.record_batch([pa.array(words[code >> 32]), pa.array(words[code & 0xFFFFFFFF]), pa.array(n)], ["context", "word", "n"])
+
+
+def _sorted_packed(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers by their differences; only the three high bytes of these are worth compressing."""
+    flat = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return flat[:5].tobytes() + zlib.compress(flat[5:].tobytes(), 1)
+
+
+def _sorted_unpacked(data: bytes, n: int) -> np.ndarray:
+    flat = np.concatenate([np.frombuffer(data, np.uint8, 5 * n), np.frombuffer(zlib.decompress(data[5 * n:]), np.uint8)])
+    return np.cumsum(flat.reshape(8, n).T.copy().view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks of pair hashes, ranges of their high 32 bits."""
+    return (((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+
+def blocked(chunked: DataFrame, blocks: int) -> DataFrame:
+    """(block, chunk, size, pairs, counts): the pairs of a chunk in a block and their training counts."""
+    def work(row: dict) -> pa.RecordBatch:
+        key, _, n, _ = _pairs_of(row)
+        ends = np.searchsorted(_block_of(key, blocks), np.arange(blocks + 1))
+        some = np.flatnonzero(np.diff(ends))
+        parts = [slice(ends[k], ends[k + 1]) for k in some]
+        return pa.record_batch([pa.array(some), pa.array(np.full(len(some), row["chunk"])), pa.array(np.diff(ends)[some]),
+                                pa.array([_sorted_packed(key[x]) for x in parts], pa.binary()), pa.array([_packed(n[x]) for x in parts], pa.binary())],
+                               ["block", "chunk", "size", "pairs", "counts"])
+    return _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), work, "block long, chunk long, size long, pairs binary, counts binary", 100)
+
+
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a block, their totals, each entry's pair, and where the entries of a row end."""
+    sizes = rows["size"].to_numpy()
+    keys = np.concatenate([_sorted_unpacked(x.as_py(), n) for x, n in zip(rows["pairs"], sizes.tolist())])
+    counts = np.concatenate([_unpacked(x.as_py()) for x in rows["counts"]])
+    pair, at = np.unique(keys, return_inverse=True)
+    return pair, np.bincount(at, counts, len(pair)).astype(np.int64), at, np.cumsum(sizes)
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """For each chunk of a block the totals above one of its pairs; one chunk only is told of a pair."""
+    pair, total, at, ends = _summed(rows)
+    first = np.zeros(len(pair), np.int64)
+    first[at[::-1]] = np.arange(len(at))[::-1]
+    told = np.zeros(len(at), np.int64)
+    told[first] = np.where(total > 1, total, 0)
+    return pa.table([rows["block"], rows["chunk"], pa.array([_packed(x) for x in np.split(told, ends[:-1])], pa.binary())], ["block", "chunk", "totals"])
+
+
+def _repeated(chunk: pa.Table, totals: pa.Table) -> pa.Table:
+    """The pairs that a chunk has been told of, with one table each."""
+    out = []
+    totals = totals.sort_by("block")["totals"]
+    for k in range(chunk.num_rows):
+        row = {c: chunk[c][k].as_py() for c in chunk.schema.names}
+        words, (_, code, _, _) = _hashes(row["words"]), _pairs_of(row)
+        n = np.concatenate([_unpacked(x.as_py()) for x in totals])
+        code, n = code[n > 0], n[n > 0]
+        draws = pa.FixedSizeListArray.from_arrays(pa.array(np.ones(len(n), np.int64)), 1).cast(pa.list_(pa.int64()))
+        out.append(pa.table([pa.array(words[code & 0xFFFFFFFF]), pa.array(words[code >> 32]), pa.array(n), draws], ["word", "context", "n", "draws"]))
+    return pa.concat_tables(out)
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -332,7 +410,7 @@ class Model:
 
     dishes: DataFrame
     state: DataFrame  # pairs with two training tokens or more: word, context, n, draws
-    shared: DataFrame  # chunks' pairs that need an answer
+    blocks: int  # ranges of pair hashes
     pairs: DataFrame  # all pairs of all chunks, not yet counted
     tokens: int
     vocabulary: int
@@ -377,11 +455,10 @@ def fit(chunked: DataFrame) -> Model:
     """Count, seat, sample and average over the training documents of all chunks."""
     counted = cut(_each(chunked.select("words", "counts"), _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    pairs = _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), _pair_counts, "chunk long, pair int, context long, word long, n long")
-    same = Window.partitionBy("word", "context")
-    shared = pairs.select("*", F.sum("n").over(same).alias("total"), F.min("chunk").over(same).alias("first")).where("total > 1 or (total = 1 and n = 0)")
-    shared = cut(shared.selectExpr("chunk", "pair", "context", "word", "total", "first = chunk as first"))
-    state = shared.where("first and total > 1").selectExpr("word", "context", "total as n", "array(1L) as draws")
+    pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts, "context long, word long, n long")
+    blocks = 1 + int(tokens) // BLOCK
+    totals = blocked(chunked, blocks).groupBy("block").applyInArrow(_totals, "block long, chunk long, totals binary")
+    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, draws array<long>"))
     held, twos = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") == 2, 1))).first()
     discount = _discount(tokens - held, twos)  # what is in no row of the state are single customers
     words = cut(_seated(counted.withColumn("root_t", F.lit(1).cast("long")), state, 1))
@@ -408,7 +485,7 @@ def fit(chunked: DataFrame) -> Model:
     d0, base = totals.parent_discount, 1.0 / (vocabulary + 1)
     spare = [(STRENGTH + d0 * t) / (STRENGTH + c) * base for c, t in zip(*means)]
     p = sum(((F.col("parents")[k] - d0 * F.col("roots")[k]) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
-    return Model(words.select("word", "n", p.alias("p"), "mean"), state, shared, pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
+    return Model(words.select("word", "n", p.alias("p"), "mean"), state, blocks, pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
 
 
 def scored(chunked: DataFrame, model: Model) -> DataFrame:
@@ -419,10 +496,22 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
     wanted = _each(chunked.select("chunk", "words"), asked, "chunk long, place int, word long")
     none = F.lit(0).cast("long")
     told = wanted.join(model.dishes, "word").select("chunk", "place", "n", "p", "mean")
-    place = (-1 - F.col("pair")).alias("place")
-    many = model.shared.where("total > 1").join(model.owned(), ["word", "context"]).select("chunk", place, none.alias("n"), F.col("own").alias("p"), F.lit(0.0).alias("mean"))
-    once = model.shared.where("total = 1").select("chunk", place, none.alias("n"), F.lit(1 - model.discount).alias("p"), F.lit(0.0).alias("mean"))
-    told = told.unionByName(many).unionByName(once)
+    told = told.withColumn("seats", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary"))
+    blocks = model.blocks
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key = pair_hashes(*(batch.column(c).to_numpy() for c in ("context", "word")))
+        return pa.record_batch([pa.array(_block_of(key, blocks)), pa.array(key.view(np.int64)), batch.column("seats")], ["block", "pair", "seats"])
+    seats = _in_runs(model.state.select("word", "context", F.aggregate("draws", none, lambda a, x: a + x).alias("seats")), dealt, "block long, pair long, seats long")
+
+    def answered(rows: pa.Table, seated: pa.Table) -> pa.Table:
+        pair, total, at, ends = _summed(rows)
+        seats = SAMPLES * np.minimum(total, 1)  # one customer has one table; pairs with more have rows
+        seats[np.searchsorted(pair, seated["pair"].to_numpy().view(np.uint64))] = seated["seats"].to_numpy()
+        parts = [pa.array([_packed(x) for x in np.split(values[at], ends[:-1])], pa.binary()) for values in (seats, total)]
+        nothing = np.zeros(rows.num_rows)
+        return pa.table([rows["chunk"], pa.array((-1 - rows["block"].to_numpy()).astype(np.int32)), pa.array(nothing.astype(np.int64)), pa.array(nothing), pa.array(nothing), *parts], ["chunk", "place", "n", "p", "mean", "seats", "counts"])
+    told = told.unionByName(blocked(chunked, blocks).groupBy("block").cogroup(seats.groupBy("block")).applyInArrow(answered, "chunk long, place int, n long, p double, mean double, seats binary, counts binary"))
     tokens, vocabulary, unknown, discount = model.tokens, model.vocabulary, model.unknown, model.discount
     kind = chunked.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -431,6 +520,7 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
         out = []
         place, values = told.column("place").to_numpy(), told.column("p").to_numpy()
         pair, word = place < 0, place >= 0
+        blocks = told.filter(pa.array(pair)).sort_by([("place", "descending")])
         known, seated = told.column("n").to_numpy()[word], told.column("mean").to_numpy()[word]
         for k in range(texts.num_rows):
             words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py()), np.array(texts["lengths"][k].as_py(), np.int64)
@@ -438,10 +528,10 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
             n[place[word]], p[place[word]] = known, values[word]
             room, spare = STRENGTH + n, np.full(len(words), STRENGTH)
             spare[place[word]] += discount * seated
-            key, count, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "tokens", "lengths", "held")})
-            own = np.where(count == 1, 1 - discount, 0.0)  # one customer; others have answers
-            own[-1 - place[pair]] = values[pair]
-            before, after = key >> 32, key & 0xFFFFFFFF
+            _, code, _, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "tokens", "lengths", "held")})
+            count, tables = (np.concatenate([_unpacked(x.as_py()) for x in blocks[c]]) for c in ("counts", "seats"))
+            own = count - discount * (tables / SAMPLES)
+            before, after = code >> 32, code & 0xFFFFFFFF
             chance = np.log10((spare[before] * p[after] + own) / room[before])
             base = np.log10((n + 1) / (tokens + vocabulary + 1))
             ends = np.cumsum(lengths)
