@@ -301,9 +301,13 @@ def test_pairs_cross_the_shuffle_in_blocks(llm):
     signed = lambda w: int(np.array([pitmanyor.xxhash.xxh64_intdigest(w)], np.uint64).view(np.int64)[0])
     for blocks in (1, 7):
         held = pitmanyor.blocked(chunked, blocks)
-        got = held.groupBy("block").applyInArrow(pitmanyor._totals, "block long, chunk long, totals binary").collect()
+        got = held.groupBy("block").applyInArrow(pitmanyor._totals, "block long, chunk long, totals binary, links binary").collect()
         assert len(got) == held.count() and {g["block"] for g in got} == set(range(blocks))
         assert sorted(n for g in got for n in pitmanyor._unpacked(g["totals"]).tolist() if n) == sorted(n for n in want.values() if n > 1)
+        assert sum((pitmanyor._links_unpacked(g["links"]) > 1).any() for g in got) and all(
+            set(pitmanyor._links_unpacked(g["links"])[pitmanyor._unpacked(g["totals"]) > 0] > 1) <= {True} for g in got)
+    links = np.array([0, 2, 1, 0, 3, 700, 1, 90000])
+    assert (pitmanyor._links_unpacked(pitmanyor._links_packed(links)) == links).all()
     state = {(s["context"], s["word"]): s["n"] for s in pitmanyor.fit(chunked).state.collect()}
     assert state == {(signed(u), signed(w)): n for (u, w), n in want.items() if n > 1}
     keys = np.unique(pitmanyor._mixed(np.arange(5000, dtype=np.uint64)))

@@ -28,7 +28,9 @@ and pairs is joined back to it, so no task needs the vocabulary.  Words are know
 A pair crosses the shuffle as a 64-bit hash of its two words.  A chunk sorts its pairs' hashes
 and cuts them into blocks, ranges of about ``BLOCK`` tokens of the whole corpus; a row holds
 the differences of a chunk's hashes in a block, about six bytes a pair.  A task adds a
-block up over the chunks and tells each chunk the totals in the order in which they came.
+block up over the chunks and tells each chunk the totals in the order in which they came; of
+the blocks it keeps which of its repeated pairs, by the order of their hashes, each entry
+is, about a byte an entry, by which the sampler's results find their way back.
 As hashes are even, so are blocks, however often a word or a pair occurs.  Two pairs of one hash
 would count as one: of four thousand million pairs, as in 30 GB, that is expected of less than one.
 
@@ -158,6 +160,11 @@ def _in_runs(frame: DataFrame, work, schema: str) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def _release(table: DataFrame) -> None:
+    """Let go of the shuffles behind a table that has been written; Spark deletes their files when the driver collects garbage, which it may not need to do for long."""
+    table.sparkSession._jvm.System.gc()
+
+
 def _hashes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
@@ -234,13 +241,29 @@ def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _totals(rows: pa.Table) -> pa.Table:
-    """For each chunk of a block the totals above one of its pairs; one chunk only is told of a pair."""
+    """For each chunk of a block the totals above one of its pairs, of which one chunk only is told, and all its links."""
     pair, total, at, ends = _summed(rows)
     first = np.zeros(len(pair), np.int64)
     first[at[::-1]] = np.arange(len(at))[::-1]
     told = np.zeros(len(at), np.int64)
     told[first] = np.where(total > 1, total, 0)
-    return pa.table([rows["block"], rows["chunk"], pa.array([_packed(x) for x in np.split(told, ends[:-1])], pa.binary())], ["block", "chunk", "totals"])
+    links = np.where(total > 1, 1 + np.cumsum(total > 1), total)[at]
+    told, links = (pa.array([f(x) for x in np.split(values, ends[:-1])], pa.binary()) for f, values in ((_packed, told), (_links_packed, links)))
+    return pa.table([rows["block"], rows["chunk"], told, links], ["block", "chunk", "totals", "links"])
+
+
+def _links_packed(links: np.ndarray) -> bytes:
+    """0 for a pair without customers, 1 for one with a single one, else 2 and the place among the block's others, ascending; places by their differences."""
+    out, many = links.copy(), links > 1
+    out[many] = np.diff(links[many], prepend=1) + 1
+    return _packed(out)
+
+
+def _links_unpacked(data: bytes) -> np.ndarray:
+    out = _unpacked(data)
+    many = out > 1
+    out[many] = 1 + np.cumsum(out[many] - 1)
+    return out
 
 
 def _repeated(chunk: pa.Table, totals: pa.Table) -> pa.Table:
@@ -411,6 +434,7 @@ class Model:
     dishes: DataFrame
     state: DataFrame  # pairs with two training tokens or more: word, context, n, draws
     blocks: int  # ranges of pair hashes
+    links: DataFrame  # block, chunk and what each of its pairs there is in ``state``
     pairs: DataFrame  # all pairs of all chunks, not yet counted
     tokens: int
     vocabulary: int
@@ -457,8 +481,9 @@ def fit(chunked: DataFrame) -> Model:
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts, "context long, word long, n long")
     blocks = 1 + int(tokens) // BLOCK
-    totals = blocked(chunked, blocks).groupBy("block").applyInArrow(_totals, "block long, chunk long, totals binary")
-    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, draws array<long>"))
+    linked = cut(blocked(chunked, blocks).groupBy("block").applyInArrow(_totals, "block long, chunk long, totals binary, links binary"))
+    _release(linked)
+    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(linked.select("block", "chunk", "totals").groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, draws array<long>"))
     held, twos = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") == 2, 1))).first()
     discount = _discount(tokens - held, twos)  # what is in no row of the state are single customers
     words = cut(_seated(counted.withColumn("root_t", F.lit(1).cast("long")), state, 1))
@@ -475,6 +500,7 @@ def fit(chunked: DataFrame) -> Model:
             discard(before)
         words, old, last = cut(_rooted(_seated(words, state, sweeps), totals, job, sweeps)), words, sweeps
         discard(old)
+        _release(words)
         sums = words.agg(*(F.sum(F.col(c)[k]) for c in ("parents", "roots") for k in range(sweeps)),
                          F.count(F.when(F.col("parents")[sweeps - 1] == 1, 1)), F.count(F.when(F.col("parents")[sweeps - 1] == 2, 1))).first()
         sums = [float(x or 0) for x in sums]
@@ -485,7 +511,7 @@ def fit(chunked: DataFrame) -> Model:
     d0, base = totals.parent_discount, 1.0 / (vocabulary + 1)
     spare = [(STRENGTH + d0 * t) / (STRENGTH + c) * base for c, t in zip(*means)]
     p = sum(((F.col("parents")[k] - d0 * F.col("roots")[k]) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
-    return Model(words.select("word", "n", p.alias("p"), "mean"), state, blocks, pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
+    return Model(words.select("word", "n", p.alias("p"), "mean"), state, blocks, linked.select("block", "chunk", "links"), pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
 
 
 def scored(chunked: DataFrame, model: Model) -> DataFrame:
@@ -501,17 +527,17 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
         key = pair_hashes(*(batch.column(c).to_numpy() for c in ("context", "word")))
-        return pa.record_batch([pa.array(_block_of(key, blocks)), pa.array(key.view(np.int64)), batch.column("seats")], ["block", "pair", "seats"])
-    seats = _in_runs(model.state.select("word", "context", F.aggregate("draws", none, lambda a, x: a + x).alias("seats")), dealt, "block long, pair long, seats long")
+        return pa.record_batch([pa.array(_block_of(key, blocks)), pa.array(key.view(np.int64)), batch.column("n"), batch.column("seats")], ["block", "pair", "n", "seats"])
+    seats = _in_runs(model.state.select("word", "context", "n", F.aggregate("draws", none, lambda a, x: a + x).alias("seats")), dealt, "block long, pair long, n long, seats long")
 
     def answered(rows: pa.Table, seated: pa.Table) -> pa.Table:
-        pair, total, at, ends = _summed(rows)
-        seats = SAMPLES * np.minimum(total, 1)  # one customer has one table; pairs with more have rows
-        seats[np.searchsorted(pair, seated["pair"].to_numpy().view(np.uint64))] = seated["seats"].to_numpy()
-        parts = [pa.array([_packed(x) for x in np.split(values[at], ends[:-1])], pa.binary()) for values in (seats, total)]
+        order = np.argsort(seated["pair"].to_numpy().view(np.uint64))
+        seats, count = (np.r_[0, one, seated[c].to_numpy()[order]] for c, one in (("seats", SAMPLES), ("n", 1)))  # one customer has one table
+        links = [_links_unpacked(x.as_py()) for x in rows["links"]]
+        parts = [pa.array([_packed(values[x]) for x in links], pa.binary()) for values in (seats, count)]
         nothing = np.zeros(rows.num_rows)
         return pa.table([rows["chunk"], pa.array((-1 - rows["block"].to_numpy()).astype(np.int32)), pa.array(nothing.astype(np.int64)), pa.array(nothing), pa.array(nothing), *parts], ["chunk", "place", "n", "p", "mean", "seats", "counts"])
-    told = told.unionByName(blocked(chunked, blocks).groupBy("block").cogroup(seats.groupBy("block")).applyInArrow(answered, "chunk long, place int, n long, p double, mean double, seats binary, counts binary"))
+    told = told.unionByName(model.links.groupBy("block").cogroup(seats.groupBy("block")).applyInArrow(answered, "chunk long, place int, n long, p double, mean double, seats binary, counts binary"))
     tokens, vocabulary, unknown, discount = model.tokens, model.vocabulary, model.unknown, model.discount
     kind = chunked.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
