@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -317,6 +318,43 @@ def test_pairs_cross_the_shuffle_in_blocks(llm):
     assert pitmanyor._block_of(ends, 7).tolist() == [0, 6] and (pitmanyor._sorted_unpacked(pitmanyor._sorted_packed(ends), 2) == ends).all()
 
 
+def test_words_cross_the_shuffle_in_blocks(llm, monkeypatch):
+    r = random.Random(13)
+    rows = [(i, " ".join(words(r.randint(0, 300), 1) for _ in range(40))) for i in range(300)] + [(None, None), (4000, "")]
+    chunked = pitmanyor.cut(pitmanyor.chunks(frame(llm, rows), size=4000))
+    _, _, counts = plain_counts(rows)
+    unsigned = pitmanyor.xxhash.xxh64_intdigest
+    for blocks in (1, 5):
+        held = pitmanyor.blocked_words(chunked, blocks)
+        got = held.groupBy("block").applyInArrow(pitmanyor._known_words, "block long, chunk long, words binary, counts binary, links binary").collect()
+        own = {g["block"]: g for g in got if g["chunk"] is None}
+        assert len(own) == blocks and len(got) == held.count() + blocks
+        known = {b: np.frombuffer(g["words"], np.uint64).tolist() for b, g in own.items()}
+        assert {w: n for b, g in own.items() for w, n in zip(known[b], np.frombuffer(g["counts"], np.int64).tolist())} == {unsigned(w): n for w, n in counts.items()}
+        links = {(g["block"], g["chunk"]): pitmanyor._links_unpacked(g["links"]).tolist() for g in got if g["chunk"] is not None}
+        for h in held.collect():
+            keys = pitmanyor._sorted_unpacked(h["keys"], h["size"]).tolist()
+            assert [known[h["block"]][k - 2] if k else None for k in links[h["block"], h["chunk"]]] == [w if w in known[h["block"]] else None for w in keys]
+    # a model's results come back in a row a chunk and block, not in one a word
+    tables = []
+    monkeypatch.setattr(pitmanyor, "cut", lambda table, f=pitmanyor.cut: tables.append(f(table)) or tables[-1])
+    assert pitmanyor.query(frame(llm, rows)).count() == len(rows)
+    answers = [t for t in tables if "seats" in t.columns]
+    assert len(answers) == 1 and answers[0].count() == answers[0].select("chunk", "place").distinct().count() <= 2 * answers[0].select("chunk").distinct().count()
+    gone = [t for t in tables if {"t0", "links"} & set(t.columns) and "seats" not in t.columns]  # what the scores no longer need
+    assert len(gone) == 6 and not any(Path(t.cut_path.removeprefix("file:")).exists() for t in gone)
+
+
+def test_ascending_order_is_exact():
+    r = np.random.default_rng(4)
+    near = r.integers(0, 1 << 12, 5000).astype(np.uint64) + (r.integers(0, 3, 5000).astype(np.uint64) << np.uint64(62))  # places cover all that differs
+    for keys in (near, r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.zeros(7, np.uint64), near[:1], near[:0], ~near):
+        assert pitmanyor._ascending(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        key, at = np.unique(keys, return_inverse=True)
+        got, first, number = pitmanyor._distinct(keys)
+        assert got.tolist() == key.tolist() == keys[first].tolist() and number.tolist() == at.tolist()
+
+
 def test_poisson_draws():
     for mean in (0.3, 4.0, 29.0, 80.0):
         x = pitmanyor.Draws(5, np.arange(60_000)).poisson(7, np.full(60_000, mean))

@@ -22,7 +22,7 @@ word after it; the end stands for the start of a document.
 
 Texts are read and split once, into chunks of about ``CHUNK`` characters with their own
 word lists.  Counts are summed over chunks, and what the model says of a chunk's words
-and pairs is joined back to it, so no task needs the vocabulary.  Words are known by their
+and pairs is led back to it, so no task needs the vocabulary.  Words are known by their
 64-bit XXH64; two words of one hash would count as one.
 
 A pair crosses the shuffle as a 64-bit hash of its two words.  A chunk sorts its pairs' hashes
@@ -30,7 +30,8 @@ and cuts them into blocks, ranges of about ``BLOCK`` tokens of the whole corpus;
 the differences of a chunk's hashes in a block, about six bytes a pair.  A task adds a
 block up over the chunks and tells each chunk the totals in the order in which they came; of
 the blocks it keeps which of its repeated pairs, by the order of their hashes, each entry
-is, about a byte an entry, by which the sampler's results find their way back.
+is, about a byte an entry, by which the sampler's results find their way back.  Words cross
+and their results come back the same way, in blocks of ``WORD_BLOCK`` tokens.
 As hashes are even, so are blocks, however often a word or a pair occurs.  Two pairs of one hash
 would count as one: of four thousand million pairs, as in 30 GB, that is expected of less than one.
 
@@ -44,14 +45,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, remainder, texts_of
@@ -62,8 +65,8 @@ EXACT, BURN, SAMPLES, SEED = 64, 2, 3, 8
 STRENGTH = 1.0  # theta of every restaurant
 #: Rows that a task of the sampler takes at once, and that a chunk gives at once; tokens that are scored at once.
 WORD_ROWS, GIVEN, SCORED = 16_384, 100_000, 500_000
-#: Training tokens to a block of pairs.
-BLOCK = 1_000_000
+#: Tokens to a block of pairs, and to one of words.
+BLOCK, WORD_BLOCK = 1_000_000, 4_000_000
 _END = b""
 #: The end's hash, which is the start of a document as a context.
 START = int(np.array([xxhash.xxh64_intdigest(_END)], np.uint64).view(np.int64)[0])
@@ -84,9 +87,9 @@ def _packed(numbers: np.ndarray) -> bytes:
     return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
     flat = np.frombuffer(zlib.decompress(data), np.uint8)
-    return flat.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+    return flat.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(kind, copy=False)
 
 
 def own_counts(data: bytes) -> np.ndarray:
@@ -160,6 +163,18 @@ def _in_runs(frame: DataFrame, work, schema: str) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+@contextmanager
+def _wide_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``WORD_ROWS`` rows, for jobs over short rows of numbers; the session's are for texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(WORD_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def _release(table: DataFrame) -> None:
     """Let go of the shuffles behind a table that has been written; Spark deletes their files when the driver collects garbage, which it may not need to do for long."""
     table.sparkSession._jvm.System.gc()
@@ -169,32 +184,50 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def _word_counts(row: dict) -> pa.RecordBatch:
-    words, counts = _hashes(row["words"]), _unpacked(row["counts"])
-    return pa.record_batch([pa.array(words[counts > 0]), pa.array(counts[counts > 0])], ["word", "n"])
-
-
-def pair_codes(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Place of the word before and of the word, as one number, for each token of whole documents."""
-    before = np.r_[0, tokens[:-1]]
-    before[np.cumsum(lengths) - lengths] = np.flatnonzero(words == START)[0]
-    return (before << 32) | tokens
+def _ascending(keys: np.ndarray) -> np.ndarray:
+    """Stable order of 64-bit keys.  Numbers sort much faster than they are ranked, so places stand in for low bits of the keys, which are put right afterwards."""
+    low = np.uint64(max(len(keys) - 1, 1).bit_length())
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    order = keys & ~mask
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= mask
+    order = order.view(np.int64)
+    got = keys[order]
+    if (got[1:] < got[:-1]).any():
+        order = order[np.argsort(got, kind="stable")]
+    return order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, where each one stands first, and each key's number among them."""
+    order = _ascending(keys)
+    got = keys[order]
+    fresh = np.r_[np.ones(min(len(got), 1), bool), got[1:] != got[:-1]]
+    key, first = got[fresh], order[fresh]
+    del got
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return key, first, at
 
 
 def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64 bits of each pair of word hashes."""
-    return _mixed(_mixed(context.view(np.uint64)) + word.view(np.uint64))
+    return _scramble(_mixed(context.view(np.uint64)) + word.view(np.uint64))
 
 
-def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(row: dict, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a chunk's pairs, sorted, their codes, their training counts, and each token's pair."""
-    words, tokens, lengths = _hashes(row["words"]), _unpacked(row["tokens"]), np.array(row["lengths"], np.int64)
-    codes = pair_codes(words, tokens, lengths)
-    hashes = _mixed(_mixed(words.view(np.uint64))[codes >> 32] + words.view(np.uint64)[tokens])
-    key, at = np.unique(hashes, return_inverse=True)
-    code = np.zeros(len(key), np.int64)
-    code[at] = codes
-    return key, code, np.bincount(at[np.repeat(~np.array(row["held"]), lengths)], minlength=len(key)), at
+    words, lengths = _hashes(row["words"]), np.array(row["lengths"], np.int64)
+    tokens = _unpacked(row["tokens"], np.int32) if tokens is None else tokens
+    before = np.r_[np.int32(0), tokens[:-1]]
+    before[np.cumsum(lengths) - lengths] = np.flatnonzero(words == START)[0]
+    hashes = _mixed(words.view(np.uint64))[before]
+    hashes += words.view(np.uint64)[tokens]
+    key, first, at = _distinct(_scramble(hashes))
+    del hashes
+    code = before[first].astype(np.int64) << 32 | tokens[first]
+    return key, code, np.bincount(at[np.repeat(~np.array(row["held"], bool), lengths)], minlength=len(key)), at
 
 
 def _pair_counts(row: dict) -> pa.RecordBatch:
@@ -218,26 +251,58 @@ def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
 
 
+def _parts(chunk: int, key: np.ndarray, n: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Ascending keys of a chunk and their counts, by block."""
+    ends = np.searchsorted(_block_of(key, blocks), np.arange(blocks + 1))
+    some = np.flatnonzero(np.diff(ends))
+    parts = [slice(ends[k], ends[k + 1]) for k in some]
+    return pa.record_batch([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(np.diff(ends)[some]),
+                            pa.array([_sorted_packed(key[x]) for x in parts], pa.binary()), pa.array([_packed(n[x]) for x in parts], pa.binary())],
+                           ["block", "chunk", "size", "keys", "counts"])
+
+
+_PARTS = "block long, chunk long, size long, keys binary, counts binary"
+
+
 def blocked(chunked: DataFrame, blocks: int) -> DataFrame:
-    """(block, chunk, size, pairs, counts): the pairs of a chunk in a block and their training counts."""
+    """(block, chunk, size, keys, counts): the pairs of a chunk in a block and their training counts."""
     def work(row: dict) -> pa.RecordBatch:
         key, _, n, _ = _pairs_of(row)
-        ends = np.searchsorted(_block_of(key, blocks), np.arange(blocks + 1))
-        some = np.flatnonzero(np.diff(ends))
-        parts = [slice(ends[k], ends[k + 1]) for k in some]
-        return pa.record_batch([pa.array(some), pa.array(np.full(len(some), row["chunk"])), pa.array(np.diff(ends)[some]),
-                                pa.array([_sorted_packed(key[x]) for x in parts], pa.binary()), pa.array([_packed(n[x]) for x in parts], pa.binary())],
-                               ["block", "chunk", "size", "pairs", "counts"])
-    return _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), work, "block long, chunk long, size long, pairs binary, counts binary", 100)
+        return _parts(row["chunk"], key, n, blocks)
+    return _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), work, _PARTS, 100)
+
+
+def blocked_words(chunked: DataFrame, blocks: int) -> DataFrame:
+    """The same of the words of a chunk."""
+    def work(row: dict) -> pa.RecordBatch:
+        words = _hashes(row["words"]).view(np.uint64)
+        order = _ascending(words)
+        return _parts(row["chunk"], words[order], _unpacked(row["counts"])[order], blocks)
+    return _each(chunked.select("chunk", "words", "counts"), work, _PARTS, 100)
 
 
 def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a block, their totals, each entry's pair, and where the entries of a row end."""
+    """Distinct keys of a block, their totals, each entry's key, and where the entries of a row end."""
     sizes = rows["size"].to_numpy()
-    keys = np.concatenate([_sorted_unpacked(x.as_py(), n) for x, n in zip(rows["pairs"], sizes.tolist())])
+    keys = np.concatenate([_sorted_unpacked(x.as_py(), n) for x, n in zip(rows["keys"], sizes.tolist())])
     counts = np.concatenate([_unpacked(x.as_py()) for x in rows["counts"]])
-    pair, at = np.unique(keys, return_inverse=True)
-    return pair, np.bincount(at, counts, len(pair)).astype(np.int64), at, np.cumsum(sizes)
+    key, _, at = _distinct(keys)
+    return key, np.bincount(at, counts, len(key)).astype(np.int64), at, np.cumsum(sizes)
+
+
+def _known_words(rows: pa.Table) -> pa.Table:
+    """A row without a chunk with the training words of a block and their totals, and for each chunk the links of its words to these."""
+    word, total, at, ends = _summed(rows)
+    known = total > 0
+    links = np.where(known, 1 + np.cumsum(known), 0)[at]
+    links = [*(_links_packed(x) for x in np.split(links, ends[:-1])), None]
+    own = [None] * rows.num_rows
+    return pa.table([pa.array([*rows["block"].to_pylist(), rows["block"][0].as_py()], pa.int64()), pa.array([*rows["chunk"].to_pylist(), None], pa.int64()), pa.array([*own, word[known].tobytes()], pa.binary()),
+                     pa.array([*own, total[known].tobytes()], pa.binary()), pa.array(links, pa.binary())], ["block", "chunk", "words", "counts", "links"])
+
+
+def _word_counts(row: dict) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(_hashes(row["words"])), pa.array(_hashes(row["counts"]))], ["word", "n"])
 
 
 def _totals(rows: pa.Table) -> pa.Table:
@@ -275,8 +340,7 @@ def _repeated(chunk: pa.Table, totals: pa.Table) -> pa.Table:
         words, (_, code, _, _) = _hashes(row["words"]), _pairs_of(row)
         n = np.concatenate([_unpacked(x.as_py()) for x in totals])
         code, n = code[n > 0], n[n > 0]
-        draws = pa.FixedSizeListArray.from_arrays(pa.array(np.ones(len(n), np.int64)), 1).cast(pa.list_(pa.int64()))
-        out.append(pa.table([pa.array(words[code & 0xFFFFFFFF]), pa.array(words[code >> 32]), pa.array(n), draws], ["word", "context", "n", "draws"]))
+        out.append(pa.table([pa.array(x) for x in (words[code & 0xFFFFFFFF], words[code >> 32], n, np.ones(len(n), np.int64))], ["word", "context", "n", "t0"]))
     return pa.concat_tables(out)
 
 
@@ -294,9 +358,17 @@ def log_stirling(most: int, d: float) -> np.ndarray:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return _scramble(x.copy())
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """The same, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Draws:
@@ -305,7 +377,7 @@ class Draws:
     def __init__(self, step: int, *keys: np.ndarray):
         self.key = np.full(len(keys[0]), (SEED << 32) + step, np.uint64)
         for k in keys:
-            self.key = _mixed(self.key + k.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            self.key = _scramble(self.key + k.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
     def of(self, rows: np.ndarray) -> Draws:
         out = Draws.__new__(Draws)
@@ -314,7 +386,7 @@ class Draws:
 
     def uniform(self, nth: int, n: int) -> np.ndarray:
         """The nth number, above 0 and below 1, of the first n rows."""
-        return ((_mixed(self.key[:n] + np.uint64((nth * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) + 0.5) * 2.0 ** -52
+        return ((_scramble(self.key[:n] + np.uint64((nth * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) + 0.5) * 2.0 ** -52
 
     def poisson(self, nth: int, mean: np.ndarray) -> np.ndarray:
         """Poisson numbers by inversion, from a mean of 30 on by the normal law."""
@@ -375,8 +447,12 @@ class Totals:
     parent_discount: float
 
 
+def _numbered(name: str, n: int) -> list[str]:
+    return [f"{name}{k}" for k in range(n)]
+
+
 def _sweeps(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFrame:
-    """Rows (word, context, n, draws) of pairs after ``sweeps`` sweeps; ``c``, ``root_t`` and ``seated`` are the totals of the word and the context."""
+    """Rows (word, context, n, t0, t1, ...) of pairs after ``sweeps`` sweeps; ``c``, ``root_t`` and ``seated`` are the totals of the word and the context."""
     below, base = log_stirling(EXACT, totals.discount), 1.0 / (totals.vocabulary + 1)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -385,42 +461,42 @@ def _sweeps(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFram
         p = ((rest - totals.parent_discount * np.minimum(root_t, rest)) + (STRENGTH + totals.parent_discount * totals.parent_tables) * base) / (STRENGTH + np.maximum(totals.parent_customers - t, 0))
         for k in range(sweeps):
             draws.append(tables(n, p, totals.discount, others, below, Draws(job << 8 | k, word, context)))
-        draws = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(draws, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
-        return pa.record_batch([batch.column("word"), batch.column("context"), batch.column("n"), draws], ["word", "context", "n", "draws"])
-    return _in_runs(frame, work, "word long, context long, n long, draws array<long>")
+        return pa.record_batch([batch.column("word"), batch.column("context"), batch.column("n"), *map(pa.array, draws)], ["word", "context", "n", *_numbered("t", sweeps)])
+    return _in_runs(frame, work, ", ".join(f"{c} long" for c in ("word", "context", "n", *_numbered("t", sweeps))))
+
+
+def _drawn(sweeps: int) -> Column:
+    """Tables of a pair, summed over the sweeps."""
+    return sum((F.col(c) for c in _numbered("t", sweeps)[1:]), F.col("t0"))
 
 
 def _seated(words: DataFrame, state: DataFrame, sweeps: int) -> DataFrame:
-    """(word, n, root_t, busy, parents, seated, mean): a word's tables in all restaurants after each sweep, and those in its own restaurant, last and on average.
+    """(word, n, root_t, busy, c0, c1, ..., seated, mean): a word's tables in all restaurants after each sweep, and those in its own restaurant, last and on average.
 
     Pairs that are not in ``state`` have one customer and one table.
     """
-    none, last = F.lit(0).cast("long"), F.col("draws")[sweeps - 1]
-    total = F.aggregate("draws", none, lambda a, x: a + x)
-    more = [(F.col("draws")[k] - F.col("n")).alias(f"c{k}") for k in range(sweeps)]
-    both = state.select("word", *more, none.alias("seated"), none.alias("total")).unionByName(
-        state.select(F.col("context").alias("word"), *(none.alias(f"c{k}") for k in range(sweeps)), (last - F.col("n")).alias("seated"), (total - sweeps * F.col("n")).alias("total")))
-    sums = both.groupBy("word").agg(*(F.sum(c).alias(c) for c in [f"c{k}" for k in range(sweeps)] + ["seated", "total"]))
-    add = lambda c: F.col("n") + F.coalesce(F.col(c), none)
+    none, n, parents = F.lit(0).cast("long"), F.col("n"), _numbered("c", sweeps)
+    both = state.select("word", *((F.col(t) - n).alias(c) for t, c in zip(_numbered("t", sweeps), parents)), none.alias("seated"), none.alias("total")).unionByName(
+        state.select(F.col("context").alias("word"), *(none.alias(c) for c in parents), (F.col(f"t{sweeps - 1}") - n).alias("seated"), (_drawn(sweeps) - sweeps * n).alias("total")))
+    sums = both.groupBy("word").agg(*(F.sum(c).alias(c) for c in [*parents, "seated", "total"]))
+    add = lambda c: n + F.coalesce(F.col(c), none)
     return words.select("word", "n", "root_t").join(sums, "word", "left").select(
-        "word", "n", "root_t", F.col("total").isNotNull().alias("busy"), F.array(*(add(f"c{k}") for k in range(sweeps))).alias("parents"),
-        add("seated").alias("seated"), (F.col("n") + F.coalesce(F.col("total"), none) / sweeps).alias("mean"))
+        "word", "n", "root_t", F.col("total").isNotNull().alias("busy"), *(add(c).alias(c) for c in parents),
+        add("seated").alias("seated"), (n + F.coalesce(F.col("total"), none) / sweeps).alias("mean"))
 
 
 def _rooted(frame: DataFrame, totals: Totals, job: int, sweeps: int) -> DataFrame:
-    """The same with ``roots``: each sweep's tables in the parent."""
+    """The same with r0, r1, ...: each sweep's tables in the parent."""
     above, base = log_stirling(EXACT, totals.parent_discount), 1.0 / (totals.vocabulary + 1)
+    kept, roots = ["word", "n", "busy", *_numbered("c", sweeps), "seated", "mean"], _numbered("r", sweeps)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word, root_t = batch.column("word").to_numpy(), batch.column("root_t").to_numpy().astype(np.int64)
-        parents, roots = batch.column("parents").flatten().to_numpy().reshape(-1, sweeps), []
+        word, root_t, drawn = batch.column("word").to_numpy(), batch.column("root_t").to_numpy().astype(np.int64), []
         for k in range(sweeps):
-            root_t = tables(parents[:, k], np.full(len(word), base), totals.parent_discount, totals.parent_tables - root_t, above, Draws(1 << 16 | job << 8 | k, word))
-            roots.append(root_t)
-        roots = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(roots, 1).ravel()), sweeps).cast(pa.list_(pa.int64()))
-        out = {c: batch.column(c) for c in ("word", "n", "busy", "parents", "seated", "mean")} | {"root_t": pa.array(root_t), "roots": roots}
-        return pa.record_batch(list(out.values()), list(out))
-    return _in_runs(frame, work, "word long, n long, busy boolean, parents array<long>, seated long, mean double, root_t long, roots array<long>")
+            root_t = tables(batch.column(f"c{k}").to_numpy().astype(np.int64), np.full(len(word), base), totals.parent_discount, totals.parent_tables - root_t, above, Draws(1 << 16 | job << 8 | k, word))
+            drawn.append(pa.array(root_t))
+        return pa.record_batch([*(batch.column(c) for c in kept), drawn[-1], *drawn], [*kept, "root_t", *roots])
+    return _in_runs(frame, work, ", ".join(f"{c} {dict(busy='boolean', mean='double').get(c, 'long')}" for c in (*kept, "root_t", *roots)))
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -432,9 +508,11 @@ class Model:
     """Rows of words (word, n, p, mean), rows of pairs, and the numbers that all words share."""
 
     dishes: DataFrame
-    state: DataFrame  # pairs with two training tokens or more: word, context, n, draws
+    state: DataFrame  # pairs with two training tokens or more: word, context, n, t0, t1, ...
     blocks: int  # ranges of pair hashes
     links: DataFrame  # block, chunk and what each of its pairs there is in ``state``
+    word_blocks: int  # ranges of word hashes
+    word_links: DataFrame  # block, chunk and which of ``dishes`` each of its words there is; rows without a chunk hold these
     pairs: DataFrame  # all pairs of all chunks, not yet counted
     tokens: int
     vocabulary: int
@@ -443,8 +521,7 @@ class Model:
 
     def owned(self) -> DataFrame:
         """(word, context, own) of the pairs in ``state``: customers less discounts."""
-        mean = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x) / SAMPLES
-        return self.state.select("word", "context", (F.col("n") - self.discount * mean).alias("own"))
+        return self.state.select("word", "context", (F.col("n") - self.discount * (_drawn(SAMPLES) / SAMPLES)).alias("own"))
 
     # Below, a small model as a whole on the driver, to look at: context 0 is a word not seen before, 1 the start, others as in ``named``.
     @cached_property
@@ -477,32 +554,35 @@ class Model:
 
 def fit(chunked: DataFrame) -> Model:
     """Count, seat, sample and average over the training documents of all chunks."""
-    counted = cut(_each(chunked.select("words", "counts"), _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    spark = chunked.sparkSession
+    read = chunked.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    blocks, word_blocks = 1 + read // BLOCK, 1 + read // WORD_BLOCK
+    spelt = cut(blocked_words(chunked, word_blocks).groupBy("block").applyInArrow(_known_words, "block long, chunk long, words binary, counts binary, links binary"))
+    counted = cut(_each(spelt.where("chunk is null").select("words", "counts"), _word_counts, "word long, n long"))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts, "context long, word long, n long")
-    blocks = 1 + int(tokens) // BLOCK
     linked = cut(blocked(chunked, blocks).groupBy("block").applyInArrow(_totals, "block long, chunk long, totals binary, links binary"))
     _release(linked)
-    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(linked.select("block", "chunk", "totals").groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, draws array<long>"))
+    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(linked.select("block", "chunk", "totals").groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, t0 long"))
     held, twos = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") == 2, 1))).first()
     discount = _discount(tokens - held, twos)  # what is in no row of the state are single customers
     words = cut(_seated(counted.withColumn("root_t", F.lit(1).cast("long")), state, 1))
-    customers = words.agg(F.coalesce(F.sum(F.col("parents")[0]), F.lit(0))).first()[0]
+    customers = words.agg(F.coalesce(F.sum("c0"), F.lit(0))).first()[0]
     totals, last = Totals(vocabulary, float(customers), float(vocabulary), discount, 0.5), 1
     means = None
     for job, sweeps in enumerate((1, BURN, SAMPLES)):
         busy = words.where("busy")
-        rows = state.select("word", "context", "n", F.col("draws")[last - 1].alias("t")).join(busy.select(F.col("word").alias("context"), "seated"), "context")
-        rows = rows.join(busy.select("word", F.col("parents")[last - 1].alias("c"), "root_t"), "word")
+        rows = state.select("word", "context", "n", F.col(f"t{last - 1}").alias("t")).join(busy.select(F.col("word").alias("context"), "seated"), "context")
+        rows = rows.join(busy.select("word", F.col(f"c{last - 1}").alias("c"), "root_t"), "word")
         before = state
-        state = cut(_sweeps(rows, totals, job, sweeps))
-        if job:
-            discard(before)
-        words, old, last = cut(_rooted(_seated(words, state, sweeps), totals, job, sweeps)), words, sweeps
+        with _wide_batches(spark):
+            state = cut(_sweeps(rows, totals, job, sweeps))
+        discard(before)
+        with _wide_batches(spark):
+            words, old, last = cut(_rooted(_seated(words, state, sweeps), totals, job, sweeps)), words, sweeps
         discard(old)
         _release(words)
-        sums = words.agg(*(F.sum(F.col(c)[k]) for c in ("parents", "roots") for k in range(sweeps)),
-                         F.count(F.when(F.col("parents")[sweeps - 1] == 1, 1)), F.count(F.when(F.col("parents")[sweeps - 1] == 2, 1))).first()
+        sums = words.agg(*(F.sum(c) for c in (*_numbered("c", sweeps), *_numbered("r", sweeps))), *(F.count(F.when(F.col(f"c{sweeps - 1}") == one, 1)) for one in (1, 2))).first()
         sums = [float(x or 0) for x in sums]
         means = (sums[:sweeps], sums[sweeps:2 * sweeps])
         parent_discount = totals.parent_discount if job else _discount(int(sums[-2]), int(sums[-1]))
@@ -510,55 +590,62 @@ def fit(chunked: DataFrame) -> Model:
     discard(counted)
     d0, base = totals.parent_discount, 1.0 / (vocabulary + 1)
     spare = [(STRENGTH + d0 * t) / (STRENGTH + c) * base for c, t in zip(*means)]
-    p = sum(((F.col("parents")[k] - d0 * F.col("roots")[k]) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
-    return Model(words.select("word", "n", p.alias("p"), "mean"), state, blocks, linked.select("block", "chunk", "links"), pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
+    p = sum(((F.col(f"c{k}") - d0 * F.col(f"r{k}")) / (STRENGTH + means[0][k]) + spare[k]) for k in range(SAMPLES)) / SAMPLES
+    return Model(words.select("word", "n", p.alias("p"), "mean"), state, blocks, linked, word_blocks, spelt, pairs, int(tokens), int(vocabulary), discount, float(np.mean(spare)))
 
 
 def scored(chunked: DataFrame, model: Model) -> DataFrame:
     """Scores of all documents of the chunks, which are those that the model was fitted on."""
-    def asked(row: dict) -> pa.RecordBatch:
-        words = _hashes(row["words"])
-        return pa.record_batch([pa.array(np.full(len(words), row["chunk"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)], ["chunk", "place", "word"])
-    wanted = _each(chunked.select("chunk", "words"), asked, "chunk long, place int, word long")
-    none = F.lit(0).cast("long")
-    told = wanted.join(model.dishes, "word").select("chunk", "place", "n", "p", "mean")
-    told = told.withColumn("seats", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary"))
-    blocks = model.blocks
+    tokens, vocabulary, unknown, discount, blocks = model.tokens, model.vocabulary, model.unknown, model.discount, model.blocks
+    answer = "chunk long, place int, n binary, p binary, mean binary, seats binary, counts binary"
+    names = [x.split()[0] for x in answer.split(", ")]
+
+    def described(rows: pa.Table, dishes: pa.Table) -> pa.Table:
+        order = np.argsort(dishes["word"].to_numpy().view(np.uint64))
+        n, p, mean = (np.r_[none, none, dishes[c].to_numpy()[order]] for c, none in (("n", 0), ("p", unknown), ("mean", 0.0)))
+        links = [_links_unpacked(x.as_py()) for x in rows["links"]]
+        parts = [pa.array([f(x) for x in links], pa.binary()) for f in (lambda x: _packed(n[x]), lambda x: p[x].tobytes(), lambda x: mean[x].tobytes())]
+        return pa.table([rows["chunk"], rows["block"].cast(pa.int32()), *parts, *[pa.nulls(rows.num_rows, pa.binary())] * 2], names)
+    block = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(model.word_blocks).cast("long"), 32).alias("block")
+    told = model.word_links.where("chunk is not null").select("block", "chunk", "links").groupBy("block").cogroup(model.dishes.select(block, "*").groupBy("block")).applyInArrow(described, answer)
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
         key = pair_hashes(*(batch.column(c).to_numpy() for c in ("context", "word")))
         return pa.record_batch([pa.array(_block_of(key, blocks)), pa.array(key.view(np.int64)), batch.column("n"), batch.column("seats")], ["block", "pair", "n", "seats"])
-    seats = _in_runs(model.state.select("word", "context", "n", F.aggregate("draws", none, lambda a, x: a + x).alias("seats")), dealt, "block long, pair long, n long, seats long")
+    seats = _in_runs(model.state.select("word", "context", "n", _drawn(SAMPLES).alias("seats")), dealt, "block long, pair long, n long, seats long")
 
     def answered(rows: pa.Table, seated: pa.Table) -> pa.Table:
         order = np.argsort(seated["pair"].to_numpy().view(np.uint64))
         seats, count = (np.r_[0, one, seated[c].to_numpy()[order]] for c, one in (("seats", SAMPLES), ("n", 1)))  # one customer has one table
         links = [_links_unpacked(x.as_py()) for x in rows["links"]]
         parts = [pa.array([_packed(values[x]) for x in links], pa.binary()) for values in (seats, count)]
-        nothing = np.zeros(rows.num_rows)
-        return pa.table([rows["chunk"], pa.array((-1 - rows["block"].to_numpy()).astype(np.int32)), pa.array(nothing.astype(np.int64)), pa.array(nothing), pa.array(nothing), *parts], ["chunk", "place", "n", "p", "mean", "seats", "counts"])
-    told = told.unionByName(model.links.groupBy("block").cogroup(seats.groupBy("block")).applyInArrow(answered, "chunk long, place int, n long, p double, mean double, seats binary, counts binary"))
-    tokens, vocabulary, unknown, discount = model.tokens, model.vocabulary, model.unknown, model.discount
+        return pa.table([rows["chunk"], pa.array((-1 - rows["block"].to_numpy()).astype(np.int32)), *[pa.nulls(rows.num_rows, pa.binary())] * 3, *parts], names)
+    with _wide_batches(chunked.sparkSession):
+        told = cut(told.unionByName(model.links.select("block", "chunk", "links").groupBy("block").cogroup(seats.groupBy("block")).applyInArrow(answered, answer)))
+    _release(told)
     kind = chunked.schema["doc_ids"].dataType.elementType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def work(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        place, values = told.column("place").to_numpy(), told.column("p").to_numpy()
-        pair, word = place < 0, place >= 0
-        blocks = told.filter(pa.array(pair)).sort_by([("place", "descending")])
-        known, seated = told.column("n").to_numpy()[word], told.column("mean").to_numpy()[word]
+        blocks = told.filter(pc.less(told["place"], 0)).sort_by([("place", "descending")])
+        spelt = told.filter(pc.greater_equal(told["place"], 0)).sort_by("place")
         for k in range(texts.num_rows):
-            words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py()), np.array(texts["lengths"][k].as_py(), np.int64)
-            n, p = np.zeros(len(words)), np.full(len(words), unknown)
-            n[place[word]], p[place[word]] = known, values[word]
-            room, spare = STRENGTH + n, np.full(len(words), STRENGTH)
-            spare[place[word]] += discount * seated
-            _, code, _, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "tokens", "lengths", "held")})
-            count, tables = (np.concatenate([_unpacked(x.as_py()) for x in blocks[c]]) for c in ("counts", "seats"))
-            own = count - discount * (tables / SAMPLES)
-            before, after = code >> 32, code & 0xFFFFFFFF
-            chance = np.log10((spare[before] * p[after] + own) / room[before])
+            words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py(), np.int32), np.array(texts["lengths"][k].as_py(), np.int64)
+            n, p, mean = np.zeros((3, len(words)))
+            order = _ascending(words.view(np.uint64))
+            n[order], p[order], mean[order] = (np.concatenate([f(x.as_py()) for x in spelt[c]]) for c, f in (("n", _unpacked), ("p", np.frombuffer), ("mean", np.frombuffer)))
+            room, spare = STRENGTH + n, STRENGTH + discount * mean
+            code, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "lengths", "held")}, flat)[1::2]
+            own = np.concatenate([_unpacked(x.as_py(), np.uint32) for x in blocks["seats"]]) / SAMPLES
+            own *= discount
+            np.subtract(np.concatenate([_unpacked(x.as_py(), np.uint32) for x in blocks["counts"]]), own, out=own)
+            chance = spare[code >> 32]
+            chance *= p[code & 0xFFFFFFFF]
+            chance += own
+            chance /= room[code >> 32]
+            np.log10(chance, out=chance)
+            del code, own
             base = np.log10((n + 1) / (tokens + vocabulary + 1))
             ends = np.cumsum(lengths)
             sums = np.zeros((3, len(lengths)))
@@ -571,8 +658,8 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
                     row[a:b] = np.add.reduceat(x.astype(float), first)
                 a = b
             out.append(pa.table([texts["doc_ids"][k].values, pa.array(texts["held"][k].as_py()), pa.array(lengths), pa.array(sums[0].astype(np.int64)),
-                                 pa.array(np.full(len(lengths), tokens)), pa.array(sums[1]), pa.array(sums[2])], names))
-        schema = pa.schema([("doc_id", texts.schema.field("doc_ids").type.value_type), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:])])
+                                 pa.array(np.full(len(lengths), tokens)), pa.array(sums[1]), pa.array(sums[2])], columns))
+        schema = pa.schema([("doc_id", texts.schema.field("doc_ids").type.value_type), ("held_out", pa.bool_()), *((c, pa.int64()) for c in columns[2:5]), *((c, pa.float64()) for c in columns[5:])])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunked.select("chunk", "doc_ids", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(work, schema)
@@ -580,4 +667,8 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     chunked = cut(chunks(docs))
-    return scored(chunked, fit(chunked))
+    model = fit(chunked)
+    out = scored(chunked, model)
+    for table in (model.state, model.links, model.word_links):
+        discard(table)
+    return out
