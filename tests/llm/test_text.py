@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -345,6 +346,44 @@ def test_words_cross_the_shuffle_in_blocks(llm, monkeypatch):
     assert len(gone) == 6 and not any(Path(t.cut_path.removeprefix("file:")).exists() for t in gone)
 
 
+def test_pairs_of_a_chunk_are_taken_in_ranges(llm, monkeypatch):
+    r = np.random.default_rng(17)
+    tokens = [[*x.tolist(), 0] for x in np.split(r.integers(1, 3000, 200_000) ** 2 // 3000 + 1, np.sort(r.integers(0, 200_000, 300)))]  # the end is word 0
+    held = [bool(x) for x in r.integers(0, 2, len(tokens))]
+    words = np.fromiter((pitmanyor.xxhash.xxh64_intdigest(b"" if w == 0 else str(w).encode()) for w in range(3001)), np.uint64)
+    flat = np.concatenate(tokens).astype(np.int32)
+    row = {"words": words.tobytes(), "lengths": [len(x) for x in tokens], "held": held}
+    want = collections.Counter(p for x, out in zip(tokens, held) for p in zip([0, *x], x) if not out)
+    every = [p for x in tokens for p in zip([0, *x], x)]
+    monkeypatch.setattr(pitmanyor, "SCORED", 20_000)
+    for blocks in (1, 5, 60):
+        last, seen, places = -1, {}, []
+        for key, context, word, n, place, at in pitmanyor._pairs_of(row, flat, blocks):
+            assert key[0] > last and (key[1:] > key[:-1]).all() and (key == pitmanyor.pair_hashes(words.view(np.int64)[context], words.view(np.int64)[word])).all()
+            block = pitmanyor._block_of(key, blocks)
+            assert last < 0 or block[0] > pitmanyor._block_of(np.array([last], np.uint64), blocks)[0]
+            pairs, last = list(zip(context.tolist(), word.tolist())), int(key[-1])
+            assert [every[i] for i in place] == [pairs[i] for i in at]
+            seen.update(zip(pairs, n.tolist()))
+            places += place.tolist()
+        assert sorted(places) == list(range(len(flat))) and set(seen) == set(every) and {p: n for p, n in seen.items() if n} == dict(want)
+    # a whole chunk's hashes are never held or sorted at once
+    tracemalloc.start()
+    for _ in pitmanyor._pairs_of(row, flat, 60):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(flat)
+    # blocks and ranges do not change a score
+    rows = [(i, " ".join(map(str, r.integers(0, 90, 50)))) for i in range(60)] + [(None, None), (99, "")]
+    out = []
+    for block in (1_000_000, 100):
+        monkeypatch.setattr(pitmanyor, "BLOCK", block)
+        out.append(sorted(map(tuple, pitmanyor.query(frame(llm, rows)).collect()), key=repr))
+    assert [x[:6] for x in out[0]] == [x[:6] for x in out[1]]
+    assert [x[6] for x in out[0]] == pytest.approx([x[6] for x in out[1]], abs=1e-9)
+
+
 def test_ascending_order_is_exact():
     r = np.random.default_rng(4)
     near = r.integers(0, 1 << 12, 5000).astype(np.uint64) + (r.integers(0, 3, 5000).astype(np.uint64) << np.uint64(62))  # places cover all that differs

@@ -25,7 +25,8 @@ word lists.  Counts are summed over chunks, and what the model says of a chunk's
 and pairs is led back to it, so no task needs the vocabulary.  Words are known by their
 64-bit XXH64; two words of one hash would count as one.
 
-A pair crosses the shuffle as a 64-bit hash of its two words.  A chunk sorts its pairs' hashes
+A pair crosses the shuffle as a 64-bit hash of its two words.  A chunk sorts its pairs' hashes,
+an eighth of their range at a time, so a task holds little beyond its tokens and their scores,
 and cuts them into blocks, ranges of about ``BLOCK`` tokens of the whole corpus; a row holds
 the differences of a chunk's hashes in a block, about six bytes a pair.  A task adds a
 block up over the chunks and tells each chunk the totals in the order in which they came; of
@@ -51,7 +52,6 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +65,8 @@ EXACT, BURN, SAMPLES, SEED = 64, 2, 3, 8
 STRENGTH = 1.0  # theta of every restaurant
 #: Rows that a task of the sampler takes at once, and that a chunk gives at once; tokens that are scored at once.
 WORD_ROWS, GIVEN, SCORED = 16_384, 100_000, 500_000
-#: Tokens to a block of pairs, and to one of words.
-BLOCK, WORD_BLOCK = 1_000_000, 4_000_000
+#: Tokens to a block of pairs, and to one of words; ranges of pair hashes that a chunk sorts one after the other.
+BLOCK, WORD_BLOCK, RANGES = 1_000_000, 4_000_000, 8
 _END = b""
 #: The end's hash, which is the start of a document as a context.
 START = int(np.array([xxhash.xxh64_intdigest(_END)], np.uint64).view(np.int64)[0])
@@ -87,7 +87,7 @@ def _packed(numbers: np.ndarray) -> bytes:
     return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer, kind: type = np.int64) -> np.ndarray:
     flat = np.frombuffer(zlib.decompress(data), np.uint8)
     return flat.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(kind, copy=False)
 
@@ -139,12 +139,12 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def _each(frame: DataFrame, work, schema: str, given: int = GIVEN) -> DataFrame:
-    """Arrow rows from each chunk row, ``given`` at once."""
+    """Arrow rows from each chunk row, ``given`` at once; ``work`` gives batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                out = work({c: batch.column(c)[k].as_py() for c in batch.schema.names})
-                yield from (out.slice(a, given) for a in range(0, out.num_rows, given))
+                for out in work({c: batch.column(c)[k].as_py() for c in batch.schema.names}):
+                    yield from (out.slice(a, given) for a in range(0, out.num_rows, given))
     return frame.mapInArrow(run, schema)
 
 
@@ -180,7 +180,7 @@ def _release(table: DataFrame) -> None:
     table.sparkSession._jvm.System.gc()
 
 
-def _hashes(data: bytes) -> np.ndarray:
+def _hashes(data: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
@@ -216,23 +216,48 @@ def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _scramble(_mixed(context.view(np.uint64)) + word.view(np.uint64))
 
 
-def _pairs_of(row: dict, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a chunk's pairs, sorted, their codes, their training counts, and each token's pair."""
+def _pairs_of(row: dict, tokens: np.ndarray | None = None, blocks: int = RANGES) -> Iterator[tuple[np.ndarray, ...]]:
+    """A chunk's pairs by ranges of their hashes, ascending, so that one range at a time is sorted: the hashes, sorted, the
+    pairs' contexts, words and training counts, and the places of the range's tokens and the pair of each.  No range cuts a block."""
     words, lengths = _hashes(row["words"]), np.array(row["lengths"], np.int64)
     tokens = _unpacked(row["tokens"], np.int32) if tokens is None else tokens
-    before = np.r_[np.int32(0), tokens[:-1]]
-    before[np.cumsum(lengths) - lengths] = np.flatnonzero(words == START)[0]
-    hashes = _mixed(words.view(np.uint64))[before]
-    hashes += words.view(np.uint64)[tokens]
-    key, first, at = _distinct(_scramble(hashes))
-    del hashes
-    code = before[first].astype(np.int64) << 32 | tokens[first]
-    return key, code, np.bincount(at[np.repeat(~np.array(row["held"], bool), lengths)], minlength=len(key)), at
-
-
-def _pair_counts(row: dict) -> pa.RecordBatch:
-    words, (_, code, n, _) = _hashes(row["words"]), _pairs_of(row)
-    return pa.record_batch([pa.array(words[code >> 32]), pa.array(words[code & 0xFFFFFFFF]), pa.array(n)], ["context", "word", "n"])
+    opening, start = np.zeros(len(tokens), bool), np.flatnonzero(words == START)[0].astype(np.int32)
+    opening[np.cumsum(lengths) - lengths] = True
+    learnt = np.repeat(~np.array(row["held"], bool), lengths)
+    words, part = words.view(np.uint64), np.empty(len(tokens), np.uint8)
+    mixed = _mixed(words)
+
+    def before(place: np.ndarray) -> np.ndarray:
+        return np.where(opening[place], start, tokens[place - 1])
+
+    def hashes(place: np.ndarray) -> np.ndarray:
+        out = mixed[before(place)]
+        out += words[tokens[place]]
+        return _scramble(out)
+    for a in range(0, len(tokens), SCORED):
+        place = np.arange(a, min(a + SCORED, len(tokens)))
+        part[place] = _block_of(hashes(place), blocks) * RANGES // blocks
+    for k in range(RANGES):
+        place = np.flatnonzero(part == k)
+        if len(place):
+            key, first, at = _distinct(hashes(place))
+            first = place[first]
+            yield key, before(first), tokens[first], np.bincount(at[learnt[place]], minlength=len(key)), place, at
+
+
+def _told(rows: Iterator[pa.Scalar], n: int) -> np.ndarray:
+    """What the next rows tell of ``n`` pairs."""
+    parts = []
+    while n > 0:
+        parts.append(_unpacked(next(rows).as_buffer(), np.uint32))
+        n -= len(parts[-1])
+    return np.concatenate(parts)
+
+
+def _pair_counts(row: dict) -> Iterator[pa.RecordBatch]:
+    words = _hashes(row["words"])
+    for _, context, word, n, _, _ in _pairs_of(row):
+        yield pa.record_batch([pa.array(words[context]), pa.array(words[word]), pa.array(n)], ["context", "word", "n"])
 
 
 def _sorted_packed(keys: np.ndarray) -> bytes:
@@ -266,18 +291,18 @@ _PARTS = "block long, chunk long, size long, keys binary, counts binary"
 
 def blocked(chunked: DataFrame, blocks: int) -> DataFrame:
     """(block, chunk, size, keys, counts): the pairs of a chunk in a block and their training counts."""
-    def work(row: dict) -> pa.RecordBatch:
-        key, _, n, _ = _pairs_of(row)
-        return _parts(row["chunk"], key, n, blocks)
+    def work(row: dict) -> Iterator[pa.RecordBatch]:
+        for key, _, _, n, _, _ in _pairs_of(row, blocks=blocks):
+            yield _parts(row["chunk"], key, n, blocks)
     return _each(chunked.select("chunk", "held", "lengths", "tokens", "words"), work, _PARTS, 100)
 
 
 def blocked_words(chunked: DataFrame, blocks: int) -> DataFrame:
     """The same of the words of a chunk."""
-    def work(row: dict) -> pa.RecordBatch:
+    def work(row: dict) -> Iterator[pa.RecordBatch]:
         words = _hashes(row["words"]).view(np.uint64)
         order = _ascending(words)
-        return _parts(row["chunk"], words[order], _unpacked(row["counts"])[order], blocks)
+        yield _parts(row["chunk"], words[order], _unpacked(row["counts"])[order], blocks)
     return _each(chunked.select("chunk", "words", "counts"), work, _PARTS, 100)
 
 
@@ -301,8 +326,8 @@ def _known_words(rows: pa.Table) -> pa.Table:
                      pa.array([*own, total[known].tobytes()], pa.binary()), pa.array(links, pa.binary())], ["block", "chunk", "words", "counts", "links"])
 
 
-def _word_counts(row: dict) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(_hashes(row["words"])), pa.array(_hashes(row["counts"]))], ["word", "n"])
+def _word_counts(row: dict) -> Iterator[pa.RecordBatch]:
+    yield pa.record_batch([pa.array(_hashes(row["words"])), pa.array(_hashes(row["counts"]))], ["word", "n"])
 
 
 def _totals(rows: pa.Table) -> pa.Table:
@@ -331,16 +356,17 @@ def _links_unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-def _repeated(chunk: pa.Table, totals: pa.Table) -> pa.Table:
+def _repeated(chunk: pa.Table, totals: pa.Table, blocks: int) -> pa.Table:
     """The pairs that a chunk has been told of, with one table each."""
     out = []
-    totals = totals.sort_by("block")["totals"]
+    order = np.argsort(totals["block"].to_numpy()).tolist()
     for k in range(chunk.num_rows):
         row = {c: chunk[c][k].as_py() for c in chunk.schema.names}
-        words, (_, code, _, _) = _hashes(row["words"]), _pairs_of(row)
-        n = np.concatenate([_unpacked(x.as_py()) for x in totals])
-        code, n = code[n > 0], n[n > 0]
-        out.append(pa.table([pa.array(x) for x in (words[code & 0xFFFFFFFF], words[code >> 32], n, np.ones(len(n), np.int64))], ["word", "context", "n", "t0"]))
+        words, told = _hashes(row["words"]), map(totals["totals"].__getitem__, order)
+        for key, context, word, *_ in _pairs_of(row, blocks=blocks):
+            n = _told(told, len(key)).astype(np.int64)
+            some = n > 0
+            out.append(pa.table([pa.array(x) for x in (words[word[some]], words[context[some]], n[some], np.ones(some.sum(), np.int64))], ["word", "context", "n", "t0"]))
     return pa.concat_tables(out)
 
 
@@ -563,7 +589,7 @@ def fit(chunked: DataFrame) -> Model:
     pairs = _each(chunked.select("held", "lengths", "tokens", "words"), _pair_counts, "context long, word long, n long")
     linked = cut(blocked(chunked, blocks).groupBy("block").applyInArrow(_totals, "block long, chunk long, totals binary, links binary"))
     _release(linked)
-    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(linked.select("block", "chunk", "totals").groupBy("chunk")).applyInArrow(_repeated, "word long, context long, n long, t0 long"))
+    state = cut(chunked.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(linked.select("block", "chunk", "totals").groupBy("chunk")).applyInArrow(lambda chunk, totals: _repeated(chunk, totals, blocks), "word long, context long, n long, t0 long"))
     held, twos = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") == 2, 1))).first()
     discount = _discount(tokens - held, twos)  # what is in no row of the state are single customers
     words = cut(_seated(counted.withColumn("root_t", F.lit(1).cast("long")), state, 1))
@@ -628,24 +654,21 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
 
     def work(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        blocks = told.filter(pc.less(told["place"], 0)).sort_by([("place", "descending")])
-        spelt = told.filter(pc.greater_equal(told["place"], 0)).sort_by("place")
+        place = told["place"].to_numpy()
+        order, dealt = np.argsort(place).tolist(), int((place < 0).sum())
+        pairs_told, words_told = order[:dealt][::-1], order[dealt:]  # places of blocks of pairs are negative, -1 the first
         for k in range(texts.num_rows):
-            words, flat, lengths = _hashes(texts["words"][k].as_py()), _unpacked(texts["tokens"][k].as_py(), np.int32), np.array(texts["lengths"][k].as_py(), np.int64)
+            words, flat, lengths = _hashes(texts["words"][k].as_buffer()), _unpacked(texts["tokens"][k].as_buffer(), np.int32), texts["lengths"][k].values.to_numpy().astype(np.int64)
             n, p, mean = np.zeros((3, len(words)))
             order = _ascending(words.view(np.uint64))
-            n[order], p[order], mean[order] = (np.concatenate([f(x.as_py()) for x in spelt[c]]) for c, f in (("n", _unpacked), ("p", np.frombuffer), ("mean", np.frombuffer)))
+            n[order], p[order], mean[order] = (np.concatenate([f(told[c][i].as_buffer()) for i in words_told]) for c, f in (("n", _unpacked), ("p", np.frombuffer), ("mean", np.frombuffer)))
             room, spare = STRENGTH + n, STRENGTH + discount * mean
-            code, at = _pairs_of({c: texts[c][k].as_py() for c in ("words", "lengths", "held")}, flat)[1::2]
-            own = np.concatenate([_unpacked(x.as_py(), np.uint32) for x in blocks["seats"]]) / SAMPLES
-            own *= discount
-            np.subtract(np.concatenate([_unpacked(x.as_py(), np.uint32) for x in blocks["counts"]]), own, out=own)
-            chance = spare[code >> 32]
-            chance *= p[code & 0xFFFFFFFF]
-            chance += own
-            chance /= room[code >> 32]
-            np.log10(chance, out=chance)
-            del code, own
+            chance, (seats, counts) = np.empty(len(flat)), (map(told[c].__getitem__, pairs_told) for c in ("seats", "counts"))
+            for key, context, word, _, place, at in _pairs_of({"words": texts["words"][k].as_buffer(), "lengths": lengths, "held": texts["held"][k].as_py()}, flat, blocks):
+                own = _told(seats, len(key)) / SAMPLES
+                own *= discount
+                np.subtract(_told(counts, len(key)), own, out=own)
+                chance[place] = np.log10((spare[context] * p[word] + own) / room[context])[at]
             base = np.log10((n + 1) / (tokens + vocabulary + 1))
             ends = np.cumsum(lengths)
             sums = np.zeros((3, len(lengths)))
@@ -654,7 +677,7 @@ def scored(chunked: DataFrame, model: Model) -> DataFrame:
                 start = ends[a] - lengths[a]
                 b = max(a + 1, int(np.searchsorted(ends, start + SCORED, "right")))
                 part, first = flat[start:ends[b - 1]], (ends - lengths)[a:b] - start
-                for row, x in zip(sums, ((n > 0)[part], base[part], chance[at[start:ends[b - 1]]])):
+                for row, x in zip(sums, ((n > 0)[part], base[part], chance[start:ends[b - 1]])):
                     row[a:b] = np.add.reduceat(x.astype(float), first)
                 a = b
             out.append(pa.table([texts["doc_ids"][k].values, pa.array(texts["held"][k].as_py()), pa.array(lengths), pa.array(sums[0].astype(np.int64)),
