@@ -80,6 +80,39 @@ def test_equals_whole_texts(llm, monkeypatch, rows, chunk):
     assert got == sorted(map(repr, by_hand(rows)))
 
 
+@pytest.mark.parametrize("block", [1, 500, 20_000])
+def test_equals_whole_texts_in_small_blocks(llm, monkeypatch, rows, block):
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    monkeypatch.setattr(alignment, "ASKED", 1 + block // 10)
+    got = sorted(map(repr, (tuple(r) for r in alignment.query(frame(llm, rows).coalesce(1)).collect())))
+    assert got == sorted(map(repr, by_hand(rows)))
+
+
+def test_rows_of_a_chunk_stay_small(llm):
+    """A chunk of millions of characters reaches Spark in rows of some hundred kilobytes, not in one."""
+    texts = [(i, words(i, 1000)) for i in range(500)]
+    assert sum(len(t) for _, t in texts) > 2_000_000
+    found = alignment.chunks(frame(llm, texts).coalesce(1)).collect()
+    assert sorted(k for r in found for k in r["ids"] or ()) == list(range(500))
+    assert len({r["chunk"] for r in found}) == 1
+    weight = lambda v: sum(map(weight, v)) if isinstance(v, list) else len(v) if isinstance(v, str | bytes | bytearray) else 8
+    assert max(sum(map(weight, r)) for r in found) < 500_000
+
+
+def test_many_empty_texts_are_no_endless_chunk(llm, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK", 30_000)
+    found = alignment.chunks(frame(llm, [(i, None if i % 2 else "") for i in range(3000)]).coalesce(1)).collect()
+    assert sorted(k for r in found for k in r["ids"]) == list(range(3000))
+    assert len({r["chunk"] for r in found}) > 3
+
+
+def test_chunks_without_links(llm, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK", 1)
+    rows = [(1, None), (2, ""), (None, None), (4, ""), (5, "one two"), (6, "")]
+    got = sorted(map(repr, (tuple(r) for r in alignment.query(frame(llm, rows).coalesce(1)).collect())))
+    assert got == sorted(map(repr, by_hand([(k, t or "") for k, t in rows])))
+
+
 def test_groups_are_the_whole_tokenizations(llm, rows):
     want = {k: (na, nb, n, sha) for k, na, nb, n, _, _, _, sha in by_hand(rows) if k is not None and k >= 100}
     for r in alignment.groups(frame(llm, rows)).collect():

@@ -14,10 +14,12 @@ to both, texts are cut there into units, and a worker aligns a unit once and rem
 Where a unit's bytes differ from its text, the whole text is taken as one unit.
 
 A link's count is the number of documents that hold it.  Documents are worked in chunks of
-about ``CHUNK`` characters: a chunk keeps its documents' units, the units' links and how many
-of its documents hold each link.  Those are summed over chunks by link; the sums go back to
-the chunks that ask for them, one row a chunk and link, and become the documents' figures in
-there.  So nothing of the size of the corpus is broadcast or held in one task.
+about ``CHUNK`` characters: a chunk keeps how often each of its documents holds each link, as
+packed bytes, and how many of its documents hold each link.  Those are summed over chunks by
+link; the sums go back to the chunks that ask for them, one row a chunk and link, and become
+the documents' figures in there.  So nothing of the size of the corpus is broadcast or held
+in one task.  A chunk is written as many rows, blocks of about ``BLOCK`` links of its documents
+and of ``ASKED`` of its links, so that no row that Spark handles is large.
 
 Null and empty texts, and texts that either vocabulary does not spell byte for byte, have no
 tokens: zeros, and empty groups.  Repeated rows are documents each; only doc_id and text are
@@ -31,7 +33,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, cut, texts_of
+from tidemark.llm.common import arrow_rows, cut, slices, texts_of
 from tidemark.llm.packing import _SHOWN
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk of documents, and units that a worker remembers.
 CHUNK, REMEMBERED = 3_000_000, 100_000
+#: Links of the documents of a block, repeated ones counted, and links of a chunk in a row.  A document counts as ``ROW`` links
+#: or characters more, so that empty ones fill blocks and chunks too.
+BLOCK, ASKED, ROW = 1 << 18, 4096, 64
 #: Units encoded as one text.
 TOGETHER = 4096
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
@@ -280,45 +285,82 @@ class Chunk:
 
     def add(self, ids: pa.Array, texts: list[str]) -> None:
         self.ids.append(ids)
-        self.size += sum(map(len, texts))
+        self.size += sum(map(len, texts)) + ROW * len(texts)
         spelled = self.units.text.__getitem__
         for numbers in self.units.of(texts):
             self.lengths.append(len(numbers))
             self.numbers.extend(numbers)
             self.digests.append(hashlib.sha256("".join(map(spelled, numbers))[:-1].encode()).hexdigest() if numbers else "")
 
-    def row(self, key: int) -> pa.RecordBatch:
-        """The chunk as one row of lists."""
-        n, numbers = len(self.lengths), np.asarray(self.numbers, np.int64)
-        owner = np.repeat(np.arange(n), self.lengths)
-        sizes = np.asarray(self.units.sizes, np.int64).reshape(-1, 4)
-        sums = [np.bincount(owner, sizes[numbers, k], n).astype(np.int64) for k in range(4)]
-        used, numbers = np.unique(numbers, return_inverse=True)
-        held, times = np.unique(owner * max(1, len(used)) + numbers, return_counts=True)
-        owner, numbers = np.divmod(held, max(1, len(used)))
-        ends = np.asarray(self.units.ends, np.int64)
-        starts, lengths = ends[used], ends[used + 1] - ends[used]
-        at = _ranges(starts, lengths)
-        links, places = np.unique(np.asarray(self.units.links, np.int64)[at], return_inverse=True)
-        first = np.cumsum(lengths) - lengths
-        of_docs = places[_ranges(first[numbers], lengths[numbers])]
-        keys = np.unique(np.repeat(owner, lengths[numbers]) * max(1, len(links)) + of_docs)
-        holders = np.bincount(keys % max(1, len(links)), minlength=len(links))
-        whole = pa.chunked_array(self.ids).combine_chunks()
-        lists = [whole, *[pa.array(s) for s in sums], pa.array(self.digests, pa.string()), pa.array(np.bincount(owner, minlength=n).astype(np.int32)), pa.array(numbers.astype(np.int32)),
-                 pa.array(times.astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(links), pa.array(holders.astype(np.int64))]
-        return pa.record_batch([pa.array([key], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]], ["chunk", *LISTS])
-
-
-#: By document: key, sums, digest, number of distinct units; by unit of a document: its place and how often; by unit: number of links;
-#: by link of a unit: its place; by link: its key, and how many documents hold it.
-LISTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "n_units", "units", "times", "n_unit_links", "places", "links", "holders")
+    def rows(self, key: int, block: int, asked: int) -> Iterator[pa.RecordBatch]:
+        """The chunk as rows of lists: blocks of its documents, then its links."""
+        sizes, ends = np.asarray(self.units.sizes, np.int64).reshape(-1, 4), np.asarray(self.units.ends, np.int64)
+        used, numbers = np.unique(np.asarray(self.numbers, np.int64), return_inverse=True)
+        n_links = ends[used + 1] - ends[used]
+        starts = np.cumsum(n_links) - n_links
+        links, places = np.unique(np.asarray(self.units.links, np.int64)[_ranges(ends[used], n_links)], return_inverse=True)
+        at, width = np.r_[0, np.cumsum(np.asarray(self.lengths, np.int64))], max(1, len(links))
+        sums = []
+        for k in range(4):
+            ahead = np.r_[0, np.cumsum(sizes[used, k][numbers])]
+            sums.append(ahead[at[1:]] - ahead[at[:-1]])
+        ids, holders = pa.chunked_array(self.ids).combine_chunks(), np.zeros(len(links), np.int64)
+        row = lambda **columns: pa.record_batch([pa.array([key], pa.int64()), *[columns.get(c, pa.nulls(1, k)) for c, k in zip(LISTS, _kinds(ids.type))]], ["chunk", *LISTS])
+        listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        for first, end in slices((sums[3] + ROW).tolist(), block):
+            units = numbers[at[first]:at[end]]
+            owner = np.repeat(np.arange(end - first), np.diff(at[first:end + 1]))
+            keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            ahead = np.cumsum(n_links[units])
+            for x, y in pairwise([0, *(np.flatnonzero(np.diff(ahead // block)) + 1).tolist(), len(units)]):  # many if a document is longer than a block
+                n = n_links[units[x:y]]
+                more = _summed(np.repeat(owner[x:y], n) * width + places[_ranges(starts[units[x:y]], n)])
+                keys, times = more if not len(keys) else _summed(np.concatenate([keys, more[0]]), np.concatenate([times, more[1]]))
+            holders += np.bincount(keys % width, minlength=len(holders))[:len(holders)]
+            own = [listed(v) for v in (ids.slice(first, end - first), *[pa.array(s[first:end]) for s in sums], pa.array(self.digests[first:end], pa.string()))]
+            packed = [pa.array([_packed(v)], pa.binary()) for v in (np.diff(keys, prepend=0), times)]
+            yield row(**dict(zip(LISTS, [*own, *packed, pa.array([width], pa.int64())])))
+        for first in range(0, len(links), asked):
+            yield row(first=pa.array([first], pa.int32()), links=listed(pa.array(links[first:first + asked])), holders=listed(pa.array(holders[first:first + asked])))
+
+
+def _summed(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sum of their times; a key without times counts once."""
+    if times is None:
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.diff(np.r_[first, len(keys)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times[order], first) if len(first) else times
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from zero on, compressed: bytes of each and how many, then they."""
+    narrow = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    return np.array([narrow.itemsize, len(narrow)], "<i8").tobytes() + pa.compress(narrow.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size, n = np.frombuffer(data, "<i8", 2).tolist()
+    return np.frombuffer(pa.decompress(data[16:], decompressed_size=size * n, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64)
+
+
+#: By block of documents: key, sums and digest of each, packed steps from a document's link to the next one (documents times the chunk's
+#: number of links, and the link's place), packed times that it is there, and the chunk's number of links.
+#: By some of the chunk's links: the place of the first, each link's key, and how many documents hold it.
+LISTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "steps", "times", "width", "first", "links", "holders")
+
+
+def _kinds(ids: pa.DataType) -> list[pa.DataType]:
+    return [*map(pa.list_, (ids, *[pa.int64()] * 4, pa.string())), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2]
 
 
 def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
-    """The documents as chunks, one row each."""
+    """The documents as chunks, many rows each: those with ids hold documents, those with links the chunk's links."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = [kind, *["long"] * 4, "string", *["int"] * 5, "long", "long"]
+    kinds = [f"array<{k}>" for k in (kind, *["long"] * 4, "string")] + ["binary", "binary", "long", "int", "array<long>", "array<long>"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, count = TaskContext.get().partitionId() << 32, 0
@@ -329,36 +371,30 @@ def chunks(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
                 continue
             chunk.add(batch.column("doc_id"), texts_of(batch))
             if chunk.size >= CHUNK:
-                yield chunk.row(place + count)
+                yield from chunk.rows(place + count, BLOCK, ASKED)
                 units = Units.of_worker(a, b)
                 chunk, count = Chunk(units), count + 1
-        last = chunk.row(place + count) if chunk.lengths else None
-        del chunk, units
+        if chunk.lengths:
+            yield from chunk.rows(place + count, BLOCK, ASKED)
         Units.held.clear()  # an idle worker keeps its memory
-        if last is not None:
-            yield last
-    return _read(docs).mapInArrow(work, "chunk long, " + ", ".join(f"{c} array<{k}>" for c, k in zip(LISTS, kinds)))
-
-
-def _scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The documents of chunks with the figures of their links."""
-    for k in range(batch.num_rows):
-        part = {c: batch.column(c)[k].values for c in LISTS}
-        plain = {c: part[c].to_numpy() for c in LISTS[6:11]}
-        count, best = np.zeros(len(part["links"]), np.int64), np.zeros(len(part["links"]), np.int64)
-        if (found := batch.column("found")[k].values) is not None:
-            place, code = found.field("place").to_numpy(), found.field("code").to_numpy()
-            count[place], best[place] = code >> 1, code & 1
-        owner = np.repeat(np.arange(len(plain["n_unit_links"])), plain["n_unit_links"])
-        sums = []
-        for figure in (best, count):
-            ahead = np.r_[0, np.cumsum(figure[plain["places"]])]
-            ends = np.cumsum(plain["n_unit_links"])
-            by_unit = ahead[ends] - ahead[ends - plain["n_unit_links"]]
-            ahead = np.r_[0, np.cumsum(by_unit[plain["units"]] * plain["times"])]
-            ends = np.cumsum(plain["n_units"])
-            sums.append(pa.array(ahead[ends] - ahead[ends - plain["n_units"]]))
-        yield pa.record_batch([*[part[c] for c in LISTS[:5]], *sums, part["digests"]], list(RESULT))
+    return _read(docs).mapInArrow(work, "chunk long, " + ", ".join(f"{c} {k}" for c, k in zip(LISTS, kinds)))
+
+
+def _scored(found: pa.Table, held: pa.Table) -> pa.Table:
+    """The documents of a chunk with the figures of their links."""
+    width = held["width"][0].as_py()
+    count, best = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    place, code = found["place"].to_numpy(), found["code"].to_numpy()
+    count[place], best[place] = code >> 1, code & 1
+    sums: list[list[np.ndarray]] = [[], []]
+    for steps, times, n in zip(held["steps"].to_pylist(), held["times"].to_pylist(), map(len, held["ids"])):
+        keys, times = np.cumsum(_unpacked(steps)), _unpacked(times)
+        ends, place = np.searchsorted(keys, np.arange(n + 1) * width), keys % width
+        for figure, out in zip((best, count), sums):
+            ahead = np.r_[0, np.cumsum(figure[place] * times)]
+            out.append(np.diff(ahead[ends]))
+    flat = {c: pa.chunked_array([x.values for x in held[c]], held.schema.field(c).type.value_type) for c in LISTS[:6]}
+    return pa.table([*[flat[c] for c in LISTS[:5]], *[pa.array(np.concatenate(s), pa.int64()) for s in sums], flat["digests"]], list(RESULT))
 
 
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -368,18 +404,16 @@ def scored(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """Tokens, groups and links of every document with the corpus-wide counts of its links."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     ready = cut(chunks(docs, a, b))
-    counts = cut(ready.select(F.explode(F.arrays_zip("links", "holders")).alias("x")).groupBy(F.col("x.links").alias("link")).agg(F.sum("x.holders").alias("n")))
+    links = ready.where("links is not null").select("chunk", "first", "links", "holders")
+    counts = cut(links.select(F.explode(F.arrays_zip("links", "holders")).alias("x")).groupBy(F.col("x.links").alias("link")).agg(F.sum("x.holders").alias("n")))
     highest = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("n").alias("most"))
     codes = (counts.withColumn("a", F.shiftright("link", 32)).join(highest, "a")
              .select("link", (F.col("n") * 2 + (F.col("n") == F.col("most")).cast("long")).alias("code")))
-    asked = ready.select("chunk", F.posexplode("links").alias("place", "link")).join(codes, "link")
-    found = asked.groupBy("chunk").agg(F.collect_list(F.struct("place", "code")).alias("found"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _scored(batch)
+    asked = links.select("chunk", "first", F.posexplode("links").alias("at", "link")).join(codes, "link")
+    found = asked.select("chunk", (F.col("first") + F.col("at")).alias("place"), "code")
+    held = ready.where("ids is not null").select(F.col("chunk").alias("of"), *LISTS[:9])
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in RESULT[1:7]) + ", groups_sha256 string"
-    return ready.join(found, "chunk", "left").mapInArrow(work, schema)
+    return found.groupBy("chunk").cogroup(held.groupBy("of")).applyInArrow(_scored, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
